@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,44 +31,61 @@ def sample_counts(baseline: DataFrame, current: DataFrame, columns: Sequence[str
     return value_counts(both, ["feature"], "value", {"nb": F.sum("b"), "nc": F.sum(1 - F.col("b"))})
 
 
-def distributions(baseline: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sample counts with both running totals: the base of PSI and KS alike."""
-    counts = sample_counts(baseline, current, columns)
+def distributions(counts: DataFrame) -> DataFrame:
+    """Sample counts with both running totals: the base of PSI break points and KS alike."""
     return running_totals(counts, ["feature"], "value", ["nb", "nc"], few_keys=True)
 
 
-def psi(dist: DataFrame, bins: int = 10) -> DataFrame:
-    """Population stability index per feature over baseline-quantile bins; outside values drop."""
+def _ks_columns() -> list[Column]:
+    gap = F.abs(F.try_divide(F.col("nb_upto"), F.col("nb_all")) - F.try_divide(F.col("nc_upto"), F.col("nc_all")))
+    return [F.max(gap).alias("statistic"), F.max("nb_all").alias("n_baseline"), F.max("nc_all").alias("n_current")]
+
+
+def ks(counts: DataFrame) -> DataFrame:
+    """Two-sample KS statistic and asymptotic p-value per feature."""
+    out = distributions(counts).groupBy("feature").agg(*_ks_columns()).filter("n_baseline > 0 AND n_current > 0")
+    return out.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n_baseline"), F.col("n_current")))
+
+
+def feature_drift(counts: DataFrame, bins: int = 10) -> DataFrame:
+    """PSI and KS per feature: ``feature, psi, statistic, n_baseline, n_current, p_value``.
+
+    PSI bins are baseline quantiles with repeats removed; the last bin is closed and values
+    outside all bins drop. The ordered pass runs once and yields one row per feature, which
+    goes back to the plain counts as a broadcast bounded by the number of columns.
+    """
     probs = [i / bins for i in range(bins + 1)]
-    # one row per feature column, so the broadcast is bounded by the schema
-    points = dist.groupBy("feature").agg(F.array(*quantile_columns("value", "nb", probs)).alias("p")).select(
-        "feature", F.array_sort(F.array_distinct("p")).alias("p")
+    profile = distributions(counts).groupBy("feature").agg(
+        F.array(*quantile_columns("value", "nb", probs)).alias("p"), *_ks_columns()
+    ).withColumn("p", F.array_sort(F.array_distinct(F.array_compact("p"))))
+    placed = counts.join(F.broadcast(profile), "feature")
+    value, points = F.col("value"), F.col("p")
+    passed = sum((F.coalesce((value >= F.get(points, F.lit(i))).cast("int"), F.lit(0)) for i in range(1, bins + 1)), F.lit(0))
+    k = F.size(points) - 1
+    inside = (value >= F.get(points, F.lit(0))) & (value <= F.element_at(points, -1)) & (k > 0)
+    carried = ["feature", "statistic", "n_baseline", "n_current"]
+    per_bin = placed.groupBy(*carried, k.alias("k"), F.when(inside, F.least(passed, k - 1)).alias("bin")).agg(
+        F.sum("nb").alias("nb"), F.sum("nc").alias("nc")
     )
-    slot = F.size(F.filter("p", lambda b: b <= F.col("value"))) - 1
-    last = F.size("p") - 1
-    placed = dist.join(F.broadcast(points), "feature").withColumn(
-        "bin", F.when(F.col("value") == F.element_at("p", -1), last - 1).otherwise(slot)
+    kept = F.col("bin").isNotNull()
+    cells = per_bin.groupBy(*carried, "k").agg(
+        F.map_from_entries(F.collect_list(F.when(kept, F.struct("bin", F.struct("nb", "nc"))))).alias("m"),
+        F.sum(F.when(kept, F.col("nb"))).alias("tb"), F.sum(F.when(kept, F.col("nc"))).alias("tc"),
     )
-    inside = placed.filter((F.col("bin") >= 0) & (F.col("value") <= F.element_at("p", -1)) & (last > 0))
-    filled = inside.groupBy("feature", "bin").agg(F.sum("nb").alias("nb"), F.sum("nc").alias("nc"))
-    slots = points.filter(F.size("p") > 1).select("feature", F.explode(F.sequence(F.lit(0), F.size("p") - 2)).alias("bin"))
-    full = slots.join(filled, ["feature", "bin"], "left").na.fill(0, ["nb", "nc"])
-    totals = full.groupBy("feature").agg(F.sum("nb").alias("tb"), F.sum("nc").alias("tc"), F.count(F.lit(1)).alias("k"))
-    share_b = (F.col("nb") + EPSILON) / (F.col("tb") + EPSILON * F.col("k"))
-    share_c = (F.col("nc") + EPSILON) / (F.col("tc") + EPSILON * F.col("k"))
-    scored = full.join(F.broadcast(totals), "feature").groupBy("feature").agg(
-        F.sum((share_c - share_b) * F.log(share_c / share_b)).alias("psi")
-    )
-    return points.select("feature").join(scored, "feature", "left").na.fill(0.0, ["psi"])
 
+    def share(side: str, total: str, i: Column) -> Column:
+        n = F.coalesce(F.try_element_at("m", i).getField(side), F.lit(0))
+        return (n + EPSILON) / (F.coalesce(F.col(total), F.lit(0)) + EPSILON * F.col("k"))
 
-def ks(dist: DataFrame) -> DataFrame:
-    """Two-sample KS statistic and asymptotic p-value per feature."""
-    gap = F.abs(F.col("nb_upto") / F.col("nb_all") - F.col("nc_upto") / F.col("nc_all"))
-    out = dist.filter((F.col("nb_all") > 0) & (F.col("nc_all") > 0)).groupBy("feature").agg(
-        F.max(gap).alias("statistic"), F.max("nb_all").alias("n_baseline"), F.max("nc_all").alias("n_current")
+    def term(acc: Column, i: Column) -> Column:
+        b, c = share("nb", "tb", i), share("nc", "tc", i)
+        return acc + (c - b) * F.log(c / b)
+
+    slots = F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
+    return cells.select(
+        "feature", F.aggregate(slots, F.lit(0.0), term).alias("psi"), "statistic", "n_baseline", "n_current",
+        ks_p_value(F.col("statistic"), F.col("n_baseline"), F.col("n_current")).alias("p_value"),
     )
-    return out.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n_baseline"), F.col("n_current")))
 
 
 def feature_summary(df: DataFrame, sample: str, columns: Sequence[str], minimum: int = MIN_VALUES) -> DataFrame:
@@ -86,9 +102,13 @@ def feature_summary(df: DataFrame, sample: str, columns: Sequence[str], minimum:
     return one.select(F.inline(F.array(*cells))).filter(F.col("n") >= minimum)
 
 
+def _share_columns(alpha: float = ALPHA) -> list[Column]:
+    return [F.count_if(F.col("p_value") < alpha).alias("n_drifted"), F.count(F.lit(1)).alias("n_columns")]
+
+
 def drift_share(ks_rows: DataFrame, alpha: float = ALPHA, limit: float = DRIFT_SHARE) -> DataFrame:
     """Share of drifted columns; the dataset drifts above ``limit``."""
-    one = ks_rows.agg(F.count_if(F.col("p_value") < alpha).alias("n_drifted"), F.count(F.lit(1)).alias("n_columns"))
+    one = ks_rows.agg(*_share_columns(alpha))
     share = F.coalesce(ratio("n_drifted", "n_columns"), F.lit(0.0))
     return one.withColumn("share_drifted", share).withColumn("dataset_drift", F.col("share_drifted") > limit)
 
@@ -97,13 +117,16 @@ def severity(score: Column) -> Column:
     return F.when(score >= CRITICAL, "critical").when(score >= WARNING, "warning").otherwise("none")
 
 
-def overall(psi_rows: DataFrame, share: DataFrame) -> DataFrame:
+def _with_overall(one: DataFrame) -> DataFrame:
+    out = one.withColumn("share_drifted", F.coalesce(ratio("n_drifted", "n_columns"), F.lit(0.0)))
+    return out.withColumn("score", F.greatest("max_psi", "share_drifted")).withColumn("severity", severity(F.col("score")))
+
+
+def overall(drift_rows: DataFrame) -> DataFrame:
     """The worst PSI against the share of drifted columns, with its severity."""
-    worst = psi_rows.agg(F.coalesce(F.max("psi"), F.lit(0.0)).alias("max_psi"))
-    one = worst.withColumn("share_drifted", share.select("share_drifted").scalar())
-    score = F.greatest("max_psi", "share_drifted")
-    return one.withColumn("score", score).withColumn("severity", severity(F.col("score"))).withColumn(
-        "drift_detected", F.col("severity") != "none"
+    one = drift_rows.agg(F.coalesce(F.max("psi"), F.lit(0.0)).alias("max_psi"), *_share_columns())
+    return _with_overall(one).select(
+        "max_psi", "share_drifted", "score", "severity", (F.col("severity") != "none").alias("drift_detected")
     )
 
 
@@ -127,18 +150,23 @@ def with_chi_p(rows: DataFrame) -> DataFrame:
 
 
 def report(baseline: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per feature and one ``overall`` row: ``feature, psi, ks_statistic, p_value, score, severity``."""
-    dist = distributions(baseline, current, columns)
-    p, k = psi(dist), ks(dist)
-    per = p.join(k, "feature").select(
-        "feature", "psi", F.col("statistic").alias("ks_statistic"), "p_value",
-        F.col("psi").alias("score"), severity(F.col("psi")).alias("severity"),
+    """One row per feature and one ``overall`` row: ``feature, psi, ks_statistic, p_value, score, severity``.
+
+    The feature rows (as many as columns) travel in one array beside their roll-up, so the
+    samples are read once.
+    """
+    per = feature_drift(sample_counts(baseline, current, columns))
+    row = F.struct(
+        "feature", "psi", F.col("statistic").alias("ks_statistic"), "p_value", F.col("psi").alias("score"), severity(F.col("psi")).alias("severity")
     )
+    one = _with_overall(per.agg(
+        F.collect_list(row).alias("rows"), F.coalesce(F.max("psi"), F.lit(0.0)).alias("max_psi"), *_share_columns()
+    ))
     none = F.lit(None).cast("double")
-    total = overall(p, drift_share(k)).select(
+    total = F.struct(
         F.lit("overall").alias("feature"), F.col("max_psi").alias("psi"), none.alias("ks_statistic"), none.alias("p_value"), "score", "severity"
     )
-    return per.unionByName(total)
+    return one.select(F.inline(F.concat("rows", F.array(total))))
 
 
 def gauges(report_rows: DataFrame) -> DataFrame:
@@ -155,7 +183,3 @@ def gauges(report_rows: DataFrame) -> DataFrame:
 def performance_drift(baseline_rmse: Column, current_rmse: Column) -> list[Column]:
     score = clamp(F.try_divide(current_rmse - baseline_rmse, baseline_rmse), 0.0, 1.0)
     return [score.alias("score"), (score > PERFORMANCE_DRIFT).alias("drift_detected")]
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

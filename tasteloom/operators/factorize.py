@@ -28,6 +28,7 @@ def factor_names(k: int) -> list[str]:
 class Factors:
     users: DataFrame
     items: DataFrame
+    item_gram: DataFrame
     k: int
 
 
@@ -40,17 +41,8 @@ def initial_factors(ids: DataFrame, key: str, k: int, scale: float, seed: int =
     return ids.select(F.col(key), *[c.alias(n) for n, c in zip(factor_names(k), cell)])
 
 
-def gram(factors: DataFrame, k: int) -> np.ndarray:
-    """Sum of outer products, k x k: partial products inside the tasks, k^2 numbers to the driver."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64")
-            total += x.T @ x
-        yield pd.DataFrame({"g": [total.ravel().tolist()]})
-
-    parts = factors.select(*factor_names(k)).mapInPandas(partial, "g array<double>")
+def gram(parts: DataFrame, k: int) -> np.ndarray:
+    """Sum of the partial Gram matrices in column ``g``; k^2 numbers reach the driver."""
     cells = parts.select(F.posexplode("g").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(k * k)
     for row in cells:
@@ -66,7 +58,11 @@ def numerators(cells: DataFrame, fixed: DataFrame, key: str, fixed_key: str, k:
 
 
 def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, start: DataFrame | None = None, sweeps: int = 8) -> DataFrame:
-    """Non-negative least squares per row, vectorized over Arrow batches."""
+    """Non-negative least squares per row, vectorized over Arrow batches.
+
+    Each task also emits one row with a null key and the Gram matrix of its own factors in
+    ``g``, so the next half-step needs no second pass over them.
+    """
     names = factor_names(k)
     warm = start is not None
     rows = nums.join(start, key) if warm else nums
@@ -74,47 +70,77 @@ def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, start: DataFram
     step = np.maximum(np.diag(g), 1e-12)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
         for pdf in batches:
             n = pdf[[f"n{j}" for j in range(k)]].to_numpy(dtype="float64")
             w = pdf[names].to_numpy(dtype="float64").copy() if warm else np.maximum(n, 0) / step
             for _ in range(sweeps):
                 for j in range(k):
                     w[:, j] = np.maximum(w[:, j] + (n[:, j] - w @ g[:, j]) / step[j], 1e-12)
+            total += w.T @ w
             out = pd.DataFrame(w, columns=names)
             out.insert(0, key, pdf[key].to_numpy())
+            out["g"] = None
             yield out
+        last = {key: pd.Series([None], dtype="Int64" if key_type in ("bigint", "int") else "object")}
+        last.update({f: [None] for f in names})
+        yield pd.DataFrame({**last, "g": [total.ravel().tolist()]})
 
-    return rows.mapInPandas(solve, f"{key} {key_type}, " + ", ".join(f"{f} double" for f in names))
+    fields = ", ".join(f"{f} double" for f in names)
+    return rows.mapInPandas(solve, f"{key} {key_type}, {fields}, g array<double>")
+
+
+def split_solution(solved: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(factor rows, partial Gram rows) of a written solution."""
+    return solved.filter(F.col(key).isNotNull()).select(key, *factor_names(k)), solved.filter(F.col(key).isNull()).select("g")
 
 
 def fit_nmf(
     spark: SparkSession, cells: DataFrame, k: int = 20, iterations: int = 10, user: str = "UserID", item: str = "MovieID",
-    seed: int = 42,
+    seed: int = 42, spread: int = 16,
 ) -> Factors:
     """Alternate half-steps. Factors go to two alternating tables per side, so lineage never grows
-    and a lost executor re-reads a written table."""
+    and a lost executor re-reads a written table.
+
+    The cells are stored twice, clustered by user and by item, so that the sums of a half-step
+    shrink to about one row per key before they shuffle. ``spread`` salts the clustering: a
+    key with a large share of the cells is spread over that many tasks.
+    """
     base = scratch(spark, "nmf")
     cells.select(user, item, "value").write.parquet(f"{base}/cells")
-    cells = spark.read.parquet(f"{base}/cells")
-    size = cells.agg(F.sum("value").alias("s"), F.countDistinct(user).alias("m"), F.countDistinct(item).alias("n")).first()
+    stored = spark.read.parquet(f"{base}/cells")
+
+    def clustered(key: str, other: str) -> DataFrame:
+        stored.repartition(F.col(key), F.pmod(F.xxhash64(other), F.lit(spread))).write.parquet(f"{base}/by_{key}")
+        return spark.read.parquet(f"{base}/by_{key}")
+
+    by_user, by_item = clustered(user, item), clustered(item, user)
+    size = stored.agg(F.sum("value").alias("s"), F.countDistinct(user).alias("m"), F.countDistinct(item).alias("n")).first()
     scale = float(np.sqrt(size.s / (size.m * size.n) / k)) if size.m else 1.0
 
-    def write(df: DataFrame, side: str, turn: int) -> DataFrame:
+    def write(df: DataFrame, side: str, key: str, turn: int) -> tuple[DataFrame, DataFrame]:
         path = f"{base}/{side}_{turn % 2}"
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return split_solution(spark.read.schema(df.schema).parquet(path), key, k)
+
+    def starting(side: str, key: str, offset: int) -> tuple[DataFrame, DataFrame]:
+        """Start values pass through the solver unchanged, which gives them their Gram rows."""
+        ids = initial_factors(stored.select(key).distinct(), key, k, scale, seed + offset)
+        zero = ids.select(key, *[F.lit(0.0).alias(f"n{j}") for j in range(k)])
+        return write(solve_rows(zero, key, np.eye(k), k, ids, sweeps=0), side, key, 0)
 
-    items = write(initial_factors(cells.select(item).distinct(), item, k, scale, seed), "items", 0)
-    users = write(initial_factors(cells.select(user).distinct(), user, k, scale, seed + 1), "users", 0)
+    users, _ = starting("users", user, 1)
+    items, item_gram = starting("items", item, 0)
     for turn in range(1, iterations + 1):
-        users = write(solve_rows(numerators(cells, items, user, item, k), user, gram(items, k), k, users), "users", turn)
-        items = write(solve_rows(numerators(cells, users, item, user, k), item, gram(users, k), k, items), "items", turn)
-    return Factors(users, items, k)
+        users, user_gram = write(solve_rows(numerators(by_user, items, user, item, k), user, gram(item_gram, k), k, users), "users", user, turn)
+        items, item_gram = write(solve_rows(numerators(by_item, users, item, user, k), item, gram(user_gram, k), k, items), "items", item, turn)
+    return Factors(users, items, item_gram, k)
 
 
-def fold_in(cells: DataFrame, items: DataFrame, k: int, user: str = "UserID", item: str = "MovieID") -> DataFrame:
-    """User factors of unseen users against fixed item factors."""
-    return solve_rows(numerators(cells, items, user, item, k), user, gram(items, k), k, sweeps=30)
+def fold_in(cells: DataFrame, model: Factors, user: str = "UserID", item: str = "MovieID") -> DataFrame:
+    """User factors of unseen users against the fitted item factors."""
+    nums = numerators(cells, model.items, user, item, model.k)
+    return split_solution(solve_rows(nums, user, gram(model.item_gram, model.k), model.k, sweeps=30), user, model.k)[0]
 
 
 def predicted(k: int, left: str = "u_", right: str = "i_") -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import scratch
 from .experiments import two_row_pivot
 
 MAX_DEPTH = 5
@@ -57,17 +58,24 @@ def direct_lineage(edges: DataFrame, target: str) -> DataFrame:
 def upstream(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Every edge upstream of each root up to ``max_depth`` steps: ``root, source, target, depth``.
 
-    A bounded chain of joins. The frontier keeps one row per (root, node), so shared and
-    cyclic paths do not multiply, and the depth bound ends a cycle.
+    A bounded loop of joins. Each hop is written to shared storage, so it is computed once and
+    survives a lost executor. The frontier keeps one row per (root, node), so shared and
+    cyclic paths do not multiply; the depth bound ends a cycle.
     """
+    spark = edges.sparkSession
+    base = scratch(spark, "lineage")
+    edges.select("source", "target").distinct().write.parquet(f"{base}/edges")
+    steps = spark.read.parquet(f"{base}/edges")
     frontier = roots.select(F.col("name").alias("root"), F.col("name").alias("node"))
-    steps = edges.select("source", "target").distinct()
-    found = None
     for depth in range(1, max_depth + 1):
-        hop = frontier.join(steps, frontier.node == steps.target).select("root", "source", "target", F.lit(depth).alias("depth"))
-        found = hop if found is None else found.unionByName(hop)
+        path = f"{base}/hops/depth={depth}"
+        frontier.join(steps, frontier.node == steps.target).select("root", "source", "target").write.parquet(path)
+        hop = spark.read.schema("root string, source string, target string").parquet(path)
+        if hop.isEmpty():
+            break
         frontier = hop.select("root", F.col("source").alias("node")).distinct()
-    return found.groupBy("root", "source", "target").agg(F.min("depth").alias("depth"))
+    hops = spark.read.schema("root string, source string, target string, depth int").parquet(f"{base}/hops")
+    return hops.groupBy("root", "source", "target").agg(F.min("depth").alias("depth"))
 
 
 def upstream_summary(closure: DataFrame) -> DataFrame:

@@ -94,17 +94,17 @@ def _packed(df: DataFrame, key: str, features: Sequence[str], blocks: Column, bl
 
 def top_k_items(
     users: DataFrame, items: DataFrame, features: Sequence[str], k: int, seen: DataFrame | None = None,
-    user: str = "UserID", item: str = "MovieID", block_size: int = 1024,
+    user: str = "UserID", item: str = "MovieID", user_block: int = 1024, item_block: int = 8192,
 ) -> DataFrame:
     """Exact top-k items per user by factor dot product, rounded to 6 digits, ties by item id.
 
     Users and items are packed into blocks; a user block meets every item block, one matrix
     product per meeting, and only ``k`` rows per user leave it. Pairs are never rows, and a
-    meeting holds about ``block_size`` squared scores. ``seen`` pairs are masked in the block
+    meeting holds about ``user_block * item_block`` scores. ``seen`` pairs are masked in the block
     they belong to, so nothing has to be over-fetched.
     """
     dims = len(features)
-    n_user_blocks, n_item_blocks = _block_count(users, block_size), _block_count(items, block_size)
+    n_user_blocks, n_item_blocks = _block_count(users, user_block), _block_count(items, item_block)
     user_blocks = _packed(users, user, features, n_user_blocks, "ub", "user_ids", "user_f")
     item_blocks = _packed(items, item, features, n_item_blocks, "ib", "item_ids", "item_f")
     meetings = user_blocks.withColumn("ib", F.explode(F.sequence(F.lit(0).cast("bigint"), n_item_blocks - 1))).join(item_blocks, "ib")
@@ -132,11 +132,16 @@ def top_k_items(
                     a, b, pairs = a[ok], b[ok], pairs[ok]
                     ok = (u[a] == pairs["u"].to_numpy()) & (i[b] == pairs["i"].to_numpy())
                     scores[a[ok], b[ok]] = -np.inf
-                # item ids ascend inside a block, so a stable sort breaks ties by id
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(scores, order, axis=1)
-                out = pd.DataFrame({user: np.repeat(u, order.shape[1]), item: i[order].ravel(), "score": top.ravel()})
-                yield out[np.isfinite(out["score"])]
+                # every score that reaches the k-th best of its row, then exact order with ties by item id
+                keep = min(k, scores.shape[1])
+                floor = np.partition(scores, -keep, axis=1)[:, -keep]
+                a, b = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+                s = scores[a, b]
+                order = np.lexsort((b, -s, a))
+                a, b, s = a[order], b[order], s[order]
+                place = np.arange(len(a)) - np.searchsorted(a, a)
+                top = place < k
+                yield pd.DataFrame({user: u[a[top]], item: i[b[top]], "score": s[top]})
 
     types = f"{user} bigint, {item} bigint, score double"
     local = meetings.select("user_ids", "user_f", "item_ids", "item_f", "seen").mapInPandas(best, types)

@@ -48,10 +48,10 @@ def running_totals(
     """
     keys = list(keys)
     splits = _pieces(vc, keys, value, pieces, sample, few_keys)
-    cut = vc.join(small(splits, few_keys), keys, "left").withColumn(
-        "_piece",
-        F.coalesce(F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double"))), F.lit(0)),
-    ).drop("_splits")
+    at = F.col(value).cast("double")
+    # a plain sum of comparisons stays inside generated code, which a lambda over the array would leave
+    passed = [F.coalesce((at > F.get("_splits", F.lit(i))).cast("int"), F.lit(0)) for i in range(pieces - 1)]
+    cut = vc.join(small(splits, few_keys), keys, "left").withColumn("_piece", sum(passed, F.lit(0))).drop("_splits")
     per_piece = cut.groupBy(*keys, "_piece").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)

@@ -64,17 +64,17 @@ SEVERITY = "CASE WHEN {0} >= 0.25 THEN 'critical' WHEN {0} >= 0.15 THEN 'warning
 
 @query("d02_psi", BASE + " SELECT feature, round(psi, 6) AS psi FROM psi")
 def psi(t):
-    return dr.psi(dr.distributions(*samples(t), COLUMNS)).select("feature", r6("psi").alias("psi"))
+    return dr.feature_drift(dr.sample_counts(*samples(t), COLUMNS)).select("feature", r6("psi").alias("psi"))
 
 
 @query("d02_psi_shifted", BASE_E + " SELECT feature, round(psi, 6) AS psi FROM psi")
 def psi_shifted(t):
-    return dr.psi(dr.distributions(*event_samples(t), ["value", "shifted"])).select("feature", r6("psi").alias("psi"))
+    return dr.feature_drift(dr.sample_counts(*event_samples(t), ["value", "shifted"])).select("feature", r6("psi").alias("psi"))
 
 
 @query("d03_two_sample_ks", BASE + " SELECT feature, round(statistic, 6) AS statistic, n_baseline, n_current, round(p_value, 6) AS p_value FROM ks")
 def ks(t):
-    return dr.ks(dr.distributions(*samples(t), COLUMNS)).withColumns({c: r6(c) for c in ("statistic", "p_value")})
+    return dr.ks(dr.sample_counts(*samples(t), COLUMNS)).withColumns({c: r6(c) for c in ("statistic", "p_value")})
 
 
 def summary_sql(c, sample, cond):
@@ -96,7 +96,7 @@ SHARE = """SELECT count(*) FILTER (WHERE p_value < 0.05) AS n_drifted, count(*)
 
 @query("d05_drift_share", BASE_E + SHARE)
 def share(t):
-    return dr.drift_share(dr.ks(dr.distributions(*event_samples(t), ["value", "shifted"])))
+    return dr.drift_share(dr.ks(dr.sample_counts(*event_samples(t), ["value", "shifted"])))
 
 
 @query("d06_overall_severity", BASE_E + f""", o AS (SELECT (SELECT max(psi) FROM psi) AS max_psi,
@@ -104,8 +104,8 @@ def share(t):
 SELECT round(max_psi, 6) AS max_psi, share AS share_drifted, round(greatest(max_psi, share), 6) AS score,
     {SEVERITY.format('greatest(max_psi, share)')} AS severity, greatest(max_psi, share) >= 0.15 AS drift_detected FROM o""")
 def overall(t):
-    dist = dr.distributions(*event_samples(t), ["value", "shifted"])
-    return dr.overall(dr.psi(dist), dr.drift_share(dr.ks(dist))).withColumns({c: r6(c) for c in ("max_psi", "score")})
+    rows = dr.feature_drift(dr.sample_counts(*event_samples(t), ["value", "shifted"]))
+    return dr.overall(rows).withColumns({c: r6(c) for c in ("max_psi", "score")})
 
 
 @query("d07_chi_square", f"""
@@ -123,7 +123,7 @@ def chi_p(t):
 
 @query("d08_dataset_summary", BASE + SHARE)
 def dataset(t):
-    return dr.drift_share(dr.ks(dr.distributions(*samples(t), COLUMNS)))
+    return dr.drift_share(dr.ks(dr.sample_counts(*samples(t), COLUMNS)))
 
 
 REPORT = f"""r AS (SELECT feature, psi, statistic AS ks_statistic, p_value, psi AS score, {SEVERITY.format('psi')} AS severity FROM psi JOIN ks USING (feature)),

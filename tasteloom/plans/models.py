@@ -26,6 +26,10 @@ def fitted(t, part: str, cells) -> fz.Factors:
     return _fitted[key]
 
 
+def forget() -> None:
+    _fitted.clear()
+
+
 @query("r01_mean_baseline", """
 SELECT round(max(m), 6) AS baseline_value, round(sqrt(avg((Rating - m) * (Rating - m))), 6) AS rmse, round(avg(abs(Rating - m)), 6) AS mae
 FROM ratings, (SELECT avg(Rating) AS m FROM ratings)""")
@@ -48,13 +52,13 @@ def nmf_error(t):
 
 def small_factors(t):
     """Two-column factors straight from the ratings, so that SQL can state the dense result."""
-    users = t.ratings.groupBy("UserID").agg((F.avg("Rating") / 4).alias("f0"), (F.count(F.lit(1)) / 100).alias("f1"))
-    items = t.ratings.groupBy("MovieID").agg((F.avg("Rating") / 50).alias("f0"), (F.count(F.lit(1)) / 400).alias("f1"))
+    users = t.ratings.groupBy("UserID").agg((F.avg("Rating") * 0.2713).alias("f0"), (F.count(F.lit(1)) * 0.01137).alias("f1"))
+    items = t.ratings.groupBy("MovieID").agg((F.avg("Rating") * 0.01931).alias("f0"), (F.count(F.lit(1)) * 0.002719).alias("f1"))
     return users, items
 
 
-SMALL = """WITH wu AS (SELECT UserID, avg(Rating) / 4 AS f0, CAST(count(*) AS DOUBLE) / 100 AS f1 FROM ratings GROUP BY 1),
-wi AS (SELECT MovieID, avg(Rating) / 50 AS f0, CAST(count(*) AS DOUBLE) / 400 AS f1 FROM ratings GROUP BY 1),
+SMALL = """WITH wu AS (SELECT UserID, avg(Rating) * CAST(0.2713 AS DOUBLE) AS f0, CAST(count(*) AS DOUBLE) * CAST(0.01137 AS DOUBLE) AS f1 FROM ratings GROUP BY 1),
+wi AS (SELECT MovieID, avg(Rating) * CAST(0.01931 AS DOUBLE) AS f0, CAST(count(*) AS DOUBLE) * CAST(0.002719 AS DOUBLE) AS f1 FROM ratings GROUP BY 1),
 cells AS (SELECT UserID, MovieID, avg(Rating) AS value FROM ratings GROUP BY 1, 2),
 dense AS (SELECT wu.UserID, wi.MovieID, wu.f0 * wi.f0 + wu.f1 * wi.f1 AS p FROM wu, wi)
 """
@@ -84,7 +88,7 @@ def masked(t):
     cells = rel.user_item_matrix(t.ratings).withColumn("b", hash_bucket([F.lit(42), F.col("UserID")], 100))
     train, test = cells.filter("b >= 20").drop("b"), cells.filter("b < 20").drop("b")
     model = fitted(t, "users", train)
-    return fz.masked_evaluation(test, fz.fold_in(test, model.items, RANK), model.items, RANK)
+    return fz.masked_evaluation(test, fz.fold_in(test, model), model.items, RANK)
 
 
 @query("r06_fallback_predictor", """

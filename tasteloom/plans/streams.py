@@ -15,7 +15,8 @@ WATERMARK = "(SELECT max(\"timestamp\") - INTERVAL 1 HOUR FROM raw_events)"
 
 
 def source(t):
-    return jobs.parquet_stream(t.spark, f"{t.path}/events.parquet", t.raw("events").schema)
+    # a glob matches the table both as one file and as a folder of parts
+    return jobs.parquet_stream(t.spark, f"{t.path}/{{events}}.parquet", t.raw("events").schema)
 
 
 def raw_stream(t):
