@@ -60,7 +60,7 @@ def feature_drift(counts: DataFrame, bins: int = 10) -> DataFrame:
     ).withColumn("p", F.array_sort(F.array_distinct(F.array_compact("p"))))
     placed = counts.join(F.broadcast(profile), "feature")
     value, points = F.col("value"), F.col("p")
-    passed = sum((F.coalesce((value >= F.get(points, F.lit(i))).cast("int"), F.lit(0)) for i in range(1, bins + 1)), F.lit(0))
+    passed = F.expr(" + ".join(f"coalesce(int(value >= get(p, {i})), 0)" for i in range(1, bins + 1)))
     k = F.size(points) - 1
     inside = (value >= F.get(points, F.lit(0))) & (value <= F.element_at(points, -1)) & (k > 0)
     carried = ["feature", "statistic", "n_baseline", "n_current"]

@@ -24,6 +24,10 @@ def factor_names(k: int) -> list[str]:
     return [f"f{j}" for j in range(k)]
 
 
+# A factor table up to this many bytes in memory is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 256 << 20
+
+
 @dataclass
 class Factors:
     users: DataFrame
@@ -57,15 +61,14 @@ def numerators(cells: DataFrame, fixed: DataFrame, key: str, fixed_key: str, k:
     )
 
 
-def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, start: DataFrame | None = None, sweeps: int = 8) -> DataFrame:
+def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, sweeps: int = 20) -> DataFrame:
     """Non-negative least squares per row, vectorized over Arrow batches.
 
-    Each task also emits one row with a null key and the Gram matrix of its own factors in
-    ``g``, so the next half-step needs no second pass over them.
+    Every row is solved from scratch, so the old factors of this side need no join. Each task
+    also emits one row with a null key and the Gram matrix of its own factors in ``g``, so
+    the next half-step needs no second pass over them.
     """
     names = factor_names(k)
-    warm = start is not None
-    rows = nums.join(start, key) if warm else nums
     key_type = dict(nums.dtypes)[key]
     step = np.maximum(np.diag(g), 1e-12)
 
@@ -73,7 +76,9 @@ def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, start: DataFram
         total = np.zeros((k, k))
         for pdf in batches:
             n = pdf[[f"n{j}" for j in range(k)]].to_numpy(dtype="float64")
-            w = pdf[names].to_numpy(dtype="float64").copy() if warm else np.maximum(n, 0) / step
+            # best multiple of the clipped gradient as the start
+            w = np.maximum(n, 1e-12)
+            w *= (np.sum(w * n, axis=1) / np.maximum(np.sum((w @ g) * w, axis=1), 1e-300)).clip(0)[:, None]
             for _ in range(sweeps):
                 for j in range(k):
                     w[:, j] = np.maximum(w[:, j] + (n[:, j] - w @ g[:, j]) / step[j], 1e-12)
@@ -87,7 +92,7 @@ def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, start: DataFram
         yield pd.DataFrame({**last, "g": [total.ravel().tolist()]})
 
     fields = ", ".join(f"{f} double" for f in names)
-    return rows.mapInPandas(solve, f"{key} {key_type}, {fields}, g array<double>")
+    return nums.mapInPandas(solve, f"{key} {key_type}, {fields}, g array<double>")
 
 
 def split_solution(solved: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -95,27 +100,36 @@ def split_solution(solved: DataFrame, key: str, k: int) -> tuple[DataFrame, Data
     return solved.filter(F.col(key).isNotNull()).select(key, *factor_names(k)), solved.filter(F.col(key).isNull()).select("g")
 
 
+def clustered(cells: DataFrame, key: str, other: str, path: str, hot_share: float = 0.005, spread: int = 64) -> DataFrame:
+    """Store the cells clustered by ``key``, so that sums per key shrink before they shuffle.
+
+    A key with more than ``hot_share`` of all cells is spread over ``spread`` tasks. There are
+    at most ``1 / hot_share`` such keys, which bounds the broadcast.
+    """
+    total = cells.agg(F.count(F.lit(1))).scalar()
+    hot = cells.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > total * hot_share).select(key, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(spread))).otherwise(F.lit(0))
+    marked = cells.join(F.broadcast(hot), key, "left").withColumn("_salt", salt)
+    # a stated width keeps one file per task: the sums over them are compute-bound, however small the files
+    width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked.repartition(width, key, "_salt").select(*cells.columns).write.parquet(path)
+    return cells.sparkSession.read.parquet(path)
+
+
 def fit_nmf(
     spark: SparkSession, cells: DataFrame, k: int = 20, iterations: int = 10, user: str = "UserID", item: str = "MovieID",
-    seed: int = 42, spread: int = 16,
+    seed: int = 42,
 ) -> Factors:
-    """Alternate half-steps. Factors go to two alternating tables per side, so lineage never grows
-    and a lost executor re-reads a written table.
+    """Alternate half-steps over cells stored once per side.
 
-    The cells are stored twice, clustered by user and by item, so that the sums of a half-step
-    shrink to about one row per key before they shuffle. ``spread`` salts the clustering: a
-    key with a large share of the cells is spread over that many tasks.
+    Factors go to two alternating tables per side, so lineage never grows and a lost executor
+    re-reads a written table.
     """
     base = scratch(spark, "nmf")
     cells.select(user, item, "value").write.parquet(f"{base}/cells")
     stored = spark.read.parquet(f"{base}/cells")
-
-    def clustered(key: str, other: str) -> DataFrame:
-        stored.repartition(F.col(key), F.pmod(F.xxhash64(other), F.lit(spread))).write.parquet(f"{base}/by_{key}")
-        return spark.read.parquet(f"{base}/by_{key}")
-
-    by_user, by_item = clustered(user, item), clustered(item, user)
-    size = stored.agg(F.sum("value").alias("s"), F.countDistinct(user).alias("m"), F.countDistinct(item).alias("n")).first()
+    by_user, by_item = clustered(stored, user, item, f"{base}/by_user"), clustered(stored, item, user, f"{base}/by_item")
+    size = stored.agg(F.sum("value").alias("s"), F.approx_count_distinct(user).alias("m"), F.approx_count_distinct(item).alias("n")).first()
     scale = float(np.sqrt(size.s / (size.m * size.n) / k)) if size.m else 1.0
 
     def write(df: DataFrame, side: str, key: str, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -123,17 +137,16 @@ def fit_nmf(
         df.write.mode("overwrite").parquet(path)
         return split_solution(spark.read.schema(df.schema).parquet(path), key, k)
 
-    def starting(side: str, key: str, offset: int) -> tuple[DataFrame, DataFrame]:
-        """Start values pass through the solver unchanged, which gives them their Gram rows."""
-        ids = initial_factors(stored.select(key).distinct(), key, k, scale, seed + offset)
-        zero = ids.select(key, *[F.lit(0.0).alias(f"n{j}") for j in range(k)])
-        return write(solve_rows(zero, key, np.eye(k), k, ids, sweeps=0), side, key, 0)
+    def sized(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows * (k + 1) * 8 <= BROADCAST_BYTES else df
 
-    users, _ = starting("users", user, 1)
-    items, item_gram = starting("items", item, 0)
+    # start values pass through the solver against the unit matrix, which gives them their Gram rows
+    start = initial_factors(stored.select(item).distinct(), item, k, scale, seed)
+    start = start.select(item, *[F.col(f).alias(f"n{j}") for j, f in enumerate(factor_names(k))])
+    items, item_gram = write(solve_rows(start, item, np.eye(k), k, sweeps=1), "items", item, 0)
     for turn in range(1, iterations + 1):
-        users, user_gram = write(solve_rows(numerators(by_user, items, user, item, k), user, gram(item_gram, k), k, users), "users", user, turn)
-        items, item_gram = write(solve_rows(numerators(by_item, users, item, user, k), item, gram(user_gram, k), k, items), "items", item, turn)
+        users, user_gram = write(solve_rows(numerators(by_user, sized(items, size.n), user, item, k), user, gram(item_gram, k), k), "users", user, turn)
+        items, item_gram = write(solve_rows(numerators(by_item, sized(users, size.m), item, user, k), item, gram(user_gram, k), k), "items", item, turn)
     return Factors(users, items, item_gram, k)
 
 

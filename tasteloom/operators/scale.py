@@ -23,15 +23,22 @@ def small(df: DataFrame, few_keys: bool) -> DataFrame:
     return F.broadcast(df) if few_keys else df
 
 
-def _pieces(vc: DataFrame, keys: Sequence[str], value: str, pieces: int, sample: int, few_keys: bool) -> DataFrame:
-    """Split points per key: exact quantiles of a repeatable hash sample of the distinct values."""
+def _pieces(
+    vc: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], pieces: int, sample: int, few_keys: bool
+) -> DataFrame:
+    """Split points per key: exact quantiles of a repeatable hash sample of the distinct values.
+
+    Both uses of ``vc`` touch every measure, so that all uses of it share one shuffle.
+    """
     keys = list(keys)
-    size = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    size = vc.groupBy(*keys).agg(F.expr(f"count({', '.join(measures)})").alias("_n"))
     scale = 1 << 20
-    draw = F.pmod(F.xxhash64(F.col(value)), F.lit(scale)) * F.col("_n") < F.lit(scale * sample)
-    quantiles = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    draw = F.expr(f"pmod(xxhash64(`{value}`), {scale}) * _n < {scale * sample}")
+    present = F.expr(" AND ".join(f"{m} IS NOT NULL" for m in measures))
+    quantiles = F.expr(f"array({', '.join(f'{i / pieces}D' for i in range(1, pieces))})")
     return (
-        vc.join(small(size, few_keys), keys)
+        vc.filter(present)
+        .join(small(size, few_keys), keys)
         .filter(draw)
         .groupBy(*keys)
         .agg(F.array_distinct(F.percentile(F.col(value).cast("double"), quantiles)).alias("_splits"))
@@ -47,11 +54,10 @@ def running_totals(
     ``vc`` holds one row per (keys, value). No task sees more than one piece of a key.
     """
     keys = list(keys)
-    splits = _pieces(vc, keys, value, pieces, sample, few_keys)
-    at = F.col(value).cast("double")
+    splits = _pieces(vc, keys, value, measures, pieces, sample, few_keys)
     # a plain sum of comparisons stays inside generated code, which a lambda over the array would leave
-    passed = [F.coalesce((at > F.get("_splits", F.lit(i))).cast("int"), F.lit(0)) for i in range(pieces - 1)]
-    cut = vc.join(small(splits, few_keys), keys, "left").withColumn("_piece", sum(passed, F.lit(0))).drop("_splits")
+    passed = " + ".join(f"coalesce(int(CAST(`{value}` AS DOUBLE) > get(_splits, {i})), 0)" for i in range(pieces - 1))
+    cut = vc.join(small(splits, few_keys), keys, "left").select(*vc.columns, F.expr(passed).alias("_piece"))
     per_piece = cut.groupBy(*keys, "_piece").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
@@ -74,17 +80,16 @@ def running_totals(
 
 def quantile_columns(value: str, measure: str, probs: Sequence[float]) -> list[Column]:
     """Aggregates that pick exact linear-interpolated quantiles out of ``running_totals`` rows."""
-    out = []
-    for p in probs:
-        pos = (F.col(f"{measure}_all") - 1) * F.lit(float(p))
-        low, high = F.floor(pos), F.ceil(pos)
 
-        def at(rank: Column) -> Column:
-            hit = (F.col(f"{measure}_upto") > rank) & (F.col(f"{measure}_upto") - F.col(measure) <= rank)
-            return F.max(F.when(hit, F.col(value).cast("double")))
+    def at(rank: str) -> str:
+        hit = f"{measure}_upto > {rank} AND {measure}_upto - {measure} <= {rank}"
+        return f"max(CASE WHEN {hit} THEN CAST(`{value}` AS DOUBLE) END)"
 
-        share = F.max(pos - low)
-        out.append(at(low) + (at(high) - at(low)) * share)
+    out = []
+    for p in probs:
+        pos = f"(({measure}_all - 1) * {float(p)}D)"
+        low, high = at(f"floor({pos})"), at(f"ceil({pos})")
+        out.append(F.expr(f"{low} + ({high} - {low}) * max({pos} - floor({pos}))"))
     return out
 
 
