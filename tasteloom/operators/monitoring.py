@@ -24,7 +24,7 @@ def _slot(seconds: int, c: str = "ts") -> Column:
     return F.floor(_epoch(c) / seconds).cast("bigint")
 
 
-def counter_rate(samples: DataFrame, window_seconds: int, series: Sequence[str] = SERIES, chunk_seconds: int = 86400) -> DataFrame:
+def counter_rate(samples: DataFrame, window_seconds: int, series: Sequence[str] = SERIES, chunk_seconds: int = 3600) -> DataFrame:
     """Reset-aware increase and per-second rate per series and tumbling window.
 
     A drop counts from 0 again. Nothing is extrapolated to window borders.

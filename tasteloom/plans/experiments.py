@@ -16,6 +16,16 @@ ARM_SQL = """CASE WHEN CAST('0x' || substr(md5('rank-v2|' || CAST(user_id AS VAR
     THEN 'treatment' ELSE 'control' END"""
 
 
+def tail_sql(density, x, steps=4000):
+    """Two-sided tail by Simpson's rule over [0, |x|]; ``density`` is SQL in ``u``."""
+    h = f"(abs({x}) / {steps})"
+    terms = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density.replace('u', f'(i * {h})')}))"
+    return f"greatest(0, 1 - 2 * {h} / 3 * {terms})"
+
+
+NORMAL_DENSITY = "(0.3989422804014327 * pow(2.718281828459045, -CAST(0.5 AS DOUBLE) * u * u))"
+
+
 def arm():
     return ex.assign_arm("user_id", "rank-v2", 30)
 
@@ -29,11 +39,14 @@ Z_SQL = """CASE WHEN p * (1 - p) > 0 THEN (CAST(xb AS DOUBLE) / nb - CAST(xa AS
     / sqrt(p * (1 - p) * (CAST(1 AS DOUBLE) / na + CAST(1 AS DOUBLE) / nb)) ELSE 0 END"""
 
 
-@query("d10_two_proportion_z", f"""
-WITH c AS (SELECT count(*) FILTER (WHERE model_version = 'v1') AS na, count(*) FILTER (WHERE model_version = 'v2') AS nb,
+Z_ROWS = """WITH c AS (SELECT count(*) FILTER (WHERE model_version = 'v1') AS na, count(*) FILTER (WHERE model_version = 'v2') AS nb,
     count(*) FILTER (WHERE model_version = 'v1' AND clicked) AS xa, count(*) FILTER (WHERE model_version = 'v2' AND clicked) AS xb
     FROM (SELECT model_version, recommendation_id IN (SELECT recommendation_id FROM user_events WHERE event_type = 'click') AS clicked FROM recommendation_logs)),
 z AS (SELECT *, CAST(xa + xb AS DOUBLE) / (na + nb) AS p FROM c)
+"""
+
+
+@query("d10_two_proportion_z", Z_ROWS + f"""
 SELECT na AS n_a, nb AS n_b, round(CAST(xa AS DOUBLE) / na, 6) AS ctr_a, round(CAST(xb AS DOUBLE) / nb, 6) AS ctr_b,
     round({Z_SQL}, 6) AS z, abs({Z_SQL}) > 1.96 AS is_significant FROM z""")
 def z_test(t):
@@ -41,10 +54,11 @@ def z_test(t):
     return ex.ctr_z_test(counts, "v1", "v2").withColumns({c: r6(c) for c in ("ctr_a", "ctr_b", "z")})
 
 
-@query("d10_two_proportion_p_value")
+@query("d10_two_proportion_p_value", Z_ROWS + f""", t AS (SELECT {Z_SQL} AS z FROM z)
+SELECT round(z, 6) AS z, round({tail_sql(NORMAL_DENSITY, 'z')}, 6) AS p_value FROM t""")
 def z_p_value(t):
     counts = ex.ctr_counts(t.recommendation_logs, t.user_events, F.col("model_version"))
-    return ex.ctr_z_test(counts, "v1", "v2").withColumn("p_value", ex.normal_two_sided("z"))
+    return ex.ctr_z_test(counts, "v1", "v2").select(r6("z").alias("z"), r6(ex.normal_two_sided("z")).alias("p_value"))
 
 
 def paired(t):
@@ -65,9 +79,16 @@ def paired_t(t):
     return paired(t).select("n", r6("mean_diff").alias("mean_diff"), r6("sd").alias("sd"), F.round("t", 4).alias("t"))
 
 
-@query("d09_paired_t_p_value")
+T_DENSITY = "(k * pow(1 + u * u / (n - 1), -CAST(n AS DOUBLE) / 2))"
+
+
+@query("d09_paired_t_p_value", f"""WITH p AS ({PAIRED}),
+q AS (SELECT *, pow(2.718281828459045, lgamma(n / CAST(2 AS DOUBLE)) - lgamma((n - 1) / CAST(2 AS DOUBLE))) / sqrt((n - 1) * pi()) AS k FROM p),
+v AS (SELECT n, t, {tail_sql(T_DENSITY, 't')} AS p_value FROM q)
+SELECT n, round(t, 4) AS t, round(p_value, 6) AS p_value, p_value < 0.05 AND t < 0 AS passed FROM v""")
 def paired_p(t):
-    return ex.with_p_value(paired(t)).withColumn("passed", (F.col("p_value") < 0.05) & (F.col("t") < 0))
+    passed = (F.col("p_value") < 0.05) & (F.col("t") < 0)
+    return ex.with_p_value(paired(t)).select("n", F.round("t", 4).alias("t"), r6("p_value").alias("p_value"), passed.alias("passed"))
 
 
 def performance(t):
@@ -262,8 +283,7 @@ def arms(t):
     )
 
 
-@query("l18_ab_result", f"""
-WITH per AS (SELECT r.recommendation_id, {ARM_SQL.replace('user_id', 'r.user_id')} AS arm, count(*) FILTER (WHERE e.event_type = 'click') AS c,
+AB_ROWS = f"""WITH per AS (SELECT r.recommendation_id, {ARM_SQL.replace('user_id', 'r.user_id')} AS arm, count(*) FILTER (WHERE e.event_type = 'click') AS c,
     count(*) FILTER (WHERE e.event_type = 'watch') AS w FROM recommendation_logs r LEFT JOIN user_events e USING (recommendation_id) GROUP BY 1, 2),
 s AS (SELECT count(*) FILTER (WHERE arm = 'control') AS na, count(*) FILTER (WHERE arm = 'treatment') AS nb,
     count(*) FILTER (WHERE arm = 'control' AND c > 0) AS xa, count(*) FILTER (WHERE arm = 'treatment' AND c > 0) AS xb,
@@ -272,6 +292,10 @@ s AS (SELECT count(*) FILTER (WHERE arm = 'control') AS na, count(*) FILTER (WHE
 z AS (SELECT *, CAST(xa + xb AS DOUBLE) / (na + nb) AS p, round(CAST(xa AS DOUBLE) / na * 100, 2) AS ctr_a, round(CAST(xb AS DOUBLE) / nb * 100, 2) AS ctr_b,
     round(CAST(wa AS DOUBLE) / ca * 100, 2) AS watch_a, round(CAST(wb AS DOUBLE) / cb * 100, 2) AS watch_b FROM s),
 o AS (SELECT *, {Z_SQL} AS z, round((ctr_b - ctr_a) / ctr_a * 100, 2) AS lift FROM z)
+"""
+
+
+@query("l18_ab_result", AB_ROWS + """
 SELECT 'rank-v2' AS experiment_name, 30 AS traffic_percentage_treatment, ctr_a AS control_ctr, ctr_b AS treatment_ctr, watch_a AS control_watch_rate,
     watch_b AS treatment_watch_rate, na + nb AS sample_size, round(z, 6) AS z, lift AS ctr_lift_percent, abs(z) > 1.96 AS is_significant,
     CASE WHEN lift > 5 AND watch_b > watch_a AND abs(z) > 1.96 THEN 'promote' WHEN lift < 0 AND abs(z) > 1.96 THEN 'rollback' ELSE 'continue' END AS decision FROM o""")
@@ -279,9 +303,9 @@ def ab_result(t):
     return ex.ab_result(arms(t), "rank-v2", 30).withColumn("z", r6("z"))
 
 
-@query("l18_ab_p_value")
+@query("l18_ab_p_value", AB_ROWS + f"SELECT round(z, 6) AS z, round({tail_sql(NORMAL_DENSITY, 'z')}, 6) AS p_value FROM o")
 def ab_p_value(t):
-    return ex.with_ab_p_value(ex.ab_result(arms(t), "rank-v2", 30))
+    return ex.with_ab_p_value(ex.ab_result(arms(t), "rank-v2", 30)).select(r6("z").alias("z"), r6("p_value").alias("p_value"))
 
 
 @query("l19_health_bands", """

@@ -46,10 +46,10 @@ def movie_features(t):
 @query("e03_interaction_features", """
 SELECT UserID, MovieID, Rating, r."Timestamp", round(u.AvgRating, 6) AS UserAvgRating, u.RatingCount AS UserRatingCount,
     round(m.AvgRating, 6) AS MovieAvgRating, m.Popularity AS MoviePopularity,
-    CAST(isodow(to_timestamp(r."Timestamp")) - 1 AS INTEGER) AS DayOfWeek,
-    CAST(month(to_timestamp(r."Timestamp")) AS INTEGER) AS "Month",
-    CAST(year(to_timestamp(r."Timestamp")) AS INTEGER) AS "Year",
-    CAST(hour(to_timestamp(r."Timestamp")) AS INTEGER) AS "Hour",
+    CAST(isodow(epoch_ms(r."Timestamp" * 1000)) - 1 AS INTEGER) AS DayOfWeek,
+    CAST(month(epoch_ms(r."Timestamp" * 1000)) AS INTEGER) AS "Month",
+    CAST(year(epoch_ms(r."Timestamp" * 1000)) AS INTEGER) AS "Year",
+    CAST(hour(epoch_ms(r."Timestamp" * 1000)) AS INTEGER) AS "Hour",
     (u.LastTs - r."Timestamp") // 86400 AS days_to_last_rating,
     (r."Timestamp" - u.FirstTs) // 86400 AS days_since_first_rating,
     round(Rating - u.AvgRating, 6) AS RatingDeviation, round(Rating - m.AvgRating, 6) AS RatingDevFromMovie,

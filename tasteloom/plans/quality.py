@@ -302,7 +302,7 @@ def feature_report(t):
     return q.overall_status(report, ["check"])
 
 
-DAY = 'CAST(to_timestamp("Timestamp") AS DATE)'
+DAY = 'CAST(epoch_ms("Timestamp" * 1000) AS DATE)'
 PER_USER = "(SELECT count(*) AS n FROM ratings GROUP BY UserID)"
 
 
@@ -322,7 +322,22 @@ def declared(t):
     )
 
 
-@query("v18_full_validation")
+@query("v18_full_validation", union(
+    *[s for s in V01 if s.startswith("SELECT 'ratings'")],
+    *[row_sql("ratings", "nullability", c, "ratings", where(f'"{c}" IS NULL'), "not null") for c in RATINGS.columns],
+    row_sql("ratings", "min", "UserID", "ratings", where("UserID < 1"), ">= 1", "min(UserID)"),
+    row_sql("ratings", "min", "MovieID", "ratings", where("MovieID < 1"), ">= 1", "min(MovieID)"),
+    row_sql("ratings", "min", "Rating", "ratings", where("Rating < 0.5"), ">= 0.5", "min(Rating)"),
+    row_sql("ratings", "max", "Rating", "ratings", where("Rating > 5"), "<= 5", "max(Rating)"),
+    row_sql("ratings", "step", "Rating", "ratings", where("CAST(Rating AS INTEGER) % 2 <> 0"), "multiple of 2", on_fail="PASSED_WITH_WARNINGS"),
+    row_sql("ratings", "min_date", "Timestamp", "ratings", where(f"{DAY} < DATE '1995-06-01'"), "1995-06-01"),
+    row_sql("ratings", "max_date", "Timestamp", "ratings", where(f"{DAY} > DATE '2001-06-30'"), "2001-06-30"),
+    *[row_sql("ratings", "completeness", c, "ratings", where(f'"{c}" IS NULL'), "null rate <= 0", where(f'"{c}" IS NULL') + " / CAST(count(*) AS DOUBLE)")
+      for c in RATINGS.columns],
+    unique_sql("ratings", "primary_key", "ratings", ["UserID", "MovieID", '"Timestamp"'], 0.001),
+    unique_sql("ratings", "unique", "ratings", ["UserID", "MovieID"], 0),
+    fk_sql("ratings", "ratings", "UserID", "SELECT UserID FROM users", 0.9999), fk_sql("ratings", "ratings", "MovieID", "SELECT MovieID FROM movies", 0.9999),
+    row_sql("ratings", "min_rows_per_key", "UserID", PER_USER, where("n < 20"), ">= 20", "min(n)")))
 def full(t):
     return q.validate("ratings", t.ratings, RATINGS, {"users": t.users, "movies": t.movies})
 

@@ -11,7 +11,7 @@ from ..session import scratch
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from ..tables import AS_OF, MOVIES, USERS
-from .feedback import business, training_labels
+from .feedback import METRICS, business, training_labels
 from .registry import query
 
 OLD, NEW = "20240130_000000", "20240131_000000"
@@ -44,7 +44,7 @@ def parquet(t):
 
 def two_versions(t):
     base = scratch(t.spark, "movies")
-    sk.write_version(t.movies.filter("MovieID % 2 = 0"), base, OLD)
+    sk.write_version(t.movies.select("MovieID", F.lit(None).cast("string").alias("Title"), "Genres"), base, OLD)
     sk.write_version(t.movies, base, NEW)
     return base
 
@@ -59,9 +59,11 @@ def latest(t):
 
 
 @query("s05_versioned_sink", f"""
-SELECT '{OLD}' AS data_version, count(*) AS n FROM movies WHERE MovieID % 2 = 0 UNION ALL SELECT '{NEW}', count(*) FROM movies""")
+SELECT '{OLD}' AS data_version, count(*) AS n, CAST(0 AS BIGINT) AS titles FROM movies UNION ALL SELECT '{NEW}', count(*), count(Title) FROM movies""")
 def versioned(t):
-    return t.spark.read.parquet(two_versions(t)).groupBy(F.col(rd.VERSION).cast("string").alias("data_version")).agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(two_versions(t)).groupBy(F.col(rd.VERSION).cast("string").alias("data_version")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("Title").alias("titles")
+    )
 
 
 @query("s06_feature_sink", "SELECT UserID, round(AvgRating, 6) AS AvgRating, RatingCount FROM user_stats")
@@ -97,13 +99,13 @@ def sql_table(t):
 
 
 @query("s11_upsert", """SELECT user_id, item_id, label, label_date FROM training_labels
-UNION ALL SELECT user_id, item_id, CAST(-1 AS DOUBLE), DATE '2024-01-20' FROM training_labels WHERE user_id < 20""")
+UNION ALL SELECT user_id, item_id, CAST(-1 AS DOUBLE), DATE '2024-01-20' FROM training_labels""")
 def upsert(t):
     """Two loads of one day and one load of another day; the second load of a day is a no-op."""
     path = scratch(t.spark, "training_labels")
     labels = training_labels(t).select("user_id", "item_id", "label", "label_date")
     keys = ["user_id", "item_id", "label_date"]
-    other_day = labels.filter("user_id < 20").withColumn("label", F.lit(-1.0)).withColumn("label_date", F.lit("2024-01-20").cast("date"))
+    other_day = labels.withColumn("label", F.lit(-1.0)).withColumn("label_date", F.lit("2024-01-20").cast("date"))
     sk.upsert_partitions(t.spark, path, other_day, keys, "label_date")
     stale = labels.withColumn("label", F.lit(0.0))
     for batch in (stale, labels, labels):
@@ -114,27 +116,30 @@ def upsert(t):
 @query("s12_insert_if_absent", "SELECT recommendation_id, user_id, model_version FROM recommendation_logs")
 def insert(t):
     path = scratch(t.spark, "recommendation_logs")
-    logs = t.recommendation_logs.select("recommendation_id", "user_id", "model_version")
-    sk.insert_if_absent(t.spark, path, logs.filter("user_id % 2 = 0"), ["recommendation_id"])
-    sk.insert_if_absent(t.spark, path, logs.unionByName(logs), ["recommendation_id"])
+    logs = t.recommendation_logs.select("recommendation_id", "user_id", "model_version", "is_synthetic")
+    sk.insert_if_absent(t.spark, path, logs.filter("is_synthetic").drop("is_synthetic"), ["recommendation_id"])
+    both = logs.drop("is_synthetic")
+    sk.insert_if_absent(t.spark, path, both.unionByName(both), ["recommendation_id"])
     return t.spark.read.parquet(path)
 
 
-@query("s13_json_report")
+@query("s13_json_report", METRICS + "SELECT * FROM metrics")
 def report(t):
     base = scratch(t.spark, "reports")
     sk.write_report(business(t), base, "business", NEW)
     return t.spark.read.schema(business(t).schema).json(f"{base}/business/{rd.VERSION}={NEW}")
 
 
-@query("s14_ingestion_manifest")
+@query("s14_ingestion_manifest", f"""SELECT 'movies' AS dataset, count(*) AS "rows", 'MovieID,Title,Genres' AS "columns", '{NEW}' AS version FROM movies
+UNION ALL SELECT 'ratings', count(*), 'UserID,MovieID,Rating,Timestamp', '{NEW}' FROM ratings
+UNION ALL SELECT 'users', count(*), 'UserID,Gender,Age,Occupation,ZipCode', '{NEW}' FROM users""")
 def ingestion(t):
     base = scratch(t.spark, "ingest")
     out = None
     for name, df in (("movies", t.movies), ("ratings", t.ratings), ("users", t.users)):
         row = sk.observed_write(df, f"{t.path}:{name}", f"{base}/{name}", NEW)
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.select(F.element_at(F.split("source", ":"), -1).alias("dataset"), "rows", "columns", "version")
 
 
 @query("d01_baseline_snapshot", """SELECT "column", nulls, "rows" FROM (SELECT 'UserID' AS "column", count(*) FILTER (WHERE UserID IS NULL) AS nulls, count(*) AS "rows" FROM ratings

@@ -35,10 +35,10 @@ def route(t):
     return jobs.run_to_table(it.routed(raw_stream(t)).select("event_id", "route"), scratch(t.spark, "routed"), ["route"])
 
 
-@query("x03_idempotent_impressions", "SELECT DISTINCT recommendation_id FROM raw_events WHERE event_type = 'impression' AND user_id % 2 <> 0")
+@query("x03_idempotent_impressions", "SELECT DISTINCT recommendation_id FROM raw_events WHERE event_type = 'impression' AND NOT is_synthetic")
 def impressions(t):
-    """The stored log holds the even users already; ids repeat within and beyond the watermark."""
-    held = t.recommendation_logs.filter("user_id % 2 = 0")
+    """The stored log holds the synthetic impressions already; ids repeat within and beyond the watermark."""
+    held = t.recommendation_logs.filter("is_synthetic")
     first = it.first_impressions(raw_stream(t), "1 hour", held).select("recommendation_id")
     table = jobs.run_to_table(first, scratch(t.spark, "impressions"))
     return table.distinct()
@@ -66,7 +66,7 @@ def windowed(t):
 
 
 @query("x07_sliding_rates", f"""
-WITH w AS (SELECT to_timestamp((floor(epoch("timestamp") / 900) - unnest([0, 1, 2, 3])) * 900) AT TIME ZONE 'UTC' AS window_start, event_type FROM raw_events)
+WITH w AS (SELECT epoch_ms(CAST((floor(epoch("timestamp") / 900) - unnest([0, 1, 2, 3])) * 900000 AS BIGINT)) AS window_start, event_type FROM raw_events)
 SELECT window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'impression') AS impressions,
     round(count(*) FILTER (WHERE event_type = 'click') / nullif(CAST(count(*) FILTER (WHERE event_type = 'impression') AS DOUBLE), 0), 6) AS ctr
 FROM w WHERE window_start + INTERVAL 1 HOUR <= {WATERMARK} GROUP BY 1""")
