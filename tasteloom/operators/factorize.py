@@ -32,8 +32,9 @@ BROADCAST_BYTES = 256 << 20
 class Factors:
     users: DataFrame
     items: DataFrame
-    item_gram: DataFrame
+    item_gram: np.ndarray
     k: int
+    errors: list[float]
 
 
 def initial_factors(ids: DataFrame, key: str, k: int, scale: float, seed: int = 42) -> DataFrame:
@@ -45,13 +46,13 @@ def initial_factors(ids: DataFrame, key: str, k: int, scale: float, seed: int =
     return ids.select(F.col(key), *[c.alias(n) for n, c in zip(factor_names(k), cell)])
 
 
-def gram(parts: DataFrame, k: int) -> np.ndarray:
-    """Sum of the partial Gram matrices in column ``g``; k^2 numbers reach the driver."""
+def gram(parts: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """(Gram matrix, sum of ``numerator * factor``) out of the partial sums in column ``g``; k^2 + 1 numbers reach the driver."""
     cells = parts.select(F.posexplode("g").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(k * k)
+    out = np.zeros(k * k + 1)
     for row in cells:
         out[row.pos] = row.x
-    return out.reshape(k, k)
+    return out[:-1].reshape(k, k), float(out[-1])
 
 
 def numerators(cells: DataFrame, fixed: DataFrame, key: str, fixed_key: str, k: int) -> DataFrame:
@@ -65,15 +66,15 @@ def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, sweeps: int = 2
     """Non-negative least squares per row, vectorized over Arrow batches.
 
     Every row is solved from scratch, so the old factors of this side need no join. Each task
-    also emits one row with a null key and the Gram matrix of its own factors in ``g``, so
-    the next half-step needs no second pass over them.
+    also emits one row with a null key that holds the Gram matrix of its own factors and its
+    share of the cross term in ``g``: the next half-step and the objective need no second pass.
     """
     names = factor_names(k)
     key_type = dict(nums.dtypes)[key]
     step = np.maximum(np.diag(g), 1e-12)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
+        total, cross = np.zeros((k, k)), 0.0
         for pdf in batches:
             n = pdf[[f"n{j}" for j in range(k)]].to_numpy(dtype="float64")
             # best multiple of the clipped gradient as the start
@@ -83,13 +84,14 @@ def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, sweeps: int = 2
                 for j in range(k):
                     w[:, j] = np.maximum(w[:, j] + (n[:, j] - w @ g[:, j]) / step[j], 1e-12)
             total += w.T @ w
+            cross += float(np.sum(n * w))
             out = pd.DataFrame(w, columns=names)
             out.insert(0, key, pdf[key].to_numpy())
             out["g"] = None
             yield out
         last = {key: pd.Series([None], dtype="Int64" if key_type in ("bigint", "int") else "object")}
         last.update({f: [None] for f in names})
-        yield pd.DataFrame({**last, "g": [total.ravel().tolist()]})
+        yield pd.DataFrame({**last, "g": [[*total.ravel().tolist(), cross]]})
 
     fields = ", ".join(f"{f} double" for f in names)
     return nums.mapInPandas(solve, f"{key} {key_type}, {fields}, g array<double>")
@@ -117,10 +119,14 @@ def clustered(cells: DataFrame, key: str, other: str, path: str, hot_share: floa
 
 
 def fit_nmf(
-    spark: SparkSession, cells: DataFrame, k: int = 20, iterations: int = 10, user: str = "UserID", item: str = "MovieID",
-    seed: int = 42,
+    spark: SparkSession, cells: DataFrame, k: int = 20, iterations: int = 200, user: str = "UserID", item: str = "MovieID",
+    seed: int = 42, tol: float = 1e-4,
 ) -> Factors:
-    """Alternate half-steps over cells stored once per side.
+    """Alternate half-steps over cells stored once per side, until the error falls by less than
+    ``tol`` of its first value or ``iterations`` is reached.
+
+    ``errors`` is the norm ``|V - WH|`` over all cells after every full step. It comes for free:
+    ``|V|^2 - 2 sum(numerator * factor) + tr(W'W HH')``.
 
     Factors go to two alternating tables per side, so lineage never grows and a lost executor
     re-reads a written table.
@@ -129,7 +135,10 @@ def fit_nmf(
     cells.select(user, item, "value").write.parquet(f"{base}/cells")
     stored = spark.read.parquet(f"{base}/cells")
     by_user, by_item = clustered(stored, user, item, f"{base}/by_user"), clustered(stored, item, user, f"{base}/by_item")
-    size = stored.agg(F.sum("value").alias("s"), F.approx_count_distinct(user).alias("m"), F.approx_count_distinct(item).alias("n")).first()
+    size = stored.agg(
+        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("vv"),
+        F.approx_count_distinct(user).alias("m"), F.approx_count_distinct(item).alias("n"),
+    ).first()
     scale = float(np.sqrt(size.s / (size.m * size.n) / k)) if size.m else 1.0
 
     def write(df: DataFrame, side: str, key: str, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -144,16 +153,23 @@ def fit_nmf(
     start = initial_factors(stored.select(item).distinct(), item, k, scale, seed)
     start = start.select(item, *[F.col(f).alias(f"n{j}") for j, f in enumerate(factor_names(k))])
     items, item_gram = write(solve_rows(start, item, np.eye(k), k, sweeps=1), "items", item, 0)
+    item_g, _ = gram(item_gram, k)
+    errors: list[float] = []
     for turn in range(1, iterations + 1):
-        users, user_gram = write(solve_rows(numerators(by_user, sized(items, size.n), user, item, k), user, gram(item_gram, k), k), "users", user, turn)
-        items, item_gram = write(solve_rows(numerators(by_item, sized(users, size.m), item, user, k), item, gram(user_gram, k), k), "items", item, turn)
-    return Factors(users, items, item_gram, k)
+        users, parts = write(solve_rows(numerators(by_user, sized(items, size.n), user, item, k), user, item_g, k), "users", user, turn)
+        user_g, _ = gram(parts, k)
+        items, parts = write(solve_rows(numerators(by_item, sized(users, size.m), item, user, k), item, user_g, k), "items", item, turn)
+        item_g, cross = gram(parts, k)
+        errors.append(float(np.sqrt(max(size.vv - 2 * cross + np.sum(user_g * item_g), 0.0))))
+        if turn > 1 and errors[-2] - errors[-1] < tol * errors[0]:
+            break
+    return Factors(users, items, item_g, k, errors)
 
 
 def fold_in(cells: DataFrame, model: Factors, user: str = "UserID", item: str = "MovieID") -> DataFrame:
     """User factors of unseen users against the fitted item factors."""
     nums = numerators(cells, model.items, user, item, model.k)
-    return split_solution(solve_rows(nums, user, gram(model.item_gram, model.k), model.k, sweeps=30), user, model.k)[0]
+    return split_solution(solve_rows(nums, user, model.item_gram, model.k, sweeps=30), user, model.k)[0]
 
 
 def predicted(k: int, left: str = "u_", right: str = "i_") -> Column:

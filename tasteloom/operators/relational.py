@@ -68,6 +68,16 @@ def orphan_rows(child: DataFrame, child_key: str, parent: DataFrame, parent_key:
     return child.filter(F.col(child_key).isNotNull()).join(keys, child_key, "left_anti")
 
 
+def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join against a right side with many rows per key, of which one key may be hot.
+
+    The runtime splits a hot right side of an inner join, but not of a left join, so this is
+    an inner join plus the left rows without a partner.
+    """
+    alone = left.join(right.select(key).distinct(), key, "left_anti")
+    return left.join(right, key).unionByName(alone, allowMissingColumns=True)
+
+
 def known_pairs(pairs: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
     out = pairs
     for key, vocabulary in vocabularies.items():

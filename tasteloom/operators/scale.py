@@ -18,9 +18,15 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, measures: dict[
     return df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in measures.items()])
 
 
-def small(df: DataFrame, few_keys: bool) -> DataFrame:
-    """Mark a one-row-per-key frame for broadcast where the caller vouches for few keys (columns, enum values)."""
-    return F.broadcast(df) if few_keys else df
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], column: str, few_keys: bool) -> DataFrame:
+    """Add a column of a one-row-per-key frame; a scalar subquery where there is no key.
+
+    ``few_keys`` is the caller's word that the keys are a small closed set (columns, enum
+    values), which allows a broadcast.
+    """
+    if not keys:
+        return df.withColumn(column, per_key.select(column).scalar())
+    return df.join(F.broadcast(per_key) if few_keys else per_key, list(keys), "left")
 
 
 def _pieces(
@@ -37,8 +43,7 @@ def _pieces(
     present = F.expr(" AND ".join(f"{m} IS NOT NULL" for m in measures))
     quantiles = F.expr(f"array({', '.join(f'{i / pieces}D' for i in range(1, pieces))})")
     return (
-        vc.filter(present)
-        .join(small(size, few_keys), keys)
+        attach(vc.filter(present), size, keys, "_n", few_keys)
         .filter(draw)
         .groupBy(*keys)
         .agg(F.array_distinct(F.percentile(F.col(value).cast("double"), quantiles)).alias("_splits"))
@@ -57,7 +62,7 @@ def running_totals(
     splits = _pieces(vc, keys, value, measures, pieces, sample, few_keys)
     # a plain sum of comparisons stays inside generated code, which a lambda over the array would leave
     passed = " + ".join(f"coalesce(int(CAST(`{value}` AS DOUBLE) > get(_splits, {i})), 0)" for i in range(pieces - 1))
-    cut = vc.join(small(splits, few_keys), keys, "left").select(*vc.columns, F.expr(passed).alias("_piece"))
+    cut = attach(vc, splits, keys, "_splits", few_keys).select(*vc.columns, F.expr(passed).alias("_piece"))
     per_piece = cut.groupBy(*keys, "_piece").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)

@@ -14,7 +14,7 @@ from .registry import query
 from .relational import CELLS, cells_by_split
 
 RANK = 20
-ITERATIONS = 10
+ITERATIONS = 200
 _fitted: dict[tuple[str, str, str], fz.Factors] = {}
 
 

@@ -170,9 +170,9 @@ def star(t):
 SELECT r.recommendation_id, r.model_version, e.event_id FROM recommendation_logs r
 LEFT JOIN user_events e ON r.recommendation_id = e.recommendation_id AND e.event_type = 'click'""")
 def on_predicate(t):
-    r, e = t.recommendation_logs.alias("r"), t.user_events.alias("e")
-    on = (F.col("r.recommendation_id") == F.col("e.recommendation_id")) & (F.col("e.event_type") == "click")
-    return r.join(e, on, "left").select("r.recommendation_id", "r.model_version", "e.event_id")
+    clicks = t.user_events.filter(is_kind("click")).select("recommendation_id", "event_id")
+    logs = t.recommendation_logs.select("recommendation_id", "model_version")
+    return rel.left_join_many(logs, clicks, "recommendation_id")
 
 
 @query("j04_anti_join", """
@@ -193,11 +193,12 @@ def two_hop(t):
     from .feedback import training_labels
 
     pair = training_labels(t).groupBy("user_id", "item_id").agg(F.avg("label").alias("label"))
-    events = t.user_events.select("recommendation_id", "user_id", "item_id")
+    # repeated events of a pair travel as one row with a count
+    events = t.user_events.groupBy("recommendation_id", "user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
     joined = t.recommendation_logs.select("recommendation_id", "model_version").join(events, "recommendation_id", "left")
-    return joined.join(pair, ["user_id", "item_id"], "left").groupBy("model_version").agg(
-        F.count(F.lit(1)).alias("joined_rows"), r6(F.avg("label")).alias("avg_label")
-    )
+    labelled = joined.withColumn("n", F.coalesce("n", F.lit(1))).join(pair, ["user_id", "item_id"], "left")
+    mean = ratio(F.sum(F.col("n") * F.col("label")), F.sum(F.when(F.col("label").isNotNull(), F.col("n"))))
+    return labelled.groupBy("model_version").agg(F.sum("n").alias("joined_rows"), r6(mean).alias("avg_label"))
 
 
 @query("j06_dimension_enrichment", "SELECT UserID, MovieID, Rating, Title, Genres FROM ratings LEFT JOIN movies USING (MovieID)")

@@ -171,7 +171,8 @@ def test_nmf_error_falls_and_matches_the_dense_error(spark):
         assert math.isclose(row.reconstruction_mae, np.abs(dense).mean(), rel_tol=1e-9)
         assert math.isclose(row.sparsity, 1 - (v > 0).mean(), rel_tol=1e-12)
         errors.append(row.reconstruction_rmse)
-    assert errors[1] < errors[0]
+        assert math.isclose(f.errors[-1], math.sqrt((dense**2).sum()), rel_tol=1e-6)
+    assert errors[1] < errors[0] and all(a >= b - 1e-9 for a, b in zip(f.errors, f.errors[1:]))
     folded = fz.fold_in(cells, f)
     again = fz.reconstruction_error(cells, folded, f.items, 3).first()
     assert again.reconstruction_rmse <= errors[1] + 1e-6
