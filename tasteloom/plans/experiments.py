@@ -189,10 +189,9 @@ def winner(t):
 
 
 @query("l15_ctr_per_version", """
-SELECT r.model_version, count(DISTINCT r.recommendation_id) AS recommendations,
-    count(DISTINCT CASE WHEN e.event_type = 'click' THEN e.recommendation_id END) AS clicks,
-    round(CAST(count(DISTINCT CASE WHEN e.event_type = 'click' THEN e.recommendation_id END) AS DOUBLE) / nullif(count(DISTINCT r.recommendation_id), 0) * 100, 2) AS ctr_percent
-FROM recommendation_logs r LEFT JOIN user_events e ON r.recommendation_id = e.recommendation_id GROUP BY 1""")
+SELECT model_version, count(*) AS recommendations, count(*) FILTER (WHERE clicked) AS clicks,
+    round(count(*) FILTER (WHERE clicked) / CAST(count(*) AS DOUBLE) * 100, 2) AS ctr_percent FROM (SELECT model_version,
+    recommendation_id IN (SELECT recommendation_id FROM user_events WHERE event_type = 'click') AS clicked FROM recommendation_logs) GROUP BY 1""")
 def ctr_per_version(t):
     counts = ex.ctr_counts(t.recommendation_logs, t.user_events, F.col("model_version"))
     return counts.select(
@@ -213,11 +212,11 @@ def overall_funnel(t):
 
 
 @query("l15_funnel", """
-SELECT impressions, clicks, watches, feedbacks, round(CAST(clicks AS DOUBLE) / impressions * 100, 1) AS ctr,
-    round(CAST(watches AS DOUBLE) / clicks * 100, 1) AS watch_rate, round(CAST(feedbacks AS DOUBLE) / watches * 100, 1) AS feedback_rate FROM (
-    SELECT count(DISTINCT recommendation_id) AS impressions, count(DISTINCT CASE WHEN event_type = 'click' THEN recommendation_id END) AS clicks,
-    count(DISTINCT CASE WHEN event_type = 'watch' THEN recommendation_id END) AS watches,
-    count(DISTINCT CASE WHEN event_type = 'feedback' THEN user_id END) AS feedbacks FROM user_events)""")
+WITH r AS (SELECT bool_or(event_type = 'click') AS c, bool_or(event_type = 'watch') AS w FROM user_events GROUP BY recommendation_id),
+n AS (SELECT count(*) AS impressions, count(*) FILTER (WHERE c) AS clicks, count(*) FILTER (WHERE w) AS watches,
+    (SELECT count(DISTINCT user_id) FROM user_events WHERE event_type = 'feedback') AS feedbacks FROM r)
+SELECT *, round(CAST(clicks AS DOUBLE) / impressions * 100, 1) AS ctr, round(CAST(watches AS DOUBLE) / clicks * 100, 1) AS watch_rate,
+    round(CAST(feedbacks AS DOUBLE) / watches * 100, 1) AS feedback_rate FROM n""")
 def funnel(t):
     return overall_funnel(t)
 

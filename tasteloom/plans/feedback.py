@@ -66,12 +66,13 @@ def new_events(t):
 
 query("l05_new_events_trigger", NEW_EVENTS)(new_events)
 
-DAILY = """SELECT r.model_version, CAST(r.created_at AS DATE) AS "date", count(DISTINCT r.recommendation_id) AS impressions,
-    count(DISTINCT CASE WHEN e.event_type = 'click' THEN e.recommendation_id END) AS clicks,
-    round(CAST(count(DISTINCT CASE WHEN e.event_type = 'click' THEN e.recommendation_id END) AS DOUBLE)
-        / nullif(count(DISTINCT r.recommendation_id), 0) * 100, 2) AS ctr_percent
-    FROM recommendation_logs r LEFT JOIN user_events e ON r.recommendation_id = e.recommendation_id AND e.event_type = 'click'
-    WHERE r.created_at >= DATE '2024-01-31' - INTERVAL 30 DAY GROUP BY 1, 2"""
+# the log holds one row per recommendation, so a click is a membership test
+SHOWN = """(SELECT model_version, CAST(created_at AS DATE) AS "date",
+    recommendation_id IN (SELECT recommendation_id FROM user_events WHERE event_type = 'click') AS clicked
+    FROM recommendation_logs WHERE created_at >= DATE '2024-01-31' - INTERVAL {days} DAY)"""
+CTR_COLUMNS = """count(*) AS impressions, count(*) FILTER (WHERE clicked) AS clicks,
+    round(count(*) FILTER (WHERE clicked) / CAST(count(*) AS DOUBLE) * 100, 2) AS ctr_percent"""
+DAILY = f"""SELECT model_version, "date", {CTR_COLUMNS} FROM {SHOWN.format(days=30)} GROUP BY 1, 2"""
 
 CTR_DROP = f"""SELECT round(recent_ctr, 6) AS recent_ctr, round(baseline_ctr, 6) AS baseline_ctr,
     round((baseline_ctr - recent_ctr) / baseline_ctr, 6) AS ctr_drop, coalesce((baseline_ctr - recent_ctr) / baseline_ctr >= 0.1, false) AS fired
@@ -123,18 +124,13 @@ def funnel(t):
     return fb.engagement_funnel(t.recommendation_logs, t.user_events, AS_OF)
 
 
-METRICS = """WITH per AS (SELECT r.model_version, r.recommendation_id,
-    count(DISTINCT CASE WHEN e.event_type = 'click' THEN e.event_id END) AS clicks,
-    count(DISTINCT CASE WHEN e.event_type = 'watch' THEN e.event_id END) AS watches,
-    count(DISTINCT CASE WHEN e.feedback_type IN ('like', 'rating') THEN e.event_id END) AS positive_feedback,
-    avg(CASE WHEN e.event_type = 'watch' THEN e.completion_rate END) AS avg_completion
-    FROM recommendation_logs r LEFT JOIN user_events e ON r.recommendation_id = e.recommendation_id
-    WHERE r.created_at >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1, 2),
-metrics AS (SELECT model_version, count(*) AS total_recommendations, count(*) FILTER (WHERE clicks > 0) AS clicked_recommendations,
-    CAST(sum(clicks) AS BIGINT) AS total_clicks, CAST(sum(watches) AS BIGINT) AS total_watches,
-    CAST(sum(positive_feedback) AS BIGINT) AS total_positive_feedback, round(avg(avg_completion), 4) AS avg_watch_completion,
-    round(CAST(count(*) FILTER (WHERE clicks > 0) AS DOUBLE) / nullif(count(*), 0) * 100, 2) AS ctr_percent,
-    round(CAST(sum(watches) AS DOUBLE) / nullif(sum(clicks), 0) * 100, 2) AS watch_rate_percent FROM per GROUP BY 1)
+METRICS = """WITH acts AS (SELECT recommendation_id, count(*) FILTER (WHERE event_type = 'click') AS c, count(*) FILTER (WHERE event_type = 'watch') AS w,
+    count(*) FILTER (WHERE feedback_type IN ('like', 'rating')) AS f, avg(completion_rate) AS done FROM user_events GROUP BY 1),
+metrics AS (SELECT model_version, count(*) AS total_recommendations, count(*) FILTER (WHERE c > 0) AS clicked_recommendations,
+    CAST(sum(c) AS BIGINT) AS total_clicks, CAST(sum(w) AS BIGINT) AS total_watches, CAST(sum(f) AS BIGINT) AS total_positive_feedback,
+    round(avg(done), 4) AS avg_watch_completion, round(count(*) FILTER (WHERE c > 0) / CAST(count(*) AS DOUBLE) * 100, 2) AS ctr_percent,
+    round(CAST(sum(w) AS DOUBLE) / nullif(sum(c), 0) * 100, 2) AS watch_rate_percent
+    FROM recommendation_logs LEFT JOIN acts USING (recommendation_id) WHERE created_at >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1)
 """
 
 
@@ -143,14 +139,12 @@ def business(t):
     return fb.business_metrics(t.recommendation_logs, t.user_events, AS_OF, 7)
 
 
-VERSION_METRICS = """WITH c AS (SELECT r.model_version, count(DISTINCT r.recommendation_id) AS impressions,
-    count(DISTINCT CASE WHEN e.event_type = 'click' THEN e.event_id END) AS clicks,
-    count(DISTINCT CASE WHEN e.event_type = 'watch' THEN e.event_id END) AS watches,
-    count(DISTINCT CASE WHEN e.event_type = 'feedback' THEN e.event_id END) AS feedback,
-    avg(CASE WHEN e.event_type = 'watch' THEN e.completion_rate END) AS completion
-    FROM recommendation_logs r LEFT JOIN user_events e ON r.recommendation_id = e.recommendation_id GROUP BY 1),
+VERSION_METRICS = """WITH acts AS (SELECT recommendation_id, count(*) FILTER (WHERE event_type = 'click') AS c, count(*) FILTER (WHERE event_type = 'watch') AS w,
+    count(*) FILTER (WHERE event_type = 'feedback') AS f, sum(completion_rate) AS total, count(completion_rate) AS n FROM user_events GROUP BY 1),
+c AS (SELECT model_version, count(*) AS impressions, CAST(sum(c) AS BIGINT) AS clicks, CAST(sum(w) AS BIGINT) AS watches, CAST(sum(f) AS BIGINT) AS feedback,
+    sum(total) / sum(n) AS completion FROM recommendation_logs LEFT JOIN acts USING (recommendation_id) GROUP BY 1),
 l AS (SELECT model_version, avg(label) AS score FROM (SELECT DISTINCT r.model_version, r.recommendation_id, e.user_id, e.item_id
-    FROM recommendation_logs r JOIN user_events e ON r.recommendation_id = e.recommendation_id) JOIN training_labels USING (user_id, item_id) GROUP BY 1)
+    FROM recommendation_logs r JOIN user_events e USING (recommendation_id)) JOIN training_labels USING (user_id, item_id) GROUP BY 1)
 """
 
 
@@ -182,11 +176,7 @@ def audit(t):
     return fb.trigger_state(log)
 
 
-@query("l22_ctr_by_day", """
-SELECT CAST(r.created_at AS DATE) AS "date", count(DISTINCT r.recommendation_id) AS impressions, count(DISTINCT e.recommendation_id) AS clicks,
-    round(CAST(count(DISTINCT e.recommendation_id) AS DOUBLE) / count(DISTINCT r.recommendation_id) * 100, 2) AS ctr_percent
-FROM recommendation_logs r LEFT JOIN user_events e ON r.recommendation_id = e.recommendation_id AND e.event_type = 'click'
-WHERE r.created_at >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1""")
+@query("l22_ctr_by_day", f"""SELECT "date", {CTR_COLUMNS} FROM {SHOWN.format(days=7)} GROUP BY 1""")
 def ctr_by_day(t):
     recent = rel.since(t.recommendation_logs, "created_at", AS_OF, 7)
     joined = fb.clicked_recommendations(recent, t.user_events, ["created_at"])
@@ -195,10 +185,9 @@ def ctr_by_day(t):
 
 
 @query("l22_watch_rate_by_event", """
-SELECT count(DISTINCT CASE WHEN event_type = 'click' THEN event_id END) AS clicks, count(DISTINCT CASE WHEN event_type = 'watch' THEN event_id END) AS watches,
-    round(CAST(count(DISTINCT CASE WHEN event_type = 'watch' THEN event_id END) AS DOUBLE)
-        / count(DISTINCT CASE WHEN event_type = 'click' THEN event_id END) * 100, 2) AS watch_rate
-FROM user_events WHERE created_at >= DATE '2024-01-31' - INTERVAL 7 DAY""")
+SELECT clicks, watches, round(CAST(watches AS DOUBLE) / clicks * 100, 2) AS watch_rate FROM (
+    SELECT count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'watch') AS watches
+    FROM (SELECT DISTINCT event_id, event_type FROM user_events WHERE created_at >= DATE '2024-01-31' - INTERVAL 7 DAY))""")
 def watch_rate(t):
     # event_id is the key of the table, so its distinct count is the row count
     one = rel.since(t.user_events, "created_at", AS_OF, 7).agg(
@@ -208,9 +197,9 @@ def watch_rate(t):
 
 
 @query("l22_ctr_event_log", """
-SELECT CAST(created_at AS DATE) AS "date", round(CAST(count(DISTINCT CASE WHEN event_type = 'click' THEN recommendation_id END) AS DOUBLE)
-    / nullif(count(DISTINCT CASE WHEN event_type = 'impression' THEN recommendation_id END), 0) * 100, 2) AS ctr
-FROM user_events WHERE created_at >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1""")
+SELECT "date", round(CAST(count(*) FILTER (WHERE c) AS DOUBLE) / nullif(count(*) FILTER (WHERE i), 0) * 100, 2) AS ctr FROM (
+    SELECT CAST(created_at AS DATE) AS "date", bool_or(event_type = 'click') AS c, bool_or(event_type = 'impression') AS i
+    FROM user_events WHERE created_at >= DATE '2024-01-31' - INTERVAL 7 DAY GROUP BY 1, recommendation_id) GROUP BY 1""")
 def ctr_event_log(t):
     per = rel.since(t.user_events, "created_at", AS_OF, 7).groupBy(F.to_date("created_at").alias("date"), "recommendation_id").agg(
         F.max(F.when(fb.kind("click"), 1)).alias("c"), F.max(F.when(fb.kind("impression"), 1)).alias("i")
@@ -219,10 +208,9 @@ def ctr_event_log(t):
 
 
 @query("l22_rates_over_all_events", """
-SELECT round(100 * CAST(count(DISTINCT CASE WHEN event_type = 'click' THEN recommendation_id END) AS DOUBLE) / nullif(count(DISTINCT recommendation_id), 0), 2) AS ctr,
-    round(100 * CAST(count(DISTINCT CASE WHEN event_type = 'watch' THEN recommendation_id END) AS DOUBLE)
-        / nullif(count(DISTINCT CASE WHEN event_type = 'click' THEN recommendation_id END), 0), 2) AS watch_rate
-FROM user_events WHERE recommendation_id IS NOT NULL""")
+SELECT round(100 * CAST(count(*) FILTER (WHERE c) AS DOUBLE) / count(*), 2) AS ctr,
+    round(100 * CAST(count(*) FILTER (WHERE w) AS DOUBLE) / nullif(count(*) FILTER (WHERE c), 0), 2) AS watch_rate FROM (
+    SELECT bool_or(event_type = 'click') AS c, bool_or(event_type = 'watch') AS w FROM user_events GROUP BY recommendation_id)""")
 def rates(t):
     per = t.user_events.filter(F.col("recommendation_id").isNotNull()).groupBy("recommendation_id").agg(
         F.max(F.when(fb.kind("click"), 1)).alias("c"), F.max(F.when(fb.kind("watch"), 1)).alias("w")

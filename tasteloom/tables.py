@@ -325,17 +325,15 @@ BINDING_SQL = {
         user_id % 5 = 0 AS is_synthetic, '{"k": ' || CAST(item_id AS VARCHAR) || '}' AS context,
         min(created_at) AS created_at
         FROM user_events WHERE event_type = 'impression' GROUP BY recommendation_id, user_id, item_id""",
-    "interactions": """SELECT user_id, item_id, recommendation_id,
-        max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS has_click,
-        max(CASE WHEN event_type = 'watch' THEN completion_rate ELSE 0 END) AS max_completion,
-        max(CASE WHEN feedback_type = 'like' THEN 1 ELSE 0 END) AS has_like,
-        max(CASE WHEN feedback_type = 'dislike' THEN 1 ELSE 0 END) AS has_dislike,
-        max(CASE WHEN feedback_type = 'not_interested' THEN 1 ELSE 0 END) AS has_not_interested,
-        max(CASE WHEN feedback_type = 'rating' THEN rating END) AS explicit_rating,
-        max(CAST(is_synthetic AS INTEGER)) AS is_synthetic, max(created_at) AS last_interaction
+    "interactions": """SELECT user_id, item_id, recommendation_id, 1 AS has_click,
+        coalesce(max(completion_rate) FILTER (WHERE event_type = 'watch'), CAST(0 AS DOUBLE)) AS max_completion,
+        CAST(coalesce(bool_or(feedback_type = 'like'), false) AS INTEGER) AS has_like,
+        CAST(coalesce(bool_or(feedback_type = 'dislike'), false) AS INTEGER) AS has_dislike,
+        CAST(coalesce(bool_or(feedback_type = 'not_interested'), false) AS INTEGER) AS has_not_interested,
+        max(rating) FILTER (WHERE feedback_type = 'rating') AS explicit_rating,
+        CAST(bool_or(is_synthetic) AS INTEGER) AS is_synthetic, max(created_at) AS last_interaction
         FROM user_events WHERE created_at >= DATE '2024-01-31' - INTERVAL 30 DAY
-        GROUP BY user_id, item_id, recommendation_id
-        HAVING max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) = 1""",
+        GROUP BY ALL HAVING bool_or(event_type = 'click')""",
     "labelled": """SELECT *, CASE WHEN explicit_rating IS NOT NULL THEN explicit_rating ELSE
         CAST(greatest(0, least(5, 1.0 + CASE WHEN max_completion > 0.75 THEN 3.0 WHEN max_completion > 0.25 THEN 1.5
              WHEN max_completion > 0 THEN 0.5 ELSE 0.0 END
