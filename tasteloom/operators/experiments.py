@@ -180,7 +180,7 @@ COMPARED = ["total_recommendations", "ctr_percent", "watch_rate_percent", "avg_w
 
 
 def compare_versions(metrics: DataFrame, a: str, b: str) -> DataFrame:
-    """Per metric: both values, percent change and the better version."""
+    """Per metric: both values, percent change and the better version; a metric without a value counts as 0."""
     one = two_row_pivot(metrics, "model_version", a, b, COMPARED)
     rows = []
     for c in COMPARED:

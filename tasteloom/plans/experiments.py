@@ -168,8 +168,8 @@ def coverage(t):
 
 
 COMPARE = METRICS + """, ab AS (SELECT unnest(['total_recommendations', 'ctr_percent', 'watch_rate_percent', 'avg_watch_completion', 'total_positive_feedback']) AS metric,
-    unnest([CAST(a.total_recommendations AS DOUBLE), a.ctr_percent, a.watch_rate_percent, a.avg_watch_completion, CAST(a.total_positive_feedback AS DOUBLE)]) AS value_a,
-    unnest([CAST(b.total_recommendations AS DOUBLE), b.ctr_percent, b.watch_rate_percent, b.avg_watch_completion, CAST(b.total_positive_feedback AS DOUBLE)]) AS value_b
+    coalesce(unnest([CAST(a.total_recommendations AS DOUBLE), a.ctr_percent, a.watch_rate_percent, a.avg_watch_completion, CAST(a.total_positive_feedback AS DOUBLE)]), 0) AS value_a,
+    coalesce(unnest([CAST(b.total_recommendations AS DOUBLE), b.ctr_percent, b.watch_rate_percent, b.avg_watch_completion, CAST(b.total_positive_feedback AS DOUBLE)]), 0) AS value_b
     FROM metrics a, metrics b WHERE a.model_version = 'v1' AND b.model_version = 'v2'),
 cmp AS (SELECT metric, value_a, value_b, round(CASE WHEN value_a = 0 THEN 0 ELSE (value_b - value_a) / value_a * 100 END, 6) AS pct_change,
     CASE WHEN value_b > value_a THEN 'v2' ELSE 'v1' END AS winner FROM ab)

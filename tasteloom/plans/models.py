@@ -165,7 +165,7 @@ SCORED = """WITH s AS (SELECT run_id, experiment, coalesce(CASE WHEN NOT isnan(r
 
 @query("r12_run_comparison", SCORED + """
 SELECT experiment, round(min(score), 6) AS best_score, round(max(score), 6) AS worst_score, round(avg(score), 6) AS avg_score,
-    first(run_id ORDER BY score NULLS LAST, run_id) AS best_run, count(*) FILTER (WHERE score IS NULL) AS unscored FROM scored GROUP BY 1""")
+    first(run_id ORDER BY score, run_id) FILTER (WHERE score IS NOT NULL) AS best_run, count(*) FILTER (WHERE score IS NULL) AS unscored FROM scored GROUP BY 1""")
 def compare_runs(t):
     return rc.compare_runs(t.runs).withColumns({c: r6(c) for c in ("best_score", "worst_score", "avg_score")})
 
