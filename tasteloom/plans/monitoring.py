@@ -9,6 +9,8 @@ from ..operators import monitoring as mo
 from .registry import query
 
 HOUR, DAY = 3600, 86400
+# Means of two-decimal values are compared at 9 digits: at 6, sums taken in another order
+# can fall on either side of an exact half.
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0]
 
 
@@ -41,9 +43,9 @@ def ratios(t):
 
 @query("m04_avg_over_time", f"""
 SELECT event_id, metric, instance, round(avg(value) OVER (PARTITION BY metric, instance ORDER BY CAST(floor(epoch(ts)) AS BIGINT)
-    RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW), 6) AS avg_value FROM metric_samples""")
+    RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW), 9) AS avg_value FROM metric_samples""")
 def avg_over_time(t):
-    return mo.avg_over_time(t.metric_samples, 6 * HOUR).select("event_id", "metric", "instance", r6("avg_value").alias("avg_value"))
+    return mo.avg_over_time(t.metric_samples, 6 * HOUR).select("event_id", "metric", "instance", F.round("avg_value", 9).alias("avg_value"))
 
 
 @query("m04_delta", f"""
@@ -58,21 +60,21 @@ GRID = f"""g AS (SELECT metric, instance, CAST(floor(epoch(ts) / {HOUR}) AS BIGI
 
 @query("m05_change_against_24h", f"""
 WITH {GRID}, o AS (SELECT *, last(value) OVER (PARTITION BY metric, instance ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {DAY} PRECEDING) AS before FROM g)
-SELECT metric, instance, t, round(value, 6) AS value, round(before, 6) AS before, round((value - before) / before, 6) AS change,
+SELECT metric, instance, t, round(value, 9) AS value, round(before, 9) AS before, round((value - before) / before, 9) AS change,
     coalesce((value - before) / before > 0.1, false) AS degraded FROM o""")
 def change(t):
     out = mo.change_against_offset(mo.grid(t.metric_samples, HOUR), DAY)
-    return out.withColumn("degraded", F.coalesce(F.col("change") > 0.1, F.lit(False))).withColumns({c: r6(c) for c in ("value", "before", "change")})
+    return out.withColumn("degraded", F.coalesce(F.col("change") > 0.1, F.lit(False))).withColumns({c: F.round(c, 9) for c in ("value", "before", "change")})
 
 
 @query("m06_held_alerts", f"""
 WITH {GRID}, s AS (SELECT *, value > 40 AS b, lag(value > 40) OVER o AS pb, lag(t) OVER o AS pt FROM g WINDOW o AS (PARTITION BY metric, instance ORDER BY t)),
 i AS (SELECT *, sum(CASE WHEN b AND (pb IS NULL OR NOT pb OR t - pt > {2 * HOUR}) THEN 1 ELSE 0 END) OVER (PARTITION BY metric, instance ORDER BY t) AS island FROM s)
-SELECT metric, instance, min(t) AS started, max(t) AS last_seen, round(max(value), 6) AS peak, 'warning' AS severity FROM i WHERE b GROUP BY metric, instance, island
+SELECT metric, instance, min(t) AS started, max(t) AS last_seen, round(max(value), 9) AS peak, 'warning' AS severity FROM i WHERE b GROUP BY metric, instance, island
 HAVING max(t) - min(t) >= {2 * HOUR}""")
 def alerts(t):
     out = mo.held_alerts(mo.grid(t.metric_samples, HOUR), F.col("value") > 40, HOUR, 2 * HOUR)
-    return out.withColumn("peak", r6("peak")).withColumn("severity", F.lit("warning"))
+    return out.withColumn("peak", F.round("peak", 9)).withColumn("severity", F.lit("warning"))
 
 
 @query("m07_missing_percent", """
