@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -44,16 +46,25 @@ def local_session(cores: str = "8", app: str = "tasteloom", memory: str = "12g")
     return configure(spark)
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``; without it a cluster session is an error.
 
-    A machine-local folder is used only when nothing is named, as in tests.
+    Only a session whose driver is its one executor (``local[n]``, as in tests) gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="tasteloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tasteloom-")
+        atexit.register(shutil.rmtree, _OWN[app], True)
+    return _OWN[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
