@@ -152,6 +152,6 @@ def running_total(df: DataFrame, order: str, size: str, out: str, width: int = 1
     df = df.withColumn(out, F.coalesce(F.sum(size).over(own), F.lit(0)))
     if carried is None:
         return df
-    return (df.withColumn("u", F.expr(f"{order} div {width}"))
-            .join(carried.select(F.col("o").alias("u"), F.col("t")), "u")
-            .withColumn(out, F.col(out) + F.col("t")).drop("u", "t"))
+    return (df.withColumn("_block", F.expr(f"{order} div {width}"))
+            .join(carried.select(F.col("o").alias("_block"), F.col("t").alias("_carried")), "_block")
+            .withColumn(out, F.col(out) + F.col("_carried")).drop("_block", "_carried"))

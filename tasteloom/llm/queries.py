@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from . import secrets
 from .minhash import near_duplicates
+from .packing import pack
+from .tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +45,38 @@ FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = s.do
 @query("op4_minhash_near_dedup", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def _rule_sql(number: int, rule: secrets.Rule) -> str:
+    body = ("(?i:" if rule.any_case else "(?:") + rule.pattern.replace("'", "''") + ")"
+    size = f"length(regexp_extract(m, '{body}', {rule.group}))" if rule.group else "length(m)"
+    return f"""SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, ends - length(m) AS s, ends AS e, {size} AS size FROM (
+        SELECT doc_id, m, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM (
+          SELECT doc_id, unnest(w) AS w, unnest(m) AS m, generate_subscripts(m, 1) AS i FROM (
+            SELECT doc_id, regexp_extract_all(text, '(?s:(.*?))({body})', 0) AS w, regexp_extract_all(text, '(?s:(.*?))({body})', 2) AS m
+            FROM documents WHERE text IS NOT NULL))) WHERE {size} >= {rule.least}"""
+
+
+OP9_SQL = "WITH f AS (" + " UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(secrets.RULES)) + """),
+t AS (SELECT *, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM f)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, number) FILTER (number < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY s, number), '') AS spans
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op9_secret_scan", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op10_mixture_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
