@@ -5,13 +5,16 @@ A document's distinct five-word shingles give a signature of ``COORDINATES`` min
 coordinates collide. With M = ``MATCHES``, values held by one document are dropped, the rest
 is ordered from rare to frequent, and of s values only the first s - M + 1 are merged: two
 documents that share M values share one of these (prefix), and the M - 1 longest lists are
-never merged (skip). A pair at similarity 0.75 has M collisions with probability 1 - 2e-5, and
-more with higher similarity. Every link is confirmed on the whole shingle sets.
+never merged (skip). Candidates must also collide in 78 of 128 coordinates, the others being
+compared but not posted. A pair at similarity 0.75 passes both with probability over 0.9998, and
+a more similar one sooner. Every link is confirmed on the whole shingle sets.
 
 Equal sets are one class, however many documents hold them. A short list gives its pairs. A
-long list is linked through two pivots first, in work linear in its length; only where its
-members still lie in different components are they compared, in blocks, and first only the
-two best partners of each, so a group of copies is never expanded into its pairs.
+long list is linked through two pivots first, its likely centre and an arbitrary member, in work
+linear in its length; where its members
+still lie in different components, those outside the largest one are compared with blocks of
+the list. Sets are looked at only for each document's best partner and then for pairs of
+different components, so a group of copies is never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -21,20 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, each_row, list_column, lower_ascii, mixed, rolling, session, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
-COORDINATES, MATCHES = 48, 24
+COORDINATES, MATCHES = 48, 24  # posted minima, and collisions asked of them
+ALL, ALL_MATCHES = 128, 78  # with further minima that are compared but not posted
 SHORT_LIST = 8
-BLOCK = 256
+BLOCK = 1024
 _RNG = np.random.default_rng(20240131)
-_A = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 2**64, COORDINATES, dtype=np.uint64)
+_A = _RNG.integers(0, 2**64, ALL, dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 2**64, ALL, dtype=np.uint64)
 
-_SIGNED = "doc_id long, n_shingles long, node binary, sig array<int>"
+_SIGNED = "doc_id long, n_shingles long, node binary, sig array<int>, tail array<smallint>"
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -53,21 +57,24 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 4096):
-        least = np.minimum(least, (s[i:i + 4096, None] * _A + _B).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    least = np.full(ALL, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 1024):
+        least = np.minimum(least, (s[i:i + 1024, None] * _A + _B).min(axis=0))
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    none = np.empty(0, np.uint32)
     for cols, rows in each_row(batches, "h"):
         sets = [shingle_set(r) for r in rows]
+        least = [signature(s) if len(s) else none for s in sets]
         yield pa.RecordBatch.from_arrays([
             cols["doc_id"],
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
-            list_column([signature(s) if len(s) else np.empty(0, np.int32) for s in sets], pa.int32()),
-        ], ["doc_id", "n_shingles", "node", "sig"])
+            list_column([x[:COORDINATES].view(np.int32) for x in least], pa.int32()),
+            list_column([x[COORDINATES:].astype(np.uint16).view(np.int16) for x in least], pa.int16()),
+        ], ["doc_id", "n_shingles", "node", "sig", "tail"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,13 +92,16 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(lower_ascii(F.col("text"))).alias("h"))
 
 
+def _equal(one: str, two: str) -> Column:
+    return F.aggregate(F.zip_with(one, two, lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
+
+
 def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with enough equal coordinates and sizes that can reach the similarity."""
-    one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    return (pairs.join(one, "a").join(two, "b")
-            .where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY) & (equal >= MATCHES)).select("a", "b"))
+    """Pairs (a, b) with enough equal coordinates, their number m, and sizes that can reach the similarity."""
+    end = lambda n: classes.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("sig").alias(f"s{n}"), F.col("tail").alias(f"t{n}"))
+    met = pairs.join(end("a"), "a").join(end("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
+    met = met.select("a", "b", "ta", "tb", _equal("sa", "sb").alias("m")).where(F.col("m") >= MATCHES)
+    return met.select("a", "b", (F.col("m") + _equal("ta", "tb")).alias("m")).where(F.col("m") >= ALL_MATCHES)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -102,47 +112,81 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(both * 100 >= (F.size("sa") + F.size("sb") - both) * SIMILARITY).select("a", "b"))
 
 
-def _block_pairs(best: int | None):
-    """Compares the members of two blocks of a list; pairs of different components with enough collisions leave."""
+def _seek(best: bool):
+    """Compares some seekers of a list with a block of its members; pairs of different components with enough collisions leave.
+
+    A pair meets in every list that it shares; it leaves from the first of them in the global
+    order only, which the prefixes of both hold.
+    """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["k"] == i], pdf[pdf["k"] == j]
-        ls, rs = np.stack(left["sig"].to_numpy()), np.stack(right["sig"].to_numpy()) if len(right) else np.empty((0, COORDINATES), np.int32)
-        names, codes = np.unique(np.concatenate([left["label"].to_numpy(), right["label"].to_numpy()]), return_inverse=True)
-        lc, rc = codes[:len(left)], codes[len(left):]
+        left, right = pdf[pdf["seeker"]], pdf[~pdf["seeker"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        here = int(pdf["pos"].iloc[0])
+        stack = lambda side, name: np.stack(side[name].to_numpy())
+        ls, rs = stack(left, "sig"), stack(right, "sig")
+        codes = pd.factorize(pd.concat([left["label"], right["label"]]))[0]
         equal = np.zeros((len(left), len(right)), np.int16)
         for c in range(COORDINATES):
             equal += ls[:, c, None] == rs[None, :, c]
-        equal[(lc[:, None] == rc[None, :])] = 0
-        if best is not None and len(right) > best:
-            floor = np.partition(equal, -best, axis=1)[:, -best]
-            keep = (equal >= np.maximum(floor, MATCHES)[:, None])
-            keep &= np.cumsum(keep, axis=1) <= best  # ties
-        else:
-            keep = equal >= MATCHES
-        x, y = np.nonzero(keep)
+        equal[codes[:len(left), None] == codes[None, len(left):]] = 0
+        x, y = np.nonzero(equal >= MATCHES)
+        lt, rt, rank = stack(left, "tail"), stack(right, "tail"), stack(left, "often").astype(np.int64) * COORDINATES + np.arange(COORDINATES)
+        kept = []
+        for i in range(0, len(x), 50_000):
+            u, v = x[i:i + 50_000], y[i:i + 50_000]
+            m = equal[u, v] + (lt[u] == rt[v]).sum(axis=1)
+            first = np.where(ls[u] == rs[v], rank[u], np.iinfo(np.int64).max).argmin(axis=1)
+            ok = (m >= ALL_MATCHES) & (first == here)
+            kept.append(np.stack([u[ok], v[ok], m[ok]]))
+        x, y, m = np.concatenate(kept, axis=1) if kept else np.empty((3, 0), np.int64)
+        if best:
+            order = np.lexsort((-m, x))
+            x, y = x[order], y[order]
+            top = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, bool)
+            x, y = x[top], y[top]
         return pd.DataFrame({"a": left["node"].to_numpy()[x], "b": right["node"].to_numpy()[y]})
 
     return compare
 
 
-def _across(hot: DataFrame, classes: DataFrame, labels: DataFrame, best: int | None) -> DataFrame | None:
-    """Candidate pairs between components that meet in a long list; None if no list holds two components."""
+def _across(hot: DataFrame, classes: DataFrame, labels: DataFrame, best: bool) -> DataFrame | None:
+    """Candidate pairs between components that meet in a long list; None if no list holds two components.
+
+    Only members outside the list's largest component seek partners, in all blocks of the list.
+    """
     held = written(hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "held")
-    still = written(held.groupBy("pos", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
-                    .where("lo <> hi").select("pos", "value", "members"), "still")
+    sizes = held.groupBy("pos", "value", "label").agg(F.count("*").alias("n"))
+    still = written(sizes.groupBy("pos", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"),
+                                                      (F.sum("n") - F.max("n")).alias("seekers")).where("seekers > 0"), "still")
     if still.isEmpty():
         return None
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = (held.join(still, ["pos", "value"]).join(classes.select("node", "sig"), "node")
-               .withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-               .withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-               .select("pos", "value", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "node", "label", "sig"))
-    pairs = members.groupBy("pos", "value", "i", "j").applyInPandas(_block_pairs(best), "a binary, b binary")
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("node"), parts(n)).cast("int")
+    key = ["pos", "value", "i", "j"]
+    rows = held.join(still, ["pos", "value"]).join(classes.select("node", "sig", "tail"), "node")
+    targets = rows.select("*", F.lit(False).alias("seeker"), part("members").alias("j"), F.explode(F.sequence(F.lit(0), parts("seekers") - 1)).alias("i"))
+    seekers = rows.where("label <> main").select("*", F.lit(True).alias("seeker"), part("seekers").alias("i"),
+                                                 F.explode(F.sequence(F.lit(0), parts("members") - 1)).alias("j"))
+    met = targets.union(seekers.select(targets.columns)).select(*key, "seeker", "node", "label", "sig", "tail", "often")
+    pairs = met.groupBy(*key).applyInPandas(_seek(best), "a binary, b binary")
     return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """For every node its pair with most collisions."""
+    ends = pairs.select("a", "b", "m", F.explode(F.array("a", "b")).alias("x"))
+    top = ends.groupBy("x").agg(F.max(F.struct("m", "a", "b")).alias("t"))
+    return top.select("t.a", "t.b").distinct()
+
+
+def _split(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet known to lie in one component."""
+    end = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
+    return pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where("la is null or lb is null or la <> lb").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -154,25 +198,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     session(docs.sparkSession)
     signed = written(_hashed(docs).mapInArrow(_sign, _SIGNED), "signed")
     classes = written(signed.where("node is not null").groupBy("node")
-                      .agg(F.min("doc_id").alias("min_doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+                      .agg(F.min("doc_id").alias("min_doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("tail").alias("tail")), "classes")
     posts = classes.select("node", F.posexplode("sig").alias("pos", "value"))
     often = written(posts.groupBy("pos", "value").agg(F.count("*").alias("often")).where("often > 1"), "often")
     held = (posts.join(often, ["pos", "value"]).groupBy("node").agg(F.collect_list(F.struct("often", "pos", "value")).alias("p"))
             .where(F.size("p") >= MATCHES))
+    # how often each coordinate's value is posted, 0 if once; a group's centre holds its most frequent values
+    by_pos = F.map_from_arrays("p.pos", "p.often")
+    often = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.coalesce(F.try_element_at(by_pos, i), F.lit(0).cast("long")).cast("int"))
     prefix = F.slice(F.sort_array("p"), F.lit(1), F.size("p") - (MATCHES - 1))
-    lists = written(held.select("node", F.inline(prefix)), "lists")
+    lists = held.select("node", often.alias("all_often"), prefix.alias("prefix")).withColumn(
+        "centre", F.aggregate("all_often", F.lit(0).cast("long"), lambda t, x: t + x))
+    lists = written(lists.select("node", "all_often", "centre", F.inline("prefix")), "lists")
 
     short = lists.where(F.col("often") <= SHORT_LIST)
     pairs = (short.select("pos", "value", F.col("node").alias("a")).join(short.select("pos", "value", F.col("node").alias("b")), ["pos", "value"])
              .where("a < b").select("a", "b"))
-    hot = lists.where(F.col("often") > SHORT_LIST).select("pos", "value", "node")
-    pivots = written(hot.groupBy("pos", "value").agg(*[
-        F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node"))["node"].alias(f"p{seed}") for seed in (1, 2)]), "pivots")
+    hot = lists.where(F.col("often") > SHORT_LIST).select("pos", "value", "node", "centre", F.col("all_often").alias("often"))
+    pivots = written(hot.groupBy("pos", "value").agg(F.max(F.struct("centre", "node"))["node"].alias("p1"),
+                                                     F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("p2")), "pivots")
     near = hot.join(pivots, ["pos", "value"]).select("node", F.explode(F.array("p1", "p2")).alias("p")).where("node <> p")
     pairs = pairs.union(near.select(F.least("node", "p"), F.greatest("node", "p"))).distinct()
     pairs = written(_candidates(pairs, classes), "candidates")
 
-    # the pivot's pairs need the whole sets of their members; so may those compared later
+    # the whole sets of all that may have to be compared
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
     wanted = written(wanted.join(classes, "node").where("min_doc is not null").select("node", F.col("min_doc").alias("doc_id")), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
@@ -181,9 +230,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated ids: one set for each class
         sets = sets.dropDuplicates(["node"])
     sets = written(sets, "sets")
-    links = written(_confirmed(pairs, sets), "links")
+    # a chain of best partners first: pairs inside a component need no look at their sets
+    links = written(_confirmed(_best(pairs), sets), "links")
+    labels = components(links)
+    links = links.union(written(_confirmed(written(_split(pairs, labels), "split"), sets), "links"))
     labels = components(links)
-    for best in (2, None):
+    for best in (True, False):
         more = _across(hot, classes, labels, best)
         if more is None:
             break

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from .common import table
 from .debruijn import drop_repeats
 from .epsgrid import near_vectors
-from . import secrets
+from . import decontaminate, langid, quality, secrets
 from .minhash import near_duplicates
 from .packing import pack
 from .tokens import token_counts
@@ -119,3 +122,23 @@ LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) n ON n.a = e.vec_id
 @query("op7_embedding_near_dedup", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
