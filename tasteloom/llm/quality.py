@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         p = good.get((*votes(at, stats, terms), mark), 0.5)
         at = np.append(marked(at, terms), 1 << BITS)
         train.append((at, _VALUE[at], np.array([1 - p, p])))
-    w = ftrl.fit(train, (1 << BITS) + 1, 2, alpha=0.2, l1=1.0, l2=0.1, epochs=3)
+    w = ftrl.fit(train, (1 << BITS) + 1, 2, alpha=0.2, l1=1.0, l2=0.1, epochs=8)
     delta = ((w[:, GOOD] - w[:, BAD]) * _VALUE).astype(np.float32)
     return Model(delta[:-1], float(delta[-1]), terms)
 

@@ -12,7 +12,7 @@ import corpus_pipeline
 from .common import table
 from .debruijn import drop_repeats
 from .epsgrid import near_vectors
-from . import decontaminate, langid, quality, secrets
+from . import decontaminate, hmm, langid, quality, secrets
 from .minhash import near_duplicates
 from .packing import pack
 from .tokens import token_counts
@@ -142,3 +142,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query("op2_hmm_lm_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
