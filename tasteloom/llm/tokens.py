@@ -2,7 +2,7 @@
 
 A huge document is encoded in overlapping chunks with character offsets. Two neighbours are
 spliced at a character where both encodings start a token and which is proven stable: a single
-space between two ASCII word characters. No piece of the vocabulary holds the space mark after
+space between two printable ASCII characters or Latin letters, which normalisation leaves alone. No piece of the vocabulary holds the space mark after
 another character (checked on the loaded vocabulary), so no merge can ever cross that place and
 both sides are encoded independently. An overlap without such a place is widened.
 """
@@ -22,7 +22,7 @@ from .common import session
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CHUNK, OVERLAP = 16_384, 512  # characters
-_STABLE = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])", re.ASCII)
+_STABLE = re.compile("(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
 _SLICE = 64
 _LOADED: dict[str, object] = {}
 
