@@ -39,8 +39,10 @@ def _weight(shingles: Column) -> Column:
 
 def fingerprinted(df: DataFrame, shingles: str = "shingles") -> DataFrame:
     """``df`` with ``fp``: the majority bit of all shingle hashes in each of 64 places."""
-    lanes = {f"_v{j}": F.aggregate(shingles, F.lit(0).cast("long"), lambda t, s, j=j: t + F.shiftrightunsigned(s["h"], j).bitwiseAND(F.lit(_LANES)))
-             for j in range(16)}
+    def added(j: int):
+        return lambda t, s: t + F.shiftrightunsigned(s["h"], j).bitwiseAND(F.lit(_LANES))
+
+    lanes = {f"_v{j}": F.aggregate(shingles, F.lit(0).cast("long"), added(j)) for j in range(16)}
     df = df.withColumns(lanes)
     bits = [F.when(F.shiftrightunsigned(F.col(f"_v{j}"), 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > F.size(shingles),
                    F.lit((1 << (j + 16 * lane)) - ((1 << 64) if j + 16 * lane == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
