@@ -62,20 +62,24 @@ def off_step(c: Col, step: float) -> Column:
     return F.abs(q - F.round(q)) >= 1e-6
 
 
+def _marked(cols: Sequence[Col]) -> Column:
+    """The values as one text in which a null holds its place, so that shifted nulls differ."""
+    return F.concat_ws("|", *[F.coalesce(as_col(c).cast("string"), F.lit("\x00")) for c in cols])
+
+
 def hash_bucket(cols: Sequence[Col], buckets: int) -> Column:
     """A bucket that any engine can reproduce: the first 32 bits of an MD5 digest."""
-    text = F.concat_ws("|", *[as_col(c).cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets
+    return F.conv(F.substring(F.md5(_marked(cols)), 1, 8), 16, 10).cast("bigint") % buckets
 
 
 def digest_order(cols: Sequence[Col]) -> Column:
     """A repeatable pseudo-random order."""
-    return F.md5(F.concat_ws("|", *[as_col(c).cast("string") for c in cols]))
+    return F.md5(_marked(cols))
 
 
 def stable_id(*cols: Col) -> Column:
     """An identifier that a retried task computes again unchanged."""
-    return F.sha2(F.concat_ws("|", *[as_col(c).cast("string") for c in cols]), 256)
+    return F.sha2(_marked(cols), 256)
 
 
 def r6(c: Col) -> Column:

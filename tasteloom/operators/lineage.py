@@ -14,7 +14,8 @@ MAX_DEPTH = 5
 
 def fingerprint(df: DataFrame) -> Column:
     """An order-independent 64-digit hash of a table's rows, as an aggregate."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    h = F.xxhash64(*cols, *[c.isNull() for c in cols])  # the row hash skips nulls, so their places are hashed too
     low, high = F.sum((h % 1_000_000_007).cast("decimal(20,0)")), F.bit_xor(h)
     return F.sha2(F.concat_ws("|", low.cast("string"), high.cast("string"), F.count(F.lit(1)).cast("string")), 256)
 

@@ -117,7 +117,15 @@ def insert_if_absent(spark: SparkSession, path: str, rows: DataFrame, keys: Sequ
     spark.read.schema(rows.schema).parquet(staged).write.mode("append").parquet(path)
 
 
-def archive(df_old: DataFrame, df_hot: DataFrame, archive_path: str, hot_path: str) -> None:
-    """Append the old rows to the archive, then write the rows to keep."""
-    df_old.write.mode("append").parquet(archive_path)
-    df_hot.write.mode("overwrite").parquet(hot_path)
+def archive(df_old: DataFrame, df_hot: DataFrame, archive_path: str, hot_path: str, keys: Sequence[str]) -> None:
+    """Move the old rows to the archive, then leave the rows to keep in the hot table, which both may be read from.
+
+    Both sets are written aside before either table changes. The archive takes a key once, so the
+    job can be repeated; a run that ends while the hot table is replaced leaves its staged copy.
+    """
+    spark = df_old.sparkSession
+    staged = scratch(spark, "archive")
+    df_old.write.parquet(f"{staged}/old")
+    df_hot.write.parquet(f"{staged}/hot")
+    insert_if_absent(spark, archive_path, spark.read.schema(df_old.schema).parquet(f"{staged}/old"), keys)
+    spark.read.schema(df_hot.schema).parquet(f"{staged}/hot").write.mode("overwrite").parquet(hot_path)
