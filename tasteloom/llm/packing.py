@@ -8,9 +8,11 @@ has a closed form: the deficit is carried over windows and partitions without a
 scan. Documents in the order (round, queue, position) form one stream, cut every ``WINDOW``
 tokens; every window is full but the last.
 
-Token ids are made once and written. Text is encoded by distinct units: a cut before a space
-that a non-space follows is always a pre-token border of a byte-level vocabulary, so the ids
-of the units, joined, are the ids of the text.
+Token ids are made once and written. Text is encoded by distinct units, cut where a byte-level
+vocabulary always has a pre-token border: before a space that a non-space follows, between a letter
+or digit and ASCII punctuation, and on both sides of a line end between two visible characters. So
+the ids of the units, joined, are the ids of the text. Texts that hold an added token of the
+vocabulary are encoded whole.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -31,10 +34,16 @@ WINDOW = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_UNITS = 400_000  # distinct units a task remembers; beyond it starts anew
+JOINED_UNITS = 256  # new units encoded as one text
 
-_CUT_AFTER_SPACE = np.zeros(256, bool)  # first bytes of characters that surely are no white space
-_CUT_AFTER_SPACE[0x21:0x7F] = True
-_CUT_AFTER_SPACE[0xC3:0xE0] = True
+# classes of bytes, as bits: the first byte of a character that surely is no white space; ASCII letter or digit; ASCII
+# punctuation; second byte, after C3, of a letter from U+00C0 to U+00FF (two of these characters are signs)
+_STARTS, _ALNUM, _PUNCTUATION, _SECOND = 1, 2, 4, 8
+_CLASSES = bytes(
+    _STARTS * (0x21 <= b < 0x7F or 0xC3 <= b < 0xE0) | _ALNUM * (b < 0x80 and chr(b).isalnum()) | _PUNCTUATION * (0x21 <= b < 0x7F and not chr(b).isalnum())
+    | _SECOND * (0x80 <= b < 0xC0 and b not in (0x97, 0xB7)) for b in range(256))
+#: A leading space at most, and then no white space of any script.
+_NO_INNER_SPACE = (r"^ ?[!-~\x{00C0}-\x{167F}\x{1681}-\x{1FFF}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{10FFFF}]+$")
 
 
 def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -44,7 +53,15 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)[:offsets[-1]]
     cut = np.zeros(len(raw) + 1, bool)
     if len(raw) > 1:
-        cut[:len(raw) - 1] = (raw[:-1] == 0x20) & _CUT_AFTER_SPACE[raw[1:]]
+        kind = np.frombuffer(raw.tobytes().translate(_CLASSES), np.uint8)
+        starts, punctuation = (kind & _STARTS) > 0, (kind & _PUNCTUATION) > 0
+        visible, ends = (kind & (_ALNUM | _PUNCTUATION)) > 0, (kind & _ALNUM) > 0
+        cut[:len(raw) - 1] = (raw[:-1] == 0x20) & starts[1:]
+        ends[1:] |= (raw[:-1] == 0xC3) & ((kind[1:] & _SECOND) > 0)
+        cut[1:len(raw)] |= ends[:-1] & punctuation[1:]
+        line = visible[:-2] & (raw[1:-1] == 0x0A) & starts[2:]
+        cut[1:len(raw) - 1] |= line
+        cut[2:len(raw)] |= line
     cut[:offsets[0]] = False
     filled = offsets[:-1][offsets[:-1] < offsets[1:]]
     cut[filled] = True
@@ -57,40 +74,86 @@ def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts through ids of distinct units; the tokenizer is loaded once for each Python worker."""
+    """Ids of texts through ids of distinct units; the tokenizer is loaded once for each Python worker.
+
+    New units without inner white space are encoded many at once, joined by line ends: a line end after a non-space
+    is a pre-token of its own, so its id marks where each unit's ids end. If the marks do not add
+    up, or the line end has not one id, units are encoded one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _ids(self, distinct: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
-        new = [u for u in distinct if u not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[u] = np.array(e.ids, np.uint32)
-        return [self.known[u] for u in distinct]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        mark = self._coded(["\n"])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.flat, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, unit_list: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.number)
+        self.number.update(zip(unit_list, range(at, at + len(unit_list))))
+        self.parts.append(ids)
+        self.sizes.append(sizes)
+
+    def _learn(self, new: list[str]) -> None:
+        joins = pc.match_substring_regex(pa.array(new, pa.string()), _NO_INNER_SPACE).to_pylist() if self.mark is not None else [False] * len(new)
+        plain, single = [u for u, j in zip(new, joins) if j], [u for u, j in zip(new, joins) if not j]
+        groups = [plain[i:i + JOINED_UNITS] for i in range(0, len(plain), JOINED_UNITS)]
+        for i in range(0, len(groups), 64):
+            for group, ids in zip(groups[i:i + 64], self._coded(["\n".join(g) for g in groups[i:i + 64]])):
+                inside = ids != self.mark
+                ends = np.append(np.flatnonzero(~inside), len(ids))
+                if len(ends) == len(group):
+                    self._keep(group, ids[inside], np.diff(ends, prepend=-1) - 1)
+                else:
+                    single += group
+        for i in range(0, len(single), 4096):
+            coded = self._coded(single[i:i + 4096])
+            self._keep(single[i:i + 4096], np.concatenate(coded), np.array([len(x) for x in coded], np.int64))
+        self.flat, self.size = np.concatenate([self.flat, *self.parts]), np.concatenate([self.size, *self.sizes])
+        self.parts, self.sizes = [], []
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        out = self._by_units(texts)
+        at = np.flatnonzero(whole)
+        for i in range(0, len(at), 64):
+            for k, ids in zip(at[i:i + 64], self._coded([texts[int(k)].as_py() for k in at[i:i + 64]])):
+                out[k] = ids
+        return out
+
+    def _by_units(self, texts: pa.Array) -> list[np.ndarray]:
         pieces, first = units(texts)
         coded = pieces.dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        if not ids:
+        distinct = coded.dictionary.to_pylist()
+        if not distinct:
             return [np.empty(0, np.uint32)] * len(texts)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, starts = np.concatenate(ids), np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy()
+        if len(self.number) > CACHED_UNITS:
+            self._forget()
+        new = [u for u in distinct if u not in self.number]
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        starts = np.cumsum(self.size) - self.size
         out = []
         for i, j in zip(first[:-1], first[1:]):
             w = which[i:j]
-            n = sizes[w]
+            n = self.size[w]
             ends = np.cumsum(n)
-            out.append(flat[np.repeat(starts[w] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+            out.append(self.flat[np.repeat(starts[w] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
 

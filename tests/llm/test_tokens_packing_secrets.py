@@ -45,6 +45,19 @@ def test_pack_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], FIXED)).count() == 0
 
 
+def test_units_give_the_ids_of_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    whole, by_units = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = random.Random(7)
+    bits = list("aZ9 ,.'\n\t\r") + ["  ", "\n\n", "é", "×", "÷", "«", "\u0301", "\u00a0", "\u0085", "\u2028", "日", "'s", "'t", "<|endoftext|>", "😀"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(20000)] + [t or "" for t in TEXTS]
+    got = by_units(pa.array(texts))
+    assert [list(x) for x in got] == [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_pack_keeps_the_mixture(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w%d" % rng.randint(0, 99) for _ in range(rng.randint(1, 300))), "a" if rng.random() < 0.8 else "b", None) for i in range(1500)]
