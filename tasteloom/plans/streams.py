@@ -11,8 +11,6 @@ from ..streaming import jobs
 from ..tables import AS_OF, bind_events, bind_raw_events
 from .registry import query
 
-WATERMARK = "(SELECT max(\"timestamp\") - INTERVAL 1 HOUR FROM raw_events)"
-
 
 def source(t):
     # a glob matches the table both as one file and as a folder of parts
@@ -37,11 +35,12 @@ def route(t):
 
 @query("x03_idempotent_impressions", "SELECT DISTINCT recommendation_id FROM raw_events WHERE event_type = 'impression' AND NOT is_synthetic")
 def impressions(t):
-    """The stored log holds the synthetic impressions already; ids repeat within and beyond the watermark."""
-    held = t.recommendation_logs.filter("is_synthetic")
-    first = it.first_impressions(raw_stream(t), "1 hour", held).select("recommendation_id")
-    table = jobs.run_to_table(first, scratch(t.spark, "impressions"))
-    return table.distinct()
+    """The stored log holds the synthetic impressions already; an id that comes again, at any time, is not inserted."""
+    log = scratch(t.spark, "impressions")
+    t.recommendation_logs.filter("is_synthetic").select("recommendation_id", "is_synthetic").write.parquet(log)
+    shown = raw_stream(t).filter("event_type = 'impression' AND recommendation_id IS NOT NULL").select("recommendation_id", "is_synthetic")
+    table = jobs.run_to_inserts(shown, log, ["recommendation_id"])
+    return table.filter("NOT is_synthetic").select("recommendation_id")
 
 
 @query("x04_enrichment", """
@@ -58,20 +57,21 @@ def over_total(t):
     return jobs.run_to_table(out, scratch(t.spark, "over_total"))
 
 
-@query("x06_windowed_counts", f"""
-SELECT date_trunc('minute', "timestamp") AS window_start, event_type, is_synthetic, count(*) AS n FROM raw_events
-WHERE date_trunc('minute', "timestamp") + INTERVAL 1 MINUTE <= {WATERMARK} GROUP BY 1, 2, 3""")
+@query("x06_windowed_counts", """
+SELECT date_trunc('minute', "timestamp") AS window_start, event_type, is_synthetic, count(*) AS n FROM raw_events GROUP BY 1, 2, 3""")
 def windowed(t):
-    return jobs.run_to_table(it.counts_per_window(raw_stream(t)), scratch(t.spark, "windowed"))
+    counts = it.counts_per_window(raw_stream(t)).withColumn("window_date", F.to_date("window_start"))
+    return jobs.run_to_upserts(counts, scratch(t.spark, "windowed"), ["window_start", "event_type", "is_synthetic", "window_date"], "window_date").drop("window_date")
 
 
-@query("x07_sliding_rates", f"""
+@query("x07_sliding_rates", """
 WITH w AS (SELECT epoch_ms(CAST((floor(epoch("timestamp") / 900) - unnest([0, 1, 2, 3])) * 900000 AS BIGINT)) AS window_start, event_type FROM raw_events)
 SELECT window_start, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'impression') AS impressions,
     round(count(*) FILTER (WHERE event_type = 'click') / nullif(CAST(count(*) FILTER (WHERE event_type = 'impression') AS DOUBLE), 0), 6) AS ctr
-FROM w WHERE window_start + INTERVAL 1 HOUR <= {WATERMARK} GROUP BY 1""")
+FROM w GROUP BY 1""")
 def sliding(t):
-    return jobs.run_to_table(it.sliding_ctr(raw_stream(t)).withColumn("ctr", r6("ctr")), scratch(t.spark, "sliding"))
+    rates = it.sliding_ctr(raw_stream(t)).withColumns({"ctr": r6("ctr"), "window_date": F.to_date("window_start")})
+    return jobs.run_to_upserts(rates, scratch(t.spark, "sliding"), ["window_start", "window_date"], "window_date").drop("window_date")
 
 
 @query("x08_incremental_labels", "SELECT user_id, item_id, label, recommendation_id, label_date FROM training_labels")

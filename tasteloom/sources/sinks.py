@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -62,15 +64,15 @@ def save_baseline(df: DataFrame, base: str, version: str) -> DataFrame:
 def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target rows replaced by the update of the same key, new keys added; ``updated`` marks a replacement.
 
-    Both sides hold one row per key.
+    Both sides hold one row per key; a null in a key equals a null.
     """
     rest = [c for c in target.columns if c not in keys]
     old = target.select(*keys, F.struct(*rest).alias("_old"))
-    new = updates.select(*keys, F.struct(*rest).alias("_new"))
-    merged = old.join(new, list(keys), "full")
+    new = updates.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*rest).alias("_new"))
+    merged = old.join(new, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "full")
     pick = F.coalesce("_new", "_old")
     return merged.select(
-        *keys, *[pick.getField(c).alias(c) for c in rest], (F.col("_old").isNotNull() & F.col("_new").isNotNull()).alias("updated")
+        *[F.coalesce(k, f"_{k}").alias(k) for k in keys], *[pick.getField(c).alias(c) for c in rest], (F.col("_old").isNotNull() & F.col("_new").isNotNull()).alias("updated")
     )
 
 

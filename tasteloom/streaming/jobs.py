@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..operators import feedback as fb
-from ..sources.sinks import upsert_partitions
+from ..sources.sinks import insert_if_absent, upsert_partitions
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -36,6 +36,29 @@ def run_to_table(stream: DataFrame, path: str, partition_by: list[str] | None =
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _drain(stream: DataFrame, step, mode: str, checkpoint: str) -> None:
+    job = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    job.awaitTermination()
+
+
+def run_to_upserts(stream: DataFrame, path: str, keys: list[str], partition: str) -> DataFrame:
+    """Drain a windowed aggregate into a table that holds open windows too, and return the table.
+
+    Every micro-batch replaces the windows that it has changed, so a window shows its count so
+    far and the table is complete at any time. A batch that runs again changes nothing.
+    """
+    spark = stream.sparkSession
+    _drain(stream, lambda batch, _: upsert_partitions(spark, path, batch, keys, partition), "update", f"{path}_checkpoint")
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_to_inserts(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Drain a stream into a table that takes each key once, whenever it comes again, and return the table."""
+    spark = stream.sparkSession
+    _drain(stream, lambda batch, _: insert_if_absent(spark, path, batch, keys), "append", f"{path}_checkpoint")
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def refresh_labels(stream: DataFrame, events_path: str, labels_path: str, label_date: str) -> None:
     """Keep labels current from a stream of typed events.
 

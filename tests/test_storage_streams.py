@@ -122,6 +122,28 @@ def test_replayed_impressions_keep_one_row(spark, tmp_path):
     assert second.count() == 0
 
 
+def test_inserted_impressions_keep_one_row_without_state(spark, tmp_path):
+    shown = raw(event_type="impression", item_ids=[1], model_name="m", model_version="v1")
+    late = {**shown, "timestamp": "2024-01-30 09:00:00"}
+    stream = lambda: jobs.json_stream(spark, str(tmp_path / "in"), RAW_EVENT, files_per_trigger=1).select("recommendation_id")
+    for name, rows in (("a.json", [shown, shown]), ("b.json", [late, {**shown, "recommendation_id": "other"}])):
+        write_json(tmp_path / "in", name, rows)
+        table = jobs.run_to_inserts(stream(), str(tmp_path / "log"), ["recommendation_id"])
+    assert sorted(r[0] for r in table.collect()) == sorted([shown["recommendation_id"], "other"])
+
+
+def test_open_windows_show_and_later_batches_replace_them(spark, tmp_path):
+    one = raw(event_type="click", item_id=1, position=0)
+    untyped = {**one, "event_type": None}
+    keys = ["window_start", "event_type", "is_synthetic", "window_date"]
+    stream = jobs.json_stream(spark, str(tmp_path / "in"), RAW_EVENT, files_per_trigger=1)
+    counts = it.counts_per_window(stream).withColumn("window_date", F.to_date("window_start"))
+    for name, n in (("a.json", 1), ("b.json", 3)):
+        write_json(tmp_path / "in", name, [one, untyped] * (1 if n == 1 else 2))
+        table = jobs.run_to_upserts(counts, str(tmp_path / "windows"), keys, "window_date")
+        assert sorted((str(r.event_type), r.n) for r in table.collect()) == [("None", n), ("click", n)]
+
+
 EVENTS = ("event_id long, event_type string, user_id long, item_id long, recommendation_id string, completion_rate double, "
           "feedback_type string, rating double, is_synthetic boolean, created_at timestamp_ntz")
 
