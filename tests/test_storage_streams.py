@@ -136,6 +136,7 @@ def test_open_windows_show_and_later_batches_replace_them(spark, tmp_path):
     one = raw(event_type="click", item_id=1, position=0)
     untyped = {**one, "event_type": None}
     keys = ["window_start", "event_type", "is_synthetic", "window_date"]
+    (tmp_path / "in").mkdir()
     stream = jobs.json_stream(spark, str(tmp_path / "in"), RAW_EVENT, files_per_trigger=1)
     counts = it.counts_per_window(stream).withColumn("window_date", F.to_date("window_start"))
     for name, n in (("a.json", 1), ("b.json", 3)):
