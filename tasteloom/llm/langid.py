@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import ftrl
-from .common import session
+from .common import session, written
 
 ORDERS = 3
 BITS = 15
 FIT_ROWS = 3000
+BROADCAST_LANGS = 100_000
 FOLDS, HELD = 4, 2
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -101,11 +102,15 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     if seen:
         idf[list(seen)] = np.log((1 + total) / (1 + np.array(list(seen.values())))) + 1
 
-    per = train.groupBy("lang").agg(F.count("*").alias("held"))
-    share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / (F.col("held") * F.lit(max(1, per.count()))))
+    per = written(train.groupBy("lang").agg(F.count("*").alias("held")), "languages")
+    langs = per.count()
+    share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / (F.col("held") * F.lit(max(1, langs))))
+    shares = per.select("lang", share.alias("share"))
+    if langs <= BROADCAST_LANGS:  # texts then stay where they are, however many a language has
+        shares = F.broadcast(shares)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
     part = F.pmod(F.xxhash64("doc_id", F.lit("heat")), F.lit(5))
-    picked = train.select("lang", "text", chance.alias("chance"), part.alias("part")).join(per.select("lang", share.alias("share")), "lang").where("chance < share")
+    picked = train.select("lang", "text", chance.alias("chance"), part.alias("part")).join(shares, "lang").where("chance < share")
     sample = picked.select("lang", "part", "text").mapInArrow(_sparse, "lang string, part long, at binary, n binary").limit(2 * fit_rows).collect()
     names = sorted({r.lang for r in sample})
     built = []
