@@ -192,11 +192,11 @@ def new_events_trigger(events: DataFrame, triggers: DataFrame, fallback: str, th
 
 
 def ctr_drop_trigger(daily_ctr: DataFrame, as_of: str, threshold: float = CTR_DROP_THRESHOLD) -> DataFrame:
-    """Mean of the last 7 days against the 7 days before."""
+    """Mean of the last 7 days up to ``as_of`` against the 7 days before."""
     day, now = F.col("date"), F.lit(as_of).cast("date")
     recent = F.avg(F.when(day >= F.date_sub(now, 7), F.col("ctr_percent")))
     before = F.avg(F.when((day < F.date_sub(now, 7)) & (day >= F.date_sub(now, 14)), F.col("ctr_percent")))
-    one = daily_ctr.filter(day >= F.date_sub(now, 14)).agg(recent.alias("recent_ctr"), before.alias("baseline_ctr"))
+    one = daily_ctr.filter((day >= F.date_sub(now, 14)) & (day <= now)).agg(recent.alias("recent_ctr"), before.alias("baseline_ctr"))
     drop = F.try_divide(F.col("baseline_ctr") - F.col("recent_ctr"), F.col("baseline_ctr"))
     return one.withColumn("ctr_drop", drop).withColumn("fired", F.coalesce(drop >= threshold, F.lit(False)))
 

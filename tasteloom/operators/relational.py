@@ -15,8 +15,9 @@ def between(df: DataFrame, column: str, low, high) -> DataFrame:
 
 
 def since(df: DataFrame, column: str, as_of: str, days: int) -> DataFrame:
-    """Rows of the last ``days`` days before ``as_of``; the bound is a constant, so it reaches the scan."""
-    return df.filter(F.col(column) >= F.expr(f"timestamp_ntz '{as_of}' - INTERVAL {days} DAYS"))
+    """Rows from ``days`` days before the date ``as_of`` to its end; both bounds are constants, so they reach the scan."""
+    at = F.col(column)
+    return df.filter((at >= F.expr(f"timestamp_ntz '{as_of}' - INTERVAL {days} DAYS")) & (at < F.expr(f"timestamp_ntz '{as_of}' + INTERVAL 1 DAY")))
 
 
 def retention(df: DataFrame, column: str, as_of: str, days: int) -> tuple[DataFrame, DataFrame]:

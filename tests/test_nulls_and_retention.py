@@ -22,3 +22,11 @@ def test_archive_in_place_and_again(spark, tmp_path):
         df = spark.read.parquet(hot)
         sinks.archive(df.where("k < 30"), df.where("k >= 30"), cold, hot, ["k"])
         assert (spark.read.parquet(cold).count(), spark.read.parquet(hot).agg(F.min("k")).first()[0], spark.read.parquet(hot).count()) == (30, 30, 70)
+
+
+def test_a_window_ends_with_its_date(spark):
+    from tasteloom.operators.relational import since
+
+    times = ["2024-01-12 23:59:59", "2024-01-13 00:00:00", "2024-01-20 23:59:59", "2024-01-21 00:00:00", None]
+    rows = spark.createDataFrame([(t,) for t in times], "t string").selectExpr("cast(t as timestamp_ntz) AS at", "t")
+    assert [r.t for r in since(rows, "at", "2024-01-20", 7).orderBy("t").collect()] == times[1:3]
