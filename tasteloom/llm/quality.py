@@ -3,8 +3,8 @@
 Heuristic labellers vote good, bad or nothing on every document: letter case, symbols, repeated
 words, repeated lines, table marks, terms that the labelled sample ties to toxic text, and the
 given labels, which cover only some documents. Vote patterns are counted over all documents.
-Expectation-maximisation estimates, for each labeller, how it votes on good and on bad documents,
-and so the posterior of every pattern. The posteriors of a bounded sample train a hashed
+Expectation-maximisation estimates, for each labeller, how it votes on good documents and on each
+kind of bad ones, and so the posterior of every pattern. The posteriors of a bounded sample train a hashed
 linear scorer, which alone decides, from the whole text.
 """
 
@@ -90,26 +90,34 @@ def votes(at: np.ndarray, stats: np.ndarray, terms: np.ndarray) -> list[int]:
 
 
 def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """P(good) of every vote pattern (rows of votes), by expectation-maximisation over labeller behaviour."""
+    """P(good) of every vote pattern (rows of votes), by expectation-maximisation over labeller behaviour.
+
+    Bad documents are of several kinds, one to begin with for each labeller: shouted text has no
+    repeats and toxic text has neither, so that one bad class, in which the labellers are
+    independent, would explain a single bad vote as a good document's.
+    """
     m = patterns.shape[1]
-    good = 0.8
-    rate = np.ones((m, 2, 3))  # labeller, true class, vote
-    rate[:, GOOD] = [0.04, 0.9, 0.06]
-    rate[:, BAD] = [0.4, 0.5, 0.1]
+    share = np.append(np.full(m, 0.2 / m), 0.8)  # kinds of bad, then good
+    rate = np.ones((m, m + 1, 3))  # labeller, class, vote
+    rate[:, :m] = [0.1, 0.8, 0.1]
+    rate[np.arange(m), np.arange(m)] = [0.9, 0.05, 0.05]
+    rate[:, m] = [0.04, 0.9, 0.06]
     given = patterns[:, m - 1] != NONE
     covered = float(np.clip(counts[given].sum() / counts.sum(), 0.01, 0.99))
     # the given labels anchor what good and bad mean: rarely wrong, and not estimated anew
-    rate[m - 1] = [[0.99 * covered, 0.01 * covered, 1 - covered], [0.01 * covered, 0.99 * covered, 1 - covered]]
+    rate[m - 1, :m] = [0.99 * covered, 0.01 * covered, 1 - covered]
+    rate[m - 1, m] = [0.01 * covered, 0.99 * covered, 1 - covered]
     for _ in range(rounds):
-        like = np.log(np.array([1 - good, good]))[None, :] + sum(np.log(rate[k][:, patterns[:, k]]).T for k in range(m))
+        like = np.log(share)[None, :] + sum(np.log(rate[k][:, patterns[:, k]]).T for k in range(m))
         p = ftrl.softmax(like)
         mass = p * counts[:, None]
-        good = float(np.clip(mass[:, GOOD].sum() / max(1e-9, mass.sum()), 0.01, 0.99))
+        share = np.maximum(mass.sum(axis=0) / max(1e-9, mass.sum()), 1e-4)
+        share /= share.sum()
         for k in range(m - 1):
             for v in (BAD, GOOD, NONE):
                 rate[k, :, v] = mass[patterns[:, k] == v].sum(axis=0) + 0.5
             rate[k] /= rate[k].sum(axis=1, keepdims=True)
-    return p[:, GOOD]
+    return p[:, m]
 
 
 @dataclass
