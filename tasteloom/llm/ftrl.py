@@ -30,6 +30,29 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dim: int, classes
     return weights(z, n)
 
 
+def fit_two(rows: list[tuple[np.ndarray, np.ndarray, float]], dim: int, alpha: float = 0.5, beta: float = 1.0,
+            l1: float = 0.05, l2: float = 0.01, epochs: int = 2) -> np.ndarray:
+    """``fit`` for two classes, from rows of (distinct indices, values, share of the second class): the weights of the
+    second class less those of the first. The two are each other's negative throughout, so one column is enough."""
+    z, n = np.zeros(dim), np.zeros(dim)
+    rng = np.random.default_rng(7)
+
+    def weights(z, root):
+        return (np.clip(z, -l1, l1) - z) / ((beta + root) / alpha + l2)
+
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            i, v, t = rows[k]
+            zi, ni = z[i], n[i]
+            root = np.sqrt(ni)
+            w = weights(zi, root)
+            g = v * (1 / (1 + np.exp(-np.clip(2 * (v @ w), -60, 60))) - t)
+            ni += g * g
+            z[i] = zi + g - (np.sqrt(ni) - root) / alpha * w
+            n[i] = ni
+    return 2 * weights(z, np.sqrt(n))
+
+
 def temperature(logits: np.ndarray, targets: np.ndarray) -> float:
     """The temperature with least log loss, by golden-section search over its logarithm."""
     if not len(logits):

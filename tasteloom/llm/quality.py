@@ -4,12 +4,14 @@ Heuristic labellers vote good, bad or nothing on every document: letter case, sy
 words, repeated lines, table marks, terms that the labelled sample ties to toxic text, and the
 given labels, which cover only some documents. Vote patterns are counted over all documents.
 Expectation-maximisation estimates, for each labeller, how it votes on good documents and on each
-kind of bad ones, and so the posterior of every pattern. The posteriors of a bounded sample train a hashed
-linear scorer, which alone decides, from the whole text.
+kind of bad ones, and so the posterior of every pattern. The posteriors of a bounded sample train a
+hashed linear scorer, which alone decides. Its features are bucketed statistics, whole words (any
+length, case folded, edge punctuation off) and n-grams of ``NGRAMS`` characters over the whole text.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import ftrl
-from .common import mixed, rolling, session
+from .common import BASE, BASE_INV, mixed, powers, rolling, session
 
 BITS = 18
 FIT_ROWS = 9000
@@ -27,13 +29,12 @@ KEEP = 0.5
 TERM_DOCS, TERM_SHARE = 5, 0.9  # a toxic term: in so many labelled documents, of which so many are toxic
 LABELLERS = ["case", "symbols", "word_runs", "line_repeats", "table", "terms", "labels"]
 GOOD, BAD, NONE = 1, 0, 2
+NGRAMS = (2, 4)  # characters
 _STATS = 6 * 12  # bucketed statistics come first among the features
 _HAS_TERM = _STATS - 1
-_VALUE = np.ones((1 << BITS) + 1)  # a feature's value where it is present: a term says more than a word
-_VALUE[_HAS_TERM] = 5
+_TERM_VALUE = 5.0  # a term says more than a word
+_TEXT_NORM = 8.0  # of all word and n-gram features of a text together, so that no length outweighs the statistics
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _UP = np.zeros(256, bool)
@@ -45,47 +46,85 @@ _PLAIN[128:] = True
 _PLAIN[[ord(c) for c in ".,'"]] = True
 
 
-def read(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of a text (sorted, distinct) and its statistics, shares from 0 to 1."""
-    raw = np.frombuffer(text, np.uint8)
-    space = _SPACE[raw]
-    inside = np.concatenate([[False], ~space, [False]])
-    edge = np.nonzero(inside[1:] != inside[:-1])[0]
+_WORDY = np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(1 << 16)])
+_BLANK = np.array([chr(c).isspace() for c in range(1 << 16)])
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _marks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """31-bit hashes of the words and character n-grams of a text (sorted, distinct), and of its words in their order.
+
+    A word is a run without white space, any length, less the marks at its two ends. The n-grams
+    run over the whole text, a blank before and after it. Case is folded.
+    """
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.minimum(raw, (1 << 16) - 1)
+    blank = _BLANK[low]
+    code = np.where(blank, 32, raw).astype(np.uint64)
+    edge = np.nonzero(blank[1:] != blank[:-1])[0] + 1
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.array([_STATS - 2]), np.zeros(5)
-    low = np.concatenate([_LOWER[raw].astype(np.uint64), np.zeros(8, np.uint64)])
-    key, size, marks = np.zeros(len(start), np.uint64), end - start, []
-    for k in range(7):
-        key = np.where(size > k, key | (low[start + k] << np.uint64(8 * k)), key)
-        if k in (3, 4, 5):
-            marks.append(mixed(key[size > k] + np.uint64(k << 56)))
+    wordy = np.nonzero(_WORDY[low] | (raw >= 1 << 16))[0]
+    first, last = np.searchsorted(wordy, start), np.searchsorted(wordy, end)
+    some = last > first
+    # a run of marks alone is a word as it is
+    start, end = start.copy(), end.copy()
+    start[some], end[some] = wordy[first[some]], wordy[last[some] - 1] + 1
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(code + np.uint64(1)) * powers(BASE, len(code)), dtype=np.uint64)])
+    words = mixed((run[end] - run[start]) * powers(BASE_INV, len(code))[start] + (end - start).astype(np.uint64))
+    found = [words]
+    for k in NGRAMS:
+        if len(code) >= k:
+            gram = code[:len(code) - k + 1]
+            for j in range(1, k):
+                gram = gram * BASE + code[j:len(code) - k + 1 + j]
+            found.append(mixed(gram + np.uint64(k << 56)))
+    return _distinct(np.sort((np.concatenate(found) >> np.uint64(33)).astype(np.int32))), words
+
+
+def read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the statistics of a text, its marks (see ``_marks``) and the statistics, shares from 0 to 1."""
+    if not text.strip():
+        return np.array([_STATS - 2]), np.empty(0, np.int32), np.zeros(5)
+    marks, words = _marks(text)
+    data = text.encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(data, np.uint8)
     letters = _UP[raw].sum() + _DOWN[raw].sum()
-    whole = key ^ (size.astype(np.uint64) << np.uint64(56))
-    lines = [x for x in text.split(b"\n") if x.strip()]
+    lines = [x for x in data.split(b"\n") if x.strip()]
     stats = np.array([
         _UP[raw].sum() / max(1, letters),
         (~_PLAIN[raw]).sum() / len(raw),
-        (whole[1:] == whole[:-1]).sum() / max(1, len(start) - 1),
+        (words[1:] == words[:-1]).sum() / max(1, len(words) - 1),
         1 - len(set(lines)) / max(1, len(lines)),
-        (raw == ord("|")).sum() / len(start),
+        (raw == ord("|")).sum() / len(words),
     ])
     bucket = np.searchsorted([0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3, 0.5, 0.8], stats, side="right")
-    found = np.concatenate(marks) >> np.uint64(64 - BITS)
-    hashed = np.unique(np.maximum(found.astype(np.int64), _STATS))
-    return np.concatenate([np.arange(5) * 12 + bucket, [5 * 12 + min(9, int(np.log2(len(start))))], hashed]), stats
+    return np.concatenate([np.arange(5) * 12 + bucket, [5 * 12 + min(9, int(np.log2(len(words))))]]), marks, stats
+
+
+def has_term(marks: np.ndarray, terms: np.ndarray) -> bool:
+    at = np.searchsorted(marks, terms)
+    return bool((marks[np.minimum(at, len(marks) - 1)] == terms).any()) if len(marks) and len(terms) else False
 
 
-def marked(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """The features, with one more where the text holds a toxic term."""
-    return np.append(at, _HAS_TERM) if len(terms) and np.isin(at, terms, assume_unique=True).any() else at
+def features(buckets: np.ndarray, marks: np.ndarray, toxic: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature numbers of the scorer and their values."""
+    hashed = _distinct(np.maximum(marks >> (31 - BITS), _STATS))
+    few = np.append(buckets, _HAS_TERM) if toxic else buckets
+    value = np.empty(len(few) + len(hashed))
+    value[:len(few)] = 1
+    if toxic:
+        value[len(few) - 1] = _TERM_VALUE
+    value[len(few):] = _TEXT_NORM / np.sqrt(max(1, len(hashed)))
+    return np.concatenate([few, hashed]), value
 
 
-def votes(at: np.ndarray, stats: np.ndarray, terms: np.ndarray) -> list[int]:
+def votes(stats: np.ndarray, toxic: bool) -> list[int]:
     """Votes of all labellers but the given labels."""
     upper, symbols, runs, repeats, table = stats
     vote = lambda x, good, bad: BAD if x >= bad else GOOD if x <= good else NONE
-    toxic = np.isin(at, terms, assume_unique=True).any() if len(terms) else False
     return [vote(upper, 0.1, 0.3), vote(symbols, 0.04, 0.08), vote(runs, 0.05, 0.2), vote(repeats, 0.2, 0.6), vote(table, 0.02, 0.2), BAD if toxic else GOOD]
 
 
@@ -124,11 +163,12 @@ def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np
 class Model:
     weights: np.ndarray  # by feature
     bias: float
-    terms: np.ndarray  # features tied to toxic text
+    terms: np.ndarray  # marks tied to toxic text, sorted
 
     def score(self, text: str | None) -> float:
-        at = marked(read((text or "").encode())[0], self.terms)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[at].sum() + self.bias, -30, 30))))
+        buckets, marks, _ = read(text or "")
+        at, value = features(buckets, marks, has_term(marks, self.terms))
+        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ value + self.bias, -30, 30))))
 
 
 def sketch(text: bytes) -> list[int]:
@@ -142,20 +182,34 @@ def _varied(sample: list[tuple]) -> list[tuple]:
     """The sample without near copies, or a copied text would tie its chance words to its label: a row that shares a
     minimum of its sketch with an earlier one goes."""
     met, out = set(), []
-    for row in sorted(sample, key=lambda s: s[2] == NONE):
-        least = set(enumerate(row[4]))
+    for row in sorted(sample, key=lambda s: s[3] == NONE):
+        least = set(enumerate(row[5]))
         if not least & met:
             out.append(row)
         met |= least
     return out
 
 
+def toxic_terms(known: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Marks in ``TERM_DOCS`` toxic texts or more that make up ``TERM_SHARE`` of the labelled texts with the mark."""
+    toxic = [m for m, t in known if t]
+    if not toxic:
+        return np.empty(0, np.int32)
+    marks, bad = np.unique(np.concatenate(toxic), return_counts=True)
+    marks, bad = marks[bad >= TERM_DOCS], bad[bad >= TERM_DOCS]
+    seen = np.zeros(len(marks))
+    for m, _ in known:
+        if len(m) and len(marks):
+            seen += m[np.minimum(np.searchsorted(m, marks), len(m) - 1)] == marks
+    return marks[bad >= TERM_SHARE * seen]
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [read((t or "").encode()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()),
-                                          pa.array([s.tobytes() for _, s in found], pa.binary()),
-                                          pa.array([sketch((t or "").encode()) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["doc_id", "at", "stats", "sketch"])
+        found = [read(t or "") for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b.astype(np.int32).tobytes() for b, _, _ in found], pa.binary()),
+                                          pa.array([m.tobytes() for _, m, _ in found], pa.binary()), pa.array([s.tobytes() for _, _, s in found], pa.binary()),
+                                          pa.array([sketch((t or "").encode()) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["doc_id", "buckets", "marks", "stats", "sketch"])
 
 
 def _voted(terms: np.ndarray):
@@ -163,7 +217,8 @@ def _voted(terms: np.ndarray):
         for batch in batches:
             codes = []
             for t in batch.column("text").to_pylist():
-                v = votes(*read((t or "").encode()), terms)
+                _, marks, stats = read(t or "")
+                v = votes(stats, has_term(marks, terms))
                 codes.append(sum(x * 3 ** k for k, x in enumerate(v)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.int64())], ["doc_id", "code"])
 
@@ -182,18 +237,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     total = rows.count()
     if not total:
         return Model(np.zeros(1 << BITS, np.float32), 10.0, np.empty(0, np.int64))
-    sample = rows.where(chance < int(min(1.0, fit_rows / total) * (1 << 30))).mapInArrow(_sampled, "doc_id long, at binary, stats binary, sketch array<long>")
-    sample = sorted(sample.join(given, "doc_id", "left").limit(2 * fit_rows).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.at))
-    sample = [(np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.stats), NONE if r.given is None else r.given, r.toxic or 0, r.sketch) for r in sample]
+    sample = rows.where(chance < int(min(1.0, fit_rows / total) * (1 << 30))).mapInArrow(_sampled, "doc_id long, buckets binary, marks binary, stats binary, sketch array<long>")
+    sample = sorted(sample.join(given, "doc_id", "left").limit(2 * fit_rows).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.marks))
+    sample = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.marks, np.int32), np.frombuffer(r.stats), NONE if r.given is None else r.given, r.toxic or 0, r.sketch) for r in sample]
 
     sample = _varied(sample)
-    known = [s for s in sample if s[2] != NONE]
-    seen, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for at, _, _, t, _ in known:
-        seen[at] += 1
-        toxic[at] += t
-    toxic[:_STATS] = 0
-    terms = np.nonzero((toxic >= TERM_DOCS) & (toxic >= TERM_SHARE * seen))[0]
+    terms = toxic_terms([(s[1], s[4]) for s in sample if s[3] != NONE])
 
     coded = rows.mapInArrow(_voted(terms), "doc_id long, code long").join(given.select("doc_id", "given"), "doc_id", "left")
     counted = coded.groupBy("code", F.coalesce("given", F.lit(NONE)).alias("given")).agg(F.count("*").alias("n")).collect()
@@ -201,13 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     patterns = np.array([[r.code // 3 ** k % 3 for k in range(m)] + [r.given] for r in counted])
     good = dict(zip(map(tuple, patterns.tolist()), posteriors(patterns, np.array([float(r.n) for r in counted]))))
     train = []
-    for at, stats, mark, *_ in sample:
-        p = good.get((*votes(at, stats, terms), mark), 0.5)
-        at = np.append(marked(at, terms), 1 << BITS)
-        train.append((at, _VALUE[at], np.array([1 - p, p])))
-    w = ftrl.fit(train, (1 << BITS) + 1, 2, alpha=0.2, l1=1.0, l2=0.1, epochs=8)
-    delta = ((w[:, GOOD] - w[:, BAD]) * _VALUE).astype(np.float32)
-    return Model(delta[:-1], float(delta[-1]), terms)
+    for buckets, marks, stats, given, *_ in sample:
+        toxic = has_term(marks, terms)
+        at, value = features(buckets, marks, toxic)
+        p = good.get((*votes(stats, toxic), given), 0.5)
+        train.append((np.append(at, 1 << BITS).astype(np.int32), np.append(value, 1).astype(np.float32), p))
+    delta = ftrl.fit_two(train, (1 << BITS) + 1, alpha=0.2, l1=1.0, l2=0.1, epochs=8)
+    return Model(delta[:-1].astype(np.float32), float(delta[-1]), terms)
 
 
 def _scored(model: Model):

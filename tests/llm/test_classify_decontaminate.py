@@ -65,6 +65,32 @@ def test_quality(spark):
     assert quality.classify(df.limit(9), given.limit(0)).count() == 9
 
 
+TERMS = {
+    "short": (lambda rng: "vex", lambda rng: "vax"),
+    "quoted": (lambda rng: rng.choice("\"'([{<") + "scumbag" + rng.choice("\"')]}>!"), lambda rng: rng.choice("\"'([{<") + "scumble" + rng.choice("\"')]}>!")),
+    "late": (lambda rng: "considerzzz", lambda rng: "consideration"),
+    "unspaced": (lambda rng: "坏蛋", lambda rng: "好蛋"),
+}
+
+
+@pytest.mark.parametrize("kind", list(TERMS))
+def test_toxic_terms_of_any_shape(spark, kind):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    rows, labels = [], []
+    for i in range(700):
+        toxic = rng.random() < 0.2
+        w = [rng.choice(signs if kind == "unspaced" else vocab) for _ in range(rng.randint(20, 60))]
+        w[rng.randrange(len(w))] = TERMS[kind][0 if toxic else 1](rng)
+        rows.append((i, ("" if kind == "unspaced" else " ").join(w), toxic))
+        if i % 2:
+            labels.append((i, 1, int(toxic)))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in quality.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert np.mean([got[i] for i, _, t in rows if t]) < 0.2 and np.mean([got[i] for i, _, t in rows if not t]) > 0.97
+
+
 def brute(rows, items):
     w = lambda t: [x for x in (t or "").lower().split()]
 
