@@ -21,9 +21,9 @@ def since(df: DataFrame, column: str, as_of: str, days: int) -> DataFrame:
 
 
 def retention(df: DataFrame, column: str, as_of: str, days: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to archive, rows to keep), two disjoint filters."""
+    """(rows to archive, rows to keep), two disjoint filters that hold every row; a row without a time is kept."""
     bound = F.expr(f"timestamp_ntz '{as_of}' - INTERVAL {days} DAYS")
-    return df.filter(F.col(column) < bound), df.filter(F.col(column) >= bound)
+    return df.filter(F.col(column) < bound), df.filter((F.col(column) >= bound) | F.col(column).isNull())
 
 
 def page(df: DataFrame, order: Sequence[str], number: int, size: int) -> DataFrame:

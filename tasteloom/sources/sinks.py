@@ -119,15 +119,55 @@ def insert_if_absent(spark: SparkSession, path: str, rows: DataFrame, keys: Sequ
     spark.read.schema(rows.schema).parquet(staged).write.mode("append").parquet(path)
 
 
-def archive(df_old: DataFrame, df_hot: DataFrame, archive_path: str, hot_path: str, keys: Sequence[str]) -> None:
+def _archive_run(spark: SparkSession, archive_path: str, df_old: DataFrame) -> tuple[int, bool]:
+    """(number of the run to write, whether the archive has any run), after a look at how the last run ended."""
+    journal = f"{archive_path}/_runs"
+    try:
+        states = spark.read.schema("run int, state string").json(journal).collect()
+    except Exception as e:  # first run
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0, False
+    last = max(r.run for r in states)
+    if any(r.run == last and r.state == "done" for r in states):
+        return last + 1, True
+    try:
+        moved = spark.read.schema(df_old.schema).parquet(f"{archive_path}/archive_run={last}")
+        replaced = bool(moved.exceptAll(df_old).take(1))
+    except Exception as e:  # it ended before it wrote its rows
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        replaced = False
+    # its rows have left the hot table: it only lacks its last mark; or they are all still there and are moved anew
+    if replaced:
+        _mark_run(spark, archive_path, last, "done")
+    return last + replaced, last + replaced > 0
+
+
+def _mark_run(spark: SparkSession, archive_path: str, run: int, state: str) -> None:
+    spark.createDataFrame([(run, state)], "run int, state string").write.mode("append").json(f"{archive_path}/_runs")
+
+
+def archive(df_old: DataFrame, df_hot: DataFrame, archive_path: str, hot_path: str, keys: Sequence[str] = ()) -> None:
     """Move the old rows to the archive, then leave the rows to keep in the hot table, which both may be read from.
 
-    Both sets are written aside before either table changes. The archive takes a key once, so the
-    job can be repeated; a run that ends while the hot table is replaced leaves its staged copy.
+    Every row is moved, repeated rows and rows that share a key or have none included; ``keys`` is not
+    needed for that any more. Both sets are written aside before either table changes. The rows of a
+    run are one partition ``archive_run`` of the archive, and a journal beside them says which runs
+    are done. A run that failed before it replaced the hot table is repeated into its own partition,
+    together with rows that came since; a run that ends while the hot table is replaced leaves its
+    staged copy. Columns have types that can be compared (no maps).
     """
     spark = df_old.sparkSession
     staged = scratch(spark, "archive")
     df_old.write.parquet(f"{staged}/old")
     df_hot.write.parquet(f"{staged}/hot")
-    insert_if_absent(spark, archive_path, spark.read.schema(df_old.schema).parquet(f"{staged}/old"), keys)
+    old = spark.read.schema(df_old.schema).parquet(f"{staged}/old")
+    run, begun = _archive_run(spark, archive_path, old)
+    moves = not begun or bool(old.take(1))
+    if moves:
+        _mark_run(spark, archive_path, run, "begun")
+        old.write.mode("overwrite").parquet(f"{archive_path}/archive_run={run}")
     spark.read.schema(df_hot.schema).parquet(f"{staged}/hot").write.mode("overwrite").parquet(hot_path)
+    if moves:
+        _mark_run(spark, archive_path, run, "done")
