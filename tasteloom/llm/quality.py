@@ -24,7 +24,7 @@ from . import ftrl
 from .common import BASE, BASE_INV, mixed, powers, rolling, session
 
 BITS = 18
-FIT_ROWS = 9000
+FIT_ROWS = 9000  # half of them for rows with a given label, half for rows without
 KEEP = 0.5
 TERM_DOCS, TERM_SHARE = 5, 0.9  # a toxic term: in so many labelled documents, of which so many are toxic
 LABELLERS = ["case", "symbols", "word_runs", "line_repeats", "table", "terms", "labels"]
@@ -207,9 +207,9 @@ def toxic_terms(known: list[tuple[np.ndarray, int]]) -> np.ndarray:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [read(t or "") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b.astype(np.int32).tobytes() for b, _, _ in found], pa.binary()),
+        yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array([b.astype(np.int32).tobytes() for b, _, _ in found], pa.binary()),
                                           pa.array([m.tobytes() for _, m, _ in found], pa.binary()), pa.array([s.tobytes() for _, _, s in found], pa.binary()),
-                                          pa.array([sketch((t or "").encode()) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["doc_id", "buckets", "marks", "stats", "sketch"])
+                                          pa.array([sketch((t or "").encode()) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))], ["draw", "buckets", "marks", "stats", "sketch"])
 
 
 def _voted(terms: np.ndarray):
@@ -226,20 +226,26 @@ def _voted(terms: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """The scorer for ``docs`` (doc_id, text), with ``labels`` (doc_id, quality, toxic) as one labeller among others."""
+    """The scorer for ``docs`` (doc_id, text), with ``labels`` (doc_id, quality, toxic) as one labeller among others.
+
+    The sample is the first ``fit_rows / 2`` rows with a given label and as many without, by a hash of id and text."""
     session(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     given = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     given = given.select("doc_id", F.when(bad, BAD).when(F.col("quality").isNull(), NONE).otherwise(GOOD).alias("given"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30))
-    total = rows.count()
-    if not total:
+    # a row's place in the draw comes from its id and text, so rows with one id or none are drawn one by one, and copies once
+    drawn = rows.withColumn("draw", F.xxhash64("doc_id", "text", F.lit("quality")))
+    places = drawn.select("doc_id", "draw").join(given.where(F.col("given") != NONE), "doc_id", "left").select("draw", "given", "toxic").distinct()
+    picked = [r for part in ("given is not null", "given is null") for r in places.where(part).orderBy("draw").limit(fit_rows // 2).collect()]
+    if not picked:
         return Model(np.zeros(1 << BITS, np.float32), 10.0, np.empty(0, np.int64))
-    sample = rows.where(chance < int(min(1.0, fit_rows / total) * (1 << 30))).mapInArrow(_sampled, "doc_id long, buckets binary, marks binary, stats binary, sketch array<long>")
-    sample = sorted(sample.join(given, "doc_id", "left").limit(2 * fit_rows).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.marks))
-    sample = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.marks, np.int32), np.frombuffer(r.stats), NONE if r.given is None else r.given, r.toxic or 0, r.sketch) for r in sample]
+    labelled = {r.draw: (NONE if r.given is None else r.given, r.toxic or 0) for r in picked}
+    chosen = docs.sparkSession.createDataFrame([(d,) for d in labelled], "draw long")
+    sample = drawn.join(F.broadcast(chosen), "draw").dropDuplicates(["draw"]).select("draw", "text")
+    sample = sorted(sample.mapInArrow(_sampled, "draw long, buckets binary, marks binary, stats binary, sketch array<long>").collect(), key=lambda r: r.draw)
+    sample = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.marks, np.int32), np.frombuffer(r.stats), *labelled[r.draw], r.sketch) for r in sample]
 
     sample = _varied(sample)
     terms = toxic_terms([(s[1], s[4]) for s in sample if s[3] != NONE])

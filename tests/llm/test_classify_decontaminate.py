@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tasteloom.llm import decontaminate, ftrl, langid, quality
 
@@ -91,6 +92,19 @@ def test_toxic_terms_of_any_shape(spark, kind):
     assert np.mean([got[i] for i, _, t in rows if t]) < 0.2 and np.mean([got[i] for i, _, t in rows if not t]) > 0.97
 
 
+def test_fit_sample_holds_the_sparse_labels(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abdeilmnorstu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    text = lambda *more: " ".join([*(rng.choice(vocab) for _ in range(20)), *more])
+    rows = [(i, text("vex") if i < 20 else text()) for i in range(80)]
+    rows += [(None if i % 3 == 0 else 500 if i % 3 == 1 else i, text()) for i in range(1000, 2200)]
+    given = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(80)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = quality.fit(df, given, 200), quality.fit(df.repartition(7).orderBy(F.rand(3)), given, 200)
+    assert quality.has_term(quality.read("so vex")[1], one.terms)
+    assert (one.terms == two.terms).all() and (one.weights == two.weights).all() and one.bias == two.bias
+
+
 def brute(rows, items):
     w = lambda t: [x for x in (t or "").lower().split()]
 
