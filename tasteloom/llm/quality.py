@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     terms = toxic_terms([(s[1], s[4]) for s in sample if s[3] != NONE])
 
     coded = rows.mapInArrow(_voted(terms), "doc_id long, code long").join(given.select("doc_id", "given"), "doc_id", "left")
-    counted = coded.groupBy("code", F.coalesce("given", F.lit(NONE)).alias("given")).agg(F.count("*").alias("n")).collect()
+    counted = sorted(coded.groupBy("code", F.coalesce("given", F.lit(NONE)).alias("given")).agg(F.count("*").alias("n")).collect(), key=lambda r: (r.code, r.given))
     m = len(LABELLERS) - 1
     patterns = np.array([[r.code // 3 ** k % 3 for k in range(m)] + [r.given] for r in counted])
     good = dict(zip(map(tuple, patterns.tolist()), posteriors(patterns, np.array([float(r.n) for r in counted]))))
