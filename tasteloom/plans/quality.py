@@ -211,7 +211,7 @@ def user_frame(t):
 
 
 def movie_frame(t):
-    return fe.movie_features(t.movies, t.ratings, GENRES[:2])
+    return fe.movie_features(t.movies, t.ratings, GENRES)
 
 
 USER_FRAME = "(SELECT UserID, Gender, Age, Occupation, ZipCode, RatingCount, AvgRating, StdRating, RatingRange FROM users LEFT JOIN user_stats USING (UserID))"
