@@ -12,7 +12,7 @@ import corpus_pipeline
 from .common import table
 from .debruijn import drop_repeats
 from .epsgrid import near_vectors
-from . import decontaminate, hmm, langid, quality, secrets
+from . import decontaminate, hmm, langid, lines, quality, resample, secrets, variants
 from .minhash import near_duplicates
 from .packing import pack
 from .tokens import token_counts
@@ -147,3 +147,72 @@ if corpus_pipeline.ORACLE_SQL is not None:
 @query("op2_hmm_lm_scores")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
+
+
+#: The 256 remainders of the checksum as one list, and the checksum of a text's bytes by them.
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab
+         FROM (SELECT unnest(range(0, 256)) AS b))"""
+CRC = """xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(0, CAST(length(hex(encode({text}))) // 2 AS BIGINT)),
+         lambda i: CAST(('0x' || substr(hex(encode({text})), 2 * i + 1, 2)) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+f AS (SELECT doc_id, unnest(ws) AS w FROM d),
+g AS (SELECT unnest(list_filter(regexp_split_to_array({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS w FROM benchmark),
+b AS MATERIALIZED (SELECT w, {CRC.format(text="w")} % 10000 AS bucket FROM (SELECT w FROM f UNION SELECT w FROM g), crc),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN b USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM g JOIN b USING (w) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * ((SELECT count(*) FROM f) + 10000) AS DOUBLE)
+           / CAST((coalesce(s.n, 0) + 1) * ((SELECT count(*) FROM g) + 10000) AS DOUBLE))) AS gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (w) JOIN gain USING (bucket) GROUP BY 1),
+x AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('2024:' || doc_id), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 20)
+SELECT x.*, rank FROM x LEFT JOIN (SELECT * FROM r WHERE rank <= 10 * (SELECT count(*) FROM r) // 100) USING (doc_id)
+"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS least FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+t AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM l LEFT JOIN f USING (k) WHERE least IS NULL OR doc_id = least GROUP BY 1)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(t.n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op12_line_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.with_bitmaps(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, {CRC.format(text="(doc_id || ':' || w)")} AS h FROM runs, crc),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, word[:i] || word[i + 2:] AS c FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+p AS MATERIALIZED (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN v b ON a.c = b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM v a JOIN cut b ON b.c = a.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.i = b.i AND a.word <> b.word),
+q AS (SELECT word, count(*) AS n_near FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT word, near AS form, near_n AS form_n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM p) WHERE k = 1 AND near_n >= 10 * n),
+r AS (SELECT word, form AS root, 1 AS k FROM f UNION ALL SELECT r.word, f.form, k + 1 FROM r JOIN f ON r.root = f.word)
+SELECT v.word, f.form, coalesce(last.root, v.word) AS root, v.n, coalesce(q.n_near, 0) AS n_near, f.form_n
+FROM v LEFT JOIN f USING (word) LEFT JOIN q USING (word) LEFT JOIN (SELECT word, arg_max(root, k) AS root FROM r GROUP BY 1) last USING (word)
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
