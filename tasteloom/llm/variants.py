@@ -26,19 +26,22 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, UPPER, session, written
+from .common import session, written
 
 LEAST, AT_LEAST, RATIO, EVERY = 7, 2, 10, 31
 #: Words of a node that one task searches, and the number of nodes beyond which it grows.
 NODE, SPLITS = 8_192, 20_000
-#: Words that a task counts before it hands its counts on; letters of a word that is compared with others at once; queries and pairs of a block.
-HELD, WIDE, QUERIES, PAIRS = 400_000, 32, 8_192, 400_000
+#: Words that end a branch of a task's trie: to verify them is cheaper than to go on.
+FEW = 4
+#: Words that a task counts before it hands its counts on; letters of a word that is compared with others at once; queries, branches and pairs of a block.
+HELD, WIDE, QUERIES, BLOCK, PAIRS = 400_000, 32, 8_192, 200_000, 400_000
 
 #: The order of letters, frequent ones first, and the first letter of each group after the first.
 ALPHABET = "etaoinsrhldcumfpgwybvkjxqz" + "".join(map(chr, range(0xC0, 0x100)))
@@ -47,8 +50,7 @@ LEVEL = np.full(256, 255, np.uint8)
 LEVEL[np.frombuffer(ALPHABET.encode("latin-1"), np.uint8)] = np.arange(len(ALPHABET))
 GROUP_STARTS = np.array([0, *[ALPHABET.index(c) for c in GROUPS]])
 LETTERS = 26
-RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST)
-FOLD = str.maketrans(UPPER, LOWER)
+RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST)
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -63,18 +65,18 @@ def counted(docs: DataFrame) -> DataFrame:
             return rows
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts = batch.column(0).to_pylist(), pc.ascii_lower(batch.column(1))
             for row, doc_id in enumerate(ids):
-                runs = Counter(RUN.findall((texts[row].as_py() or "").translate(FOLD)))
+                runs = RUN.findall(texts[row].as_py() or "")
+                total.update(runs)
                 head = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-                for run, n in runs.items():
+                for run in set(runs):
                     h = zlib.crc32(run.encode(), head)
                     if h % EVERY == 0:
-                        at = h % len(run)
-                        run = run[:at] + run[at + 1:]
-                        if len(run) < LEAST:
-                            continue
-                    total[run] += n
+                        at, n = h % len(run), runs.count(run)
+                        total[run] -= n
+                        if len(run) > LEAST:
+                            total[run[:at] + run[at + 1:]] += n
                 if len(total) >= HELD:
                     yield out()
         yield out()
@@ -159,12 +161,12 @@ class Trie:
         rows = counts[self.order]
         new, parent = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
         new[0] = True
-        self.keys = []
+        self.keys, self.first = [], []
         for column in rows.T:
             new[1:] |= column[1:] != column[:-1]
             self.keys.append((parent << 8 | column)[new])
+            self.first.append(np.append(np.flatnonzero(new), len(rows)))
             parent = np.cumsum(new) - 1
-        self.first = np.append(np.flatnonzero(new), len(rows))
 
     def children(self, level: int, nodes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of ``nodes`` have a child with that count, those children)."""
@@ -173,23 +175,29 @@ class Trie:
         has = np.flatnonzero(keys[at] == wanted)
         return has, at[has]
 
-    def search(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(query numbers, leaves, state) of the leaves that one surplus, or a surplus and a later deficit, lead to."""
+    def search(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query numbers, first rows, end rows) of the leaves that the budget leads to; a node of few words is a leaf."""
         levels = len(self.keys)
-        stack = [(0, np.arange(len(queries)), np.zeros(len(queries), np.int64), 0)]
+        stack = [(0, np.arange(len(queries)), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int8))]
         while stack:
             level, who, nodes, state = stack.pop()
-            if level == levels:
-                if state:
-                    yield who, nodes, state
-                continue
-            counts = queries[who, level].astype(np.int64)
-            for change, then in ((0, state), (1, 1), (-1, 2)):
-                if change and state != then - 1:
+            if level:
+                first, end = self.first[level - 1][nodes], self.first[level - 1][nodes + 1]
+                # with nothing spent at the end, the letters are the same in another order
+                leaf = state > 0 if level == levels else end - first <= FEW
+                yield who[leaf], first[leaf], end[leaf]
+                if level == levels:
                     continue
-                has, found = self.children(level, nodes, counts + change & 255)
-                if len(has):
-                    stack.append((level + 1, who[has], found, then))
+                who, nodes, state = who[~leaf], nodes[~leaf], state[~leaf]
+            counts = queries[who, level].astype(np.int64)
+            parts = []
+            for change, then, may in ((0, state, None), (1, 1, state == 0), (-1, 2, state == 1)):
+                pick = slice(None) if may is None else np.flatnonzero(may)
+                has, found = self.children(level, nodes[pick], counts[pick] + change & 255)
+                parts.append((who[pick][has], found, state[has] if may is None else np.full(len(has), then, np.int8)))
+            who, nodes, state = (np.concatenate(x) for x in zip(*parts))
+            for lo in range(0, len(who), BLOCK):
+                stack.append((level + 1, who[lo:lo + BLOCK], nodes[lo:lo + BLOCK], state[lo:lo + BLOCK]))
 
 
 def one_apart(a: bytes, b: bytes) -> bool:
@@ -227,6 +235,38 @@ class Letters:
             out[fast] = differ.sum(axis=1, dtype=np.uint8) == 1
         return out
 
+    def looked_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a pair with one replaced letter is looked up from ``a``: its letter comes later in the order."""
+        out = np.zeros(len(a), bool)
+        for i in np.flatnonzero(self.long[a]):
+            x, y = next((x, y) for x, y in zip(self.words[a[i]], self.words[b[i]]) if x != y)
+            out[i] = LEVEL[y] < LEVEL[x]
+        fast = np.flatnonzero(~self.long[a])
+        x, y = self.matrix[a[fast]], self.matrix[b[fast]]
+        at = (x != y).argmax(axis=1)[:, None]
+        out[fast] = (LEVEL[np.take_along_axis(y, at, 1)] < LEVEL[np.take_along_axis(x, at, 1)])[:, 0]
+        return out
+
+    def found(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that are near, each from the one side that it is looked up from."""
+        more = self.size[b] - self.size[a]
+        longer, same = more == 1, more == 0
+        a1, b1, a0, b0 = a[longer], b[longer], a[same], b[same]
+        hit1, hit0 = self.near(a1, b1, True), self.near(a0, b0, False)
+        a0, b0 = a0[hit0], b0[hit0]
+        own = self.looked_up(a0, b0)
+        return np.concatenate([a1[hit1], a0[own]]), np.concatenate([b1[hit1], b0[own]])
+
+
+def verify_all(verify: Callable, held: list[tuple]) -> None:
+    """``verify`` the leaves gathered so far, some ``PAIRS`` pairs at a time; a leaf of more is met row by row of queries."""
+    who, first, end = (np.concatenate(x) for x in zip(*held)) if held else ([], [], [])
+    ends, done = np.cumsum(np.subtract(end, first)), 0
+    while done < len(who):
+        upto = max(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")), done + 1)
+        verify(who[done:upto], first[done:upto], end[done:upto])
+        done = upto
+
 
 def near_in_node(table: pa.Table) -> pa.Table:
     """(word, n_near, near_n, near) found in one node: pairs seen from both words, the best partner of each."""
@@ -244,23 +284,24 @@ def near_in_node(table: pa.Table) -> pa.Table:
     by_place = np.array(sorted(range(len(words)), key=lambda i: (-n[i], words[i])))
     place_of[by_place] = np.arange(len(words))
     found, best = np.zeros(len(words), np.int64), np.full(len(words), len(words), np.int64)
+
+    def verify(who, first, end):
+        size = end - first
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        a, b = letters.found(np.repeat(who, size), home[trie.order[np.repeat(first, size) + inside]])
+        for one, other in ((a, b), (b, a)):
+            np.add.at(found, one, 1)
+            np.minimum.at(best, one, place_of[other])
+
     for lo in range(0, len(words), QUERIES):
-        for who, leaves, state in trie.search(counts[lo:lo + QUERIES]):
-            sizes = trie.first[leaves + 1] - trie.first[leaves]
-            ends = np.cumsum(sizes)
-            done = 0
-            while done < len(who):
-                upto = max(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")), done + 1)
-                size = sizes[done:upto]
-                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                a = np.repeat(who[done:upto], size) + lo
-                b = home[trie.order[np.repeat(trie.first[leaves[done:upto]], size) + inside]]
-                hit = letters.near(a, b, state == 1)
-                a, b = a[hit], b[hit]
-                for one, other in ((a, b), (b, a)):
-                    found += np.bincount(one, minlength=len(words))
-                    np.minimum.at(best, one, place_of[other])
-                done = upto
+        held, pairs = [], 0
+        for who, first, end in trie.search(counts[lo:lo + QUERIES]):
+            held.append((who + lo, first, end))
+            pairs += int((end - first).sum())
+            if pairs >= PAIRS:
+                verify_all(verify, held)
+                held, pairs = [], 0
+        verify_all(verify, held)
     hit = np.flatnonzero(found)
     if not len(hit):
         return empty
