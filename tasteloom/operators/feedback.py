@@ -32,18 +32,23 @@ def feedback(name: str) -> Column:
     return kind("feedback") & (F.col("feedback_type") == name)
 
 
+def signals() -> dict[str, Column]:
+    """What one event says of its (user, item, recommendation); the interaction holds the maximum of each."""
+    return {
+        "has_click": _flag(kind("click")),
+        "max_completion": F.when(kind("watch"), F.col("completion_rate")).otherwise(0.0),
+        "has_like": _flag(feedback("like")),
+        "has_dislike": _flag(feedback("dislike")),
+        "has_not_interested": _flag(feedback("not_interested")),
+        "explicit_rating": F.when(feedback("rating"), F.col("rating")),
+        "is_synthetic": F.col("is_synthetic").cast("int"),
+        "last_interaction": F.col("created_at"),
+    }
+
+
 def interactions(events: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """One row per (user, item, recommendation) with a click in the last ``days`` days."""
-    rolled = since(events, "created_at", as_of, days).groupBy(*KEYS).agg(
-        F.max(_flag(kind("click"))).alias("has_click"),
-        F.max(F.when(kind("watch"), F.col("completion_rate")).otherwise(0.0)).alias("max_completion"),
-        F.max(_flag(feedback("like"))).alias("has_like"),
-        F.max(_flag(feedback("dislike"))).alias("has_dislike"),
-        F.max(_flag(feedback("not_interested"))).alias("has_not_interested"),
-        F.max(F.when(feedback("rating"), F.col("rating"))).alias("explicit_rating"),
-        F.max(F.col("is_synthetic").cast("int")).alias("is_synthetic"),
-        F.max("created_at").alias("last_interaction"),
-    )
+    rolled = since(events, "created_at", as_of, days).groupBy(*KEYS).agg(*[F.max(c).alias(n) for n, c in signals().items()])
     return rolled.filter(F.col("has_click") == 1)
 
 

@@ -8,6 +8,7 @@ from ..functions.expr import r6
 from ..operators import features as fe
 from ..operators import relational as rel
 from ..session import scratch
+from ..sources import keyed_log, snapshots
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from ..tables import AS_OF, MOVIES, USERS
@@ -61,7 +62,7 @@ def latest(t):
 @query("s05_versioned_sink", f"""
 SELECT '{OLD}' AS data_version, count(*) AS n, CAST(0 AS BIGINT) AS titles FROM movies UNION ALL SELECT '{NEW}', count(*), count(Title) FROM movies""")
 def versioned(t):
-    return t.spark.read.parquet(two_versions(t)).groupBy(F.col(rd.VERSION).cast("string").alias("data_version")).agg(
+    return rd.read_all_versions(t.spark, two_versions(t)).groupBy("data_version").agg(
         F.count(F.lit(1)).alias("n"), F.count("Title").alias("titles")
     )
 
@@ -110,7 +111,7 @@ def upsert(t):
     stale = labels.withColumn("label", F.lit(0.0))
     for batch in (stale, labels, labels):
         sk.upsert_partitions(t.spark, path, batch, keys, "label_date")
-    return t.spark.read.parquet(path)
+    return snapshots.read(t.spark, path)
 
 
 @query("s12_insert_if_absent", "SELECT recommendation_id, user_id, model_version FROM recommendation_logs")
@@ -120,7 +121,7 @@ def insert(t):
     sk.insert_if_absent(t.spark, path, logs.filter("is_synthetic").drop("is_synthetic"), ["recommendation_id"])
     both = logs.drop("is_synthetic")
     sk.insert_if_absent(t.spark, path, both.unionByName(both), ["recommendation_id"])
-    return t.spark.read.parquet(path)
+    return keyed_log.read(t.spark, path)
 
 
 @query("s13_json_report", METRICS + "SELECT * FROM metrics")
@@ -156,14 +157,11 @@ def baseline(t):
 UNION ALL SELECT 'hot', count(*) FROM user_events WHERE created_at >= DATE '2024-01-31' - INTERVAL 14 DAY""")
 def retention(t):
     base = scratch(t.spark, "retention")
-    t.user_events.write.parquet(f"{base}/hot")
-    for _ in range(2):  # on its own table, and again
-        old, hot = rel.retention(t.spark.read.parquet(f"{base}/hot"), "created_at", AS_OF, 14)
-        sk.archive(old, hot, f"{base}/archive", f"{base}/hot", ["event_id"])
+    snapshots.replace(t.user_events, base, "hot")
+    for _ in range(2):  # the second run finds nothing to move
+        sk.archive(t.spark, base, lambda hot: rel.retention(hot, "created_at", AS_OF, 14))
 
     def total(tier):
-        return t.spark.read.parquet(f"{base}/{tier}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(tier).alias("tier"), "n")
+        return snapshots.read(t.spark, base, [tier]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(tier).alias("tier"), "n")
 
     return total("archive").unionByName(total("hot"))
-
-

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import r6
 from ..session import scratch
+from ..sources import keyed_log, snapshots
 from ..streaming import intake as it
 from ..streaming import jobs
 from ..tables import AS_OF, bind_events, bind_raw_events
@@ -37,7 +38,7 @@ def route(t):
 def impressions(t):
     """The stored log holds the synthetic impressions already; an id that comes again, at any time, is not inserted."""
     log = scratch(t.spark, "impressions")
-    t.recommendation_logs.filter("is_synthetic").select("recommendation_id", "is_synthetic").write.parquet(log)
+    keyed_log.insert(t.spark, log, t.recommendation_logs.filter("is_synthetic").select("recommendation_id", "is_synthetic"), ["recommendation_id"])
     shown = raw_stream(t).filter("event_type = 'impression' AND recommendation_id IS NOT NULL").select("recommendation_id", "is_synthetic")
     table = jobs.run_to_inserts(shown, log, ["recommendation_id"])
     return table.filter("NOT is_synthetic").select("recommendation_id")
@@ -77,5 +78,5 @@ def sliding(t):
 @query("x08_incremental_labels", "SELECT user_id, item_id, label, recommendation_id, label_date FROM training_labels")
 def labels(t):
     base = scratch(t.spark, "labels")
-    jobs.refresh_labels(bind_events(source(t)), f"{base}/events", f"{base}/labels", AS_OF)
-    return t.spark.read.parquet(f"{base}/labels").select("user_id", "item_id", "label", "recommendation_id", "label_date")
+    jobs.refresh_labels(bind_events(source(t)), f"{base}/labels", AS_OF)
+    return snapshots.read(t.spark, f"{base}/labels").select("user_id", "item_id", "label", "recommendation_id", "label_date")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from . import snapshots
+
 CORRUPT = "_corrupt_record"
 VERSION = "data_version"
 
@@ -40,9 +43,12 @@ def missing_files(manifest: DataFrame, expected: Sequence[str]) -> DataFrame:
 
 
 def versions(spark: SparkSession, base: str) -> DataFrame:
-    """``(data_version, files, bytes, newest)`` per version directory, from the listing alone."""
-    listed = list_files(spark, base, "*.parquet").withColumn(VERSION, F.regexp_extract("path", rf"{VERSION}=([^/]+)", 1))
-    return listed.filter(F.col(VERSION) != "").groupBy(VERSION).agg(
+    """``(data_version, files, bytes, newest)`` per version that the manifest names, from the listing alone."""
+    entries = snapshots.current(spark, base).entries
+    named = spark.createDataFrame([(e.key, e.path) for e in entries], f"{VERSION} string, folder string")
+    listed = list_files(spark, f"{base}/data", "*.parquet") if entries else spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    files = listed.withColumn("folder", F.regexp_extract("path", "/(data/[0-9a-f]{32})/", 1))
+    return files.join(F.broadcast(named), "folder").groupBy(VERSION).agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest")
     )
 
@@ -56,21 +62,27 @@ def latest_version(spark: SparkSession, base: str, policy: str = "name") -> str
 
 def read_version(spark: SparkSession, base: str, version: str | None = None) -> DataFrame:
     """All parts of one version; the latest by name when none is given."""
-    version = version or latest_version(spark, base)
-    if version is None:
+    table = snapshots.current(spark, base)
+    version = version or max((e.key for e in table.entries), default=None)
+    if version is None or not table.of([version]):
+        raise FileNotFoundError(f"no version {version or ''} below {base}")
+    return snapshots.rows_of(spark, table, [version])
+
+
+def read_all_versions(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of every version, with its name in ``data_version``."""
+    table = snapshots.current(spark, base)
+    if not table.entries:
         raise FileNotFoundError(f"no version below {base}")
-    return spark.read.parquet(f"{base}/{VERSION}={version}")
+    parts = [snapshots.rows_of(spark, table, [e.key]).withColumn(VERSION, F.lit(e.key)) for e in table.entries]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_or_raw(spark: SparkSession, base: str, raw: str, schema: T.StructType) -> DataFrame:
     """The latest version, or the raw delimited files where no version exists."""
-    try:
-        version = latest_version(spark, base)
-    except Exception as e:  # an absent folder means no version; anything else is a real failure
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        version = None
-    return read_version(spark, base, version) if version else read_delimited(spark, raw, schema).drop(CORRUPT)
+    if snapshots.current(spark, base).entries:
+        return read_version(spark, base)
+    return read_delimited(spark, raw, schema).drop(CORRUPT)
 
 
 def read_sql(spark: SparkSession, tables: dict[str, DataFrame], statement: str) -> DataFrame:

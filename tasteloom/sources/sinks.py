@@ -1,23 +1,25 @@
-"""Sinks: versioned tables, feature and report files, upserts and inserts on parquet."""
+"""Sinks: versioned tables, feature and report files, upserts, inserts and retention on snapshot tables."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..session import scratch
+from . import keyed_log, snapshots
 from .readers import VERSION
 
 
 def write_version(df: DataFrame, base: str, version: str) -> str:
-    """One directory per version; writing a version again replaces it."""
-    path = f"{base}/{VERSION}={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
+    """One entry of a snapshot table per version; writing a version again replaces it, at once. Returns the folder of its files."""
+    if not snapshots.KEY_PATTERN.fullmatch(version):
+        raise ValueError(f"not the name of a version: {version!r}")
+    done = snapshots.replace(df, base, version)
+    return f"{base}/{done.of([version])[0].path}"
 
 
 def observed_write(df: DataFrame, source: str, target: str, version: str) -> DataFrame:
@@ -77,97 +79,36 @@ def merge_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> Da
 
 
 def upsert_partitions(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str) -> None:
-    """Upsert into a parquet table partitioned by ``partition``, rebuilding only the touched partitions.
+    """Upsert into a snapshot table with one entry for each value of ``partition``, rebuilding only the touched ones.
 
-    The merged partitions are written aside first and then swapped in by dynamic partition
-    overwrite, so a failed job can be run again and a repeated batch changes nothing.
-    The partition column is part of the key; a batch touches few partitions (dates).
+    The merged partitions are new folders, which one manifest swaps in: a job that stops leaves the
+    table as it was, and a repeated batch changes nothing. The partition column is part of the key,
+    its values name folders (dates, numbers, plain words), and a batch touches few of them.
     """
-    staged = scratch(spark, "upsert")
-    updates.write.parquet(f"{staged}/updates")
-    updates = spark.read.schema(updates.schema).parquet(f"{staged}/updates")
-    try:
-        target = spark.read.parquet(path)
-    except Exception as e:  # first write: the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        target = None
-    if target is None:
-        merged = updates
-    else:
-        touched = [r[0] for r in updates.select(partition).distinct().collect()]
-        merged = merge_rows(target.filter(F.col(partition).isin(touched)).select(*updates.columns), updates, keys).drop("updated")
-    merged.write.parquet(f"{staged}/merged")
-    spark.read.schema(updates.schema).parquet(f"{staged}/merged").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(partition).parquet(path)
-
-
-def insert_if_absent(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]) -> None:
-    """Append the rows whose key the table does not hold yet, one per key."""
-    fresh = rows.dropDuplicates(list(keys))
-    try:
-        held = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # first write
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        held = None
-    if held is not None:
-        fresh = fresh.join(held, list(keys), "left_anti")
-    staged = scratch(spark, "insert")
-    fresh.write.parquet(staged)
-    spark.read.schema(rows.schema).parquet(staged).write.mode("append").parquet(path)
-
-
-def _archive_run(spark: SparkSession, archive_path: str, df_old: DataFrame) -> tuple[int, bool]:
-    """(number of the run to write, whether the archive has any run), after a look at how the last run ended."""
-    journal = f"{archive_path}/_runs"
-    try:
-        states = spark.read.schema("run int, state string").json(journal).collect()
-    except Exception as e:  # first run
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return 0, False
-    last = max(r.run for r in states)
-    if any(r.run == last and r.state == "done" for r in states):
-        return last + 1, True
-    try:
-        moved = spark.read.schema(df_old.schema).parquet(f"{archive_path}/archive_run={last}")
-        replaced = bool(moved.exceptAll(df_old).take(1))
-    except Exception as e:  # it ended before it wrote its rows
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        replaced = False
-    # its rows have left the hot table: it only lacks its last mark; or they are all still there and are moved anew
-    if replaced:
-        _mark_run(spark, archive_path, last, "done")
-    return last + replaced, last + replaced > 0
-
-
-def _mark_run(spark: SparkSession, archive_path: str, run: int, state: str) -> None:
-    spark.createDataFrame([(run, state)], "run int, state string").write.mode("append").json(f"{archive_path}/_runs")
-
-
-def archive(df_old: DataFrame, df_hot: DataFrame, archive_path: str, hot_path: str, keys: Sequence[str] = ()) -> None:
-    """Move the old rows to the archive, then leave the rows to keep in the hot table, which both may be read from.
-
-    Every row is moved, repeated rows and rows that share a key or have none included; ``keys`` is not
-    needed for that any more. Both sets are written aside before either table changes. The rows of a
-    run are one partition ``archive_run`` of the archive, and a journal beside them says which runs
-    are done. A run that failed before it replaced the hot table is repeated into its own partition,
-    together with rows that came since; a run that ends while the hot table is replaced leaves its
-    staged copy. Columns have types that can be compared (no maps).
+    staged = scratch(spark, "updates")
+    updates.write.parquet(staged)
+    updates = spark.read.schema(updates.schema).parquet(staged)
+    was = snapshots.current(spark, path)
+    key = snapshots.key_text(partition)
+    touched = [r[0] for r in updates.select(key).distinct().collect()]
+    merged = updates
+    if was.of(touched):
+        merged = merge_rows(snapshots.rows_of(spark, was, touched).select(*updates.columns), updates, keys).drop("updated")
+    if touched or not was.exists:
+        new = snapshots.staged_by(merged, path, key) if touched else []
+        snapshots.commit(spark, was, [*was.but(touched), *new], updates.schema)
+
+
+def insert_if_absent(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ()) -> None:
+    """Add the rows whose key the log does not hold yet: of the rows with one key the first by ``order``, then by its digest."""
+    keyed_log.insert(spark, path, rows, keys, order)
+
+
+def archive(spark: SparkSession, path: str, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], hot: str = "hot", cold: str = "archive") -> None:
+    """Move the old rows of a snapshot table from tier ``hot`` to tier ``cold``; ``split`` gives the old rows and the rows to keep.
+
+    Every row is moved or kept, repeated rows and rows that share a key or have none included. Both
+    tiers change by one manifest: a run that stops anywhere has moved nothing or all, and a
+    run that is repeated finds nothing left to move.
     """
-    spark = df_old.sparkSession
-    staged = scratch(spark, "archive")
-    df_old.write.parquet(f"{staged}/old")
-    df_hot.write.parquet(f"{staged}/hot")
-    old = spark.read.schema(df_old.schema).parquet(f"{staged}/old")
-    run, begun = _archive_run(spark, archive_path, old)
-    moves = not begun or bool(old.take(1))
-    if moves:
-        _mark_run(spark, archive_path, run, "begun")
-        old.write.mode("overwrite").parquet(f"{archive_path}/archive_run={run}")
-    spark.read.schema(df_hot.schema).parquet(f"{staged}/hot").write.mode("overwrite").parquet(hot_path)
-    if moves:
-        _mark_run(spark, archive_path, run, "done")
+    snapshots.moved(spark, path, split, hot, cold)

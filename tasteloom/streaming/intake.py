@@ -62,20 +62,6 @@ def enriched(events: DataFrame) -> DataFrame:
     })
 
 
-def first_impressions(events: DataFrame, delay: str = "1 hour", held: DataFrame | None = None) -> DataFrame:
-    """One row per recommendation id within the watermark, and none that the log already holds.
-
-    Deduplication state expires with the watermark; the anti join against the stored log is
-    the second guard for later repeats.
-    """
-    shown = events.filter(_is("impression"))
-    if events.isStreaming:
-        shown = shown.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["recommendation_id"])
-    else:
-        shown = shown.dropDuplicates(["recommendation_id"])
-    return shown if held is None else shown.join(held.select("recommendation_id"), "recommendation_id", "left_anti")
-
-
 def counts_per_window(events: DataFrame, window: str = "1 minute", delay: str = "1 hour") -> DataFrame:
     """Events by type and synthetic flag in tumbling windows."""
     timed = events.withWatermark("timestamp", delay)

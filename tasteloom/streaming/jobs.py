@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import feedback as fb
+from ..sources import keyed_log, snapshots
 from ..sources.sinks import insert_if_absent, upsert_partitions
+from .pairs import latest_interactions
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -49,38 +53,31 @@ def run_to_upserts(stream: DataFrame, path: str, keys: list[str], partition: str
     """
     spark = stream.sparkSession
     _drain(stream, lambda batch, _: upsert_partitions(spark, path, batch, keys, partition), "update", f"{path}_checkpoint")
-    return spark.read.schema(stream.schema).parquet(path)
+    table = snapshots.current(spark, path)
+    return snapshots.rows_of(spark, table) if table.exists else spark.createDataFrame([], stream.schema)
 
 
-def run_to_inserts(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Drain a stream into a table that takes each key once, whenever it comes again, and return the table."""
+def run_to_inserts(stream: DataFrame, path: str, keys: list[str], order: Sequence[Column | str] = ()) -> DataFrame:
+    """Drain a stream into a log that takes each key once, whenever it comes again, and return its rows.
+
+    Of the rows of a micro-batch with one key, the first by ``order`` is taken, then by its digest.
+    """
     spark = stream.sparkSession
-    _drain(stream, lambda batch, _: insert_if_absent(spark, path, batch, keys), "append", f"{path}_checkpoint")
-    return spark.read.schema(stream.schema).parquet(path)
+    _drain(stream, lambda batch, _: insert_if_absent(spark, path, batch, keys, order), "append", f"{path}_checkpoint")
+    return keyed_log.read(spark, path) if snapshots.current(spark, path).exists else spark.createDataFrame([], stream.schema)
 
 
-def refresh_labels(stream: DataFrame, events_path: str, labels_path: str, label_date: str) -> None:
-    """Keep labels current from a stream of typed events.
+def refresh_labels(stream: DataFrame, labels_path: str, label_date: str, days: int = 30) -> None:
+    """Keep the labels of a date current from a stream of typed events.
 
-    Each micro-batch is stored under its batch id, so a replay overwrites itself. Labels
-    are then rebuilt for the touched (user, item) pairs only and upserted.
+    The signals of a (user, item) pair are keyed state, so a micro-batch reads its own events only
+    and upserts the labels of the pairs it touches. A batch that runs again gives the same rows.
     """
     spark = stream.sparkSession
-    schema = stream.schema
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{events_path}/batch_id={batch_id}")
-        stored = spark.read.schema(schema).parquet(events_path)
-        new = spark.read.schema(schema).parquet(f"{events_path}/batch_id={batch_id}")
-        touched = new.select("user_id", "item_id").distinct()
-        related = stored.join(touched, ["user_id", "item_id"], "left_semi")
-        labels = fb.label_rows(fb.with_label(fb.interactions(related, label_date)), label_date)
-        rows = labels.select("user_id", "item_id", "label", "recommendation_id", "last_interaction", "label_date")
+
+    def step(batch: DataFrame, _: int) -> None:
+        rows = fb.with_label(batch).withColumn("label_date", F.lit(label_date).cast("date"))
+        rows = rows.select("user_id", "item_id", "label", "recommendation_id", "last_interaction", "label_date")
         upsert_partitions(spark, labels_path, rows, ["user_id", "item_id", "label_date"], "label_date")
 
-    job = (
-        stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{labels_path}_checkpoint").trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
-    if job.exception():
-        raise job.exception()
+    _drain(latest_interactions(stream, label_date, days), step, "update", f"{labels_path}_checkpoint")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tasteloom.functions import expr
 from tasteloom.operators import lineage
-from tasteloom.sources import sinks
+from tasteloom.sources import sinks, snapshots
 
 
 def test_shifted_nulls_differ(spark):
@@ -16,66 +16,12 @@ def test_shifted_nulls_differ(spark):
 
 
 def test_archive_in_place_and_again(spark, tmp_path):
-    hot, cold = str(tmp_path / "hot"), str(tmp_path / "archive")
-    spark.range(100).withColumnRenamed("id", "k").write.parquet(hot)
+    base = str(tmp_path / "table")
+    snapshots.replace(spark.range(100).withColumnRenamed("id", "k"), base, "hot")
     for _ in range(2):
-        df = spark.read.parquet(hot)
-        sinks.archive(df.where("k < 30"), df.where("k >= 30"), cold, hot, ["k"])
-        assert (spark.read.parquet(cold).count(), spark.read.parquet(hot).agg(F.min("k")).first()[0], spark.read.parquet(hot).count()) == (30, 30, 70)
-
-
-def test_archive_keeps_every_row(spark, tmp_path, monkeypatch):
-    from collections import Counter
-
-    from tasteloom.operators.relational import retention
-
-    hot, cold = str(tmp_path / "hot"), str(tmp_path / "archive")
-    old, new = "2024-01-01", "2024-01-20"
-    rows = [(1, old), (1, old), (1, "2024-01-02"), (None, old), (None, old), (None, new), (2, new), (2, new), (3, None), (None, None), (None, None)]
-
-    def table(data):
-        return spark.createDataFrame(data, "k long, t string").selectExpr("k", "cast(t as timestamp_ntz) AS at", "t")
-
-    def run():
-        sinks.archive(*retention(spark.read.parquet(hot), "at", "2024-01-20", 7), cold, hot, ["k"])
-
-    def held(path):
-        return Counter((r.k, r.t) for r in spark.read.parquet(path).collect())
-
-    table(rows).write.parquet(hot)
-    mark = sinks._mark_run
-
-    def fails(at):
-        def failing(spark, path, run, state):
-            if state == at:
-                raise OSError("stopped")
-            mark(spark, path, run, state)
-
-        monkeypatch.setattr(sinks, "_mark_run", failing)
-        try:
-            run()
-        except OSError:
-            pass
-        monkeypatch.setattr(sinks, "_mark_run", mark)
-
-    past = Counter(r for r in rows if r[1] in (old, "2024-01-02"))
-    kept = Counter(rows) - past
-    # stopped after its rows are in the archive and before the hot table is replaced
-    mark(spark, cold, 0, "begun")
-    retention(spark.read.parquet(hot), "at", "2024-01-20", 7)[0].write.parquet(f"{cold}/archive_run=0")
-    table([(9, old)]).write.mode("append").parquet(hot)
-    past[(9, old)] += 1
-    run()
-    assert (held(cold), held(hot)) == (past, kept)
-    # the same rows come again and are moved again; stopped before the last mark, and before the first
-    for at in ("done", "begun"):
-        table([(1, old), (None, old)]).write.mode("append").parquet(hot)
-        past += Counter([(1, old), (None, old)])
-        fails(at)
-        run()
-        assert (held(cold), held(hot)) == (past, kept)
-    run()
-    assert (held(cold), held(hot)) == (past, kept)
+        sinks.archive(spark, base, lambda df: (df.where("k < 30"), df.where("k >= 30")))
+        hot = snapshots.read(spark, base, ["hot"])
+        assert (snapshots.read(spark, base, ["archive"]).count(), hot.agg(F.min("k")).first()[0], hot.count()) == (30, 30, 70)
 
 
 def test_a_window_ends_with_its_date(spark):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tasteloom.operators import feedback as fb
 from tasteloom.operators import lineage as ln
+from tasteloom.sources import keyed_log, snapshots
 from tasteloom.sources import readers as rd
 from tasteloom.sources import sinks as sk
 from tasteloom.streaming import intake as it
@@ -42,7 +43,7 @@ def test_upsert_touches_only_its_partitions_and_repeats_safely(spark, tmp_path):
     update = spark.createDataFrame([(2, 9.0, day1), (3, 3.0, day1), (1, 7.0, day2)], schema)
     for _ in range(2):
         sk.upsert_partitions(spark, path, update, keys, "d")
-    assert sorted((r.k, r.label, r.d) for r in spark.read.parquet(path).collect()) == [(1, 1.0, day1), (1, 7.0, day2), (2, 9.0, day1), (3, 3.0, day1)]
+    assert sorted((r.k, r.label, r.d) for r in snapshots.read(spark, path).collect()) == [(1, 1.0, day1), (1, 7.0, day2), (2, 9.0, day1), (3, 3.0, day1)]
 
 
 def test_update_with_null_replaces(spark):
@@ -107,21 +108,6 @@ def test_intake_routes_and_batch_equals_stream(spark, tmp_path):
     assert watch.completion_rate == 1.5 and watch.watched_over_total
 
 
-def test_replayed_impressions_keep_one_row(spark, tmp_path):
-    shown = raw(event_type="impression", item_ids=[1], model_name="m", model_version="v1")
-    late = {**shown, "timestamp": "2024-01-30 09:00:00"}
-    write_json(tmp_path / "in", "a.json", [shown, shown])
-    stream = lambda: jobs.json_stream(spark, str(tmp_path / "in"), RAW_EVENT, files_per_trigger=1)
-    log = str(tmp_path / "log")
-    jobs.run_to_table(it.first_impressions(stream()).select("recommendation_id"), log)
-    held = spark.read.schema("recommendation_id string").parquet(log)
-    assert held.count() == 1
-    write_json(tmp_path / "in", "b.json", [shown])
-    write_json(tmp_path / "in", "c.json", [late])  # beyond the watermark: state may be gone, the log is not
-    second = jobs.run_to_table(it.first_impressions(stream(), held=held).select("recommendation_id"), str(tmp_path / "log2"))
-    assert second.count() == 0
-
-
 def test_inserted_impressions_keep_one_row_without_state(spark, tmp_path):
     shown = raw(event_type="impression", item_ids=[1], model_name="m", model_version="v1")
     late = {**shown, "timestamp": "2024-01-30 09:00:00"}
@@ -161,8 +147,8 @@ def test_labels_one_batch_many_batches_and_replay_agree(spark, tmp_path):
     want = sorted((r.item_id, r.label) for r in fb.build_labels(whole, "2024-01-31").collect())
     for n, per in enumerate((1, None)):
         stream = jobs.parquet_stream(spark, source, whole.schema, files_per_trigger=per)
-        jobs.refresh_labels(stream, str(tmp_path / f"ev{n}"), str(tmp_path / f"lab{n}"), "2024-01-31")
-        got = sorted((r.item_id, r.label) for r in spark.read.parquet(str(tmp_path / f"lab{n}")).collect())
+        jobs.refresh_labels(stream, str(tmp_path / f"lab{n}"), "2024-01-31")
+        got = sorted((r.item_id, r.label) for r in snapshots.read(spark, str(tmp_path / f"lab{n}")).collect())
         assert got == want == [(1, 4.0), (2, 3.0)]
 
 
