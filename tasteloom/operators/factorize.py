@@ -1,31 +1,41 @@
 """Non-negative factorization of the zero-filled user x item matrix without building it.
 
-The matrix stays a table of observed cells. Factors are tables ``(id, f0 .. f{k-1})``. One
-half-step joins the cells with the fixed side, sums ``value * f`` per row key, and solves
-the small non-negative least-squares problem of every row against the k x k Gram matrix
-by coordinate descent (accelerated HALS, Gillis and Glineur 2012). Zero cells enter
-through the Gram matrix only, so they cost nothing.
+The matrix stays a table of observed cells. Users and items are dealt to hash blocks, and a cell
+lies in the block of its user block and item block. Cell blocks are packed once, kept by block on the
+executors (and rebuilt from a written table where one is lost) and never move again: a half-step
+sends each block the factors of the ids that it holds, gets back the sums ``value * f`` of its
+rows, and solves the small non-negative least-squares problem of every row against the k x k Gram
+matrix by coordinate descent (accelerated HALS, Gillis and Glineur 2012). Zero cells enter through the
+Gram matrix only, so they cost nothing. A hot user or item is spread over all blocks of the
+other side. Factors are tables ``(id, f0 .. f{k-1})``, packed by block while the fit runs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expr import clamp
 from ..session import scratch
+from .scale import gram_sums
 
 
 def factor_names(k: int) -> list[str]:
     return [f"f{j}" for j in range(k)]
 
 
-# A factor table up to this many bytes in memory is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 256 << 20
+#: Cells of a block on average, and ids of a block on either side, that the number of blocks aims at.
+BLOCK_CELLS, BLOCK_IDS = 500_000, 65_536
+#: A row of a written half-step: a whole side block, or, with the number of a cell block, the piece that this one needs.
+SOLVED = "block int, ids binary, factors binary, gram binary, total double"
+NAMES, TYPES = ["block", "ids", "factors", "gram", "total"], [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
 
 
 @dataclass
@@ -37,22 +47,23 @@ class Factors:
     errors: list[float]
 
 
-def initial_factors(ids: DataFrame, key: str, k: int, scale: float, seed: int = 42) -> DataFrame:
+def start_values(ids: np.ndarray, k: int, scale: float, seed: int) -> np.ndarray:
     """Positive start values from a hash of the id: the same on every run and partitioning."""
-    cell = [
-        (F.pmod(F.xxhash64(F.lit(seed * 1000 + j), F.col(key)), F.lit(1_000_003)) / 1_000_003 + 0.05) * scale
-        for j in range(k)
-    ]
-    return ids.select(F.col(key), *[c.alias(n) for n, c in zip(factor_names(k), cell)])
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(1_000_003) / 1_000_003 + 0.05) * scale
 
 
-def gram(parts: DataFrame, k: int) -> tuple[np.ndarray, float]:
-    """(Gram matrix, sum of ``numerator * factor``) out of the partial sums in column ``g``; k^2 + 1 numbers reach the driver."""
-    cells = parts.select(F.posexplode("g").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(k * k + 1)
-    for row in cells:
-        out[row.pos] = row.x
-    return out[:-1].reshape(k, k), float(out[-1])
+def non_negative(n: np.ndarray, g: np.ndarray, sweeps: int) -> np.ndarray:
+    """Rows ``w >= 0`` that minimize ``w g w / 2 - n w``, solved from scratch, all rows at once."""
+    step = np.maximum(np.diag(g), 1e-12)
+    # best multiple of the clipped gradient as the start
+    w = np.maximum(n, 1e-12)
+    w *= (np.sum(w * n, axis=1) / np.maximum(np.sum((w @ g) * w, axis=1), 1e-300)).clip(0)[:, None]
+    for _ in range(sweeps):
+        for j in range(len(g)):
+            w[:, j] = np.maximum(w[:, j] + (n[:, j] - w @ g[:, j]) / step[j], 1e-12)
+    return w
 
 
 def numerators(cells: DataFrame, fixed: DataFrame, key: str, fixed_key: str, k: int) -> DataFrame:
@@ -63,67 +74,144 @@ def numerators(cells: DataFrame, fixed: DataFrame, key: str, fixed_key: str, k:
 
 
 def solve_rows(nums: DataFrame, key: str, g: np.ndarray, k: int, sweeps: int = 20) -> DataFrame:
-    """Non-negative least squares per row, vectorized over Arrow batches.
-
-    Every row is solved from scratch, so the old factors of this side need no join. Each task
-    also emits one row with a null key that holds the Gram matrix of its own factors and its
-    share of the cross term in ``g``: the next half-step and the objective need no second pass.
-    """
-    names = factor_names(k)
-    key_type = dict(nums.dtypes)[key]
-    step = np.maximum(np.diag(g), 1e-12)
+    """Factors of rows with numerators ``n0 ..`` against a fixed Gram matrix, vectorized over Arrow batches."""
+    names, key_type = factor_names(k), dict(nums.dtypes)[key]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, cross = np.zeros((k, k)), 0.0
         for pdf in batches:
-            n = pdf[[f"n{j}" for j in range(k)]].to_numpy(dtype="float64")
-            # best multiple of the clipped gradient as the start
-            w = np.maximum(n, 1e-12)
-            w *= (np.sum(w * n, axis=1) / np.maximum(np.sum((w @ g) * w, axis=1), 1e-300)).clip(0)[:, None]
-            for _ in range(sweeps):
-                for j in range(k):
-                    w[:, j] = np.maximum(w[:, j] + (n[:, j] - w @ g[:, j]) / step[j], 1e-12)
-            total += w.T @ w
-            cross += float(np.sum(n * w))
-            out = pd.DataFrame(w, columns=names)
+            out = pd.DataFrame(non_negative(pdf[[f"n{j}" for j in range(k)]].to_numpy(dtype="float64"), g, sweeps), columns=names)
             out.insert(0, key, pdf[key].to_numpy())
-            out["g"] = None
             yield out
-        last = {key: pd.Series([None], dtype="Int64" if key_type in ("bigint", "int") else "object")}
-        last.update({f: [None] for f in names})
-        yield pd.DataFrame({**last, "g": [[*total.ravel().tolist(), cross]]})
 
-    fields = ", ".join(f"{f} double" for f in names)
-    return nums.mapInPandas(solve, f"{key} {key_type}, {fields}, g array<double>")
+    return nums.mapInPandas(solve, f"{key} {key_type}, " + ", ".join(f"{f} double" for f in names))
+
+
+def gram_matrix(factors: DataFrame, k: int) -> np.ndarray:
+    """``sum(f f')`` over the rows of a factor table; k * k numbers reach the driver."""
+    return gram_sums(factors, factor_names(k))[1:, 1:]
+
 
+# --- the fit on blocks
 
-def split_solution(solved: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """(factor rows, partial Gram rows) of a written solution."""
-    return solved.filter(F.col(key).isNotNull()).select(key, *factor_names(k)), solved.filter(F.col(key).isNull()).select("g")
 
+def _doubles(blob: bytes, k: int) -> np.ndarray:
+    return np.frombuffer(blob, np.float64).reshape(-1, k)
 
-def clustered(cells: DataFrame, key: str, other: str, path: str, hot_share: float = 0.005, spread: int = 64) -> DataFrame:
-    """Store the cells clustered by ``key``, so that sums per key shrink before they shuffle.
 
-    A key with more than ``hot_share`` of all cells is spread over ``spread`` tasks. There are
-    at most ``1 / hot_share`` such keys, which bounds the broadcast.
+def cell_blocks(cells: DataFrame, user: str, item: str, user_blocks: int, item_blocks: int, width: int) -> DataFrame:
+    """One row per block: its distinct users and items, ascending, and its cells as positions among them.
+
+    Hash-partitioned and sorted by ``block``; a block holds at most one cell for each of its pairs.
     """
-    total = cells.agg(F.count(F.lit(1))).scalar()
-    hot = cells.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > total * hot_share).select(key, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(spread))).otherwise(F.lit(0))
-    marked = cells.join(F.broadcast(hot), key, "left").withColumn("_salt", salt)
-    # a stated width keeps one file per task: the sums over them are compute-bound, however small the files
-    width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked.repartition(width, key, "_salt").select(*cells.columns).write.parquet(path)
-    return cells.sparkSession.read.parquet(path)
+
+    def pack(table: pa.Table) -> pa.Table:
+        one = {c: table.column(c)[0].as_py() for c in ("block", "p", "q")}
+        users, rows = np.unique(table.column("u").to_numpy(), return_inverse=True)
+        items, columns = np.unique(table.column("i").to_numpy(), return_inverse=True)
+        blobs = [users.astype(np.int64), items.astype(np.int64), rows.astype(np.int32), columns.astype(np.int32), table.column("v").to_numpy().astype(np.float64)]
+        return pa.table({**{c: pa.array([x], pa.int32()) for c, x in one.items()},
+                         **{n: pa.array([b.tobytes()], pa.binary()) for n, b in zip(("users", "items", "r", "c", "v"), blobs)}})
+
+    p, q = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in ((user, user_blocks), (item, item_blocks)))
+    rows = cells.select(p.alias("p"), q.alias("q"), F.col(user).cast("long").alias("u"), F.col(item).cast("long").alias("i"), F.col("value").cast("double").alias("v"))
+    rows = rows.withColumn("block", F.col("p") * item_blocks + F.col("q")).repartition(width, "block")
+    schema = "block int, p int, q int, users binary, items binary, r binary, c binary, v binary"
+    return rows.groupBy("block").applyInArrow(pack, schema).repartition(width, "block").sortWithinPartitions("block")
+
+
+def block_sums(blocks: DataFrame, pieces: DataFrame, side: str, k: int, width: int) -> DataFrame:
+    """(side block, ids, sums): what each cell block adds to the numerators of its rows; the cells stay where they are."""
+    rows, columns, ids, to = ("r", "c", "users", "p") if side == "users" else ("c", "r", "items", "q")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, other, v, f, n in zip(*[batch.column(c).to_pylist() for c in range(1, 6)]):
+                at, v = np.frombuffer(at, np.int32), np.frombuffer(v, np.float64)
+                met = _doubles(f, k)[np.frombuffer(other, np.int32)]
+                sums = np.empty((len(n) // 8, k))
+                for j in range(k):
+                    sums[:, j] = np.bincount(at, v * met[:, j], len(sums))
+                out.append(sums.tobytes())
+            yield pa.record_batch({"side": batch.column(0), "ids": batch.column(5), "sums": pa.array(out, pa.binary())})
+
+    # the pieces are hashed to where the cells are; nothing else would leave the cells in place
+    met = blocks.join(pieces.hint("shuffle_hash"), "block").select(F.col(to), rows, columns, "v", "piece", ids)
+    return met.mapInArrow(multiply, "side int, ids binary, sums binary").repartition(width, "side")
+
+
+def solved_blocks(sums: DataFrame, routes: DataFrame, g: np.ndarray | None, k: int, sweeps: int = 20, scale: float = 1.0, seed: int = 42) -> DataFrame:
+    """Per side block its factors, their Gram matrix and ``sum(numerator * factor)``, and for each cell block the piece that it needs.
+
+    ``routes`` (side, block, need) says which ids a cell block holds. Without ``g`` the sums are the factors
+    themselves, and without sums the factors are start values from the ids.
+    """
+
+    def solve(table: pa.Table, needs: pa.Table) -> pa.Table:
+        ids = [np.frombuffer(b, np.int64) for b in table.column("ids").to_pylist()]
+        if not ids:
+            return pa.table({n: pa.array([], t) for n, t in zip(NAMES, TYPES)})
+        all_ids, at = np.unique(np.concatenate(ids), return_inverse=True)
+        if "sums" in table.column_names:
+            parts = np.concatenate([_doubles(b, k) for b in table.column("sums").to_pylist()])
+            n = np.column_stack([np.bincount(at, parts[:, j], len(all_ids)) for j in range(k)])
+            w = n if g is None else non_negative(n, g, sweeps)
+        else:
+            n, w = np.zeros((len(all_ids), k)), start_values(all_ids, k, scale, seed)
+        pieces = [w[np.searchsorted(all_ids, np.frombuffer(b, np.int64))].tobytes() for b in needs.column("need").to_pylist()]
+        rows = [(None, all_ids.tobytes(), w.tobytes(), (w.T @ w).tobytes(), float(np.sum(n * w))),
+                *[(b, None, p, None, None) for b, p in zip(needs.column("block").to_pylist(), pieces)]]
+        return pa.table({n: pa.array(c, t) for n, t, c in zip(NAMES, TYPES, zip(*rows))})
+
+    return sums.groupBy("side").cogroup(routes.groupBy("side")).applyInArrow(solve, SOLVED)
+
+
+def packed_factors(given: DataFrame, k: int) -> DataFrame:
+    """Factor rows (side, id, f0 ..) as one row per side block."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        w = np.column_stack([table.column(f).to_numpy() for f in factor_names(k)])
+        return pa.table({"side": table.column("side")[:1], "ids": pa.array([table.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                         "sums": pa.array([np.ascontiguousarray(w, np.float64).tobytes()], pa.binary())})
+
+    return given.groupBy("side").applyInArrow(pack, "side int, ids binary, sums binary")
+
+
+def _gram_and_total(solved: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """Sums of the blocks' Gram matrices and totals: one partial row per task, k * k + 1 numbers in each."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, total = np.zeros((k, k)), 0.0
+        for batch in batches:
+            for blob, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                g += _doubles(blob, k)
+                total += part
+        yield pa.record_batch({"gram": pa.array([g.tobytes()], pa.binary()), "total": [total]})
+
+    rows = solved.where("block IS NULL").select("gram", "total").mapInArrow(add, "gram binary, total double").collect()
+    return sum((_doubles(bytes(r.gram), k) for r in rows), np.zeros((k, k))), float(sum(r.total for r in rows))
+
+
+def _unpacked(solved: DataFrame, key: str, kind: str, k: int) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = _doubles(blob, k)
+                yield pa.record_batch({key: pa.array(np.frombuffer(ids, np.int64)), **{f: pa.array(np.ascontiguousarray(w[:, j])) for j, f in enumerate(factor_names(k))}})
+
+    out = solved.where("block IS NULL").select("ids", "factors").mapInArrow(rows, f"{key} long, " + ", ".join(f"{f} double" for f in factor_names(k)))
+    return out.withColumn(key, F.col(key).cast(kind))
 
 
 def fit_nmf(
     spark: SparkSession, cells: DataFrame, k: int = 20, iterations: int = 200, user: str = "UserID", item: str = "MovieID",
-    seed: int = 42, tol: float = 1e-4,
+    seed: int = 42, tol: float = 1e-4, start: DataFrame | None = None, sweeps: int = 20,
 ) -> Factors:
-    """Alternate half-steps over cells stored once per side, until the error falls by less than
-    ``tol`` of its first value or ``iterations`` is reached.
+    """Alternate half-steps over packed cell blocks, until the error falls by less than ``tol`` of its first
+    value or ``iterations`` is reached. Ids are integers.
+
+    ``start`` (item, f0 ..) gives the item factors to begin with, so that a fit can go on from an earlier
+    one; items that it lacks begin at zero. Else they begin with a hash of their ids.
 
     ``errors`` is the norm ``|V - WH|`` over all cells after every full step. It comes for free:
     ``|V|^2 - 2 sum(numerator * factor) + tr(W'W HH')``.
@@ -131,45 +219,57 @@ def fit_nmf(
     Factors go to two alternating tables per side, so lineage never grows and a lost executor
     re-reads a written table.
     """
-    base = scratch(spark, "nmf")
+    base, kinds = scratch(spark, "nmf"), dict(cells.dtypes)
     cells.select(user, item, "value").write.parquet(f"{base}/cells")
     stored = spark.read.parquet(f"{base}/cells")
-    by_user, by_item = clustered(stored, user, item, f"{base}/by_user"), clustered(stored, item, user, f"{base}/by_item")
     size = stored.agg(
-        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("vv"),
+        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("vv"), F.count(F.lit(1)).alias("cells"),
         F.approx_count_distinct(user).alias("m"), F.approx_count_distinct(item).alias("n"),
     ).first()
     scale = float(np.sqrt(size.s / (size.m * size.n) / k)) if size.m else 1.0
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # enough blocks for the cells, for the ids and for one block a task
+    least = max(math.ceil(math.sqrt(size.cells / BLOCK_CELLS)), math.ceil(math.sqrt(width)), 1)
+    counts = max(least, math.ceil(size.m / BLOCK_IDS)), max(least, math.ceil(size.n / BLOCK_IDS))
+    blocks = cell_blocks(stored, user, item, *counts, width).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def write(df: DataFrame, side: str, key: str, turn: int) -> tuple[DataFrame, DataFrame]:
-        path = f"{base}/{side}_{turn % 2}"
-        df.write.mode("overwrite").parquet(path)
-        return split_solution(spark.read.schema(df.schema).parquet(path), key, k)
+    def routes_of(to: str, ids: str) -> DataFrame:
+        return blocks.select(F.col(to).alias("side"), "block", F.col(ids).alias("need")).repartition(width, "side").sortWithinPartitions("side").persist(StorageLevel.MEMORY_AND_DISK)
 
-    def sized(df: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(df) if rows * (k + 1) * 8 <= BROADCAST_BYTES else df
+    routes = {"users": routes_of("p", "users"), "items": routes_of("q", "items")}
 
-    # start values pass through the solver against the unit matrix, which gives them their Gram rows
-    start = initial_factors(stored.select(item).distinct(), item, k, scale, seed)
-    start = start.select(item, *[F.col(f).alias(f"n{j}") for j, f in enumerate(factor_names(k))])
-    items, item_gram = write(solve_rows(start, item, np.eye(k), k, sweeps=1), "items", item, 0)
-    item_g, _ = gram(item_gram, k)
-    errors: list[float] = []
+    def written(df: DataFrame, side: str, turn: int) -> tuple[DataFrame, np.ndarray, float]:
+        path = f"{base}/{side}_{turn % 2}"
+        df.write.mode("overwrite").parquet(path)
+        back = spark.read.schema(SOLVED).parquet(path)
+        return back, *_gram_and_total(back, k)
+
+    def half_step(side: str, fixed: DataFrame, g: np.ndarray, turn: int) -> tuple[DataFrame, np.ndarray, float]:
+        pieces = fixed.where("block IS NOT NULL").select("block", F.col("factors").alias("piece"))
+        return written(solved_blocks(block_sums(blocks, pieces, side, k, width), routes[side], g, k, sweeps), side, turn)
+
+    ids = routes["items"].select("side", F.col("need").alias("ids"))
+    if start is not None:
+        given = stored.select(item).distinct().join(start, item, "left").select(
+            F.pmod(F.xxhash64(item), F.lit(counts[1])).cast("int").alias("side"), F.col(item).cast("long").alias("id"), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in factor_names(k)])
+        ids = packed_factors(given, k)
+    items, item_g, _ = written(solved_blocks(ids, routes["items"], None, k, scale=scale, seed=seed), "items", 0)
+    users, errors = None, []
     for turn in range(1, iterations + 1):
-        users, parts = write(solve_rows(numerators(by_user, sized(items, size.n), user, item, k), user, item_g, k), "users", user, turn)
-        user_g, _ = gram(parts, k)
-        items, parts = write(solve_rows(numerators(by_item, sized(users, size.m), item, user, k), item, user_g, k), "items", item, turn)
-        item_g, cross = gram(parts, k)
-        errors.append(float(np.sqrt(max(size.vv - 2 * cross + np.sum(user_g * item_g), 0.0))))
+        users, user_g, _ = half_step("users", items, item_g, turn)
+        items, item_g, cross = half_step("items", users, user_g, turn)
+        errors.append(float(np.sqrt(max((size.vv or 0) - 2 * cross + np.sum(user_g * item_g), 0.0))))
         if turn > 1 and errors[-2] - errors[-1] < tol * errors[0]:
             break
-    return Factors(users, items, item_g, k, errors)
+    for df in (*routes.values(), blocks):
+        df.unpersist()
+    return Factors(_unpacked(users, user, kinds[user], k), _unpacked(items, item, kinds[item], k), item_g, k, errors)
 
 
-def fold_in(cells: DataFrame, model: Factors, user: str = "UserID", item: str = "MovieID") -> DataFrame:
+def fold_in(cells: DataFrame, model: Factors, user: str = "UserID", item: str = "MovieID", sweeps: int = 30) -> DataFrame:
     """User factors of unseen users against the fitted item factors."""
     nums = numerators(cells, model.items, user, item, model.k)
-    return split_solution(solve_rows(nums, user, model.item_gram, model.k, sweeps=30), user, model.k)[0]
+    return solve_rows(nums, user, model.item_gram, model.k, sweeps)
 
 
 def predicted(k: int, left: str = "u_", right: str = "i_") -> Column:
@@ -200,33 +300,20 @@ def reconstruction_error(cells: DataFrame, users: DataFrame, items: DataFrame, k
         F.sum(v * v).alias("vv"), F.sum(v * p).alias("vp"), F.sum(F.abs(v - p) - p).alias("l1"), F.count(F.lit(1)).alias("nnz")
     )
 
-    def moments(df: DataFrame) -> Column:
-        """Row count, column sums and the upper triangle of the Gram matrix as one struct."""
-        pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-        return df.agg(F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.sum(f) for f in names]).alias("s"),
-            F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias("g"),
-        )).scalar()
-
-    both = one.withColumn("u", moments(users)).withColumn("i", moments(items))
-    weight = F.array(*[F.lit(1.0 if a == b else 2.0) for i, a in enumerate(names) for b in names[i:]])
-
-    def dot(*arrays: Column) -> Column:
-        zipped = F.zip_with(arrays[0], arrays[1], lambda x, y: x * y)
-        if len(arrays) == 3:
-            zipped = F.zip_with(zipped, arrays[2], lambda x, y: x * y)
-        return F.aggregate(zipped, F.lit(0.0), lambda acc, x: acc + x)
-
-    cells_total = (F.col("u.n") * F.col("i.n")).cast("double")
-    square = F.col("vv") - 2 * F.col("vp") + dot(F.col("u.g"), F.col("i.g"), weight)
-    absolute = F.col("l1") + dot(F.col("u.s"), F.col("i.s"))
+    # row count, column sums and Gram matrix of either side: (k + 1) squared numbers
+    u, i = gram_sums(users, names), gram_sums(items, names)
+    both = one.withColumns({
+        "u_n": F.lit(int(u[0, 0])), "i_n": F.lit(int(i[0, 0])), "gg": F.lit(float(np.sum(u[1:, 1:] * i[1:, 1:]))), "ss": F.lit(float(np.sum(u[0, 1:] * i[0, 1:]))),
+    })
+    cells_total = (F.col("u_n") * F.col("i_n")).cast("double")
+    square = F.col("vv") - 2 * F.col("vp") + F.col("gg")
+    absolute = F.col("l1") + F.col("ss")
     return both.select(
         F.sqrt(F.greatest(square, F.lit(0.0)) / cells_total).alias("reconstruction_rmse"),
         (absolute / cells_total).alias("reconstruction_mae"),
         (1 - F.col("nnz") / cells_total).alias("sparsity"),
-        F.col("u.n").alias("n_users"),
-        F.col("i.n").alias("n_items"),
+        F.col("u_n").cast("bigint").alias("n_users"),
+        F.col("i_n").cast("bigint").alias("n_items"),
     )
 
 

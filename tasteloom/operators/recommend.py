@@ -214,11 +214,15 @@ def current_version(versions: DataFrame) -> DataFrame:
 # --- classifier
 
 
+def forest_rows(rows: DataFrame, id_col: str, vector: str, label: str, seed: int = 42) -> DataFrame:
+    """``split``, label and feature vector of the rows that have both; 80/20 by id hash."""
+    data = train_test_split(rows.dropna(subset=[vector, label]), [id_col], seed=seed)
+    return data.select("split", F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+
+
 def forest_accuracy(rows: DataFrame, id_col: str, vector: str, label: str, trees: int = 100, depth: int = 8, seed: int = 42) -> DataFrame:
     """80/20 split by id hash, random forest, accuracy on the test part."""
-    data = train_test_split(rows, [id_col]).select(
-        "split", F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")
-    )
+    data = forest_rows(rows, id_col, vector, label)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(data.filter(F.col("split") == "train"))
     scored = model.transform(data.filter(F.col("split") == "test"))
     return scored.agg(

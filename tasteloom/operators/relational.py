@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import digest_order, hash_bucket, percent, split_list
-from .scale import top_k_per_key
+from .scale import gram_sums, top_k_per_key
 
 
 def between(df: DataFrame, column: str, low, high) -> DataFrame:
@@ -92,11 +92,26 @@ def user_item_matrix(ratings: DataFrame) -> DataFrame:
 
 
 def pairwise_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(a, b, r)`` for every unordered pair of columns, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    one = df.agg(*[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return one.select(F.inline(F.array(*cells)))
+    """``(a, b, r)`` for every unordered pair of columns, over the rows that hold both; r is null where one side is constant.
+
+    One matrix of sums of products, of the values, their squares and their presence, gives all pairs:
+    one aggregate whatever the number of columns. Values are taken from a mean of some first rows, so that
+    large values far from zero lose no digits.
+    """
+    k = len(columns)
+    clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
+    means = df.limit(1000).agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in clean]).first()
+    x = df.select(*[(c - float(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(clean, means))])
+    parts = [c for i in range(k) for c in (F.col(f"x{i}").isNotNull().cast("double").alias(f"m{i}"), F.coalesce(f"x{i}", F.lit(0.0)).alias(f"v{i}"),
+                                           F.coalesce(F.col(f"x{i}") * F.col(f"x{i}"), F.lit(0.0)).alias(f"q{i}"))]
+    g = gram_sums(x.select(*parts), [f"{p}{i}" for p in "mvq" for i in range(k)])[1:, 1:]
+    m, v, q = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+    n, s, ss, products = g[m, m], g[v, m], g[q, m], g[v, v]
+    spread = n * ss - s * s  # of the first column of a pair, over the rows of the pair
+    spread[spread <= 1e-12 * n * ss] = 0
+    rows = [(a, b, float((n[i, j] * products[i, j] - s[i, j] * s[j, i]) / (spread[i, j] * spread[j, i]) ** 0.5) if spread[i, j] * spread[j, i] > 0 else None)
+            for i, a in enumerate(columns) for j, b in enumerate(columns) if j > i]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def duplicate_profile(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,8 +8,10 @@ derived from the data by repeatable expressions, so a recomputed task agrees wit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -157,3 +159,32 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def moment_matrices(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(position, total): the matrix of ``x' x`` over all rows, flat, with x = (1, columns).
+
+    One matrix product per Arrow batch and one partial matrix per task, summed by position: one
+    aggregate whatever the number of columns. Rows with a null or NaN in any column are left out.
+    """
+    k = len(columns) + 1
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]])
+            x = x[~np.isnan(x).any(axis=1)]
+            total += x.T @ x
+        yield pa.record_batch({"position": pa.array(range(k * k), pa.int32()), "total": pa.array(total.ravel())})
+
+    parts = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).mapInArrow(partial, "position int, total double")
+    return parts.groupBy("position").agg(F.sum("total").alias("total"))
+
+
+def gram_sums(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """The matrix of ``moment_matrices`` on the driver: row count, column sums and sums of products; (columns + 1) squared numbers."""
+    k = len(columns) + 1
+    out = np.zeros(k * k)
+    for row in moment_matrices(df, columns).collect():
+        out[row.position] = row.total
+    return out.reshape(k, k)

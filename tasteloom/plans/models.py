@@ -11,7 +11,7 @@ from ..operators import relational as rel
 from ..operators.features import movie_stats
 from ..session import scratch
 from .registry import query
-from .relational import CELLS, cells_by_split
+from .relational import BUCKET, CELLS, cells_by_split
 
 RANK = 20
 ITERATIONS = 200
@@ -74,6 +74,33 @@ def reconstruction(t):
     return out.withColumns({c: r6(c) for c in ("reconstruction_rmse", "reconstruction_mae", "sparsity")})
 
 
+#: Two-factor least squares with w >= 0 in closed form: both free, or one of them zero.
+NON_NEGATIVE = """g AS (SELECT sum(f0 * f0) AS a, sum(f0 * f1) AS b, sum(f1 * f1) AS c FROM wi),
+solved AS (SELECT UserID, CASE WHEN x > 0 AND y > 0 THEN x WHEN y <= 0 THEN greatest(n0 / a, 0) ELSE 0 END AS f0,
+    CASE WHEN x > 0 AND y > 0 THEN y WHEN y <= 0 THEN 0 ELSE greatest(n1 / c, 0) END AS f1 FROM (
+        SELECT UserID, n0, n1, a, c, (c * n0 - b * n1) / (a * c - b * b) AS x, (a * n1 - b * n0) / (a * c - b * b) AS y FROM (
+            SELECT UserID, sum(value * f0) AS n0, sum(value * f1) AS n1 FROM {cells} JOIN wi USING (MovieID) GROUP BY 1), g))
+"""
+#: Sweeps of coordinate descent after which two nearly parallel factors have settled.
+SETTLED = 4000
+
+
+@query("r02_half_step", SMALL.rstrip() + ", " + NON_NEGATIVE.format(cells="cells") + "SELECT UserID, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM solved")
+def half_step(t):
+    """One half-step of the block fit at two factors, from fixed item factors."""
+    model = fz.fit_nmf(t.spark, rel.user_item_matrix(t.ratings), 2, 1, start=small_factors(t)[1], sweeps=SETTLED)
+    return model.users.select("UserID", r6("f0").alias("f0"), r6("f1").alias("f1"))
+
+
+@query("r04_holdout_fixed_factors", CELLS + "," + SMALL.removeprefix("WITH").split("cells AS")[0] + """e AS (
+SELECT wu.f0 * wi.f0 + wu.f1 * wi.f1 - value AS d FROM cells JOIN wu USING (UserID) JOIN wi USING (MovieID) WHERE is_test)
+SELECT round(sqrt(avg(d * d)), 6) AS rmse, round(avg(abs(d)), 6) AS mae, count(*) AS pairs FROM e""")
+def holdout_fixed(t):
+    users, items = small_factors(t)
+    scored = fz.score_pairs(cells_by_split(t)[1], users, items, 2)
+    return scored.agg(*[r6(c).alias(n) for c, n in zip(rel.error_metrics(F.col("prediction"), F.col("value")), ("rmse", "mae"))], F.count(F.lit(1)).alias("pairs"))
+
+
 @query("r04_holdout_evaluation")
 def holdout(t):
     train, test = cells_by_split(t)
@@ -91,6 +118,18 @@ def masked(t):
     return fz.masked_evaluation(test, fz.fold_in(test, model), model.items, RANK)
 
 
+@query("r05_masked_fixed_factors", SMALL.rstrip() + ", folded AS (SELECT * FROM cells WHERE " + BUCKET.format("'42|' || CAST(UserID AS VARCHAR)") + " < 20), "
+       + NON_NEGATIVE.format(cells="folded") + """, e AS (SELECT value, greatest(0, least(5, s.f0 * wi.f0 + s.f1 * wi.f1)) AS p FROM folded JOIN solved s USING (UserID) JOIN wi USING (MovieID))
+SELECT round(sqrt(avg((p - value) * (p - value))), 6) AS rmse, round(avg(abs(p - value)), 6) AS mae, round(avg(CASE WHEN p > 0.000000001 THEN 1.0 ELSE 0.0 END), 6) AS coverage, count(*) AS cells FROM e""")
+def masked_fixed(t):
+    """Unseen users folded in against fixed item factors, then the masked evaluation."""
+    cells = rel.user_item_matrix(t.ratings).withColumn("b", hash_bucket([F.lit(42), F.col("UserID")], 100)).filter("b < 20").drop("b")
+    items = small_factors(t)[1]
+    model = fz.Factors(None, items, fz.gram_matrix(items, 2), 2, [])
+    out = fz.masked_evaluation(cells, fz.fold_in(cells, model, sweeps=SETTLED), items, 2)
+    return out.withColumns({c: r6(c) for c in ("rmse", "mae", "coverage")})
+
+
 @query("r06_fallback_predictor", """
 SELECT UserID, MovieID, "Timestamp", round(greatest(CAST(0.5 AS DOUBLE), least(CAST(5 AS DOUBLE), m.AvgRating + (u.AvgRating - 3) * CAST(0.5 AS DOUBLE))), 6) AS prediction
 FROM ratings JOIN user_stats u USING (UserID) JOIN movie_stats m USING (MovieID)""")
@@ -198,6 +237,12 @@ def audit(t):
     )
 
 
+@query("r16_forest_split", "SELECT CASE WHEN " + BUCKET.format("'42|' || CAST(vec_id AS VARCHAR)") + """ < 20 THEN 'test' ELSE 'train' END AS split, CAST(label AS DOUBLE) AS label, count(*) AS n
+FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL GROUP BY ALL""")
+def forest_split(t):
+    return rc.forest_rows(t.raw("embeddings"), "vec_id", "embedding", "label").groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("r16_random_forest")
 def forest(t):
     return rc.forest_accuracy(t.raw("embeddings"), "vec_id", "embedding", "label")

@@ -220,3 +220,73 @@ def test_runs_and_rollback(spark):
     versions = spark.createDataFrame([("m", 3, "Production", "a"), ("m", 1, "Archived", "b"), ("m", 2, "Staging", "c")], "model_name string, version int, stage string, run_id string")
     assert [(r.run_id, r.role, r.version) for r in rc.select_best(runs, versions).orderBy("rank").collect()] == [("a", "selected", 3), ("b", "runner_up", 1)]
     assert (rc.rollback_targets(versions).first().production_version, rc.rollback_targets(versions).first().rollback_version) == (3, 2)
+
+
+def test_cells_stay_in_place_without_broadcasts(spark, monkeypatch):
+    """In every half-step the plan hashes pieces and sums, never the cell blocks."""
+    v = np.where(RNG.random((50, 40)) < 0.3, RNG.integers(1, 6, (50, 40)), 0).astype(float)
+    plans, real = [], fz.block_sums
+
+    def block_sums(blocks, pieces, side, k, width):
+        out = real(blocks, pieces, side, k, width)
+        plans.append(out._jdf.queryExecution().sparkPlan().toString() + "\n====\n" + out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(fz, "block_sums", block_sums)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fz.fit_nmf(spark, cells_of(spark, v), k=2, iterations=2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(plans) == 4
+    for plan in plans:
+        top = [line for line in plan.split("====")[1].split("InMemoryRelation")[0].splitlines() if line.strip()]
+        join = next(i for i, line in enumerate(top) if "ShuffledHashJoin" in line)
+        # the first child of the join is the kept blocks as they are; the exchange above the join is that of the sums
+        assert "Exchange" not in " ".join(top[join + 1:]) and "InMemoryTableScan" in " ".join(top[join + 1:])
+
+
+def test_blocks_do_not_change_a_fit(spark, monkeypatch):
+    v = np.where(RNG.random((60, 45)) < 0.3, RNG.integers(1, 6, (60, 45)), 0).astype(float)
+    fits = []
+    for cells, ids in ((500_000, 65_536), (100, 9)):
+        monkeypatch.setattr(fz, "BLOCK_CELLS", cells)
+        monkeypatch.setattr(fz, "BLOCK_IDS", ids)
+        fits.append(fz.fit_nmf(spark, cells_of(spark, v), k=3, iterations=3))
+    for side in ("users", "items"):
+        a, b = (np.array(sorted(map(tuple, getattr(f, side).collect()))) for f in fits)
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-9)
+
+
+def test_half_step_against_exact_least_squares(spark):
+    """Non-negative least squares by trying every set of free factors."""
+    v = np.where(RNG.random((20, 15)) < 0.4, RNG.integers(1, 6, (20, 15)), 0).astype(float)
+    v[:, 0], v[0, :] = np.where(v[:, 0] == 0, 1, v[:, 0]), np.where(v[0] == 0, 1, v[0])
+    h = RNG.random((15, 3))
+    start = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(h)], "MovieID long, f0 double, f1 double, f2 double")
+    got = np.array(sorted(map(tuple, fz.fit_nmf(spark, cells_of(spark, v), 3, 1, start=start, sweeps=3000).users.collect())))[:, 1:]
+    for row, w in zip(v, got):
+        best = np.inf
+        for free in range(8):
+            on = [j for j in range(3) if free >> j & 1]
+            x = np.zeros(3)
+            if on:
+                x[on] = np.linalg.lstsq(h[:, on], row, rcond=None)[0]
+            if (x >= -1e-12).all():
+                best = min(best, np.sum((row - h @ x) ** 2))
+        assert math.isclose(np.sum((row - h @ w) ** 2), best, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_correlation_takes_the_rows_of_each_pair(spark):
+    x = RNG.normal(size=(300, 4)) + 1e6
+    x[:, 1] += x[:, 0]
+    x[:, 3] = 7.0
+    rows = [tuple(None if RNG.random() < 0.2 else float(c) for c in r) for r in x]
+    import pandas as pd
+
+    from tasteloom.operators.relational import pairwise_correlation
+
+    want = pd.DataFrame(rows, columns=list("abcd")).corr()
+    for r in pairwise_correlation(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd")).collect():
+        assert (r.r is None) if "d" in (r.a, r.b) else math.isclose(r.r, want[r.a][r.b], rel_tol=1e-7, abs_tol=1e-9)
