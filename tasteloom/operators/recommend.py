@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import clamp, split_list, stable_id
+from ..session import scratch
 from .features import movie_stats
 from .relational import error_metrics, train_test_split
 from .scale import exact_quantiles, keep_first, top_k_per_key
@@ -80,57 +83,91 @@ def favourite_genres(ratings: DataFrame, movies: DataFrame, k: int = 3) -> DataF
     return top_k_per_key(counts, ["UserID"], [F.desc("n"), "genre"], k)
 
 
-def _block_count(df: DataFrame, block_size: int) -> Column:
-    """Number of blocks of about ``block_size`` rows, as a scalar subquery."""
-    return F.greatest(F.lit(1), F.ceil(df.agg(F.count(F.lit(1))).scalar() / block_size)).cast("bigint")
+SEEN = "array<struct<u: bigint, i: bigint>>"
 
 
-def _packed(df: DataFrame, key: str, features: Sequence[str], blocks: Column, block: str, keys: str, values: str) -> DataFrame:
-    """Rows packed into blocks by an id hash, ids ascending inside a block."""
-    row = F.struct(F.col(key).alias("id"), F.array(*features).alias("f"))
-    packed = df.withColumn(block, F.pmod(F.xxhash64(key), blocks)).groupBy(block).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return packed.select(block, F.col("_rows.id").alias(keys), F.flatten("_rows.f").alias(values))
+@dataclass
+class TopK:
+    rows: DataFrame
+    #: ``met`` and ``possible`` meetings of a user block with an item block, and the ``pruned_share``.
+    report: DataFrame
 
 
-def top_k_items(
+def _packed(df: DataFrame, key: str, features: Sequence[str], block: str, keys: str, values: str, more: Sequence[str] = ()) -> DataFrame:
+    """Rows packed by their block number, ids ascending inside a block."""
+    row = F.struct(F.col(key).alias("id"), F.array(*features).alias("f"), *more)
+    packed = df.groupBy(block).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return packed.select(block, F.col("_rows.id").alias(keys), F.flatten("_rows.f").alias(values), *[F.col(f"_rows.{m}").alias(m) for m in more])
+
+
+def norm_blocks(items: DataFrame, item: str, features: Sequence[str], item_block: int) -> tuple[DataFrame, list[float]]:
+    """``items`` with block ``ib`` in falling order of the vector's length, and the greatest length in each block.
+
+    Blocks are cut at quantiles of the length; vectors of one length that fill several blocks are
+    spread over them by id. One number for each block reaches the driver.
+    """
+    length = F.sqrt(sum((F.col(f) * F.col(f) for f in features), F.lit(0.0)))
+    sized = items.withColumn("_length", length)
+    blocks = max(1, math.ceil(sized.count() / item_block))
+    shares = [1 - i / blocks for i in range(1, blocks)]
+    found = sized.agg(F.percentile_approx("_length", shares, 10 * blocks + 1000)).first()[0] if shares else []
+    cuts = -np.array(found or [], dtype="float64")  # rising
+
+    @F.pandas_udf("int")
+    def place(lengths: pd.Series, spread: pd.Series) -> pd.Series:
+        low, high = np.searchsorted(cuts, -lengths.to_numpy(), "left"), np.searchsorted(cuts, -lengths.to_numpy(), "right")
+        return pd.Series(low + spread.to_numpy() % (high - low + 1)).astype("int32")
+
+    placed = sized.withColumn("ib", place("_length", F.pmod(F.xxhash64(item), F.lit(1 << 30))))
+    path = scratch(items.sparkSession, "norm_blocks")
+    placed.write.parquet(path)
+    placed = items.sparkSession.read.schema(placed.schema).parquet(path)
+    longest = {r.ib: r.n for r in placed.groupBy("ib").agg(F.max("_length").alias("n")).collect()}
+    return placed, [longest.get(i, -1.0) for i in range(blocks)]
+
+
+def pruned_top_k(
     users: DataFrame, items: DataFrame, features: Sequence[str], k: int, seen: DataFrame | None = None,
     user: str = "UserID", item: str = "MovieID", user_block: int = 1024, item_block: int = 8192,
-) -> DataFrame:
+) -> TopK:
     """Exact top-k items per user by factor dot product, rounded to 6 digits, ties by item id.
 
-    Users and items are packed into blocks; a user block meets every item block, one matrix
-    product per meeting, and only ``k`` rows per user leave it. Pairs are never rows, and a
-    meeting holds about ``user_block * item_block`` scores. ``seen`` pairs are masked in the block
-    they belong to, so nothing has to be over-fetched.
+    Item blocks fall in vector length. Every user block meets the first one, which gives each user a
+    k-th best score so far. By Cauchy and Schwarz no product with a later block exceeds the
+    user's length times the block's greatest length, so a user block meets only the blocks that one of its
+    users may still find a better item in, and inside a meeting only those users are multiplied.
+    A meeting is one matrix product and only ``k`` rows per user leave it: pairs are never rows.
+    ``seen`` pairs are dealt to meetings while these are still two numbers, before any factor
+    is joined, and are masked in the block they belong to.
     """
-    dims = len(features)
-    n_user_blocks, n_item_blocks = _block_count(users, user_block), _block_count(items, item_block)
-    user_blocks = _packed(users, user, features, n_user_blocks, "ub", "user_ids", "user_f")
-    item_blocks = _packed(items, item, features, n_item_blocks, "ib", "item_ids", "item_f")
-    meetings = user_blocks.withColumn("ib", F.explode(F.sequence(F.lit(0).cast("bigint"), n_item_blocks - 1))).join(item_blocks, "ib")
-    if seen is None:
-        meetings = meetings.withColumn("seen", F.array().cast("array<struct<u:bigint,i:bigint>>"))
-    else:
-        pairs = (
-            seen.select(user, item)
-            .distinct()
-            .groupBy(F.pmod(F.xxhash64(user), n_user_blocks).alias("ub"), F.pmod(F.xxhash64(item), n_item_blocks).alias("ib"))
-            .agg(F.collect_list(F.struct(F.col(user).alias("u"), F.col(item).alias("i"))).alias("seen"))
-        )
-        meetings = meetings.join(pairs, ["ub", "ib"], "left")
+    spark, dims = users.sparkSession, len(features)
+    placed, longest = norm_blocks(items, item, features, item_block)
+    n_user_blocks = F.lit(max(1, math.ceil(users.count() / user_block)))
+    of_user = F.pmod(F.xxhash64(user), n_user_blocks).cast("int")
+    item_blocks = _packed(placed, item, features, "ib", "item_ids", "item_f")
+    pairs = None
+    if seen is not None:
+        located = seen.select(user, item).distinct().withColumn("ub", of_user).join(placed.select(item, "ib"), item)
+        pairs = located.groupBy("ub", "ib").agg(F.collect_list(F.struct(F.col(user).alias("u"), F.col(item).alias("i"))).alias("seen"))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 u, i = np.asarray(row.user_ids), np.asarray(row.item_ids)
-                scores = np.asarray(row.user_f).reshape(-1, dims) @ np.asarray(row.item_f).reshape(-1, dims).T
+                f = np.asarray(row.user_f).reshape(-1, dims)
+                # users whose bound for this block is below their k-th best can gain nothing
+                open_ = np.sqrt((f * f).sum(axis=1)) * longest[row.ib] * (1 + 1e-12) + 1e-6 >= np.asarray(row.floor)
+                if not open_.any():
+                    continue
+                u, f = u[open_], f[open_]
+                scores = f @ np.asarray(row.item_f).reshape(-1, dims).T
                 scores = np.floor(scores * 1e6 + 0.5) / 1e6
                 if row.seen is not None and len(row.seen):
-                    pairs = pd.DataFrame(list(row.seen))
-                    a, b = np.searchsorted(u, pairs["u"]), np.searchsorted(i, pairs["i"])
+                    gone = pd.DataFrame(list(row.seen))
+                    a, b = np.searchsorted(u, gone["u"]), np.searchsorted(i, gone["i"])
                     ok = (a < len(u)) & (b < len(i))
-                    a, b, pairs = a[ok], b[ok], pairs[ok]
-                    ok = (u[a] == pairs["u"].to_numpy()) & (i[b] == pairs["i"].to_numpy())
+                    a, b, gone = a[ok], b[ok], gone[ok]
+                    ok = (u[a] == gone["u"].to_numpy()) & (i[b] == gone["i"].to_numpy())
                     scores[a[ok], b[ok]] = -np.inf
                 # every score that reaches the k-th best of its row, then exact order with ties by item id
                 keep = min(k, scores.shape[1])
@@ -143,9 +180,44 @@ def top_k_items(
                 top = place < k
                 yield pd.DataFrame({user: u[a[top]], item: i[b[top]], "score": s[top]})
 
-    types = f"{user} bigint, {item} bigint, score double"
-    local = meetings.select("user_ids", "user_f", "item_ids", "item_f", "seen").mapInPandas(best, types)
-    return top_k_per_key(local, [user], [F.desc("score"), item], k)
+    def met(meetings: DataFrame, user_blocks: DataFrame, name: str) -> DataFrame:
+        """Written top rows of (ub, ib) meetings."""
+        with_seen = meetings.join(pairs, ["ub", "ib"], "left") if pairs is not None else meetings.withColumn("seen", F.array().cast(SEEN))
+        whole = with_seen.join(user_blocks, "ub").join(item_blocks, "ib").select("ib", "user_ids", "user_f", "floor", "item_ids", "item_f", "seen")
+        types = dict(users.dtypes)[user], dict(items.dtypes)[item]
+        path = scratch(spark, name)
+        whole.mapInPandas(best, f"{user} {types[0]}, {item} {types[1]}, score double").write.parquet(path)
+        return spark.read.schema(f"{user} {types[0]}, {item} {types[1]}, score double").parquet(path)
+
+    blocked = users.withColumn("ub", of_user)
+    nothing = F.lit(float("-inf"))
+    first = met(blocked.select("ub").distinct().withColumn("ib", F.lit(0)), _packed(blocked.withColumn("floor", nothing), user, features, "ub", "user_ids", "user_f", ["floor"]), "first")
+    # the k-th best score so far, or none
+    kth = first.groupBy(user).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    length = F.sqrt(sum((F.col(f) * F.col(f) for f in features), F.lit(0.0)))
+    floored = blocked.join(kth, user, "left").withColumn("floor", F.coalesce("floor", nothing))
+    least = F.when(length > 0, (F.col("floor") - 1e-6) / length / (1 + 1e-12)).otherwise(F.when(F.col("floor") <= 1e-6, nothing).otherwise(F.lit(float("inf"))))
+    rows = first
+    wanted = floored.groupBy("ub").agg(F.min(least).alias("least"))
+    lengths = F.array(*[F.lit(float(n)) for n in longest])
+    later = wanted.withColumn("ib", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(longest) - 1)), lambda i: (i > 0) & (F.get(lengths, i) >= F.col("least"))))).select("ub", "ib")
+    path = scratch(spark, "meetings")
+    later.write.parquet(path)
+    later = spark.read.schema(later.schema).parquet(path)
+    if len(longest) > 1:
+        rows = rows.unionByName(met(later, _packed(floored, user, features, "ub", "user_ids", "user_f", ["floor"]), "later"))
+    blocks = blocked.select("ub").distinct().count()
+    report = later.agg((F.count(F.lit(1)) + blocks).alias("met")).withColumn("possible", F.lit(blocks * len(longest)).cast("bigint"))
+    report = report.withColumn("pruned_share", 1 - F.try_divide(F.col("met").cast("double"), F.col("possible").cast("double")))
+    return TopK(top_k_per_key(rows, [user], [F.desc("score"), item], k), report)
+
+
+def top_k_items(
+    users: DataFrame, items: DataFrame, features: Sequence[str], k: int, seen: DataFrame | None = None,
+    user: str = "UserID", item: str = "MovieID", user_block: int = 1024, item_block: int = 8192,
+) -> DataFrame:
+    """The rows of ``pruned_top_k``."""
+    return pruned_top_k(users, items, features, k, seen, user, item, user_block, item_block).rows
 
 
 def with_recommendation_id(top: DataFrame, run_id: str, user: str = "UserID") -> DataFrame:

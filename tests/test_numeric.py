@@ -204,6 +204,45 @@ def test_top_k_against_brute_force(spark):
     assert len(got[3]) == 2
 
 
+def test_top_k_skips_blocks_that_cannot_matter(spark):
+    """Items of falling length: the result is that of all pairs, most meetings are not held, and ties beyond the first block are found."""
+    rng = np.random.default_rng(3)
+    u = np.vstack([rng.normal(size=(60, 3)), np.zeros((1, 3)), -np.ones((1, 3))])
+    i = rng.normal(size=(400, 3)) * (0.97 ** np.arange(400))[:, None]
+    i[300:320] = i[5]  # the longest vectors again, under larger ids
+    frames = [spark.createDataFrame([(n, *map(float, r)) for n, r in enumerate(x)], f"{key} long, f0 double, f1 double, f2 double") for x, key in ((u, "UserID"), (i, "MovieID"))]
+    seen_pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, 62, 300), rng.integers(0, 400, 300))} | {(7, b) for b in range(395)}
+    seen = spark.createDataFrame(sorted(seen_pairs), "UserID long, MovieID long")
+    top = rc.pruned_top_k(*frames, ["f0", "f1", "f2"], 4, seen, user_block=1, item_block=20)
+    got = {}
+    for r in top.rows.collect():
+        got.setdefault(r.UserID, []).append((r["rank"], r.MovieID))
+    scores = np.floor((u @ i.T) * 1e6 + 0.5) / 1e6
+    for n in range(62):
+        best = sorted((-scores[n, m], m) for m in range(400) if (n, m) not in seen_pairs)[:4]
+        assert [m for _, m in sorted(got[n])] == [m for _, m in best]
+    # the meetings held are just those that the bound asks for, worked out anew from the blocks
+    placed, longest = rc.norm_blocks(frames[1], "MovieID", ["f0", "f1", "f2"], 20)
+    first_items = {r.MovieID for r in placed.where("ib = 0").collect()}
+    blocks = {}
+    for r in frames[0].select("UserID", F.pmod(F.xxhash64("UserID"), F.lit(62)).alias("ub")).collect():
+        found = sorted((scores[r.UserID, m] for m in first_items if (r.UserID, m) not in seen_pairs), reverse=True)
+        floor = found[3] if len(found) > 3 else -np.inf
+        blocks.setdefault(r.ub, set()).update(b for b in range(1, len(longest)) if np.linalg.norm(u[r.UserID]) * longest[b] + 1e-6 >= floor)
+    report = top.report.first()
+    assert (report.met, report.possible) == (len(blocks) + sum(map(len, blocks.values())), len(blocks) * len(longest))
+    assert 0 < report.pruned_share < 1
+    one = rc.pruned_top_k(*frames, ["f0", "f1", "f2"], 4, None, item_block=10_000)
+    assert one.report.first().pruned_share == 0 and one.rows.count() == 62 * 4
+
+
+def test_top_k_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "UserID long, f0 double"), spark.createDataFrame([], "MovieID long, f0 double")
+    some = spark.createDataFrame([(1, 1.0)], "UserID long, f0 double"), spark.createDataFrame([(1, 1.0)], "MovieID long, f0 double")
+    for users, items in ((empty[0], some[1]), (some[0], empty[1]), empty):
+        assert rc.top_k_items(users, items, ["f0"], 3).count() == 0
+
+
 def test_fallback_and_baseline(spark):
     df = spark.createDataFrame([(3.0, 4.0), (5.0, 4.9), (1.0, 0.6)], "u double, m double")
     assert [r.s for r in df.select(rc.fallback_score("u", "m").alias("s")).collect()] == [4.0, 5.0, 0.5]
