@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii, session, words, written
+from .common import lower_ascii, session, unused, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -127,6 +127,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item; all their columns."""
-    bad = contaminated_pairs(docs, items).select(F.col("doc_key").alias("_bad")).distinct()
+    name = unused(docs, "_bad")
+    bad = contaminated_pairs(docs, items).select(F.col("doc_key").alias(name)).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    return docs.join(bad, key == F.col(name), "left_anti")

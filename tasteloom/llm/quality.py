@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import ftrl
-from .common import BASE, BASE_INV, mixed, powers, rolling, session
+from .common import BASE, BASE_INV, mixed, powers, rolling, session, written
 
 BITS = 18
 FIT_ROWS = 9000  # half of them for rows with a given label, half for rows without
@@ -225,6 +225,21 @@ def _voted(terms: np.ndarray):
     return run
 
 
+class _Train:
+    """Training rows whose features are worked out when the fit comes to them: the driver holds a text's marks once."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, bool, float]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        buckets, marks, toxic, p = self.rows[k]
+        at, value = features(buckets, marks, toxic)
+        return np.append(at, 1 << BITS).astype(np.int32), np.append(value, 1).astype(np.float32), p
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The scorer for ``docs`` (doc_id, text), with ``labels`` (doc_id, quality, toxic) as one labeller among others.
 
@@ -244,10 +259,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     labelled = {r.draw: (NONE if r.given is None else r.given, r.toxic or 0) for r in picked}
     chosen = docs.sparkSession.createDataFrame([(d,) for d in labelled], "draw long")
     sample = drawn.join(F.broadcast(chosen), "draw").dropDuplicates(["draw"]).select("draw", "text")
-    sample = sorted(sample.mapInArrow(_sampled, "draw long, buckets binary, marks binary, stats binary, sketch array<long>").collect(), key=lambda r: r.draw)
-    sample = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.marks, np.int32), np.frombuffer(r.stats), *labelled[r.draw], r.sketch) for r in sample]
-
-    sample = _varied(sample)
+    # written by the executors, then taken file by file, so that the driver's JVM never holds the whole sample
+    sample = written(sample.mapInArrow(_sampled, "draw long, buckets binary, marks binary, stats binary, sketch array<long>"), "sample")
+    sample = {r.draw: (np.frombuffer(r.buckets, np.int32), np.frombuffer(r.marks, np.int32), np.frombuffer(r.stats), *labelled[r.draw], r.sketch)
+              for r in sample.toLocalIterator()}
+    sample = _varied([sample[draw] for draw in sorted(sample)])
     terms = toxic_terms([(s[1], s[4]) for s in sample if s[3] != NONE])
 
     coded = rows.mapInArrow(_voted(terms), "doc_id long, code long").join(given.select("doc_id", "given"), "doc_id", "left")
@@ -258,10 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     train = []
     for buckets, marks, stats, given, *_ in sample:
         toxic = has_term(marks, terms)
-        at, value = features(buckets, marks, toxic)
-        p = good.get((*votes(stats, toxic), given), 0.5)
-        train.append((np.append(at, 1 << BITS).astype(np.int32), np.append(value, 1).astype(np.float32), p))
-    delta = ftrl.fit_two(train, (1 << BITS) + 1, alpha=0.2, l1=1.0, l2=0.1, epochs=8)
+        train.append((buckets, marks, toxic, good.get((*votes(stats, toxic), given), 0.5)))
+    delta = ftrl.fit_two(_Train(train), (1 << BITS) + 1, alpha=0.2, l1=1.0, l2=0.1, epochs=8)
     return Model(delta[:-1].astype(np.float32), float(delta[-1]), terms)
 
 

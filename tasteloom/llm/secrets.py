@@ -15,7 +15,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import session, written
+from .common import session, unused, written
 
 
 @dataclass(frozen=True)
@@ -120,18 +120,19 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """
     session(docs.sparkSession)
     free = {r.kind for r in rules if frozenset() in trigram_query(r.pattern)}
-    marked = candidate_rules(docs, rules).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
+    id_, rules_ = unused(docs, "_id"), unused(docs, "_rules")
+    marked = candidate_rules(docs, rules).select(F.col("doc_id").alias(id_), F.col("rules").alias(rules_))
     # the candidates are one short row for each document that may match: written, so that a hot text is split freely
-    out = docs.drop("secret_spans").join(written(marked, "candidates"), F.col("doc_id") == F.col("_id"), "left")
+    out = docs.drop("secret_spans").join(written(marked, "candidates"), F.col("doc_id") == F.col(id_), "left")
     text = F.coalesce("text", F.lit(""))
     parts = []
     for i, r in enumerate(rules):
         spans = _spans(text, r, i)
         if r.kind not in free:
-            wanted = F.col("doc_id").isNull() | F.coalesce(F.array_contains("_rules", r.kind), F.lit(False))
+            wanted = F.col("doc_id").isNull() | F.coalesce(F.array_contains(rules_, r.kind), F.lit(False))
             spans = F.when(wanted, spans).otherwise(F.array().cast("array<struct<start:int,number:int,kind:string,end:int>>"))
         parts.append(spans)
-    return out.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("_id", "_rules")
+    return out.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop(id_, rules_)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -166,3 +166,17 @@ def test_radius_is_covered_by_blocks(spark, n):
     from pyspark.sql import functions as F
 
     assert df.where(F.arrays_overlap(decontaminate._blocks(F.col("x")), decontaminate._blocks(F.col("y")))).count() == n
+
+
+def test_stages_with_clashing_names(spark):
+    """Columns named as the stages' own helpers pass through, and the decisions are the same."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "x", "y"), (2, text, "x", "y"), (3, "nothing of the kind here at all", "x", "y"), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _bad string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "unused")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    items = spark.createDataFrame([(7, text)], "item_id long, text string")
+    clean = decontaminate.clean(docs, items)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4]

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from tasteloom.llm import packing, secrets, tokens
 
@@ -111,7 +112,8 @@ def test_secrets(spark):
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "secret=token: abcdefgh", "z" * 200_000 + "AKIA" + "Q" * 16]
     rows = [(i if i % 50 else None, t, "s", None) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, secret_spans string, _rules string")
-    scanned = secrets.scan(df.drop("_rules"))
+    scanned = secrets.scan(df.withColumn("_id", F.lit("x")))
+    assert scanned.columns == [*df.columns[:2], "_rules", "_id", "secret_spans"]
     got = sorted(((r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in secrets.digest(scanned).collect()), key=str)
     import hashlib
 
