@@ -63,8 +63,12 @@ def off_step(c: Col, step: float) -> Column:
 
 
 def _marked(cols: Sequence[Col]) -> Column:
-    """The values as one text in which a null holds its place, so that shifted nulls differ."""
-    return F.concat_ws("|", *[F.coalesce(as_col(c).cast("string"), F.lit("\x00")) for c in cols])
+    """The values as one text: a null holds its place, and a mark inside a value is escaped, so that no two lists share a text."""
+    def plain(c: Col) -> Column:
+        text = as_col(c).cast("string")
+        return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+
+    return F.concat_ws("|", *[F.coalesce(plain(c), F.lit("\x00")) for c in cols])
 
 
 def hash_bucket(cols: Sequence[Col], buckets: int) -> Column:

@@ -13,10 +13,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import clamp, split_list, stable_id
-from ..session import scratch
 from .features import movie_stats
 from .relational import error_metrics, train_test_split
-from .scale import exact_quantiles, keep_first, top_k_per_key
+from .scale import exact_quantiles, keep_first, stored, top_k_per_key
 
 
 def mean_baseline(ratings: DataFrame) -> DataFrame:
@@ -83,6 +82,8 @@ def favourite_genres(ratings: DataFrame, movies: DataFrame, k: int = 3) -> DataF
     return top_k_per_key(counts, ["UserID"], [F.desc("n"), "genre"], k)
 
 
+#: Item blocks up to which all meetings are held in one pass.
+ONE_PASS = 4
 SEEN = "array<struct<u: bigint, i: bigint>>"
 
 
@@ -107,7 +108,7 @@ def norm_blocks(items: DataFrame, item: str, features: Sequence[str], item_block
     spread over them by id. One number for each block reaches the driver.
     """
     length = F.sqrt(sum((F.col(f) * F.col(f) for f in features), F.lit(0.0)))
-    sized = items.withColumn("_length", length)
+    sized = stored(items.withColumn("_length", length), "lengths")
     blocks = max(1, math.ceil(sized.count() / item_block))
     shares = [1 - i / blocks for i in range(1, blocks)]
     found = sized.agg(F.percentile_approx("_length", shares, 10 * blocks + 1000)).first()[0] if shares else []
@@ -118,10 +119,9 @@ def norm_blocks(items: DataFrame, item: str, features: Sequence[str], item_block
         low, high = np.searchsorted(cuts, -lengths.to_numpy(), "left"), np.searchsorted(cuts, -lengths.to_numpy(), "right")
         return pd.Series(low + spread.to_numpy() % (high - low + 1)).astype("int32")
 
-    placed = sized.withColumn("ib", place("_length", F.pmod(F.xxhash64(item), F.lit(1 << 30))))
-    path = scratch(items.sparkSession, "norm_blocks")
-    placed.write.parquet(path)
-    placed = items.sparkSession.read.schema(placed.schema).parquet(path)
+    if blocks == 1:
+        return sized.withColumn("ib", F.lit(0)), [0.0]
+    placed = stored(sized.withColumn("ib", place("_length", F.pmod(F.xxhash64(item), F.lit(1 << 30)))), "norm_blocks")
     longest = {r.ib: r.n for r in placed.groupBy("ib").agg(F.max("_length").alias("n")).collect()}
     return placed, [longest.get(i, -1.0) for i in range(blocks)]
 
@@ -141,6 +141,7 @@ def pruned_top_k(
     is joined, and are masked in the block they belong to.
     """
     spark, dims = users.sparkSession, len(features)
+    users = stored(users, "users")
     placed, longest = norm_blocks(items, item, features, item_block)
     n_user_blocks = F.lit(max(1, math.ceil(users.count() / user_block)))
     of_user = F.pmod(F.xxhash64(user), n_user_blocks).cast("int")
@@ -185,28 +186,29 @@ def pruned_top_k(
         with_seen = meetings.join(pairs, ["ub", "ib"], "left") if pairs is not None else meetings.withColumn("seen", F.array().cast(SEEN))
         whole = with_seen.join(user_blocks, "ub").join(item_blocks, "ib").select("ib", "user_ids", "user_f", "floor", "item_ids", "item_f", "seen")
         types = dict(users.dtypes)[user], dict(items.dtypes)[item]
-        path = scratch(spark, name)
-        whole.mapInPandas(best, f"{user} {types[0]}, {item} {types[1]}, score double").write.parquet(path)
-        return spark.read.schema(f"{user} {types[0]}, {item} {types[1]}, score double").parquet(path)
+        return stored(whole.mapInPandas(best, f"{user} {types[0]}, {item} {types[1]}, score double"), name)
 
     blocked = users.withColumn("ub", of_user)
     nothing = F.lit(float("-inf"))
-    first = met(blocked.select("ub").distinct().withColumn("ib", F.lit(0)), _packed(blocked.withColumn("floor", nothing), user, features, "ub", "user_ids", "user_f", ["floor"]), "first")
+    unbounded = _packed(blocked.withColumn("floor", nothing), user, features, "ub", "user_ids", "user_f", ["floor"])
+    each = blocked.select("ub").distinct()
+    if len(longest) <= ONE_PASS:
+        # too few blocks for a second pass to pay
+        all_met = each.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(len(longest) - 1))))
+        report = all_met.agg(F.count(F.lit(1)).alias("met"), F.count(F.lit(1)).alias("possible"), F.lit(0.0).alias("pruned_share"))
+        return TopK(top_k_per_key(met(all_met, unbounded, "all"), [user], [F.desc("score"), item], k), report)
+    first = met(each.withColumn("ib", F.lit(0)), unbounded, "first")
     # the k-th best score so far, or none
     kth = first.groupBy(user).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     length = F.sqrt(sum((F.col(f) * F.col(f) for f in features), F.lit(0.0)))
     floored = blocked.join(kth, user, "left").withColumn("floor", F.coalesce("floor", nothing))
     least = F.when(length > 0, (F.col("floor") - 1e-6) / length / (1 + 1e-12)).otherwise(F.when(F.col("floor") <= 1e-6, nothing).otherwise(F.lit(float("inf"))))
-    rows = first
     wanted = floored.groupBy("ub").agg(F.min(least).alias("least"))
     lengths = F.array(*[F.lit(float(n)) for n in longest])
-    later = wanted.withColumn("ib", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(longest) - 1)), lambda i: (i > 0) & (F.get(lengths, i) >= F.col("least"))))).select("ub", "ib")
-    path = scratch(spark, "meetings")
-    later.write.parquet(path)
-    later = spark.read.schema(later.schema).parquet(path)
-    if len(longest) > 1:
-        rows = rows.unionByName(met(later, _packed(floored, user, features, "ub", "user_ids", "user_f", ["floor"]), "later"))
-    blocks = blocked.select("ub").distinct().count()
+    later = wanted.withColumn("ib", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(longest) - 1)), lambda i: (i > 0) & (F.get(lengths, i) >= F.col("least")))))
+    later = stored(later.select("ub", "ib"), "meetings")
+    rows = first.unionByName(met(later, _packed(floored, user, features, "ub", "user_ids", "user_f", ["floor"]), "later"))
+    blocks = each.count()
     report = later.agg((F.count(F.lit(1)) + blocks).alias("met")).withColumn("possible", F.lit(blocks * len(longest)).cast("bigint"))
     report = report.withColumn("pruned_share", 1 - F.try_divide(F.col("met").cast("double"), F.col("possible").cast("double")))
     return TopK(top_k_per_key(rows, [user], [F.desc("score"), item], k), report)

@@ -14,12 +14,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import scratch
+
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column]) -> DataFrame:
     """One row per (keys, value) with summed measures: hot values shrink before any ordering."""
     return df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in measures.items()])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table, for frames that several passes read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], column: str, few_keys: bool) -> DataFrame:
     """Add a column of a one-row-per-key frame; a scalar subquery where there is no key.
 

@@ -108,7 +108,8 @@ def staged_by(df: DataFrame, base: str, key: Column) -> list[Entry]:
     """``df`` as one new folder for each value of ``key``: short plain texts, as they name folders."""
     spark, path = df.sparkSession, f"data/{uuid.uuid4().hex}"
     marked = df.withColumn(ENTRY_KEY, key)
-    marked.write.partitionBy(ENTRY_KEY).parquet(f"{base}/{path}")
+    # few files for each key, more where a key is large
+    marked.hint("rebalance", ENTRY_KEY).write.partitionBy(ENTRY_KEY).parquet(f"{base}/{path}")
     counts = spark.read.schema(marked.schema).parquet(f"{base}/{path}").groupBy(ENTRY_KEY).agg(F.count(F.lit(1)).alias("n")).collect()
     bad = [r[0] for r in counts if r[0] is None or not KEY_PATTERN.fullmatch(r[0])]
     if bad:

@@ -15,6 +15,13 @@ def test_shifted_nulls_differ(spark):
     assert prints[0] != prints[1]
 
 
+def test_marks_inside_values_differ(spark):
+    rows = [("a|b", "c", "d"), ("a", "b|c", "d"), ("a", "b", "c|d"), ("a\\", "b|c", "d"), ("a\\|b", "c", "d")]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
+    got = df.select(expr.stable_id("x", "y", "z").alias("i"), expr.digest_order(["x", "y", "z"]).alias("d")).collect()
+    assert len({r.i for r in got}) == len({r.d for r in got}) == len(rows)
+
+
 def test_archive_in_place_and_again(spark, tmp_path):
     base = str(tmp_path / "table")
     snapshots.replace(spark.range(100).withColumnRenamed("id", "k"), base, "hot")
