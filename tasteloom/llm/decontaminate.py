@@ -2,12 +2,20 @@
 
 A document's windows of as many words as an item has are compared with the items of that length.
 A window can reach the similarity only if three quarters of its shingle weight are shingles of
-such items, so windows without them are never fingerprinted; this filter loses nothing. A 64-bit
-SimHash over its shingles is cut into RADIUS + 1 blocks: two fingerprints within RADIUS bits
-agree on one block at least, so the join on (length, block, value) finds all pairs within the
-radius. Each is verified by the exact weighted similarity of its five-word shingles: shared over
-united weight, the weight of a shingle being its letters. At similarity 0.75 a pair differs in 11
-bits on average; 19 are allowed, which 99.8 of 100 such pairs stay within.
+such items, so windows without them are never fingerprinted; this filter loses nothing. Whether a
+text holds such a shingle at all is first asked of a bitmap of the items' shingles, row by row, so
+that only suspect texts are written and shuffled; benchmarks too large for a bitmap find their
+texts by a join on the text's key. A 64-bit SimHash over a window's shingles is cut
+into RADIUS + 1 blocks: two fingerprints within RADIUS bits agree on one block at least, so the
+join on (length, block, value) finds all pairs within the radius. Each is verified by the exact
+weighted similarity of its five-word shingles: shared over united weight, the weight of a shingle
+being its letters.
+
+A shingle votes with the square root of its weight. Then the cosine of two windows' votes is
+shared weight over the geometric mean of both weights, which is 2J / (1 + J) at least at
+similarity J, however unequal the weights are. At 0.75 a bit differs with odds of 0.172 at most,
+11 bits of 64 on average; 19 are allowed, which 99.8 of 100 such pairs stay within. Where a
+single unshared shingle holds a quarter of the weight the odds are 0.218, and 95 of 100 stay.
 """
 
 from __future__ import annotations
@@ -22,7 +30,9 @@ SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS = 19
 BROADCAST_SHINGLES = 2_000_000  # benchmarks beyond it are joined by a shuffle
-_LANES = 0x0001000100010001
+BITMAP_SHINGLES = 1 << 18  # benchmarks beyond it find their texts by a join
+BITS_EACH = 64  # bitmap places of a benchmark shingle, of which it sets two: 2 MB at BITMAP_SHINGLES
+_LANES = 0x0000000100000001
 
 
 def _shingles(hashes: Column, sizes: Column, k: int) -> Column:
@@ -37,17 +47,52 @@ def _weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda t, s: t + s["w"])
 
 
+def _vote(shingle: Column) -> Column:
+    return F.round(F.sqrt(shingle["w"]) * 16).cast("long")
+
+
 def fingerprinted(df: DataFrame, shingles: str = "shingles") -> DataFrame:
-    """``df`` with ``fp``: the majority bit of all shingle hashes in each of 64 places."""
+    """``df`` with ``fp``: in each of 64 places the bit with more votes among the shingle hashes. Two places share a sum of 32 bits each."""
     def added(j: int):
-        return lambda t, s: t + F.shiftrightunsigned(s["h"], j).bitwiseAND(F.lit(_LANES))
+        return lambda t, s: t + F.shiftrightunsigned(s["h"], j).bitwiseAND(F.lit(_LANES)) * s["v"]
 
-    lanes = {f"_v{j}": F.aggregate(shingles, F.lit(0).cast("long"), added(j)) for j in range(16)}
+    none = F.lit(0).cast("long")
+    df = df.withColumn("_votes", F.transform(shingles, lambda s: F.struct(s["h"].alias("h"), _vote(s).alias("v"))))
+    df = df.withColumn("_all", F.aggregate("_votes", none, lambda t, s: t + s["v"]))
+    lanes = {f"_v{j}": F.aggregate("_votes", none, added(j)) for j in range(32)}
     df = df.withColumns(lanes)
-    bits = [F.when(F.shiftrightunsigned(F.col(f"_v{j}"), 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > F.size(shingles),
-                   F.lit((1 << (j + 16 * lane)) - ((1 << 64) if j + 16 * lane == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
-            for j in range(16) for lane in range(4)]
-    return df.withColumn("fp", reduce(lambda x, y: x.bitwiseOR(y), bits)).drop(*lanes)
+    bits = [F.when(F.shiftrightunsigned(F.col(f"_v{j}"), 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("_all"),
+                   F.lit((1 << (j + 32 * lane)) - ((1 << 64) if j + 32 * lane == 63 else 0)).cast("long")).otherwise(none)
+            for j in range(32) for lane in range(2)]
+    return df.withColumn("fp", reduce(lambda x, y: x.bitwiseOR(y), bits)).drop("_votes", "_all", *lanes)
+
+
+def _places(h: Column, size: int) -> tuple[Column, Column]:
+    return F.pmod(h, F.lit(size)), F.pmod(F.xxhash64(h), F.lit(size))
+
+
+def bitmap(grams: DataFrame, count: int) -> tuple[Column, int]:
+    """The bits that ``grams`` (h) set, as a constant array of longs, and their number: under 2 * BITS_EACH * ``count``."""
+    size = 1 << max(12, (BITS_EACH * count - 1).bit_length())
+    set_bits = grams.select(F.explode(F.array(*_places(F.col("h"), size))).alias("p")).select(
+        F.expr("p div 64").alias("i"), F.expr("shiftleft(1L, int(p % 64))").alias("bit"))
+    longs = set_bits.groupBy("i").agg(F.bit_or("bit").alias("bits"))
+    held = {r.i: r.bits for r in longs.collect()}  # size / 64 rows at most
+    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(size // 64))), ",").cast("array<bigint>"), size
+
+
+def _may_hold(bits: Column, size: int):
+    """A test of one shingle hash: true for all that set bits, and for about one of a thousand others."""
+    def is_set(p: Column) -> Column:
+        # a bit's place in its long varies by row, so the test is by call_function: the Python helper takes constants only
+        moved = F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int"))
+        return moved.bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def test(h: Column) -> Column:
+        one, two = _places(h, size)
+        return is_set(one) & is_set(two)
+
+    return test
 
 
 def _blocks(fp: Column) -> Column:
@@ -77,15 +122,23 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     for k in sizes:
         mine = bench.where(F.col("k") == k)
         grams = written(mine.select("words", F.explode("shingles.h").alias("h")).distinct(), "grams")
-        small = grams.count() <= BROADCAST_SHINGLES
-        read = _read(docs.where("text is not null"), key.alias("doc_key"))
+        count = grams.count()
+        small = count <= BROADCAST_SHINGLES
+        texts = docs.where("text is not null").select(key.alias("doc_key"), "text")
+        read = _read(texts, F.col("doc_key"))
         at = F.sequence(F.lit(0), F.size("wh") - k)
         spelled = F.when(F.size("wh") >= k, F.transform(at, lambda i: F.xxhash64(F.slice("wh", i + 1, k))))
+        few = count <= BITMAP_SHINGLES
+        if few:
+            may_hold = _may_hold(*bitmap(grams.select("h").distinct(), max(1, count)))
+            read = written(read.where(F.exists(spelled, may_hold)), "suspects")
         hits = read.select("doc_key", F.posexplode(spelled).alias("pos", "h")).join(F.broadcast(grams) if small else grams, "h")
         hits = hits.groupBy("doc_key", "words").agg(F.collect_set("pos").alias("at"), F.collect_set("h").alias("known"))
         hits = written(hits, "hits")
-        texts = _read(docs.where("text is not null").select(key.alias("doc_key"), "text").join(hits.select("doc_key").distinct(), "doc_key", "left_semi"), F.col("doc_key"))
-        near = texts.join(hits, "doc_key")
+        if not few:
+            keys = written(hits.select("doc_key").distinct(), "keys")
+            read = written(_read(texts.join(keys, "doc_key", "left_semi"), F.col("doc_key")), "suspects")
+        near = read.join(hits, "doc_key")
         # window starts around each hit; a text shorter than the item is one window
         last = F.greatest(F.size("wh") - F.col("words"), F.lit(0))
         starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(

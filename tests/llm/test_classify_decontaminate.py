@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -130,7 +131,9 @@ def brute(rows, items):
     return sorted(out, key=str)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("bitmap", [decontaminate.BITMAP_SHINGLES, 0])
+def test_decontamination(spark, monkeypatch, bitmap):
+    monkeypatch.setattr(decontaminate, "BITMAP_SHINGLES", bitmap)
     rng = random.Random(8)
     vocab = [f"v{k}" for k in range(400)]
     text = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -157,6 +160,35 @@ def test_decontamination(spark):
     assert decontaminate.report(df.limit(0), it).count() == 0 and not any(r.contaminated for r in decontaminate.report(df, it.limit(0)).collect())
 
 
+@pytest.mark.parametrize("letters, replaced", [(300, 19), (150, 19), (3, 18)])
+def test_decontamination_of_unequal_words(spark, letters, replaced):
+    """Items of 20 words with one long word as fifth; a copy has its last or a late word replaced."""
+    rng = random.Random(letters)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items, rows = [], []
+    for i in range(60):
+        w = [word(5) for _ in range(20)]
+        w[4] = word(letters)
+        items.append((i, " ".join(w)))
+        w[replaced] = word(5)
+        rows.append((i, " ".join([word(5) for _ in range(i)] + w + [word(4) for _ in range(30)])))
+    want = brute(rows, items)
+    got = decontaminate.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found, due = {(r.doc_id, i) for r in got for i in r.item_ids}, {(d, i) for d, ids in want for i in ids}
+    assert found <= due and len(due) == 60 and len(found) == 60
+
+
+def test_votes_outgrow_no_lane(spark):
+    """The fingerprint equals one counted bit by bit, with weights up to that of a very long word."""
+    rng = random.Random(2)
+    rows = [(n, [(rng.getrandbits(64) - (1 << 63), rng.choice([1, 30, 400, 5_000_000])) for _ in range(n)]) for n in (0, 1, 2, 57, 20_000)]
+    df = spark.createDataFrame(rows, "n long, shingles array<struct<h: long, w: int>>")
+    for r in decontaminate.fingerprinted(df).collect():
+        votes = [(s.h % (1 << 64), round(math.sqrt(s.w) * 16)) for s in r.shingles]
+        total = sum(v for _, v in votes)
+        assert r.fp % (1 << 64) == sum(1 << j for j in range(64) if 2 * sum(v for h, v in votes if h >> j & 1) > total)
+
+
 @pytest.mark.parametrize("n", [1, 40])
 def test_radius_is_covered_by_blocks(spark, n):
     rng = random.Random(n)
