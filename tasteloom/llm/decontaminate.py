@@ -31,7 +31,7 @@ SIMILARITY = 0.75
 RADIUS = 19
 BROADCAST_SHINGLES = 2_000_000  # benchmarks beyond it are joined by a shuffle
 BITMAP_SHINGLES = 1 << 18  # benchmarks beyond it find their texts by a join
-BITS_EACH = 64  # bitmap places of a benchmark shingle, of which it sets two: 2 MB at BITMAP_SHINGLES
+BITS_EACH = 64  # bitmap places of a benchmark shingle, of which it sets four: 2 MB at BITMAP_SHINGLES
 _LANES = 0x0000000100000001
 
 
@@ -43,6 +43,12 @@ def _shingles(hashes: Column, sizes: Column, k: int) -> Column:
     return F.when(F.size(hashes) >= k, F.array_distinct(F.transform(at, one)))
 
 
+def _spelled(hashes: Column, k: int) -> Column:
+    """Hashes of every k consecutive words, in their order; null if there are fewer."""
+    at = F.sequence(F.lit(0), F.size(hashes) - k)
+    return F.when(F.size(hashes) >= k, F.transform(at, lambda i: F.xxhash64(F.slice(hashes, i + 1, k))))
+
+
 def _weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda t, s: t + s["w"])
 
@@ -67,8 +73,10 @@ def fingerprinted(df: DataFrame, shingles: str = "shingles") -> DataFrame:
     return df.withColumn("fp", reduce(lambda x, y: x.bitwiseOR(y), bits)).drop("_votes", "_all", *lanes)
 
 
-def _places(h: Column, size: int) -> tuple[Column, Column]:
-    return F.pmod(h, F.lit(size)), F.pmod(F.xxhash64(h), F.lit(size))
+def _places(h: Column, size: int) -> list[Column]:
+    """Four places of a shingle hash in a bitmap of ``size`` bits, a power of two up to 2**25."""
+    again = F.xxhash64(h)
+    return [F.shiftrightunsigned(x, by).bitwiseAND(F.lit(size - 1).cast("long")) for x in (h, again) for by in (0, 32)]
 
 
 def bitmap(grams: DataFrame, count: int) -> tuple[Column, int]:
@@ -82,15 +90,14 @@ def bitmap(grams: DataFrame, count: int) -> tuple[Column, int]:
 
 
 def _may_hold(bits: Column, size: int):
-    """A test of one shingle hash: true for all that set bits, and for about one of a thousand others."""
+    """A test of one shingle hash: true for all that set bits, and for at most one of 60,000 others."""
     def is_set(p: Column) -> Column:
         # a bit's place in its long varies by row, so the test is by call_function: the Python helper takes constants only
         moved = F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int"))
         return moved.bitwiseAND(F.lit(1).cast("long")) == 1
 
     def test(h: Column) -> Column:
-        one, two = _places(h, size)
-        return is_set(one) & is_set(two)
+        return reduce(lambda x, y: x & y, map(is_set, _places(h, size)))
 
     return test
 
@@ -126,12 +133,13 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
         small = count <= BROADCAST_SHINGLES
         texts = docs.where("text is not null").select(key.alias("doc_key"), "text")
         read = _read(texts, F.col("doc_key"))
-        at = F.sequence(F.lit(0), F.size("wh") - k)
-        spelled = F.when(F.size("wh") >= k, F.transform(at, lambda i: F.xxhash64(F.slice("wh", i + 1, k))))
+        spelled = _spelled(F.col("wh"), k)
         few = count <= BITMAP_SHINGLES
         if few:
             may_hold = _may_hold(*bitmap(grams.select("h").distinct(), max(1, count)))
-            read = written(read.where(F.exists(spelled, may_hold)), "suspects")
+            # a filter moves below the columns that it reads: the list of one makes a text's words once, not once a shingle
+            held = F.exists(F.array("wh"), lambda wh: F.exists(_spelled(wh, k), may_hold))
+            read = written(read.where(held), "suspects")
         hits = read.select("doc_key", F.posexplode(spelled).alias("pos", "h")).join(F.broadcast(grams) if small else grams, "h")
         hits = hits.groupBy("doc_key", "words").agg(F.collect_set("pos").alias("at"), F.collect_set("h").alias("known"))
         hits = written(hits, "hits")
