@@ -2,10 +2,9 @@
 
 A document's windows of as many words as an item has are compared with the items of that length.
 A window can reach the similarity only if three quarters of its shingle weight are shingles of
-such items, so windows without them are never fingerprinted; this filter loses nothing. Whether a
-text holds such a shingle at all is first asked of a bitmap of the items' shingles, row by row, so
-that only suspect texts are written and shuffled; benchmarks too large for a bitmap find their
-texts by a join on the text's key. A 64-bit SimHash over a window's shingles is cut
+such items, so windows without them are never fingerprinted; this filter loses nothing. The
+keys of the texts that hold such shingles are a small table of their own, so that Spark can send
+them to the texts; only suspect texts are written and shuffled. A 64-bit SimHash over a window's shingles is cut
 into RADIUS + 1 blocks: two fingerprints within RADIUS bits agree on one block at least, so the
 join on (length, block, value) finds all pairs within the radius. Each is verified by the exact
 weighted similarity of its five-word shingles: shared over united weight, the weight of a shingle
@@ -30,8 +29,6 @@ SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS = 19
 BROADCAST_SHINGLES = 2_000_000  # benchmarks beyond it are joined by a shuffle
-BITMAP_SHINGLES = 1 << 18  # benchmarks beyond it find their texts by a join
-BITS_EACH = 64  # bitmap places of a benchmark shingle, of which it sets four: 2 MB at BITMAP_SHINGLES
 _LANES = 0x0000000100000001
 
 
@@ -73,35 +70,6 @@ def fingerprinted(df: DataFrame, shingles: str = "shingles") -> DataFrame:
     return df.withColumn("fp", reduce(lambda x, y: x.bitwiseOR(y), bits)).drop("_votes", "_all", *lanes)
 
 
-def _places(h: Column, size: int) -> list[Column]:
-    """Four places of a shingle hash in a bitmap of ``size`` bits, a power of two up to 2**25."""
-    again = F.xxhash64(h)
-    return [F.shiftrightunsigned(x, by).bitwiseAND(F.lit(size - 1).cast("long")) for x in (h, again) for by in (0, 32)]
-
-
-def bitmap(grams: DataFrame, count: int) -> tuple[Column, int]:
-    """The bits that ``grams`` (h) set, as a constant array of longs, and their number: under 2 * BITS_EACH * ``count``."""
-    size = 1 << max(12, (BITS_EACH * count - 1).bit_length())
-    set_bits = grams.select(F.explode(F.array(*_places(F.col("h"), size))).alias("p")).select(
-        F.expr("p div 64").alias("i"), F.expr("shiftleft(1L, int(p % 64))").alias("bit"))
-    longs = set_bits.groupBy("i").agg(F.bit_or("bit").alias("bits"))
-    held = {r.i: r.bits for r in longs.collect()}  # size / 64 rows at most
-    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(size // 64))), ",").cast("array<bigint>"), size
-
-
-def _may_hold(bits: Column, size: int):
-    """A test of one shingle hash: true for all that set bits, and for at most one of 60,000 others."""
-    def is_set(p: Column) -> Column:
-        # a bit's place in its long varies by row, so the test is by call_function: the Python helper takes constants only
-        moved = F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int"))
-        return moved.bitwiseAND(F.lit(1).cast("long")) == 1
-
-    def test(h: Column) -> Column:
-        return reduce(lambda x, y: x & y, map(is_set, _places(h, size)))
-
-    return test
-
-
 def _blocks(fp: Column) -> Column:
     edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
     return F.array(*[F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v"))
@@ -129,24 +97,16 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     for k in sizes:
         mine = bench.where(F.col("k") == k)
         grams = written(mine.select("words", F.explode("shingles.h").alias("h")).distinct(), "grams")
-        count = grams.count()
-        small = count <= BROADCAST_SHINGLES
+        small = grams.count() <= BROADCAST_SHINGLES
         texts = docs.where("text is not null").select(key.alias("doc_key"), "text")
         read = _read(texts, F.col("doc_key"))
-        spelled = _spelled(F.col("wh"), k)
-        few = count <= BITMAP_SHINGLES
-        if few:
-            may_hold = _may_hold(*bitmap(grams.select("h").distinct(), max(1, count)))
-            # a filter moves below the columns that it reads: the list of one makes a text's words once, not once a shingle
-            held = F.exists(F.array("wh"), lambda wh: F.exists(_spelled(wh, k), may_hold))
-            read = written(read.where(held), "suspects")
-        hits = read.select("doc_key", F.posexplode(spelled).alias("pos", "h")).join(F.broadcast(grams) if small else grams, "h")
+        hits = read.select("doc_key", F.posexplode(_spelled(F.col("wh"), k)).alias("pos", "h")).join(F.broadcast(grams) if small else grams, "h")
         hits = hits.groupBy("doc_key", "words").agg(F.collect_set("pos").alias("at"), F.collect_set("h").alias("known"))
         hits = written(hits, "hits")
-        if not few:
-            keys = written(hits.select("doc_key").distinct(), "keys")
-            read = written(_read(texts.join(keys, "doc_key", "left_semi"), F.col("doc_key")), "suspects")
-        near = read.join(hits, "doc_key")
+        # a table of keys alone is as small as its file says; the estimate for a column of ``hits`` counts its lists
+        keys = written(hits.select("doc_key").distinct(), "keys")
+        suspects = written(_read(texts.join(keys, "doc_key", "left_semi"), F.col("doc_key")), "suspects")
+        near = suspects.join(hits, "doc_key")
         # window starts around each hit; a text shorter than the item is one window
         last = F.greatest(F.size("wh") - F.col("words"), F.lit(0))
         starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(
