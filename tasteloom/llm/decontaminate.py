@@ -13,8 +13,8 @@ being its letters.
 A shingle votes with the square root of its weight. Then the cosine of two windows' votes is
 shared weight over the geometric mean of both weights, which is 2J / (1 + J) at least at
 similarity J, however unequal the weights are. At 0.75 a bit differs with odds of 0.172 at most,
-11 bits of 64 on average; 19 are allowed, which 99.8 of 100 such pairs stay within. Where a
-single unshared shingle holds a quarter of the weight the odds are 0.218, and 95 of 100 stay.
+11 bits of 64 on average; 19 are allowed, which 99.5 of 100 such pairs stay within (binomial odds). Where a
+single unshared shingle holds a quarter of the weight the odds are 0.218, and 94.9 of 100 stay.
 """
 
 from __future__ import annotations
