@@ -41,23 +41,29 @@ def _ks_columns() -> list[Column]:
     return [F.max(gap).alias("statistic"), F.max("nb_all").alias("n_baseline"), F.max("nc_all").alias("n_current")]
 
 
-def ks(counts: DataFrame) -> DataFrame:
-    """Two-sample KS statistic and asymptotic p-value per feature."""
-    out = distributions(counts).groupBy("feature").agg(*_ks_columns()).filter("n_baseline > 0 AND n_current > 0")
+def _enough(minimum: int) -> Column:
+    """A feature counts only where both samples hold enough values of it."""
+    return F.least("n_baseline", "n_current") >= minimum
+
+
+def ks(counts: DataFrame, minimum: int = MIN_VALUES) -> DataFrame:
+    """Two-sample KS statistic and asymptotic p-value per feature with at least ``minimum`` values in each sample."""
+    out = distributions(counts).groupBy("feature").agg(*_ks_columns()).filter(_enough(max(minimum, 1)))
     return out.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n_baseline"), F.col("n_current")))
 
 
-def feature_drift(counts: DataFrame, bins: int = 10) -> DataFrame:
+def feature_drift(counts: DataFrame, bins: int = 10, minimum: int = MIN_VALUES) -> DataFrame:
     """PSI and KS per feature: ``feature, psi, statistic, n_baseline, n_current, p_value``.
 
     PSI bins are baseline quantiles with repeats removed; the last bin is closed and values
     outside all bins drop. The ordered pass runs once and yields one row per feature, which
-    goes back to the plain counts as a broadcast bounded by the number of columns.
+    goes back to the plain counts as a broadcast bounded by the number of columns. Features with
+    fewer than ``minimum`` values in either sample are left out.
     """
     probs = [i / bins for i in range(bins + 1)]
     profile = distributions(counts).groupBy("feature").agg(
         F.array(*quantile_columns("value", "nb", probs)).alias("p"), *_ks_columns()
-    ).withColumn("p", F.array_sort(F.array_distinct(F.array_compact("p"))))
+    ).filter(_enough(minimum)).withColumn("p", F.array_sort(F.array_distinct(F.array_compact("p"))))
     placed = counts.join(F.broadcast(profile), "feature")
     value, points = F.col("value"), F.col("p")
     passed = F.expr(" + ".join(f"coalesce(int(value >= get(p, {i})), 0)" for i in range(1, bins + 1)))
@@ -102,6 +108,13 @@ def feature_summary(df: DataFrame, sample: str, columns: Sequence[str], minimum:
     return one.select(F.inline(F.array(*cells))).filter(F.col("n") >= minimum)
 
 
+def summary_pair(baseline: DataFrame, current: DataFrame, columns: Sequence[str], minimum: int = MIN_VALUES) -> DataFrame:
+    """``feature_summary`` of both samples; a feature with too few values in either is left out of both."""
+    rows = feature_summary(baseline, "baseline", columns, 0).unionByName(feature_summary(current, "current", columns, 0))
+    enough = rows.groupBy("feature").agg(F.min("n").alias("_least")).filter(F.col("_least") >= minimum).select("feature")
+    return rows.join(enough, "feature", "left_semi")
+
+
 def _share_columns(alpha: float = ALPHA) -> list[Column]:
     return [F.count_if(F.col("p_value") < alpha).alias("n_drifted"), F.count(F.lit(1)).alias("n_columns")]
 

@@ -251,6 +251,17 @@ def deployment_history(logs: DataFrame) -> DataFrame:
     return seen.withColumn("is_current", F.col("model_version") == current)
 
 
+def performance_rows(quality: DataFrame, metrics: DataFrame, logs: DataFrame) -> DataFrame:
+    """Evaluation rows (``model_version``, ``evaluation_date``, errors) with the name, run, stage and business metrics of the version.
+
+    The version in use is in production, others are archived. Versions without metrics keep nulls.
+    """
+    runs = logs.groupBy("model_version").agg(F.max("model_name").alias("model_name"), F.max("model_run_id").alias("model_run_id"))
+    stage = deployment_history(logs).select(
+        "model_version", F.when(F.col("is_current"), "production").otherwise("archived").alias("stage"), F.col("is_current").alias("is_production"))
+    return quality.join(runs.join(stage, "model_version").join(metrics, "model_version", "left"), "model_version", "left")
+
+
 def error_profile(events: DataFrame, logs: DataFrame, group: list[str]) -> DataFrame:
     """Watch-completion error of the constant 0.5 per group, as a stand-in quality record.
 

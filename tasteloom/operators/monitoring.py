@@ -7,11 +7,12 @@ evaluation grid, which bounds the rows per series by the time range.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import ratio
-from .scale import chunked_previous, exact_quantiles
+from .scale import chunked_previous, exact_quantiles, volume_segments
 
 SERIES = ["metric", "instance"]
 
@@ -24,19 +25,40 @@ def _slot(seconds: int, c: str = "ts") -> Column:
     return F.floor(_epoch(c) / seconds).cast("bigint")
 
 
-def counter_rate(samples: DataFrame, window_seconds: int, series: Sequence[str] = SERIES, chunk_seconds: int = 3600) -> DataFrame:
+def counter_rate(
+    samples: DataFrame, window_seconds: int, series: Sequence[str] = SERIES, chunk_seconds: int = 3600, segment_rows: int = 100_000,
+) -> DataFrame:
     """Reset-aware increase and per-second rate per series and tumbling window.
 
-    A drop counts from 0 again. Nothing is extrapolated to window borders.
+    A drop counts from 0 again. Nothing is extrapolated to window borders. Samples without a time
+    have no place in a series and are left out.
+
+    A segment's summary (first value, last value, increase inside) merges with the next one's, so
+    only summaries cross between tasks. Segments are bounded by volume, not by time: one holds at
+    most ``segment_rows`` samples and those of one more second.
     """
-    cut = samples.withColumn("_chunk", _slot(chunk_seconds))
-    stepped = chunked_previous(cut, series, ["ts", "event_id"], "_chunk", ["value"])
-    before, now = F.col("prev_value"), F.col("value")
-    delta = F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
-    out = stepped.groupBy(*series, _slot(window_seconds).alias("slot")).agg(F.sum(delta).alias("increase"))
+    cut = samples.filter(F.col("ts").isNotNull()).withColumns({"slot": _slot(window_seconds), "_chunk": _slot(chunk_seconds)})
+    cut = volume_segments(cut, [*series, "slot", "_chunk"], _epoch(), segment_rows, "_segment")
+    key = [*series, "slot", "_chunk", "_segment"]
+    inside = W.partitionBy(*key).orderBy("ts", "event_id")
+    at = F.struct("ts", "event_id")
+    step = F.when(F.row_number().over(inside) > 1, _rise(F.lag("value").over(inside), F.col("value")))
+    summaries = cut.withColumn("_step", step).groupBy(*key).agg(
+        F.min(at).alias("_at"), F.min_by("value", at).alias("_first"), F.max_by("value", at).alias("_last"), F.sum("_step").alias("_inner"),
+    )
+    # the steps between segments: a scan over summaries, days of them at a time
+    met = chunked_previous(summaries.withColumn("_day", _slot(86400, "_at.ts")), series, ["_at"], "_day", ["_last"])
+    joint = _rise(F.col("prev__last"), F.col("_first"))
+    either = F.coalesce(joint + F.col("_inner"), joint, F.col("_inner"))
+    out = met.groupBy(*series, "slot").agg(F.sum(either).alias("increase"))
     return out.withColumn("rate", F.col("increase") / window_seconds)
 
 
+def _rise(before: Column, now: Column) -> Column:
+    """The first sample of a series, and one after a null, rises by 0; a null has no rise."""
+    return F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
+
+
 def cumulative_buckets(samples: DataFrame, bounds: Sequence[float], series: Sequence[str]) -> DataFrame:
     """Histogram rows ``(series, le, count)`` with cumulative counts; the last bound is infinite."""
     totals = samples.groupBy(*series).agg(
@@ -75,23 +97,35 @@ def ratio_of_rates(samples: DataFrame, part: Column, window_seconds: int) -> Dat
 
 
 def avg_over_time(samples: DataFrame, window_seconds: int, series: Sequence[str] = SERIES, chunk_seconds: int = 86400) -> DataFrame:
-    """Trailing mean per sample over ``window_seconds``.
+    """Trailing mean per sample over ``window_seconds``, both ends included.
 
-    A sample near the end of its chunk is also sent to the next chunk as context, so every
-    frame is complete inside one chunk. ``chunk_seconds`` must be at least the window.
+    Samples shrink to a sum and a count per second first, so the rows of a task are bounded by
+    seconds. The timeline is cut into blocks as long as the frame: a frame is then the end of one
+    block and the start of the next, and both come from running totals inside a block. Nothing is
+    subtracted, so nothing cancels. Nulls take no part; samples without a time are left out.
+    ``chunk_seconds`` is the most that a block may cover; a longer window is refused.
     """
     if chunk_seconds < window_seconds:
         raise ValueError("a chunk must cover at least one window")
-    own = F.floor(F.col("_t") / chunk_seconds).cast("bigint")
-    near_end = F.col("_t") % chunk_seconds >= chunk_seconds - window_seconds
-    spread = (
-        samples.withColumn("_t", _epoch())
-        .withColumn("_own", own)
-        .withColumn("_chunk", F.explode(F.when(near_end, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    length = window_seconds + 1
+    timed = samples.filter(F.col("ts").isNotNull()).withColumn("_t", _epoch())
+    seconds = timed.groupBy(*series, "_t").agg(F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    block = F.floor(F.col("_at") / length).cast("bigint")
+    real = seconds.withColumns({"_at": F.col("_t"), "_ask": F.lit(False)})
+    # where the frame of a second opens, unless that is the start of the second's own block
+    asks = seconds.select(*series, "_t", F.lit(0.0).alias("_s"), F.lit(0).cast("bigint").alias("_n"), (F.col("_t") - window_seconds).alias("_at"), F.lit(True).alias("_ask"))
+    asks = asks.filter(F.pmod("_t", F.lit(length)) != length - 1)
+    rows = real.unionByName(asks).withColumn("_block", block)
+    upto = W.partitionBy(*series, "_block").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    onward = W.partitionBy(*series, "_block").orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, 0)
+    parts = rows.select(
+        *series, "_t",
+        *[F.when(F.col("_ask"), F.sum(c).over(onward)).otherwise(F.sum(c).over(upto)).alias(c) for c in ("_s", "_n")],
     )
-    frame = W.partitionBy(*series, "_chunk").orderBy("_t").rangeBetween(-window_seconds, 0)
-    out = spread.withColumn("avg_value", F.avg("value").over(frame))
-    return out.filter(F.col("_chunk") == F.col("_own")).select(*samples.columns, "avg_value")
+    means = parts.groupBy(*series, "_t").agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("avg_value"))
+    means = means.select("avg_value", *[F.col(c).alias(f"_m{i}") for i, c in enumerate([*series, "_t"])])
+    same = [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate([*series, "_t"])]
+    return timed.join(means, reduce(lambda a, b: a & b, same)).select(*samples.columns, "avg_value")
 
 
 def delta_over_window(samples: DataFrame, window_seconds: int, series: Sequence[str] = SERIES) -> DataFrame:

@@ -280,6 +280,23 @@ def stage_suite(stage: str, dataset: str, df: DataFrame, ordered_columns: Sequen
     return run_checks(df, f"{stage}.{dataset}", checks)
 
 
+def stage_suites(config: dict[str, dict[str, Sequence[str]]], frames: dict[str, dict[str, DataFrame]]) -> DataFrame | None:
+    """The suites of every stage and dataset that ``config`` lists (stage -> dataset -> ordered columns).
+
+    A dataset without a frame fails both of its expectations; a stage without datasets gives no
+    rows, and a config without any gives None.
+    """
+    out = None
+    for stage, datasets in config.items():
+        for name, columns in datasets.items():
+            df = frames.get(stage, {}).get(name)
+            if df is None:
+                df = next(f for by in frames.values() for f in by.values()).limit(0).select()
+            rows = stage_suite(stage, name, df, columns)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def pipeline_checks(movies: DataFrame, ratings: DataFrame, users: DataFrame) -> DataFrame:
     """The six booleans of the pipeline's own validation stage, one aggregation per table."""
 

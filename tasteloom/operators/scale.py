@@ -143,6 +143,23 @@ def chunked_previous(
     )
 
 
+def volume_segments(df: DataFrame, keys: Sequence[str], second: Column, rows: int, alias: str) -> DataFrame:
+    """Number the rows of a key by ordered segments of at most ``rows`` rows and one more second's.
+
+    Rows are counted by second first. Only keys above the bound get cut points, one per ``rows``
+    rows, so the table of cuts is as small as the whole table divided by ``rows``.
+    """
+    keys, names = list(keys), [f"_k{i}" for i in range(len(keys))]
+    counts = df.groupBy(*keys, second.alias("_second")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_second").rowsBetween(W.unboundedPreceding, -1)
+    number = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows)
+    starts = counts.withColumn("_number", number).filter("_number > 0").groupBy(*keys, "_number").agg(F.min("_second").alias("_cut"))
+    cuts = starts.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.collect_list("_cut").alias("_cuts"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    passed = F.size(F.filter("_cuts", lambda c: c <= second))
+    return df.join(cuts, same, "left").select(*df.columns, F.coalesce(F.when(F.col("_cuts").isNotNull(), passed), F.lit(0)).alias(alias))
+
+
 def chunked_running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: str, col: str, alias: str
 ) -> DataFrame:

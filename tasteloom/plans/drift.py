@@ -85,7 +85,7 @@ def summary_sql(c, sample, cond):
 @query("d04_feature_summary", " UNION ALL ".join(summary_sql(c, s, o) for c in COLUMNS for s, o in (("baseline", "<"), ("current", ">="))))
 def summary(t):
     b, c = samples(t)
-    out = dr.feature_summary(b, "baseline", COLUMNS).unionByName(dr.feature_summary(c, "current", COLUMNS))
+    out = dr.summary_pair(b, c, COLUMNS)
     return out.withColumns({x: F.round(F.col(x) + 0.0, 6) for x in ("mean", "std", "min", "max")})
 
 

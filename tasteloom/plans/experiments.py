@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import percent, r6
 from ..operators import experiments as ex
 from ..operators import feedback as fb
-from ..operators.scale import exact_quantiles, keep_first
+from ..operators.scale import exact_quantiles, keep_first, stored
+from ..session import scratch
+from ..sources import keyed_log, sinks as sk
 from ..tables import AS_OF
 from .feedback import METRICS, VERSION_METRICS, business, training_labels
 from .registry import query
@@ -239,11 +241,17 @@ def history(t):
     return ex.deployment_history(t.recommendation_logs)
 
 
-L17 = """WITH q AS (SELECT model_version, CAST(e.created_at AS DATE) AS evaluation_date, sqrt(avg((completion_rate - 0.5) * (completion_rate - 0.5))) AS rmse,
+L17 = VERSION_METRICS.rstrip() + """, q AS (SELECT model_version, CAST(e.created_at AS DATE) AS evaluation_date, sqrt(avg((completion_rate - 0.5) * (completion_rate - 0.5))) AS rmse,
+    avg((completion_rate - 0.5) * (completion_rate - 0.5)) AS mse, 1 - avg((completion_rate - 0.5) * (completion_rate - 0.5)) / nullif(var_pop(completion_rate), 0) AS r2,
     avg(abs(completion_rate - 0.5)) AS mae, count(*) AS sample_count FROM user_events e JOIN (SELECT recommendation_id, model_version FROM recommendation_logs) USING (recommendation_id) GROUP BY 1, 2),
 m AS (SELECT model_version, round(CAST(count(*) FILTER (WHERE c > 0) AS DOUBLE) / count(*) * 100, 2) AS ctr FROM (SELECT r.model_version, r.recommendation_id,
     count(*) FILTER (WHERE e.event_type = 'click') AS c FROM recommendation_logs r LEFT JOIN user_events e USING (recommendation_id) GROUP BY 1, 2) GROUP BY 1),
-perf AS (SELECT evaluation_date, model_version, round(rmse, 6) AS rmse, round(mae, 6) AS mae, sample_count, ctr FROM q LEFT JOIN m USING (model_version))
+cur AS (SELECT arg_max(model_version, row(f, model_version)) AS v FROM (SELECT model_version, min(created_at) AS f FROM recommendation_logs GROUP BY 1)),
+perf AS (SELECT evaluation_date, model_version, 'ranker' AS model_name, 'run-' || model_version AS model_run_id,
+    CASE WHEN model_version = (SELECT v FROM cur) THEN 'production' ELSE 'archived' END AS stage, model_version = (SELECT v FROM cur) AS is_production,
+    round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(mse, 6) AS mse, round(r2, 6) AS r2_score, sample_count, ctr,
+    round(CAST(watches AS DOUBLE) / clicks * 100, 6) AS watch_rate, round(completion * 100, 6) AS avg_watch_completion, round(score, 6) AS avg_engagement_score
+    FROM q LEFT JOIN m USING (model_version) LEFT JOIN c USING (model_version) LEFT JOIN l USING (model_version))
 """
 
 
@@ -251,15 +259,24 @@ def daily_performance(t):
     quality = ex.error_profile(
         t.user_events.withColumn("evaluation_date", F.to_date("created_at")), t.recommendation_logs, ["model_version", "evaluation_date"]
     )
-    rates = fb.business_metrics(t.recommendation_logs, t.user_events).select("model_version", F.col("ctr_percent").alias("ctr"))
-    return quality.join(rates, "model_version", "left").select(
-        "evaluation_date", "model_version", r6("rmse").alias("rmse"), r6("mae").alias("mae"), "sample_count", "ctr"
+    clicked = fb.business_metrics(t.recommendation_logs, t.user_events).select("model_version", F.col("ctr_percent").alias("ctr"))
+    engaged = fb.version_metrics(t.recommendation_logs, t.user_events, training_labels(t)).select(
+        "model_version", "watch_rate", F.col("avg_watch_completion_pct").alias("avg_watch_completion"), "avg_engagement_score")
+    rounded = ("rmse", "mae", "mse", "r2_score", "watch_rate", "avg_watch_completion", "avg_engagement_score")
+    return ex.performance_rows(quality, clicked.join(engaged, "model_version"), t.recommendation_logs).select(
+        "evaluation_date", "model_version", "model_name", "model_run_id", "stage", "is_production", "sample_count", "ctr",
+        *[r6(c).alias(c) for c in rounded],
     )
 
 
 @query("l17_performance_rows", L17 + "SELECT * FROM perf")
 def performance_rows(t):
-    return daily_performance(t)
+    """The rows as a log that takes each (version, day) once; the second load is a no-op."""
+    path = scratch(t.spark, "model_performance")
+    rows = stored(daily_performance(t), "performance")
+    for _ in range(2):
+        sk.insert_if_absent(t.spark, path, rows, ["model_version", "evaluation_date"])
+    return keyed_log.read(t.spark, path)
 
 
 @query("l17_latest_ten", L17 + "SELECT * FROM perf ORDER BY evaluation_date DESC, model_version LIMIT 10")
@@ -267,7 +284,7 @@ def latest_ten(t):
     return daily_performance(t).orderBy(F.desc("evaluation_date"), "model_version").limit(10)
 
 
-@query("l17_champion", L17 + """SELECT evaluation_date, model_version, rmse, mae, sample_count, ctr FROM (SELECT *, row_number() OVER (
+@query("l17_champion", L17 + """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
     PARTITION BY model_version ORDER BY evaluation_date DESC) AS rn FROM perf) WHERE rn = 1""")
 def champion(t):
     return keep_first(daily_performance(t), ["model_version"], [F.desc("evaluation_date")])

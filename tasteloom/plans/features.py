@@ -34,16 +34,19 @@ def user_features(t):
     return rounded(fe.user_features(t.users, t.ratings, OCCUPATIONS), "AvgRating", "StdRating", "RatingRange")
 
 
-@query("e02_movie_features", f"""
+MOVIE_SQL = f"""
 SELECT MovieID, Title, Genres, coalesce(Popularity, 0) AS Popularity, round(coalesce(AvgRating, 0), 6) AS AvgRating,
     {POP_SQL.format(p='coalesce(Popularity, 0)')} AS PopularityCategory, {GENRE_SQL},
     CAST(len(string_split(Genres, '|')) AS INTEGER) AS GenreCount
-FROM movies LEFT JOIN movie_stats USING (MovieID)""")
+FROM movies LEFT JOIN movie_stats USING (MovieID)"""
+
+
+@query("e02_movie_features", MOVIE_SQL)
 def movie_features(t):
     return rounded(fe.movie_features(t.movies, t.ratings, GENRES), "AvgRating")
 
 
-@query("e03_interaction_features", """
+INTERACTION_SQL = """
 SELECT UserID, MovieID, Rating, r."Timestamp", round(u.AvgRating, 6) AS UserAvgRating, u.RatingCount AS UserRatingCount,
     round(m.AvgRating, 6) AS MovieAvgRating, m.Popularity AS MoviePopularity,
     CAST(isodow(epoch_ms(r."Timestamp" * 1000)) - 1 AS INTEGER) AS DayOfWeek,
@@ -54,7 +57,10 @@ SELECT UserID, MovieID, Rating, r."Timestamp", round(u.AvgRating, 6) AS UserAvgR
     (r."Timestamp" - u.FirstTs) // 86400 AS days_since_first_rating,
     round(Rating - u.AvgRating, 6) AS RatingDeviation, round(Rating - m.AvgRating, 6) AS RatingDevFromMovie,
     round(u.AvgRating - m.AvgRating, 6) AS UserMovieDiff
-FROM ratings r LEFT JOIN user_stats u USING (UserID) LEFT JOIN movie_stats m USING (MovieID)""")
+FROM ratings r LEFT JOIN user_stats u USING (UserID) LEFT JOIN movie_stats m USING (MovieID)"""
+
+
+@query("e03_interaction_features", INTERACTION_SQL)
 def interaction_features(t):
     return rounded(
         fe.interaction_features(t.ratings),

@@ -7,7 +7,8 @@ from functools import reduce
 from ..operators import features as fe
 from ..operators import quality as q
 from ..operators.quality import ColumnRule, TableRules
-from ..tables import GENRES
+from ..tables import GENRES, OCCUPATIONS
+from .features import INTERACTION_SQL, MOVIE_SQL
 from .registry import query
 
 USERS = TableRules(
@@ -156,15 +157,23 @@ def uniqueness(t):
     )
 
 
-EVENT_RULES = TableRules(columns={"event_id": ColumnRule(), "position": ColumnRule(), "feedback_type": ColumnRule()}, null_rate=0.7)
+EVENT_RULES = TableRules(columns={c: ColumnRule() for c in (
+    "event_id", "event_type", "user_id", "item_id", "recommendation_id", "position", "watch_duration_seconds", "total_duration_seconds",
+    "completion_rate", "feedback_type", "rating", "is_synthetic", "device_type", "context", "created_at")}, null_rate=0.7)
 
 
-@query("v08_completeness", union(*[
-    row_sql("user_events", "completeness", c, "user_events",
-            f"CASE WHEN {where(f'{c} IS NULL')} / CAST(count(*) AS DOUBLE) > 0.7 THEN {where(f'{c} IS NULL')} ELSE 0 END",
-            "null rate <= 0.7", f"{where(f'{c} IS NULL')} / CAST(count(*) AS DOUBLE)") for c in EVENT_RULES.columns]))
+def complete_sql(dataset, rules):
+    """One oracle row per column: nulls count as violations where their share passes the table's bound."""
+    for c in rules.columns:
+        n = where(f'"{c}" IS NULL')
+        rate = f"{n} / CAST(count(*) AS DOUBLE)"
+        yield row_sql(dataset, "completeness", c, dataset, f"CASE WHEN {rate} > {rules.null_rate:g} THEN {n} ELSE 0 END", f"null rate <= {rules.null_rate:g}", rate)
+
+
+@query("v08_completeness", union(*complete_sql("user_events", EVENT_RULES), *[s for n, r in ALL for s in complete_sql(n, r)]))
 def completeness(t):
-    return q.run_checks(t.user_events, "user_events", q.completeness_checks(EVENT_RULES))
+    events = q.run_checks(t.user_events, "user_events", q.completeness_checks(EVENT_RULES))
+    return events.unionByName(over_all(t, lambda df, r: q.completeness_checks(r)))
 
 
 @query("v09_report_roll_up", f"""
@@ -181,15 +190,43 @@ def roll_up(t):
     return q.roll_up(report)
 
 
-STAGES = {"movies": ["MovieID", "Title", "Genres"], "ratings": ["UserID", "MovieID", "Rating", "Timestamp"], "users": ["UserID", "Gender", "Age", "Occupation", "ZipCode"]}
+# the ordered columns that each stage promises, by dataset
+STAGES = {
+    "raw": {
+        "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+        "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    },
+    "validated": {
+        "movies": ["MovieID", "Title", "Genres"], "ratings": ["UserID", "MovieID", "Rating", "Timestamp"],
+        "users": ["UserID", "Gender", "Age", "Occupation", "ZipCode"],
+    },
+    "features": {
+        "user_features": ["UserID", "Gender", "Age", "Occupation", "ZipCode", "RatingCount", "AvgRating", "StdRating", "RatingRange", "AgeGroup",
+                          *[f"Occupation_{o}" for o in OCCUPATIONS], "GenderMale"],
+        "movie_features": ["MovieID", "Title", "Genres", "Popularity", "AvgRating", "PopularityCategory", *[f"Genre_{g}" for g in GENRES], "GenreCount"],
+        "interaction_features": ["UserID", "MovieID", "Rating", "Timestamp", "UserAvgRating", "UserRatingCount", "MovieAvgRating", "MoviePopularity",
+                                 "DayOfWeek", "Month", "Year", "Hour", "days_to_last_rating", "days_since_first_rating",
+                                 "RatingDeviation", "RatingDevFromMovie", "UserMovieDiff"],
+    },
+    "training": {},
+    "inference": {},
+}
+STAGE_TABLES = {"user_features": "users", "movie_features": "movies", "interaction_features": "ratings"}
 
 
 @query("v10_expectation_suite", union(*[union(
-    row_sql(f"validated.{n}", "ordered_columns", ",".join(c), n, "0", str(len(c)), str(len(c)), gate="count(*) < 0"),
-    row_sql(f"validated.{n}", "row_count", "*", n, "CASE WHEN count(*) < 1 THEN 1 ELSE 0 END", ">= 1", "count(*)")) for n, c in STAGES.items()]))
+    row_sql(f"{s}.{n}", "ordered_columns", ",".join(c), STAGE_TABLES.get(n, n), "0", str(len(c)), str(len(c)), gate="count(*) < 0"),
+    row_sql(f"{s}.{n}", "row_count", "*", STAGE_TABLES.get(n, n), "CASE WHEN count(*) < 1 THEN 1 ELSE 0 END", ">= 1", "count(*)"))
+    for s, datasets in STAGES.items() for n, c in datasets.items()]))
 def suites(t):
-    frames = {"movies": t.movies, "ratings": t.ratings, "users": t.users}
-    return reduce(lambda a, b: a.unionByName(b), [q.stage_suite("validated", n, frames[n], c) for n, c in STAGES.items()])
+    return q.stage_suites(STAGES, {
+        "raw": {"part": t.raw("part"), "customer": t.raw("customer")},
+        "validated": {"movies": t.movies, "ratings": t.ratings, "users": t.users},
+        "features": {
+            "user_features": fe.user_features(t.users, t.ratings, OCCUPATIONS), "movie_features": movie_frame(t),
+            "interaction_features": fe.interaction_features(t.ratings),
+        },
+    })
 
 
 @query("v11_pipeline_checks", """
@@ -222,12 +259,15 @@ def parts(*frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-@query("v12_feature_schema", union(
+V12 = union(
     *[row_sql("users", "required_column", c, USER_FRAME, "0", "present", "count(*)", gate="count(*) < 0") for c in ("UserID", "AvgRating", "RatingCount")],
     row_sql("users", "integer_id", "UserID", USER_FRAME, "0", "integer", "count(*)", gate="count(*) < 0"),
     *[row_sql("interactions", "required_column", c, "ratings", "0" if c != "Title" else "1", "present", "count(*)", gate="count(*) < 0" if c != "Title" else "count(*) >= 0")
       for c in ("UserID", "MovieID", "Title")],
-    *[row_sql("interactions", "integer_id", c, "ratings", "0", "integer", "count(*)", gate="count(*) < 0") for c in ("UserID", "MovieID")]))
+    *[row_sql("interactions", "integer_id", c, "ratings", "0", "integer", "count(*)", gate="count(*) < 0") for c in ("UserID", "MovieID")])
+
+
+@query("v12_feature_schema", V12)
 def feature_schema(t):
     return parts(
         q.feature_schema("users", user_frame(t), ["UserID", "AvgRating", "RatingCount"], ["UserID"]),
@@ -235,23 +275,37 @@ def feature_schema(t):
     )
 
 
-def nulls_sql(c, low):
-    n = where(f"{c} IS NULL")
+def nulls_sql(dataset, c, frame, low, warn):
+    n = where(f'"{c}" IS NULL')
     rate = f"{n} / CAST(count(*) AS DOUBLE)"
-    return f"""SELECT 'users' AS dataset, 'feature_nulls' AS "check", '{c}' AS "column", CASE WHEN {rate} > {low} THEN 'FAILED' WHEN {rate} > 0 THEN 'PASSED_WITH_WARNINGS' ELSE 'PASSED' END AS status,
-    round({rate}, 6) AS observed, '<= {low}' AS expected, {n} AS violations FROM {USER_FRAME}"""
+    below = f"WHEN {rate} > 0 THEN 'PASSED_WITH_WARNINGS'" if warn else ""
+    return f"""SELECT '{dataset}' AS dataset, 'feature_nulls' AS "check", '{c}' AS "column", CASE WHEN {rate} > {low} THEN 'FAILED' {below} ELSE 'PASSED' END AS status,
+    round({rate}, 6) AS observed, '<= {low}' AS expected, {n} AS violations FROM {frame}"""
 
 
-@query("v13_feature_nulls", union(*[nulls_sql(c, 0.1) for c in ("UserID", "Gender", "Age", "Occupation", "ZipCode", "RatingCount", "AvgRating", "StdRating", "RatingRange")]))
+V13 = union(
+    *[nulls_sql("users", c, USER_FRAME, 0.1, True) for c in ("UserID", "Gender", "Age", "Occupation", "ZipCode", "RatingCount", "AvgRating", "StdRating", "RatingRange")],
+    *[nulls_sql("movies", c, f"({MOVIE_SQL})", 0.1, False) for c in STAGES["features"]["movie_features"]],
+    *[nulls_sql("interactions", c, f"({INTERACTION_SQL})", 0.1, False) for c in STAGES["features"]["interaction_features"]])
+
+
+@query("v13_feature_nulls", V13)
 def feature_nulls(t):
-    return q.feature_nulls("users", user_frame(t), warn_below=True)
+    return parts(
+        q.feature_nulls("users", user_frame(t), warn_below=True),
+        q.feature_nulls("movies", movie_frame(t)),
+        q.feature_nulls("interactions", fe.interaction_features(t.ratings)),
+    )
 
 
-@query("v14_feature_ranges", union(
+V14 = union(
     row_sql("users", "feature_range", "AvgRating", USER_FRAME, where("AvgRating < 0 OR AvgRating > 5"), "[0, 5]"),
     row_sql("movies", "feature_range", "AvgRating", MOVIE_FRAME, where("AvgRating < 0 OR AvgRating > 5"), "[0, 5]"),
     row_sql("movies", "feature_range", "Popularity", MOVIE_FRAME, where("Popularity < 0"), "[0, inf]"),
-    row_sql("interactions", "feature_range", "Rating", "ratings", where("Rating < 0.5 OR Rating > 5"), "[0.5, 5]")))
+    row_sql("interactions", "feature_range", "Rating", "ratings", where("Rating < 0.5 OR Rating > 5"), "[0.5, 5]"))
+
+
+@query("v14_feature_ranges", V14)
 def feature_ranges(t):
     return parts(
         q.feature_ranges("users", user_frame(t), q.FEATURE_RANGES["users"]),
@@ -289,14 +343,12 @@ def feature_statistics(t):
 
 @query("v17_feature_report", f"""
 SELECT "check", CASE max(CASE status WHEN 'FAILED' THEN 2 WHEN 'PASSED_WITH_WARNINGS' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAILED' WHEN 1 THEN 'PASSED_WITH_WARNINGS' ELSE 'PASSED' END AS status,
-    count(*) AS checks FROM ({union(*[nulls_sql(c, 0.1) for c in ("UserID", "Gender", "Age", "Occupation", "ZipCode", "RatingCount", "AvgRating", "StdRating", "RatingRange")],
-    row_sql("interactions", "feature_range", "Rating", "ratings", where("Rating < 0.5 OR Rating > 5"), "[0.5, 5]"),
-    consistency_sql("UserID", "users"), STAT_SQL, COLLINEAR_SQL)}) GROUP BY 1""")
+    count(*) AS checks FROM ({union(V12, V13, V14, consistency_sql("UserID", "users"), consistency_sql("MovieID", "movies"), STAT_SQL, COLLINEAR_SQL)}) GROUP BY 1""")
 def feature_report(t):
+    """Every check of every feature set, rolled up by check."""
     report = parts(
-        q.feature_nulls("users", user_frame(t), warn_below=True),
-        q.feature_ranges("interactions", t.ratings, q.FEATURE_RANGES["interactions"]),
-        q.feature_consistency(t.ratings, t.users, "UserID"),
+        feature_schema(t), feature_nulls(t), feature_ranges(t),
+        q.feature_consistency(t.ratings, t.users, "UserID"), q.feature_consistency(t.ratings, t.movies, "MovieID"),
         q.feature_statistics(user_frame(t), t.ratings, STAT_USER, STAT_INTER),
     )
     return q.overall_status(report, ["check"])
@@ -323,7 +375,21 @@ def declared(t):
 
 
 @query("v18_full_validation", union(
-    *[s for s in V01 if s.startswith("SELECT 'ratings'")],
+    *V01,
+    *[row_sql(n, "nullability", c, n, where(f'"{c}" IS NULL'), "not null") for n, r in ALL[:2] for c, k in r.columns.items() if not k.nullable],
+    row_sql("users", "min", "Age", "users", where("Age < 1"), ">= 1", "min(Age)"),
+    row_sql("users", "max", "Age", "users", where("Age > 50"), "<= 50", "max(Age)"),
+    row_sql("users", "min", "Occupation", "users", where("Occupation < 0"), ">= 0", "min(Occupation)"),
+    row_sql("users", "max", "Occupation", "users", where("Occupation > 20"), "<= 20", "max(Occupation)"),
+    row_sql("users", "allowed_values", "Gender", "users", where("Gender NOT IN ('M', 'F')"), "2 values"),
+    row_sql("users", "regex", "ZipCode", "users", where("NOT regexp_matches(ZipCode, '^[0-9]{5}$')"), "^[0-9]{5}$"),
+    row_sql("users", "min_length", "ZipCode", "users", where("length(ZipCode) < 5"), ">= 5", "min(length(ZipCode))"),
+    row_sql("movies", "min", "MovieID", "movies", where("MovieID < 1"), ">= 1", "min(MovieID)"),
+    row_sql("movies", "max", "MovieID", "movies", where("MovieID > 1500"), "<= 1500", "max(MovieID)"),
+    row_sql("movies", "allowed_values", "Genres", "movies", where("Genres LIKE '%widget%'"), "13 values"),
+    row_sql("movies", "min_length", "Title", "movies", where("length(Title) < 1"), ">= 1", "min(length(Title))"),
+    *[s for n, r in ALL[:2] for s in complete_sql(n, r)],
+    unique_sql("users", "primary_key", "users", ["UserID"], 0), unique_sql("movies", "primary_key", "movies", ["MovieID"], 0),
     *[row_sql("ratings", "nullability", c, "ratings", where(f'"{c}" IS NULL'), "not null") for c in RATINGS.columns],
     row_sql("ratings", "min", "UserID", "ratings", where("UserID < 1"), ">= 1", "min(UserID)"),
     row_sql("ratings", "min", "MovieID", "ratings", where("MovieID < 1"), ">= 1", "min(MovieID)"),
@@ -339,7 +405,11 @@ def declared(t):
     fk_sql("ratings", "ratings", "UserID", "SELECT UserID FROM users", 0.9999), fk_sql("ratings", "ratings", "MovieID", "SELECT MovieID FROM movies", 0.9999),
     row_sql("ratings", "min_rows_per_key", "UserID", PER_USER, where("n < 20"), ">= 20", "min(n)")))
 def full(t):
-    return q.validate("ratings", t.ratings, RATINGS, {"users": t.users, "movies": t.movies})
+    """Every rule of every table."""
+    return parts(
+        q.validate("users", t.users, USERS), q.validate("movies", t.movies, MOVIES),
+        q.validate("ratings", t.ratings, RATINGS, {"users": t.users, "movies": t.movies}),
+    )
 
 
 @query("v19_orphaned_events", fk_sql("user_events", "user_events", "recommendation_id", "SELECT recommendation_id FROM recommendation_logs", 1.0))

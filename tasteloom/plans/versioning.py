@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import lineage as ln
+from ..session import scratch
 from .registry import query
 
 SHAPES = {
@@ -21,15 +22,17 @@ def snapshots(t):
 
 
 @query("y01_version_snapshot", " UNION ALL ".join(
-    f"SELECT '{n}' AS dataset, count(*) AS row_count, {len(c)} AS column_count, {' + '.join(f'count(*) FILTER (WHERE {x} IS NULL)' for x in c)} AS null_cells FROM {n}"
+    f"SELECT '{n}' AS dataset, count(*) AS row_count, {len(c)} AS column_count, {' + '.join(f'count(*) FILTER (WHERE {x} IS NULL)' for x in c)} AS null_cells, "
+    + f"concat_ws(',', {', '.join(f"'{x}:' || CAST(count(*) FILTER (WHERE {x} IS NULL) AS VARCHAR)" for x in c)}) AS null_counts FROM {n}"
     for n, c in SHAPES.items()))
 def snapshot(t):
-    return snapshots(t).select("dataset", "row_count", "column_count", "null_cells")
+    return snapshots(t).select("dataset", "row_count", "column_count", "null_cells", "null_counts")
 
 
 @query("y01_content_hash")
 def content_hash(t):
-    return snapshots(t).select("dataset", "version", "dtypes", "content_hash", "tags")
+    sizes = reduce(lambda a, b: a.unionByName(b), [ln.stored_size(t.raw(n), n) for n in SHAPES])
+    return snapshots(t).join(sizes, "dataset").select("dataset", "version", "dtypes", "content_hash", "tags", "files", "byte_size")
 
 
 def order_versions(t):
@@ -65,10 +68,22 @@ def direct(t):
     return ln.direct_lineage(t.lineage_edges, "customer:42")
 
 
+@query("y04_recorded_lineage", """SELECT source, target, transform_type, CASE transform_type WHEN 'ingestion' THEN 'load' ELSE 'derive' END AS operation, 'SILVER' AS layer,
+    count(*) AS entries FROM lineage_edges WHERE transform_type <> 'feature_engineering' GROUP BY ALL""")
+def recorded(t):
+    """Two runs append to the log; the log is read back."""
+    path = scratch(t.spark, "lineage_log")
+    for kind, operation in (("ingestion", "load"), ("validation", "derive")):
+        ln.record(t.lineage_edges.filter(F.col("transform_type") == kind), path, operation, {"layer": "SILVER"}, "2024-01-31 00:00:00")
+    return ln.recorded(t.spark, path).groupBy("source", "target", "transform_type", "operation", F.col("metadata")["layer"].alias("layer")).agg(
+        F.count(F.lit(1)).alias("entries"))
+
+
 @query("y05_upstream_closure", """
 WITH RECURSIVE c AS (SELECT target AS root, source, target, 1 AS depth FROM lineage_edges WHERE target LIKE 'order:%'
-    UNION SELECT c.root, e.source, e.target, c.depth + 1 FROM c JOIN lineage_edges e ON e.target = c.source WHERE c.depth < 5)
-SELECT root, count(*) AS edges, count(DISTINCT source) AS sources, max(depth) AS depth FROM (
+    UNION SELECT c.root, e.source, e.target, c.depth + 1 FROM c JOIN lineage_edges e ON e.target = c.source WHERE c.depth < 6)
+SELECT root, count(*) FILTER (WHERE depth <= 5) AS edges, count(DISTINCT source) FILTER (WHERE depth <= 5) AS sources,
+    max(depth) FILTER (WHERE depth <= 5) AS depth, bool_or(depth > 5) AS truncated FROM (
     SELECT root, source, target, min(depth) AS depth FROM c GROUP BY 1, 2, 3) GROUP BY 1""")
 def closure(t):
     """The closure of every order in one job."""
@@ -76,6 +91,18 @@ def closure(t):
     return ln.upstream_summary(ln.upstream(t.lineage_edges, roots))
 
 
+@query("y05_truncated_closure", """
+WITH RECURSIVE c AS (SELECT target AS root, source, target, 1 AS depth FROM lineage_edges WHERE target LIKE 'order:%'
+    UNION SELECT c.root, e.source, e.target, c.depth + 1 FROM c JOIN lineage_edges e ON e.target = c.source WHERE c.depth < 3)
+SELECT root, count(*) FILTER (WHERE depth <= 2) AS edges, count(DISTINCT source) FILTER (WHERE depth <= 2) AS sources,
+    max(depth) FILTER (WHERE depth <= 2) AS depth, bool_or(depth > 2) AS truncated FROM (
+    SELECT root, source, target, min(depth) AS depth FROM c GROUP BY 1, 2, 3) GROUP BY 1""")
+def cut_closure(t):
+    """Two of the three levels above an order: every order says that its closure was cut."""
+    roots = t.lineage_edges.filter(F.col("target").startswith("order:")).select(F.col("target").alias("name")).distinct()
+    return ln.upstream_summary(ln.upstream(t.lineage_edges, roots, 2))
+
+
 @query("y06_data_report", f"WITH {VERSIONS} SELECT count(DISTINCT dataset) AS datasets, count(*) AS versions, (SELECT count(*) FROM lineage_edges) AS lineage_entries FROM v")
 def report(t):
     return ln.data_report(order_versions(t), t.lineage_edges)
