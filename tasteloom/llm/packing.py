@@ -1,12 +1,18 @@
 """Mixture-controlled packing: deficit round-robin over source queues into fixed windows.
 
-Every source is a queue with a token share (by default its share of all tokens). Each round
-gives a queue ``share * WINDOW`` tokens of credit; a document leaves its queue in the first
-round whose accumulated credit covers it, and unused credit is carried on. A queue's credit
-after r rounds and its tokens before a document are plain sums, so the round of every document
-has a closed form: the deficit is carried over windows and partitions without a sequential
-scan. Documents in the order (round, queue, position) form one stream, cut every ``WINDOW``
-tokens; every window is full but the last.
+Every source is a queue with a token share (by default its share of all tokens). A round is one
+window. It gives a queue ``share * WINDOW`` tokens of credit, the queue serves the whole tokens
+that its credit covers, and what is left of it, the deficit, is carried to the next window. After r
+rounds queue j has served ``floor(r * C[j]) - floor(r * C[j - 1])`` tokens, where C adds up the
+credits in queue order: within one token of its share, and all queues together fill exactly r
+windows. So the place of every token has a closed form in the queues' totals, whatever partition
+it lies in, and no round is walked through. When a queue is empty the others move up, and the
+windows that follow hold the shares of what is left.
+
+Two kinds of sources have no queue of their own, which keeps the table of queues below
+``WINDOW / LEAST`` rows: those with a target under ``LEAST`` tokens a window share one, in the order
+of the input, and those with a target of 0 follow at the end of the stream, as every id has to
+lie in a window.
 
 Token ids are made once and written. Text is encoded by distinct units, cut where a byte-level
 vocabulary always has a pre-token border: before a space that a non-space follows, between a letter
@@ -28,9 +34,11 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import running_total, session, written
+from .common import session, written
 
 WINDOW = 1024
+LEAST = 4  # tokens a window of a source with a queue of its own
+ROUNDS_AT_ONCE = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_UNITS = 400_000  # distinct units a task remembers; beyond it starts anew
@@ -168,7 +176,7 @@ def encoder(path: str) -> Encoder:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, run_of = TaskContext.get().partitionId(), 0, {}
+        part, run_of = TaskContext.get().partitionId(), {}
         encode = encoder(path)
         for batch in batches:
             if not batch.num_rows:
@@ -182,66 +190,124 @@ def _encode(path: str):
             narrow = max((int(x.max()) for x in ids if len(x)), default=0) < 1 << 16
             kind = "<u2" if narrow else "<u4"
             yield pa.RecordBatch.from_arrays([
-                pa.array((part << 40) + np.arange(row, row + len(ids)), pa.int64()), batch.column("doc_id"), pa.array(queues, pa.string()),
-                pa.array(np.full(len(ids), part), pa.int64()), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()),
+                batch.column("doc_id"), pa.array(queues, pa.string()), pa.array(np.full(len(ids), part), pa.int64()), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()),
                 pa.array(np.full(len(ids), 2 if narrow else 4), pa.int32()),
                 pa.array([np.append(x, END_ID).astype(kind).tobytes() for x in ids], pa.binary()),
-            ], ["row", "doc_id", "queue", "part", "doc_tokens", "before", "width", "ids"])
-            row += len(ids)
+            ], ["doc_id", "queue", "part", "doc_tokens", "before", "width", "ids"])
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-        for doc, width, raw, at in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "width", "ids", "at"))):
-            ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
-            edges = [0, *range(WINDOW - at % WINDOW, len(ids), WINDOW), len(ids)]
-            for i, j in zip(edges[:-1], edges[1:]):
-                for n, v in zip(out, (doc, i, j - i, zlib.crc32(ids[i:j].tobytes()), len(ids), (at + i) // WINDOW, (at + i) % WINDOW)):
-                    out[n].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+class Rounds:
+    """Places in the stream of the tokens of bounded queues, from the tokens they hold and their credits."""
+
+    def __init__(self, held: list[int], credits: list[float]):
+        self.held = np.array(held, np.int64)
+        self.upto = np.cumsum(np.array([0.0, *credits]))
+        self.upto[1:] *= WINDOW / self.upto[-1] if len(credits) else 1
+        self.upto[-1] = WINDOW if len(credits) else 0  # all queues together fill whole windows
+        self.total = int(self.held.sum())
+
+    def served(self, rounds: np.ndarray) -> np.ndarray:
+        """Tokens that each queue may have served (rounds x queues) before each round."""
+        return np.diff(np.floor(rounds[:, None] * self.upto[None, :]), axis=1).astype(np.int64)
+
+    def slices(self, queue: int, place: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, at) of the parts that rounds make of ``size`` tokens from ``place`` of a queue."""
+        credit = self.upto[queue + 1] - self.upto[queue]
+        first, last = max(0, int((place - 1) / credit) - 2), int((place + size + 1) / credit) + 3
+        parts = []
+        for r in range(first, last, ROUNDS_AT_ONCE):
+            edges = self.served(np.arange(r, min(r + ROUNDS_AT_ONCE, last) + 1, dtype=np.float64))
+            mine = edges[:, queue]
+            start, stop = np.maximum(mine[:-1], place), np.minimum(mine[1:], place + size)
+            edges = np.minimum(edges, self.held)
+            ahead = edges[:-1].sum(axis=1) + (edges[1:, :queue] - edges[:-1, :queue]).sum(axis=1)
+            some = stop > start
+            parts.append(np.stack([start - place, stop - start, ahead + start - mine[:-1]])[:, some])
+        return tuple(np.concatenate(parts, axis=1))
+
+
+def pieces(start: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slices of a document (in order), cut at the edges of windows and joined inside them."""
+    lead = at % WINDOW
+    n = (lead + length + WINDOW - 1) // WINDOW
+    of = np.repeat(np.arange(len(start)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    low = np.maximum(nth * WINDOW - lead[of], 0)
+    high = np.minimum((nth + 1) * WINDOW - lead[of], length[of])
+    start, length, at = start[of] + low, high - low, at[of] + low
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + length[:-1]) | (at[1:] % WINDOW == 0)
+    first = np.flatnonzero(new)
+    return start[first], np.add.reduceat(length, first), at[first]
+
+
+def _cut(rounds: Rounds):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[] for _ in range(7)]
+            for doc, width, raw, queue, place in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "width", "ids", "number", "place"))):
+                ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
+                if queue is None:  # a target of 0: after all queues
+                    slices = np.array([0]), np.array([len(ids)]), np.array([rounds.total + place])
+                else:
+                    slices = rounds.slices(queue, place, len(ids))
+                start, length, at = pieces(*slices)
+                view = memoryview(ids).cast("B")
+                sums = [zlib.crc32(view[4 * i:4 * j]) for i, j in zip(start.tolist(), (start + length).tolist())]
+                same = lambda x: np.full(len(start), x)
+                for column, values in zip(out, (pa.array([doc] * len(start), pa.int64()), start, length, np.array(sums, np.int64), same(len(ids)), at // WINDOW, at % WINDOW)):
+                    column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(out[0]), *[pa.array(np.concatenate(c), pa.int64()) for c in out[1:]]],
+                                                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return run
 
 
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer_path: str | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of ``docs`` (doc_id, source, text).
 
     ``weights`` are target token shares by source, in any unit; sources not named, and all by
-    default, weigh as many tokens as they hold, which keeps every window at the target until
-    the last. A null text is the end id alone; a null source is a queue of its own; null and
-    repeated ids are packed row by row; an empty table gives no pieces.
+    default, weigh as many tokens as they hold. Every window holds each queue's share to a token,
+    until the first queue is empty (by default all end together). A target of 0 puts a source
+    behind all others; a negative or non-finite one is refused. A null text is the end id alone;
+    a null source is a queue of its own; null and repeated ids are packed row by row; an empty
+    table gives no pieces.
     """
+    for name, w in (weights or {}).items():
+        if not 0 <= w < float("inf"):
+            raise ValueError(f"the target of {name} must be a finite share of 0 or more, not {w}")
     spark = session(docs.sparkSession)
     queue = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), F.coalesce("text", F.lit("")).alias("text"))
     coded = written(rows.mapInArrow(_encode(tokenizer_path or public_tokenizers.path(VOCABULARY)), (
-        "row long, doc_id long, queue string, part long, doc_tokens long, before long, width int, ids binary")), "encoded")
+        "doc_id long, queue string, part long, doc_tokens long, before long, width int, ids binary")), "encoded")
 
     parts = written(coded.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("tokens")), "parts")
-    queues = parts.groupBy("queue").agg(F.sum("tokens").alias("held")).withColumn("turn", F.row_number().over(Window.orderBy("queue")) - 1)
     weight = F.col("held").cast("double")
     for name, w in (weights or {}).items():
         weight = F.when(F.col("queue") == f"={name}", F.lit(float(w))).otherwise(weight)
-    queues = written(queues.withColumn("weight", weight), "queues")
-    total = queues.agg(F.sum("weight")).first()[0]
-    if total is None:
-        return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    queues = queues.withColumn("credit", F.col("weight") * (WINDOW / total))
-    # tokens of a queue in earlier parts: a running total over (queue, part), less that of the queue's first part
-    width = parts.agg(F.max("part")).first()[0] + 1
-    numbered = parts.join(queues.select("queue", "turn"), "queue").withColumn("n", F.col("turn") * width + F.col("part"))
-    reached = running_total(numbered, "n", "tokens", "reached").select("queue", "part", "turn", "reached")
-    lead = reached.groupBy("turn").agg(F.min("reached").alias("lead"))
-    base = written(reached.join(lead, "turn").select("queue", "part", (F.col("reached") - F.col("lead")).alias("base")), "base")
-
-    sized = coded.select("row", "queue", "part", "doc_tokens", "before").join(base, ["queue", "part"]).join(queues.select("queue", "turn", "credit"), "queue")
-    place = F.col("base") + F.col("before")
-    served = written(sized.select("row", "turn", "doc_tokens", place.alias("place"),
-                                  F.floor((place + F.col("doc_tokens") - 1) / F.col("credit")).alias("round")), "served")
-    rounds = running_total(served.groupBy("round").agg(F.sum("doc_tokens").alias("tokens")), "round", "tokens", "opens").select("round", "opens")
-    inside = Window.partitionBy("round").orderBy("turn", "place").rowsBetween(Window.unboundedPreceding, -1)
-    at = served.withColumn("inside", F.coalesce(F.sum("doc_tokens").over(inside), F.lit(0))).join(written(rounds, "rounds"), "round")
-    at = at.select("row", (F.col("opens") + F.col("inside")).alias("at"))
-    return coded.select("row", "doc_id", "width", "ids").join(at, "row").select("doc_id", "width", "ids", "at").mapInArrow(
-        _cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    sources = written(parts.groupBy("queue").agg(F.sum("tokens").alias("held")).withColumn("weight", weight), "sources")
+    total = sources.agg(F.sum("weight")).first()[0] or 1.0
+    credit = F.col("weight") * (WINDOW / total)
+    # the names of queues start with = or are null, so the shared ones cannot meet them
+    group = F.when(F.col("weight") <= 0, "late").when(credit < LEAST, "pool").otherwise(F.col("queue"))
+    sources = sources.select("queue", "held", credit.alias("credit"), group.alias("group"))
+    served = sources.where(F.col("group") != "late").groupBy("group").agg(F.sum("held").alias("held"), F.sum("credit").alias("credit"))
+    queues = sorted(served.collect(), key=lambda r: r.group)  # WINDOW / LEAST queues and the shared one at most
+    rounds = Rounds([r.held for r in queues], [max(r.credit, LEAST) for r in queues])
+    numbers = spark.createDataFrame([(r.group, i) for i, r in enumerate(queues)], "group string, number int")
+
+    # tokens of a queue before each (source, part): first over parts, then over the sources inside a part
+    grouped = parts.join(sources.select("queue", "group"), "queue")
+    over = lambda *by: Window.partitionBy("group", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    by_part = grouped.groupBy("group", "part").agg(F.sum("tokens").alias("tokens"))
+    by_part = by_part.select("group", "part", F.coalesce(F.sum("tokens").over(over("part")), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("tokens").over(over("part", "queue")), F.lit(0))
+    base = grouped.withColumn("inside", inside).join(by_part, ["group", "part"]).join(F.broadcast(numbers), "group", "left")
+    base = written(base.select("queue", "part", "number", (F.col("earlier") + F.col("inside")).alias("base")), "base")
+    placed = coded.join(base, ["queue", "part"]).select("doc_id", "width", "ids", "number", (F.col("base") + F.col("before")).alias("place"))
+    return placed.mapInArrow(
+        _cut(rounds), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -71,6 +71,75 @@ def test_pack_keeps_the_mixture(spark):
         assert abs(sum(r.length for r in part if of[r.doc_id] == "a") / sum(r.length for r in part) - share / total) < 0.1
 
 
+def windows_of(got, of):
+    """Tokens by window and source."""
+    out = defaultdict(lambda: defaultdict(int))
+    for r in got:
+        out[r.sequence_id][of[r.doc_id]] += r.length
+    return [out[n] for n in range(len(out))]
+
+
+def skewed(spark):
+    """One document of about half of all tokens, short ones of two more sources, and many sources of one word."""
+    rows = [(0, " ".join(f"w{i % 97}" for i in range(20_000)), "a", None)]
+    rows += [(i, " ".join(f"v{(i * k) % 31}" for k in range(60 + i % 90)), "b" if i % 3 else "c", None) for i in range(1, 200)]
+    rows += [(1000 + i, "one", f"tiny{i}", None) for i in range(40)]
+    return {r[0]: "t" if r[2].startswith("tiny") else r[2] for r in rows}, spark.createDataFrame(rows, FIXED).repartition(5, "doc_id")
+
+
+def test_every_window_holds_the_shares(spark):
+    of, df = skewed(spark)
+    mixed = windows_of(packing.pack(df).collect(), of)
+    held = {s: sum(w[s] for w in mixed) for s in "abct"}
+    for w in mixed[:-2]:
+        assert all(abs(w[s] - 1024 * held[s] / sum(held.values())) <= 0.02 * 1024 for s in held)
+    # targets other than the shares held, until the first queue is empty
+    target = {"a": 0.2, "b": 0.7, "c": 0.1}
+    all_named = target | {f"tiny{i}": 0 for i in range(40)}
+    other = windows_of(packing.pack(df, weights=all_named).collect(), of)
+    full = min(int(held[s] / target[s]) for s in target) // 1024
+    assert full > 10
+    for w in other[:full]:
+        assert all(abs(w[s] - 1024 * target[s]) <= 1 for s in target)
+    assert {s: sum(w[s] for w in other) for s in held} == held
+
+
+def test_a_target_of_zero_comes_last(spark):
+    of, df = skewed(spark)
+    got = packing.pack(df, weights={"a": 0}).collect()
+    place = lambda r: r.sequence_id * 1024 + r.offset
+    assert max(place(r) for r in got if of[r.doc_id] != "a") < min(place(r) for r in got if of[r.doc_id] == "a")
+    nothing = packing.pack(df, weights={name: 0 for name in ("a", "b", "c", *[f"tiny{i}" for i in range(40)])}).collect()
+    for rows in (got, nothing):
+        spans = sorted((place(r), r.length) for r in rows)
+        assert spans[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(spans, spans[1:]))
+    with pytest.raises(ValueError):
+        packing.pack(df, weights={"a": -1.0})
+
+
+def test_rounds_as_served_one_by_one():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        held = rng.integers(1, 9000, rng.integers(1, 9)).tolist()
+        credits = rng.uniform(4, 300, len(held))
+        rounds = packing.Rounds(held, (credits * 1024 / credits.sum()).tolist())
+        want, done, upto, r = [], [0] * len(held), rounds.upto, 0
+        while sum(done) < sum(held):
+            r += 1
+            for j in range(len(held)):
+                due = min(held[j], int(np.floor(r * upto[j + 1]) - np.floor(r * upto[j])))
+                want += [(j, p) for p in range(done[j], due)]
+                done[j] = max(done[j], due)
+        got = {}
+        for j, n in enumerate(held):
+            cuts = sorted({0, n, *rng.integers(0, n + 1, 4).tolist()})
+            for p, q in zip(cuts, cuts[1:]):
+                for start, length, at in zip(*packing.pieces(*rounds.slices(j, p, q - p))):
+                    assert at // 1024 == (at + length - 1) // 1024
+                    got.update({at + k: (j, p + start + k) for k in range(length)})
+        assert [got[k] for k in range(len(want))] == want
+
+
 def test_running_total(spark):
     from tasteloom.llm.common import running_total
 
