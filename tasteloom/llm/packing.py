@@ -207,61 +207,78 @@ class Rounds:
         self.upto[1:] *= WINDOW / self.upto[-1] if len(credits) else 1
         self.upto[-1] = WINDOW if len(credits) else 0  # all queues together fill whole windows
         self.total = int(self.held.sum())
+        #: rounds that no queue's end can touch
+        self.full = int(min(((self.held - 1) / np.diff(self.upto)).min() - 2, 1 << 60)) if len(credits) else 0
+
+    def _due(self, rounds: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """Tokens that the queues up to one, itself left out, may have served before a round."""
+        return np.floor(rounds * self.upto[queue]).astype(np.int64)
+
+    def _ahead(self, rounds: np.ndarray, queue: np.ndarray) -> np.ndarray:
+        """Place in the stream where a queue's turn of a round begins, whichever queues have ended."""
+        out = np.empty(len(rounds), np.int64)
+        for i in range(0, len(rounds), ROUNDS_AT_ONCE):
+            r, q = rounds[i:i + ROUNDS_AT_ONCE], queue[i:i + ROUNDS_AT_ONCE]
+            edges = [np.minimum(np.diff(np.floor(x[:, None] * self.upto), axis=1).astype(np.int64), self.held) for x in (r, r + 1)]
+            before = np.arange(len(self.held)) < q[:, None]
+            out[i:i + ROUNDS_AT_ONCE] = np.where(before, edges[1], edges[0]).sum(axis=1)
+        return out
 
-    def served(self, rounds: np.ndarray) -> np.ndarray:
-        """Tokens that each queue may have served (rounds x queues) before each round."""
-        return np.diff(np.floor(rounds[:, None] * self.upto[None, :]), axis=1).astype(np.int64)
-
-    def slices(self, queue: int, place: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, at) of the parts that rounds make of ``size`` tokens from ``place`` of a queue."""
+    def slices(self, queue: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, start, length, at) of the parts that rounds make of documents: ``size`` tokens from ``place`` of a queue."""
         credit = self.upto[queue + 1] - self.upto[queue]
-        first, last = max(0, int((place - 1) / credit) - 2), int((place + size + 1) / credit) + 3
-        parts = []
-        for r in range(first, last, ROUNDS_AT_ONCE):
-            edges = self.served(np.arange(r, min(r + ROUNDS_AT_ONCE, last) + 1, dtype=np.float64))
-            mine = edges[:, queue]
-            start, stop = np.maximum(mine[:-1], place), np.minimum(mine[1:], place + size)
-            edges = np.minimum(edges, self.held)
-            ahead = edges[:-1].sum(axis=1) + (edges[1:, :queue] - edges[:-1, :queue]).sum(axis=1)
-            some = stop > start
-            parts.append(np.stack([start - place, stop - start, ahead + start - mine[:-1]])[:, some])
-        return tuple(np.concatenate(parts, axis=1))
-
-
-def pieces(start: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slices of a document (in order), cut at the edges of windows and joined inside them."""
+        first = np.maximum(((place - 1) / credit).astype(np.int64) - 2, 0)
+        n = ((place + size + 1) / credit).astype(np.int64) + 3 - first
+        of = np.repeat(np.arange(len(n)), n)
+        r = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n - first, n)).astype(np.float64)
+        q = queue[of]
+        below, above = (self._due(r, q), self._due(r + 1, q)), (self._due(r, q + 1), self._due(r + 1, q + 1))
+        mine = above[0] - below[0]
+        start, stop = np.maximum(mine, place[of]), np.minimum(above[1] - below[1], (place + size)[of])
+        some = stop > start
+        of, r, q, start, stop, mine = (x[some] for x in (of, r, q, start, stop, mine))
+        # while no queue has ended, the turns of a round add up to differences of the credits so far
+        ahead = r.astype(np.int64) * WINDOW + (below[1] - below[0])[some]
+        late = np.flatnonzero(r >= self.full)
+        ahead[late] = self._ahead(r[late], q[late])
+        return of, start - place[of], stop - start, ahead + start - mine
+
+
+def pieces(of: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The slices of documents (in order), cut at the edges of windows and joined inside them."""
     lead = at % WINDOW
     n = (lead + length + WINDOW - 1) // WINDOW
-    of = np.repeat(np.arange(len(start)), n)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    low = np.maximum(nth * WINDOW - lead[of], 0)
-    high = np.minimum((nth + 1) * WINDOW - lead[of], length[of])
-    start, length, at = start[of] + low, high - low, at[of] + low
+    each = np.repeat(np.arange(len(start)), n)
+    nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    low = np.maximum(nth * WINDOW - lead[each], 0)
+    high = np.minimum((nth + 1) * WINDOW - lead[each], length[each])
+    of, start, length, at = of[each], start[each] + low, high - low, at[each] + low
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + length[:-1]) | (at[1:] % WINDOW == 0)
+    new[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1] + length[:-1]) | (at[1:] % WINDOW == 0)
     first = np.flatnonzero(new)
-    return start[first], np.add.reduceat(length, first), at[first]
+    return of[first], start[first], np.add.reduceat(length, first) if len(first) else length, at[first]
 
 
 def _cut(rounds: Rounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(7)]
-            for doc, width, raw, queue, place in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "width", "ids", "number", "place"))):
-                ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
-                if queue is None:  # a target of 0: after all queues
-                    slices = np.array([0]), np.array([len(ids)]), np.array([rounds.total + place])
-                else:
-                    slices = rounds.slices(queue, place, len(ids))
-                start, length, at = pieces(*slices)
-                view = memoryview(ids).cast("B")
-                sums = [zlib.crc32(view[4 * i:4 * j]) for i, j in zip(start.tolist(), (start + length).tolist())]
-                same = lambda x: np.full(len(start), x)
-                for column, values in zip(out, (pa.array([doc] * len(start), pa.int64()), start, length, np.array(sums, np.int64), same(len(ids)), at // WINDOW, at % WINDOW)):
-                    column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(out[0]), *[pa.array(np.concatenate(c), pa.int64()) for c in out[1:]]],
-                                                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            if not batch.num_rows:
+                continue
+            size, place = (batch.column(n).to_numpy() for n in ("doc_tokens", "place"))
+            ids = np.concatenate([np.frombuffer(raw.as_buffer(), f"<u{w}") for raw, w in zip(batch.column("ids"), batch.column("width").to_pylist())]).astype("<u4")
+            number = batch.column("number").fill_null(-1).to_numpy().astype(np.int64)
+            queued, late = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
+            of, *slices = rounds.slices(number[queued], place[queued], size[queued])
+            # a target of 0: after all queues
+            of, start, length, at = (np.concatenate(x) for x in zip(
+                (queued[of], *slices), (late, np.zeros(len(late), np.int64), size[late], rounds.total + place[late])))
+            of, start, length, at = pieces(of, start, length, at)
+            begin = ((np.cumsum(size) - size)[of] + start) * 4
+            view = memoryview(ids).cast("B")
+            sums = [zlib.crc32(view[i:j]) for i, j in zip(begin.tolist(), (begin + length * 4).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(of)), *[pa.array(x, pa.int64()) for x in (start, length, sums, size[of], at // WINDOW, at % WINDOW)]],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -308,6 +325,6 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer_pat
     inside = F.coalesce(F.sum("tokens").over(over("part", "queue")), F.lit(0))
     base = grouped.withColumn("inside", inside).join(by_part, ["group", "part"]).join(F.broadcast(numbers), "group", "left")
     base = written(base.select("queue", "part", "number", (F.col("earlier") + F.col("inside")).alias("base")), "base")
-    placed = coded.join(base, ["queue", "part"]).select("doc_id", "width", "ids", "number", (F.col("base") + F.col("before")).alias("place"))
+    placed = coded.join(base, ["queue", "part"]).select("doc_id", "doc_tokens", "width", "ids", "number", (F.col("base") + F.col("before")).alias("place"))
     return placed.mapInArrow(
         _cut(rounds), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -130,13 +130,14 @@ def test_rounds_as_served_one_by_one():
                 due = min(held[j], int(np.floor(r * upto[j + 1]) - np.floor(r * upto[j])))
                 want += [(j, p) for p in range(done[j], due)]
                 done[j] = max(done[j], due)
-        got = {}
+        docs = []
         for j, n in enumerate(held):
             cuts = sorted({0, n, *rng.integers(0, n + 1, 4).tolist()})
-            for p, q in zip(cuts, cuts[1:]):
-                for start, length, at in zip(*packing.pieces(*rounds.slices(j, p, q - p))):
-                    assert at // 1024 == (at + length - 1) // 1024
-                    got.update({at + k: (j, p + start + k) for k in range(length)})
+            docs += [(j, p, q - p) for p, q in zip(cuts, cuts[1:])]
+        got = {}
+        for d, start, length, at in zip(*packing.pieces(*rounds.slices(*np.array(docs).T))):
+            assert at // 1024 == (at + length - 1) // 1024
+            got.update({at + k: (docs[d][0], docs[d][1] + start + k) for k in range(length)})
         assert [got[k] for k in range(len(want))] == want
 
 
