@@ -1,8 +1,11 @@
 """Language-model scores of a hidden Markov model trained by Baum-Welch.
 
 Words are counted over all training documents. A frequent word is a class of its own, the others
-share a class by their last letters, and unseen words take the discount of their class:
-P(word) = P(class | state) P(word | class). So the trained tables are bounded, while the word
+share a class by their last letters: P(word) = P(class | state) P(word | class). A class of
+endings keeps ``DISCOUNT`` of a count of each of its words for unseen ones, and deals it to as many
+unseen words as it has seen (the mean class's number at least), so the shares of a class add up to
+1. That number is a stated guess from training words alone, as the base reserves one unseen word
+in all; a class with more unseen words than that would exceed 1. So the trained tables are bounded, while the word
 counts grow with the corpus and are joined, never broadcast.
 
 Texts are coded in chunks of many documents. Only the distinct words of a chunk meet the counts;
@@ -28,7 +31,7 @@ STATES, ROUNDS = 8, 4
 TOP, ENDINGS = 4096, 2048  # classes of one word, and of words with equal last letters
 CLASSES = 1 + TOP + ENDINGS  # class 0 is the end of a text
 SEGMENT = 128  # tokens of a training sequence; scores take whole texts
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS, CHUNK_STEP = 250_000, 64  # a chunk ends at that many words, counted by as many documents
 DISCOUNT = 0.5
 ANCHORS = 64
 _SMOOTH = 0.05
@@ -60,9 +63,9 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["chunk", "doc_ids", "train", "held", "sizes", "codes", "words", "uses"])
 
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.column("text").nbytes // 6
+        for i in range(0, batch.num_rows, CHUNK_STEP):
+            held.append(batch.slice(i, CHUNK_STEP))
+            size += held[-1].column("text").nbytes // 6
             if size >= CHUNK_WORDS:
                 yield chunk()
                 made, held, size = made + 1, [], 0
@@ -70,6 +73,15 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
+def shares(cls: np.ndarray, count: np.ndarray, sums: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """P(word | class) of words with their class and training count, from the tokens and distinct words of every class."""
+    reserve = np.maximum(types, max(1.0, np.ceil(types[1 + TOP:].mean())))
+    kept = DISCOUNT * (np.arange(len(types)) > TOP)
+    tokens = np.where(sums > 0, sums, 1.0)
+    unseen = np.where(sums > 0, kept * types / tokens, 1.0) / reserve
+    return np.where(count > 0, (count - kept[cls]) / tokens[cls], unseen[cls])
+
+
 def _classify(total: int, distinct: int, sums: np.ndarray, types: np.ndarray, ends: int):
     """Chunks with class numbers in place of words, and what does not depend on states summed by document."""
     floor = np.log10(total + 0.1 * (distinct + 1))
@@ -87,8 +99,7 @@ def _classify(total: int, distinct: int, sums: np.ndarray, types: np.ndarray, en
                 sizes = batch.column("sizes")[r].values.to_numpy()
                 of = np.repeat(np.arange(len(sizes)), sizes)
                 seen = count > 0
-                mass = np.where(seen, count - DISCOUNT * (types[cls] > 1), DISCOUNT * types[cls] * (types[cls] > 1))
-                inner = np.log10(np.where((sums[cls] > 0) & (mass > 0), mass, 0.1) / np.maximum(sums[cls], 0.1))
+                inner = np.log10(shares(cls, count, sums, types))
                 add = lambda x: np.bincount(of, x[codes], len(sizes))
                 base = add(np.log10(count + 0.1)) + np.log10(ends + 0.1) - (sizes + 1) * floor
                 known = add(seen.astype(float)).astype(np.int64) + (ends > 0)

@@ -59,3 +59,30 @@ def test_scores(spark):
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score <= 0 for r in got)
     assert hmm.score(df.limit(0)).count() == 0 and hmm.score(df.where("doc_id is null")).count() == 1
+
+
+def test_shares_of_a_class_add_up_to_one():
+    rng = np.random.default_rng(4)
+    sums, types = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    words = []
+    for c in range(1, hmm.CLASSES):
+        n = 1 if c <= hmm.TOP else int(rng.integers(0, 30))
+        counts = rng.integers(1, 50, n)
+        sums[c], types[c] = counts.sum(), n
+        words += [(c, k) for k in counts]
+    cls, count = np.array(words).T
+    seen = np.bincount(cls, hmm.shares(cls, count, sums, types), hmm.CLASSES)
+    every = np.arange(1 + hmm.TOP, hmm.CLASSES)
+    unseen = hmm.shares(every, np.zeros(len(every), int), sums, types)
+    reserve = np.maximum(types[every], np.ceil(types[every].mean()))
+    assert np.allclose(seen[1:1 + hmm.TOP], 1) and np.allclose(seen[every] + reserve * unseen, 1) and (unseen > 0).all()
+
+
+def test_unseen_words_are_not_likelier_than_seen_ones(spark):
+    """Held-out text with new words must cost more a token than training text; before, it cost less."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + str(int(rng.paretovariate(0.6)) % 100_000) for _ in range(150))) for i in range(400)]
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    cost = {h: -sum(r.score for r in got if r.held_out == h) / sum(r.n_tokens for r in got if r.held_out == h) for h in (True, False)}
+    assert cost[True] > cost[False]
+    assert sum(r.n_known for r in got if r.held_out) < 0.97 * sum(r.n_tokens for r in got if r.held_out)
