@@ -178,6 +178,16 @@ def test_nmf_error_falls_and_matches_the_dense_error(spark):
     assert again.reconstruction_rmse <= errors[1] + 1e-6
 
 
+def test_reconstruction_error_of_more_cells_than_an_integer_counts(spark):
+    """50,000 users and items: 2.5 billion cells, of which three are seen."""
+    ids = spark.range(50_000).withColumn("f0", F.lit(0.0))
+    cells = spark.createDataFrame([(1, 2, 3.0), (4, 5, 4.0), (6, 6, 5.0)], "UserID long, MovieID long, value double")
+    row = fz.reconstruction_error(cells, ids.withColumnRenamed("id", "UserID"), ids.withColumnRenamed("id", "MovieID"), 1).first()
+    assert (row.n_users, row.n_items) == (50_000, 50_000)
+    assert math.isclose(row.reconstruction_rmse, math.sqrt(50 / 2.5e9)) and math.isclose(row.reconstruction_mae, 12 / 2.5e9)
+    assert math.isclose(row.sparsity, 1 - 3 / 2.5e9, rel_tol=1e-15)
+
+
 def test_nmf_with_a_hot_user(spark):
     v = np.zeros((40, 60))
     v[0, :] = 4.0
