@@ -10,7 +10,7 @@ from pyspark.sql import DataFrameWriter, functions as F
 from tasteloom.operators import feedback as fb
 from tasteloom.operators.relational import retention
 from tasteloom.sources import keyed_log, readers, sinks, snapshots
-from tasteloom.streaming import jobs
+from tasteloom.streaming import jobs, pairs
 
 
 class Stopped(Exception):
@@ -281,3 +281,29 @@ def test_a_later_day_forgets_days_before_its_window(spark, tmp_path):
     jobs.refresh_labels(stream(), labels, "2024-02-15")
     got = sorted((str(r.label_date), r.item_id, r.label) for r in snapshots.read(spark, labels).collect())
     assert got == [("2024-01-02", 1, 4.0), ("2024-01-02", 2, 1.0), ("2024-02-15", 1, 1.0)]
+
+
+def test_many_pairs_share_a_call_of_the_state(spark, tmp_path, monkeypatch):
+    """400 pairs, some without a user or an item, and ids above 2**53, in two batches: a call serves many pairs and the labels are those of the batch job."""
+    calls = str(tmp_path / "calls")
+
+    class Counted(pairs.PairSignals):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(calls, "a") as f:
+                f.write(".")
+            return super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(pairs, "PairSignals", Counted)
+    monkeypatch.setattr(pairs, "BUCKETS", 8)
+    base = 2**53 + 1
+    rows = [(i, "click", None if i % 50 == 7 else base + i % 400, None if i % 50 == 9 else 1, f"r{i % 3}", None, None, None, False, dt.datetime(2024, 1, 20, 0, i % 60)) for i in range(600)]
+    source = str(tmp_path / "src")
+    for lo in (0, 300):
+        spark.createDataFrame(rows[lo:lo + 300], EVENTS).coalesce(1).write.mode("append").parquet(source)
+    whole = spark.read.parquet(source)
+    key = lambda r: (r.user_id, r.item_id, r.recommendation_id, r.label, r.last_interaction)
+    want = sorted(map(key, fb.build_labels(whole, "2024-01-31").collect()), key=str)
+    jobs.refresh_labels(jobs.parquet_stream(spark, source, whole.schema, files_per_trigger=1), str(tmp_path / "labels"), "2024-01-31")
+    assert sorted(map(key, snapshots.read(spark, str(tmp_path / "labels")).collect()), key=str) == want and len(want) > 380
+    with open(calls) as f:
+        assert len(f.read()) <= 8 * 2 * 2  # buckets and batches, and a try again
