@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from copy import copy
 from functools import reduce
 
 from ..operators import features as fe
 from ..operators import quality as q
 from ..operators.quality import ColumnRule, TableRules
+from ..operators.scale import stored
 from ..tables import GENRES, OCCUPATIONS
 from .features import INTERACTION_SQL, MOVIE_SQL
 from .registry import query
@@ -345,7 +347,9 @@ def feature_statistics(t):
 SELECT "check", CASE max(CASE status WHEN 'FAILED' THEN 2 WHEN 'PASSED_WITH_WARNINGS' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAILED' WHEN 1 THEN 'PASSED_WITH_WARNINGS' ELSE 'PASSED' END AS status,
     count(*) AS checks FROM ({union(V12, V13, V14, consistency_sql("UserID", "users"), consistency_sql("MovieID", "movies"), STAT_SQL, COLLINEAR_SQL)}) GROUP BY 1""")
 def feature_report(t):
-    """Every check of every feature set, rolled up by check."""
+    """Every check of every feature set, rolled up by check; the checks share ratings that are joined and written once."""
+    t = copy(t)
+    t.ratings = stored(t.ratings, "ratings")
     report = parts(
         feature_schema(t), feature_nulls(t), feature_ranges(t),
         q.feature_consistency(t.ratings, t.users, "UserID"), q.feature_consistency(t.ratings, t.movies, "MovieID"),

@@ -137,3 +137,12 @@ def test_stage_without_a_frame_fails(spark):
     rows = {(r.dataset, r["check"]): r.status for r in q.stage_suites({"raw": {"t": ["a"], "gone": ["a"]}, "training": {}}, {"raw": {"t": df}}).collect()}
     assert rows == {("raw.t", "ordered_columns"): q.PASSED, ("raw.t", "row_count"): q.PASSED,
                     ("raw.gone", "ordered_columns"): q.FAILED, ("raw.gone", "row_count"): q.FAILED}
+
+
+def test_feature_report_joins_the_ratings_once(spark):
+    """Every check reads one written table of ratings; the join of lines and orders is in no plan of the report."""
+    import __spark_entry__ as entry
+
+    report = entry.queries()["v17_feature_report"](spark, "/root/testdata/sf0.001")
+    assert "o_custkey" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert report.count() == 8
