@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,6 +13,8 @@ from .experiments import two_row_pivot
 from .scale import stored
 
 MAX_DEPTH = 5
+#: Distinct edges for each task of a closure, so that its tasks grow in number and not in size.
+EDGES_A_TASK = 100_000
 
 
 def fingerprint(df: DataFrame) -> Column:
@@ -119,24 +122,26 @@ def upstream(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEP
     that lie above a root take part in the doubling.
     """
     steps = stored(edges.select("source", "target").filter("source IS NOT NULL AND target IS NOT NULL").distinct(), "edges")
+    tasks = max(1, math.ceil(steps.count() / EDGES_A_TASK))
     names = roots.select(F.col("name").alias("root")).filter("root IS NOT NULL").distinct()
-    # a root that nothing is derived from is the start of paths only, so it is joined once at the end
-    sources = steps.select(F.col("source").alias("target")).distinct()
-    inner = distances(steps.join(sources, "target", "left_semi"), max_depth)
-    first = names.join(steps, names.root == steps.target).select("root", F.col("source").alias("above"), F.lit(1).alias("d"))
-    ups = inner.select(F.col("node").alias("above"), F.col("above").alias("top"), F.col("d").alias("e"))
-    later = first.join(ups, "above").select("root", F.col("top").alias("above"), (F.col("d") + F.col("e")).alias("d"))
-    reach = names.select("root", F.col("root").alias("above"), F.lit(0).alias("d")).unionByName(first).unionByName(later)
-    reach = reach.groupBy("root", "above").agg(F.min("d").alias("d"))
+    # a root that nothing is derived from is the start of paths only: it takes over, once, the edges above what it is derived from
+    sources = stored(steps.select(F.col("source").alias("node")).distinct(), "sources")
+    inner = distances(steps.join(sources, steps.target == sources.node, "left_semi"), max_depth)
+    reach = sources.select("node", F.col("node").alias("above"), F.lit(0).alias("d")).unionByName(inner)
+    # many nodes lie below one: its edges are joined to the nodes, never to the many roots
+    above = reach.join(steps, reach.above == steps.target).groupBy("node", "source", "target").agg((F.min("d") + 1).alias("depth"))
+    first = names.join(steps, names.root == steps.target).select("root", "source", "target", F.lit(1).alias("depth"))
+    ups = above.select(F.col("node"), F.col("source").alias("s"), F.col("target").alias("t"), F.col("depth").alias("e"))
+    later = first.join(ups, first.source == ups.node).select("root", F.col("s").alias("source"), F.col("t").alias("target"), (F.col("depth") + F.col("e")).alias("depth"))
+    found = first.unionByName(later).repartition(tasks, "root", "source", "target").groupBy("root", "source", "target").agg(F.min("depth").alias("depth"))
     if max_depth is not None:
-        reach = reach.filter(F.col("d") <= max_depth)
-    found = reach.join(steps, reach.above == steps.target).select("root", "source", "target", (F.col("d") + 1).alias("depth"))
+        found = found.filter(F.col("depth") <= max_depth + 1)
     if max_depth is None:
         return found.withColumn("truncated", F.lit(False))
     found = stored(found, "closure")
     cut = found.filter(F.col("depth") > max_depth).select("root").distinct().withColumn("_cut", F.lit(True))
     return found.filter(F.col("depth") <= max_depth).join(cut, "root", "left").select(
-        "root", "source", "target", "depth", F.coalesce("_cut", F.lit(False)).alias("truncated"))
+        "root", "source", "target", "depth", F.coalesce("_cut", F.lit(False)).alias("truncated")).repartition(tasks, "root", "source")
 
 
 def upstream_summary(closure: DataFrame) -> DataFrame:

@@ -146,3 +146,16 @@ def test_feature_report_joins_the_ratings_once(spark):
     report = entry.queries()["v17_feature_report"](spark, "/root/testdata/sf0.001")
     assert "o_custkey" not in report._jdf.queryExecution().optimizedPlan().toString()
     assert report.count() == 8
+
+
+def test_closure_of_many_roots_below_one_node(spark, monkeypatch):
+    """300 orders of 30 customers of one nation: the tasks of a closure grow in number with its edges."""
+    monkeypatch.setattr(ln, "EDGES_A_TASK", 20)
+    rows = [(f"c{i % 30}", f"o{i}") for i in range(300)] + [("n", f"c{i}") for i in range(30)] + [("r", "n")]
+    edges = spark.createDataFrame(rows, "source string, target string")
+    roots = spark.createDataFrame([(f"o{i}",) for i in range(300)], "name string")
+    for bound, truncated in ((5, False), (2, True)):
+        found = ln.upstream(edges, roots, bound)
+        want = sorted((f"o{i}", *e, truncated) for i in range(300) for e in ((f"c{i % 30}", f"o{i}", 1), ("n", f"c{i % 30}", 2), ("r", "n", 3)) if e[2] <= bound)
+        assert sorted(map(tuple, found.collect())) == want
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 8
