@@ -9,6 +9,7 @@ from ..operators import factorize as fz
 from ..operators import recommend as rc
 from ..operators import relational as rel
 from ..operators.features import movie_stats
+from ..operators.scale import stored
 from ..session import scratch
 from .registry import query
 from .relational import BUCKET, CELLS, cells_by_split
@@ -124,7 +125,7 @@ SELECT round(sqrt(avg((p - value) * (p - value))), 6) AS rmse, round(avg(abs(p -
 def masked_fixed(t):
     """Unseen users folded in against fixed item factors, then the masked evaluation."""
     cells = rel.user_item_matrix(t.ratings).withColumn("b", hash_bucket([F.lit(42), F.col("UserID")], 100)).filter("b < 20").drop("b")
-    items = small_factors(t)[1]
+    cells, items = stored(cells, "cells"), stored(small_factors(t)[1], "items")
     model = fz.Factors(None, items, fz.gram_matrix(items, 2), 2, [])
     out = fz.masked_evaluation(cells, fz.fold_in(cells, model, sweeps=SETTLED), items, 2)
     return out.withColumns({c: r6(c) for c in ("rmse", "mae", "coverage")})

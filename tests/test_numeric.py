@@ -339,3 +339,12 @@ def test_correlation_takes_the_rows_of_each_pair(spark):
     want = pd.DataFrame(rows, columns=list("abcd")).corr()
     for r in pairwise_correlation(spark.createDataFrame(rows, "a double, b double, c double, d double"), list("abcd")).collect():
         assert (r.r is None) if "d" in (r.a, r.b) else math.isclose(r.r, want[r.a][r.b], rel_tol=1e-7, abs_tol=1e-9)
+
+
+def test_rows_that_are_solved_leave_the_sweeps():
+    """Factors at right angles settle in one sweep: a thousand million sweeps end at the first look."""
+    g, n = np.diag([1.0, 2.0, 4.0]), RNG.normal(size=(200, 3))
+    assert np.allclose(fz.non_negative(n.copy(), g, 10**9), np.maximum(n / np.diag(g), 1e-12), rtol=1e-12)
+    x = RNG.random((50, 4))
+    g, n = x.T @ x, RNG.normal(size=(200, 4))
+    assert np.allclose(fz.non_negative(n.copy(), g, 500), fz.non_negative(n.copy(), g, 531), rtol=1e-6, atol=1e-9)
