@@ -84,6 +84,8 @@ def favourite_genres(ratings: DataFrame, movies: DataFrame, k: int = 3) -> DataF
 
 #: Item blocks up to which all meetings are held in one pass.
 ONE_PASS = 4
+#: Meetings of an item block that one task holds; a block that meets more user blocks is copied.
+MEETINGS_A_TASK = 16
 SEEN = "array<struct<u: bigint, i: bigint>>"
 
 
@@ -183,8 +185,14 @@ def pruned_top_k(
 
     def met(meetings: DataFrame, user_blocks: DataFrame, name: str) -> DataFrame:
         """Written top rows of (ub, ib) meetings."""
+        load = meetings.groupBy("ib").agg(F.ceil(F.count(F.lit(1)) / MEETINGS_A_TASK).cast("int").alias("parts"))
+        load = stored(load, "load")
+        tasks = load.agg(F.sum("parts")).first()[0] or 1
+        copies = load.select("ib", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(item_blocks, "ib")
         with_seen = meetings.join(pairs, ["ub", "ib"], "left") if pairs is not None else meetings.withColumn("seen", F.array().cast(SEEN))
-        whole = with_seen.join(user_blocks, "ub").join(item_blocks, "ib").select("ib", "user_ids", "user_f", "floor", "item_ids", "item_f", "seen")
+        dealt = with_seen.join(load, "ib").withColumn("part", F.pmod(F.xxhash64("ub"), F.col("parts")).cast("int"))
+        dealt = dealt.join(user_blocks, "ub").repartition(tasks, "ib", "part")
+        whole = dealt.join(copies.repartition(tasks, "ib", "part"), ["ib", "part"]).select("ib", "user_ids", "user_f", "floor", "item_ids", "item_f", "seen")
         types = dict(users.dtypes)[user], dict(items.dtypes)[item]
         return stored(whole.mapInPandas(best, f"{user} {types[0]}, {item} {types[1]}, score double"), name)
 

@@ -341,6 +341,28 @@ def test_correlation_takes_the_rows_of_each_pair(spark):
         assert (r.r is None) if "d" in (r.a, r.b) else math.isclose(r.r, want[r.a][r.b], rel_tol=1e-7, abs_tol=1e-9)
 
 
+def test_top_k_deals_the_meetings_of_one_item_block(spark, monkeypatch):
+    """All users meet the first item block: its meetings are dealt to many tasks, whatever the shuffle width."""
+    users = spark.range(600).select(F.col("id").alias("UserID"), (F.col("id") % 17 * 0.1).alias("f0"), (F.col("id") % 5 * 0.3).alias("f1"))
+    items = spark.range(300).select(F.col("id").alias("MovieID"), (F.col("id") % 13 * 0.2).alias("f0"), (F.col("id") % 7 * 0.1).alias("f1"))
+    wide, keep = {}, rc.stored
+
+    def spied(df, name):
+        wide[name] = df.rdd.getNumPartitions()
+        return keep(df, name)
+
+    monkeypatch.setattr(rc, "MEETINGS_A_TASK", 2)
+    monkeypatch.setattr(rc, "stored", spied)
+    top = rc.pruned_top_k(users, items, ["f0", "f1"], 3, user_block=20, item_block=30).rows
+    got = sorted((r.UserID, r["rank"], r.MovieID, r.score) for r in top.collect())
+    want = []
+    for u in range(600):
+        scores = sorted((-math.floor((u % 17 * 0.1 * (i % 13 * 0.2) + u % 5 * 0.3 * (i % 7 * 0.1)) * 1e6 + 0.5) / 1e6, i) for i in range(300))
+        want += [(u, n + 1, i, -s) for n, (s, i) in enumerate(scores[:3])]
+    assert [(u, n, i) for u, n, i, _ in got] == [(u, n, i) for u, n, i, _ in want]
+    assert wide["first"] >= 15
+
+
 def test_rows_that_are_solved_leave_the_sweeps():
     """Factors at right angles settle in one sweep: a thousand million sweeps end at the first look."""
     g, n = np.diag([1.0, 2.0, 4.0]), RNG.normal(size=(200, 3))
