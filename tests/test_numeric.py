@@ -370,3 +370,27 @@ def test_rows_that_are_solved_leave_the_sweeps():
     x = RNG.random((50, 4))
     g, n = x.T @ x, RNG.normal(size=(200, 4))
     assert np.allclose(fz.non_negative(n.copy(), g, 500), fz.non_negative(n.copy(), g, 531), rtol=1e-6, atol=1e-9)
+
+
+def test_factors_are_written_once_and_blocks_follow_the_cores(spark, monkeypatch):
+    """A half-step writes a row for each side block and no pieces; more shuffle partitions make no more blocks."""
+    v = np.where(RNG.random((60, 45)) < 0.3, RNG.integers(1, 6, (60, 45)), 0).astype(float)
+    made, rows, cell_blocks, gram_and_total = [], [], fz.cell_blocks, fz._gram_and_total
+
+    def blocks(cells, user, item, user_blocks, item_blocks, width):
+        made.append((user_blocks, item_blocks))
+        return cell_blocks(cells, user, item, user_blocks, item_blocks, width)
+
+    def total(solved, k):
+        rows.append(solved.count())
+        return gram_and_total(solved, k)
+
+    monkeypatch.setattr(fz, "cell_blocks", blocks)
+    monkeypatch.setattr(fz, "_gram_and_total", total)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "36")
+    try:
+        fz.fit_nmf(spark, cells_of(spark, v), k=2, iterations=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert made == [(2, 2)] and rows == [2, 2, 2]
