@@ -8,18 +8,19 @@ all segments of a minimizer spell the same words, the path has no branch: it is
 judged as one, by its least document. Only branching paths are opened into their windows, read
 back from the source coordinates and compared word for word by a 96-bit hash. Neighbouring
 paths glue into spans of the document. Joins and grouping run on minimizers and window hashes;
-no row is larger than a document.
+texts meet their spans deflated, and no row is larger than a document.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, BASE_INV, each_row, list_column, lists_of, mixed, powers, rolling, session, word_hashes, written
+from .common import BASE, BASE_INV, deflated, each_row, inflated, list_column, lists_of, mixed, powers, rolling, session, word_hashes, written
 
 WINDOW, K = 50, 16
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -128,7 +129,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     met = written(met.select("doc_id", "tx", "start", "size", "straight"), "met")
 
     opened = written(_listed(met.where("not straight")), "opened")
-    places = rows.join(opened, ["doc_id", "tx"]).select("doc_id", "tx", word_hashes(F.col("text")).alias("h"), "starts", "sizes")
+    places = inflated(deflated(rows).join(opened, ["doc_id", "tx"])).select("doc_id", "tx", word_hashes(F.col("text")).alias("h"), "starts", "sizes")
     windows = written(places.mapInArrow(_windows, "h1 long, h2 int, doc_id long, tx long, place int"), "windows")
     first = written(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                     .where("least < most").select("h1", "h2", "least"), "first")
@@ -141,7 +142,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, gone, kept = [], [], []
         for text, lows, highs in zip(*(batch.column(n).to_pylist() for n in ("text", "lows", "highs"))):
-            w = (text or "").encode().split()  # bytes split at the six ASCII white-space bytes only
+            w = zlib.decompress(text).split() if text else []  # bytes split at the six ASCII white-space bytes only
             total.append(len(w))
             if lows:
                 out, at = [], 0
@@ -162,5 +163,5 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     all of its words; rows that repeat an id do not make each other smaller, so they keep what no smaller id holds.
     """
     spans = written(repeated_spans(docs), "spans")
-    return _rows(docs).join(spans, ["doc_id", "tx"], "left").select("doc_id", "text", "lows", "highs").mapInArrow(
+    return deflated(_rows(docs)).join(spans, ["doc_id", "tx"], "left").select("doc_id", "text", "lows", "highs").mapInArrow(
         _strip, "doc_id long, n_words long, n_removed long, kept_text string")

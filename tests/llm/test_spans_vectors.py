@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tasteloom.llm import debruijn, epsgrid
+from tasteloom.llm import common, debruijn, epsgrid
 
 
 def brute(rows):
@@ -88,3 +88,23 @@ def test_recursion_skips_nothing():
     x = x[np.lexsort(np.floor(x / 0.2).T[::-1])]
     u, v = epsgrid.interval_links(x, None, x[:, :3], None, 0.98, 0.2)
     assert set(zip(u, v)) == {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.98)) if a < b}
+
+
+def test_texts_are_moved_deflated(spark):
+    """Whole texts reach the shuffle of the last join as deflated bytes, and come back as they were."""
+    rows = [(1, None, 1.5), (2, "", None), (3, "a\x00 \U0001F600É\n" * 300, 0.0), (None, "x y", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other double")
+    small = common.deflated(df)
+    assert dict(small.dtypes)["text"] == "binary" and max(len(r.text or b"") for r in small.collect()) < 100
+    assert sorted(map(tuple, common.inflated(small).collect()), key=str) == sorted(rows, key=str)
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = debruijn.drop_repeats(spark.createDataFrame([(k, "w " * 60) for k in range(3)], "doc_id long, text string"))
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    at = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(doc_id" in line)
+    assert "MapInArrow" in plan[at + 1]
+    assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [(0, 0), (1, 60), (2, 60)]
