@@ -14,7 +14,9 @@ long list is linked through two pivots first, its likely centre and an arbitrary
 linear in its length; where its members
 still lie in different components, those outside the largest one are compared with blocks of
 the list. Sets are looked at only for each document's best partner and then for pairs of
-different components, so a group of copies is never expanded into its pairs.
+different components, so a group of copies is never expanded into its pairs. What is left of a
+list then is compared set by set inside its blocks: sets go once to each block that needs them,
+pairs are never rows, and of the links found only a spanning forest leaves.
 """
 
 from __future__ import annotations
@@ -24,16 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import components, each_row, list_column, lower_ascii, mixed, rolling, session, word_hashes, written
+from .common import components, each_row, list_column, lower_ascii, meeting, mixed, rolling, session, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
 COORDINATES, MATCHES = 48, 24  # posted minima, and collisions asked of them
 ALL, ALL_MATCHES = 128, 78  # with further minima that are compared but not posted
 SHORT_LIST = 8
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 512  # nodes of a block, one counted for each so many shingles of its set
 _RNG = np.random.default_rng(20240131)
 _A = _RNG.integers(0, 2**64, ALL, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**64, ALL, dtype=np.uint64)
@@ -99,7 +101,7 @@ def _equal(one: str, two: str) -> Column:
 def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) with enough equal coordinates, their number m, and sizes that can reach the similarity."""
     end = lambda n: classes.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("sig").alias(f"s{n}"), F.col("tail").alias(f"t{n}"))
-    met = pairs.join(end("a"), "a").join(end("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
+    met = pairs.join(meeting(end("a"), pairs, "a"), "a").join(meeting(end("b"), pairs, "b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
     met = met.select("a", "b", "ta", "tb", _equal("sa", "sb").alias("m")).where(F.col("m") >= MATCHES)
     return met.select("a", "b", (F.col("m") + _equal("ta", "tb")).alias("m")).where(F.col("m") >= ALL_MATCHES)
 
@@ -108,56 +110,89 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(one, "a").join(two, "b")
+    return (pairs.join(meeting(one, pairs, "a"), "a").join(meeting(two, pairs, "b"), "b")
             .where(both * 100 >= (F.size("sa") + F.size("sb") - both) * SIMILARITY).select("a", "b"))
 
 
-def _seek(best: bool):
-    """Compares some seekers of a list with a block of its members; pairs of different components with enough collisions leave.
+def _collisions(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Seekers and members of a block, and by place the pairs of different components with enough collisions, with their number.
 
-    A pair meets in every list that it shares; it leaves from the first of them in the global
+    A pair meets in every list that it shares; it counts in the first of them in the global
     order only, which the prefixes of both hold.
     """
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["seeker"]], pdf[~pdf["seeker"]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        here = int(pdf["pos"].iloc[0])
-        stack = lambda side, name: np.stack(side[name].to_numpy())
-        ls, rs = stack(left, "sig"), stack(right, "sig")
-        codes = pd.factorize(pd.concat([left["label"], right["label"]]))[0]
-        equal = np.zeros((len(left), len(right)), np.int16)
-        for c in range(COORDINATES):
-            equal += ls[:, c, None] == rs[None, :, c]
-        equal[codes[:len(left), None] == codes[None, len(left):]] = 0
-        x, y = np.nonzero(equal >= MATCHES)
-        lt, rt, rank = stack(left, "tail"), stack(right, "tail"), stack(left, "often").astype(np.int64) * COORDINATES + np.arange(COORDINATES)
-        kept = []
-        for i in range(0, len(x), 50_000):
-            u, v = x[i:i + 50_000], y[i:i + 50_000]
-            m = equal[u, v] + (lt[u] == rt[v]).sum(axis=1)
-            first = np.where(ls[u] == rs[v], rank[u], np.iinfo(np.int64).max).argmin(axis=1)
-            ok = (m >= ALL_MATCHES) & (first == here)
-            kept.append(np.stack([u[ok], v[ok], m[ok]]))
-        x, y, m = np.concatenate(kept, axis=1) if kept else np.empty((3, 0), np.int64)
-        if best:
-            order = np.lexsort((-m, x))
-            x, y = x[order], y[order]
-            top = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, bool)
-            x, y = x[top], y[top]
-        return pd.DataFrame({"a": left["node"].to_numpy()[x], "b": right["node"].to_numpy()[y]})
-
-    return compare
-
-
-def _across(hot: DataFrame, classes: DataFrame, labels: DataFrame, best: bool) -> DataFrame | None:
-    """Candidate pairs between components that meet in a long list; None if no list holds two components.
-
-    Only members outside the list's largest component seek partners, in all blocks of the list.
+    left, right = pdf[pdf["seeker"]], pdf[~pdf["seeker"]]
+    if left.empty or right.empty:
+        return left, right, *np.empty((3, 0), np.int64)
+    here = int(pdf["pos"].iloc[0])
+    stack = lambda side, name: np.stack(side[name].to_numpy())
+    ls, rs = stack(left, "sig"), stack(right, "sig")
+    codes = pd.factorize(pd.concat([left["label"], right["label"]]))[0]
+    equal = np.zeros((len(left), len(right)), np.int16)
+    for c in range(COORDINATES):
+        equal += ls[:, c, None] == rs[None, :, c]
+    equal[codes[:len(left), None] == codes[None, len(left):]] = 0
+    x, y = np.nonzero(equal >= MATCHES)
+    lt, rt, rank = stack(left, "tail"), stack(right, "tail"), stack(left, "often").astype(np.int64) * COORDINATES + np.arange(COORDINATES)
+    kept = []
+    for i in range(0, len(x), 50_000):
+        u, v = x[i:i + 50_000], y[i:i + 50_000]
+        m = equal[u, v] + (lt[u] == rt[v]).sum(axis=1)
+        first = np.where(ls[u] == rs[v], rank[u], np.iinfo(np.int64).max).argmin(axis=1)
+        ok = (m >= ALL_MATCHES) & (first == here)
+        kept.append(np.stack([u[ok], v[ok], m[ok]]))
+    return left, right, *(np.concatenate(kept, axis=1) if kept else np.empty((3, 0), np.int64))
+
+
+def _seek(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each seeker of a block with its best partner there."""
+    left, right, x, y, m = _collisions(pdf)
+    order = np.lexsort((-m, x))
+    x, y = x[order], y[order]
+    top = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, bool)
+    return pd.DataFrame({"a": left["node"].to_numpy()[x[top]], "b": right["node"].to_numpy()[y[top]]})
+
+
+def _present(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The seekers and members of a block that are in any pair there."""
+    left, right, x, y, _ = _collisions(pdf)
+    return pd.concat([left.iloc[np.unique(x)], right.iloc[np.unique(y)]])[["pos", "value", "i", "j", "seeker", "node", "label"]]
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the components of a block: seekers against members by their whole sets, as many links as join what they can."""
+    left, right = pdf[pdf["seeker"]], pdf[~pdf["seeker"]]
+    if left.empty or right.empty:
+        return pd.DataFrame({"a": [], "b": []})
+    codes = pd.factorize(pd.concat([left["label"], right["label"]]))[0]
+    known, sought = codes[len(left):], codes[:len(left)]
+    sizes = right["shingles"].map(len).to_numpy()
+    flat, starts = np.concatenate(right["shingles"].to_numpy()), np.cumsum(sizes) - sizes
+    order = np.argsort(flat, kind="stable")
+    ordered, of = flat[order], np.repeat(np.arange(len(right)), sizes)[order]
+    out = []
+    for k, mine in enumerate(left["shingles"]):
+        low, high = np.searchsorted(ordered, mine), np.searchsorted(ordered, mine, side="right")
+        n = high - low
+        ends = np.cumsum(n)
+        both = np.bincount(of[np.repeat(low - (ends - n), n) + np.arange(ends[-1])], minlength=len(right))
+        hit = np.flatnonzero((both * 100 >= (len(mine) + sizes - both) * SIMILARITY) & (known != sought[k]))
+        labels, at = np.unique(known[hit], return_index=True)
+        out += [(k, int(hit[i])) for i in at]
+        known[np.isin(known, labels)] = sought[k]
+        sought[np.isin(sought, labels)] = sought[k]
+    x, y = np.array(out, np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"a": left["node"].to_numpy()[x], "b": right["node"].to_numpy()[y]})
+
+
+def _across(hot: DataFrame, classes: DataFrame, labels: DataFrame, sets: DataFrame, best: bool) -> DataFrame | None:
+    """Links between components that meet in a long list; None if no list holds two components.
+
+    Only members outside the list's largest component seek partners, in all blocks of the list. With ``best``, each tries
+    its best partner of a block, else all that it collides with enough. A block is bounded by its nodes and their shingles.
     """
-    held = written(hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "held")
-    sizes = held.groupBy("pos", "value", "label").agg(F.count("*").alias("n"))
+    weighed = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = written(weighed.join(meeting(classes.select("node", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("weight")), hot, "node"), "node"), "held")
+    sizes = held.groupBy("pos", "value", "label").agg(F.sum("weight").alias("n"))
     still = written(sizes.groupBy("pos", "value").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"),
                                                       (F.sum("n") - F.max("n")).alias("seekers")).where("seekers > 0"), "still")
     if still.isEmpty():
@@ -165,13 +200,18 @@ def _across(hot: DataFrame, classes: DataFrame, labels: DataFrame, best: bool) -
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("node"), parts(n)).cast("int")
     key = ["pos", "value", "i", "j"]
-    rows = held.join(still, ["pos", "value"]).join(classes.select("node", "sig", "tail"), "node")
+    split = held.join(still, ["pos", "value"])
+    rows = split.join(meeting(classes.select("node", "sig", "tail"), split, "node"), "node")
     targets = rows.select("*", F.lit(False).alias("seeker"), part("members").alias("j"), F.explode(F.sequence(F.lit(0), parts("seekers") - 1)).alias("i"))
     seekers = rows.where("label <> main").select("*", F.lit(True).alias("seeker"), part("seekers").alias("i"),
                                                  F.explode(F.sequence(F.lit(0), parts("members") - 1)).alias("j"))
     met = targets.union(seekers.select(targets.columns)).select(*key, "seeker", "node", "label", "sig", "tail", "often")
-    pairs = met.groupBy(*key).applyInPandas(_seek(best), "a binary, b binary")
-    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    if best:
+        pairs = met.groupBy(*key).applyInPandas(_seek, "a binary, b binary")
+        return _confirmed(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across"), sets)
+    present = written(met.groupBy(*key).applyInPandas(_present, "pos int, value int, i int, j int, seeker boolean, node binary, label binary"), "present")
+    found = present.join(meeting(sets, present, "node"), "node").groupBy(*key).applyInPandas(_compare, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -200,8 +240,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(signed.where("node is not null").groupBy("node")
                       .agg(F.min("doc_id").alias("min_doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("tail").alias("tail")), "classes")
     posts = classes.select("node", F.posexplode("sig").alias("pos", "value"))
-    often = written(posts.groupBy("pos", "value").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    held = (posts.join(often, ["pos", "value"]).groupBy("node").agg(F.collect_list(F.struct("often", "pos", "value")).alias("p"))
+    posts = posts.withColumn("often", F.count("*").over(Window.partitionBy("pos", "value"))).where("often > 1")  # one shuffle counts and keeps
+    held = (posts.groupBy("node").agg(F.collect_list(F.struct("often", "pos", "value")).alias("p"))
             .where(F.size("p") >= MATCHES))
     # how often each coordinate's value is posted, 0 if once; a group's centre holds its most frequent values
     by_pos = F.map_from_arrays("p.pos", "p.often")
@@ -224,7 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the whole sets of all that may have to be compared
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(hot.select("node")).distinct()
     wanted = written(wanted.join(classes, "node").where("min_doc is not null").select("node", F.col("min_doc").alias("doc_id")), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    texts = meeting(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id").join(wanted, "doc_id")
     texts = texts.select(word_hashes(lower_ascii(F.col("text"))).alias("h"), "node")
     sets = texts.mapInArrow(_sets, "node binary, shingles array<long>")
     if not signed.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated ids: one set for each class
@@ -236,10 +276,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.union(written(_confirmed(written(_split(pairs, labels), "split"), sets), "links"))
     labels = components(links)
     for best in (True, False):
-        more = _across(hot, classes, labels, best)
+        more = _across(hot, classes, labels, sets, best)
         if more is None:
             break
-        links = links.union(written(_confirmed(more, sets), "links"))
+        links = links.union(written(more, "links"))
         labels = components(links)
 
     linked = written(labels.join(classes.select("node", "min_doc"), "node"), "linked")

@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+
+from tasteloom.llm import minhash
 from tasteloom.llm.minhash import near_duplicates
 
 FIXED = "doc_id long, text string, node string"
@@ -55,3 +59,44 @@ def test_edges(spark):
     rows = [(1, "a b c d e f", None), (1, "a b c d e f", None), (None, "a b c d e f", "x"), (None, "q r", None), (2, None, None)]
     got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, FIXED)).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, True), (None, 1, None, True), (2, 0, 2, True)], key=str)
+
+
+def test_unlinked_members_of_a_long_list_are_not_expanded_into_pairs(spark, monkeypatch):
+    """Sixty documents too far from sixty near copies, yet likely by signature: before, every such pair was a row that met both sets."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(200)]
+
+    def edited(k, edits):
+        w = list(base)
+        for j, at in enumerate(rng.sample(range(5, 195), edits)):
+            w[at] = f"e{k}_{j}"
+        return " ".join(w)
+
+    rows = [(k, edited(k, 1 if k % 2 else 7)) for k in range(120)]
+    met, whole = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, sets: met.append(pairs.count()) or whole(pairs, sets))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert max(met) < 600
+
+
+def test_links_of_a_block_join_its_components():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40 + 20 * (k % 3), 60)) + 1000 * (k % 3) for k in range(60)]
+    rows = [{"seeker": s, "node": bytes([k]), "label": bytes([k]), "shingles": sets[k]} for s in (True, False) for k in range(60) if not s or k % 2]
+    got = minhash._compare(pd.DataFrame(rows))
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    root = list(range(60))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    def classes(pairs):
+        root[:] = range(60)
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return {frozenset(x for x in range(60) if find(x) == r) for r in map(find, range(60))}
+
+    pairs = [(a[0], b[0]) for a, b in zip(got["a"], got["b"])]
+    assert pairs and all(linked(a, b) for a, b in pairs) and len(pairs) < 60
+    assert classes(pairs) == classes([(a, b) for a in range(1, 60, 2) for b in range(60) if a != b and linked(a, b)])
