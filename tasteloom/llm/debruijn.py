@@ -8,7 +8,8 @@ all segments of a minimizer spell the same words, the path has no branch: it is
 judged as one, by its least document. Only branching paths are opened into their windows, read
 back from the source coordinates and compared word for word by a 96-bit hash. Neighbouring
 paths glue into spans of the document. Joins and grouping run on minimizers and window hashes;
-texts meet their spans deflated, and no row is larger than a document.
+only texts that may have spans are shuffled to meet them, deflated, and no row is larger than a
+document.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, BASE_INV, deflated, each_row, inflated, list_column, lists_of, mixed, powers, rolling, session, word_hashes, written
+from .common import BASE, BASE_INV, deflated, each_row, inflated, list_column, lists_of, may_meet, meeting, mixed, powers, rolling, session, word_hashes, written
 
 WINDOW, K = 50, 16
 _SALT = np.uint64(0x2545F4914F6CDD1D)
@@ -129,7 +130,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     met = written(met.select("doc_id", "tx", "start", "size", "straight"), "met")
 
     opened = written(_listed(met.where("not straight")), "opened")
-    places = inflated(deflated(rows).join(opened, ["doc_id", "tx"])).select("doc_id", "tx", word_hashes(F.col("text")).alias("h"), "starts", "sizes")
+    held = deflated(meeting(rows, opened, "doc_id", "tx"))
+    places = inflated(held.join(opened, ["doc_id", "tx"])).select("doc_id", "tx", word_hashes(F.col("text")).alias("h"), "starts", "sizes")
     windows = written(places.mapInArrow(_windows, "h1 long, h2 int, doc_id long, tx long, place int"), "windows")
     first = written(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                     .where("least < most").select("h1", "h2", "least"), "first")
@@ -138,22 +140,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return _listed(cut).mapInArrow(_ranges, "doc_id long, tx long, lows array<long>, highs array<long>")
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        total, gone, kept = [], [], []
-        for text, lows, highs in zip(*(batch.column(n).to_pylist() for n in ("text", "lows", "highs"))):
-            w = zlib.decompress(text).split() if text else []  # bytes split at the six ASCII white-space bytes only
-            total.append(len(w))
-            if lows:
-                out, at = [], 0
-                for lo, hi in zip(lows, highs):
-                    out += w[at:lo]
-                    at = hi
-                w = out + w[at:]
-            gone.append(total[-1] - len(w))
-            kept.append(b" ".join(w).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                                         ["doc_id", "n_words", "n_removed", "kept_text"])
+def _strip(read):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, gone, kept = [], [], []
+            for text, lows, highs in zip(*(batch.column(n).to_pylist() for n in ("text", "lows", "highs"))):
+                w = read(text).split() if text else []  # bytes split at the six ASCII white-space bytes only
+                total.append(len(w))
+                if lows:
+                    out, at = [], 0
+                    for lo, hi in zip(lows, highs):
+                        out += w[at:lo]
+                        at = hi
+                    w = out + w[at:]
+                gone.append(total[-1] - len(w))
+                kept.append(b" ".join(w).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                                             ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return run
+
+
+_STRIPPED = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -163,5 +171,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     all of its words; rows that repeat an id do not make each other smaller, so they keep what no smaller id holds.
     """
     spans = written(repeated_spans(docs), "spans")
-    return deflated(_rows(docs)).join(spans, ["doc_id", "tx"], "left").select("doc_id", "text", "lows", "highs").mapInArrow(
-        _strip, "doc_id long, n_words long, n_removed long, kept_text string")
+    rows = may_meet(_rows(docs), spans, "doc_id", "tx")
+    cut = deflated(rows.where("meets").drop("meets")).join(spans, ["doc_id", "tx"], "left").select("doc_id", "text", "lows", "highs")
+    none = F.lit(None).cast("array<long>")
+    whole = rows.where("not meets").select("doc_id", "text", none.alias("lows"), none.alias("highs"))
+    return cut.mapInArrow(_strip(zlib.decompress), _STRIPPED).union(whole.mapInArrow(_strip(str.encode), _STRIPPED))

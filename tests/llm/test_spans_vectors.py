@@ -43,6 +43,27 @@ def test_repeats_as_by_hand(spark):
     assert debruijn.drop_repeats(df.limit(0)).count() == 0
 
 
+def test_texts_without_spans_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = [(i, " ".join(text(80))) for i in range(300)]
+    rows += [(300 + i, " ".join(text(5) + rows[i][1].split()[:60])) for i in range(10)] + [(None, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    moved = []
+    monkeypatch.setattr(debruijn, "deflated", lambda held: moved.append(held.count()) or common.deflated(held))
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in debruijn.drop_repeats(df).collect()), key=str)
+    assert got == brute(rows)
+    assert max(moved) < 40  # all 311 before
+
+
+def test_rows_that_meet_are_all_kept(spark):
+    rows = spark.createDataFrame([(i, str(i % 7) if i % 5 else None) for i in range(2000)], "a long, b string")
+    other = spark.createDataFrame([(i, str(i % 7) if i % 5 else None) for i in range(0, 2000, 10)] + [(None, None)], "a long, b string")
+    kept = {r.a for r in common.meeting(rows, other, "a", "b").collect()}
+    assert kept >= set(range(0, 2000, 10)) and len(kept) < 210
+    assert common.meeting(rows, other.limit(0), "a", "b").count() == 0
+
+
 def test_vectors_as_all_pairs(spark):
     rng = np.random.default_rng(6)
     rows = []
