@@ -8,21 +8,24 @@ unseen words as it has seen (the mean class's number at least), so the shares of
 in all; a class with more unseen words than that would exceed 1. So the trained tables are bounded, while the word
 counts grow with the corpus and are joined, never broadcast.
 
-Texts are coded in chunks of many documents. Only the distinct words of a chunk meet the counts;
-the chunk then holds class numbers, 2 bytes a token. Each Baum-Welch round reads all training
+Texts are coded in chunks of many documents, deflated by planes of bytes, small codes for frequent words. The
+distinct words of all chunks are shuffled by word once. A word of one chunk only is counted there
+already; the counts of the others, and the classes of the most frequent, go back to their chunks,
+which then hold class numbers, 2 bytes a token. Each Baum-Welch round reads all training
 chunks and adds up expected counts by partition, then by key. The score is the exact likelihood
 of the whole text by the scaled forward recursion.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import lower_ascii, session, written
 
@@ -31,7 +34,8 @@ STATES, ROUNDS = 8, 4
 TOP, ENDINGS = 4096, 2048  # classes of one word, and of words with equal last letters
 CLASSES = 1 + TOP + ENDINGS  # class 0 is the end of a text
 SEGMENT = 128  # tokens of a training sequence; scores take whole texts
-CHUNK_WORDS, CHUNK_STEP = 250_000, 64  # a chunk ends at that many words, counted by as many documents
+CHUNK_WORDS, CHUNK_STEP = 750_000, 64  # a chunk ends at that many words, counted by as many documents
+COUNT_BITS = 36  # of a code and a count, or a class, in one number: 2**27 distinct words of a chunk, 2**36 uses of a word
 DISCOUNT = 0.5
 ANCHORS = 64
 _SMOOTH = 0.05
@@ -40,6 +44,22 @@ _CHUNK = "chunk long, doc_ids array<long>, train array<boolean>, held array<bool
 _CODED = "doc_ids array<long>, train array<boolean>, held array<boolean>, sizes array<int>, known array<long>, base array<double>, within array<double>, classes binary"
 
 
+def _by_use(codes: np.ndarray, dictionary: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Codes and their dictionary in falling frequency."""
+    order = np.argsort(-np.bincount(codes, minlength=len(dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return rank[codes], dictionary.take(pa.array(order))
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of documents with a dictionary of their words."""
     part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -51,14 +71,14 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = pc.not_equal(flat, "")
         flat, parent = flat.filter(full), parent[full.to_numpy(zero_copy_only=False)]
         coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        codes, dictionary = _by_use(coded.indices.to_numpy(zero_copy_only=False), coded.dictionary)
         train = t["train"].to_numpy()
-        uses = np.bincount(codes[train[parent]], minlength=len(coded.dictionary)).astype(np.int64)
+        uses = np.bincount(codes[train[parent]], minlength=len(dictionary)).astype(np.int64)
         one = lambda x, kind: pa.array([x], kind)
         return pa.RecordBatch.from_arrays([
             pa.array([(part << 24) + made], pa.int64()), one(t["doc_id"].to_pylist(), pa.list_(pa.int64())), one(train.tolist(), pa.list_(pa.bool_())),
             one(t["held"].to_pylist(), pa.list_(pa.bool_())), one(np.bincount(parent, minlength=t.num_rows).tolist(), pa.list_(pa.int32())),
-            pa.array([codes.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+            pa.array([_packed(codes)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(dictionary)], pa.int32()), dictionary.cast(pa.string())),
             pa.ListArray.from_arrays(pa.array([0, len(uses)], pa.int32()), pa.array(uses))],
             ["chunk", "doc_ids", "train", "held", "sizes", "codes", "words", "uses"])
 
@@ -89,13 +109,15 @@ def _classify(total: int, distinct: int, sums: np.ndarray, types: np.ndarray, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                words = batch.column("dictionary")[r].values
-                n = 0 if words is None else len(words)
-                cls, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                if n:
-                    at = words.field("code").to_numpy()
-                    cls[at], count[at] = words.field("cls").to_numpy(), words.field("c").to_numpy()
-                codes = np.frombuffer(batch.column("codes")[r].as_buffer(), np.int32)
+                own = lambda name: batch.column(name)[r].values.to_numpy().astype(np.int64)
+                cls, count = own("endings"), own("uses")
+                if batch.column("counts")[r].values is not None:
+                    pair = own("counts")
+                    count[pair >> COUNT_BITS] = pair & ((1 << COUNT_BITS) - 1)
+                if batch.column("tops")[r].values is not None:
+                    pair = own("tops")
+                    cls[pair >> COUNT_BITS] = pair & ((1 << COUNT_BITS) - 1)
+                codes = _unpacked(batch.column("codes")[r].as_py())
                 sizes = batch.column("sizes")[r].values.to_numpy()
                 of = np.repeat(np.arange(len(sizes)), sizes)
                 seen = count > 0
@@ -231,6 +253,20 @@ def _score(total: int, first: np.ndarray, move: np.ndarray, emit: np.ndarray):
     return run
 
 
+def _ending(word: Column) -> Column:
+    """The class of a word that has none of its own."""
+    return F.lit(1 + TOP) + F.pmod(F.xxhash64(F.right(word, F.lit(3))), F.lit(ENDINGS)).cast("int")
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    """(word, chunk, code, c, n, head): every distinct word of every chunk, with its training count and its number of chunks
+    over all chunks; ``head`` holds for one row of each word. One shuffle; a word has a row for each chunk at most."""
+    entries = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "uses")).alias("code", "e")).select(F.col("e.words").alias("word"), "chunk", "code", F.col("e.uses").alias("uses"))
+    by = Window.partitionBy("word").orderBy("chunk")
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return entries.select("word", "chunk", "code", F.sum("uses").over(every).alias("c"), F.count("*").over(every).alias("n"), (F.row_number().over(by) == 1).alias("head"))
+
+
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs`` (doc_id, text).
 
@@ -242,24 +278,23 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(F.coalesce("text", F.lit(""))).alias("text"),
                        F.coalesce(fold != 0, F.lit(False)).alias("train"), F.coalesce(fold == 0, F.lit(False)).alias("held"))
     chunks = written(rows.mapInArrow(_code, _CHUNK), "chunks")
-    entries = chunks.select("chunk", F.explode(F.arrays_zip("words", "uses")).alias("e"), ).select("chunk", "e.words", "e.uses")
-    counts = entries.groupBy(F.col("words").alias("word")).agg(F.sum("uses").alias("c"))
-    counts = written(counts, "counts")
+    places = written(_counted(chunks), "places")
+    counts = places.where("head").select("word", "c")
     ends = rows.where("train").count()
     inside, distinct = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     total, distinct = (inside or 0) + ends, distinct + (ends > 0)
     top = [r.word for r in counts.where("c > 0").orderBy(F.desc("c"), "word").limit(TOP).collect()]
     top = docs.sparkSession.createDataFrame([(w, i + 1) for i, w in enumerate(top)], "word string, own int")  # TOP rows at most
-    ending = F.lit(1 + TOP) + F.pmod(F.xxhash64(F.right("word", F.lit(3))), F.lit(ENDINGS))
-    known = written(counts.join(F.broadcast(top), "word", "left").select("word", "c", F.coalesce(F.col("own").cast("long"), ending).cast("int").alias("cls")), "known")
+    known = places.join(F.broadcast(top), "word", "left").withColumn("cls", F.coalesce("own", _ending(F.col("word"))))
     sums, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in known.where("c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # CLASSES rows at most
+    for r in known.where("head and c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # CLASSES rows at most
         sums[r.cls], types[r.cls] = r.c, r.n
     sums[0], types[0] = ends, 1
 
-    places = chunks.select("chunk", F.posexplode("words").alias("code", "word"))
-    met = places.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("code", "cls", "c")).alias("dictionary"))
-    ready = chunks.drop("words", "uses").join(met, "chunk", "left")
+    pair = lambda n: F.when(F.col(n).isNotNull(), F.shiftleft(F.col("code").cast("long"), COUNT_BITS).bitwiseOR(F.col(n).cast("long")))
+    many = known.where("n > 1 or own is not null").withColumn("c", F.expr("if(n > 1, c, null)"))
+    met = many.groupBy("chunk").agg(F.collect_list(pair("c")).alias("counts"), F.collect_list(pair("own")).alias("tops"))
+    ready = chunks.withColumn("endings", F.transform("words", lambda w: _ending(w).cast("short"))).drop("words").join(met, "chunk", "left")
     coded = written(ready.mapInArrow(_classify(total, distinct, sums, types, ends), _CODED), "coded")
 
     pairs = np.zeros((ANCHORS, ANCHORS))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tasteloom.llm import hmm
 
@@ -86,3 +87,25 @@ def test_unseen_words_are_not_likelier_than_seen_ones(spark):
     cost = {h: -sum(r.score for r in got if r.held_out == h) / sum(r.n_tokens for r in got if r.held_out == h) for h in (True, False)}
     assert cost[True] > cost[False]
     assert sum(r.n_known for r in got if r.held_out) < 0.97 * sum(r.n_tokens for r in got if r.held_out)
+
+
+def test_counts_of_all_chunks_by_one_row_for_each_word_of_a_chunk(spark):
+    rows = [(7, ["a", "b", "é"], [2, 1, 0]), (8, ["b", "c"], [3, 1]), (9, ["d", "b", "a"], [1, 0, 5]), (10, [], [])]
+    found = hmm._counted(spark.createDataFrame(rows, "chunk long, words array<string>, uses array<long>")).collect()
+    total, chunks = Counter(), Counter()
+    for _, words, uses in rows:
+        total.update(dict(zip(words, uses)))
+        chunks.update(words)
+    assert sorted((r.word, r.chunk, r.code, r.c, r.n) for r in found) == sorted((w, k, i, total[w], chunks[w]) for k, words, _ in rows for i, w in enumerate(words))
+    assert sorted(r.word for r in found if r["head"]) == sorted(total)
+
+
+def test_codes_are_deflated_and_come_back():
+    rng = np.random.default_rng(6)
+    codes = (rng.pareto(0.5, 200_000) * 3).astype(np.int64) % 90_000
+    words, coded = np.unique(codes, return_inverse=True)
+    short, dictionary = hmm._by_use(coded, pa.array(words.astype(str)))
+    assert (np.array(dictionary.to_pylist(), int)[short] == codes).all() and (np.diff(np.bincount(short)) <= 0).all()
+    data = hmm._packed(short)
+    assert (hmm._unpacked(data) == short).all() and len(data) < 2.5 * len(codes)  # 4 bytes a token before
+    assert len(hmm._unpacked(hmm._packed(short[:0]))) == 0
