@@ -33,7 +33,7 @@ FOLDS = 10
 STATES, ROUNDS = 8, 4
 TOP, ENDINGS = 4096, 2048  # classes of one word, and of words with equal last letters
 CLASSES = 1 + TOP + ENDINGS  # class 0 is the end of a text
-SEGMENT = 128  # tokens of a training sequence; scores take whole texts
+SEGMENT, SEQUENCES = 128, 1024  # tokens of a training sequence, and sequences learned from at once; scores take whole texts
 CHUNK_WORDS, CHUNK_STEP = 750_000, 64  # a chunk ends at that many words, counted by as many documents
 COUNT_BITS = 36  # of a code and a count, or a class, in one number: 2**27 distinct words of a chunk, 2**36 uses of a word
 DISCOUNT = 0.5
@@ -89,6 +89,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= CHUNK_WORDS:
                 yield chunk()
                 made, held, size = made + 1, [], 0
+                pa.default_memory_pool().release_unused()  # else a worker keeps what its largest chunk took
     if held:
         yield chunk()
 
@@ -198,8 +199,8 @@ def _expect(first: np.ndarray, move: np.ndarray, emit: np.ndarray):
                 nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = np.repeat(starts[train], pieces) + nth * SEGMENT
                 size = np.minimum(SEGMENT, np.repeat(sizes[train], pieces) - nth * SEGMENT)
-                for i in range(0, len(start), 4096):
-                    one, two, three, _ = expected(classes, start[i:i + 4096], size[i:i + 4096], first, move, emit)
+                for i in range(0, len(start), SEQUENCES):
+                    one, two, three, _ = expected(classes, start[i:i + SEQUENCES], size[i:i + SEQUENCES], first, move, emit)
                     total[:CLASSES] += three
                     total[CLASSES] += one
                     total[CLASSES + 1:] += two

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 from tasteloom.llm import hmm
+from tasteloom.llm.common import session
 
 RNG = np.random.default_rng(3)
 FIRST, MOVE, EMIT = (x / x.sum(axis=-1, keepdims=True) for x in (RNG.random(3), RNG.random((3, 3)), RNG.random((3, 5))))
@@ -109,3 +111,27 @@ def test_codes_are_deflated_and_come_back():
     data = hmm._packed(short)
     assert (hmm._unpacked(data) == short).all() and len(data) < 2.5 * len(codes)  # 4 bytes a token before
     assert len(hmm._unpacked(hmm._packed(short[:0]))) == 0
+
+
+def test_a_round_takes_little_memory_however_long_a_chunk_is():
+    """The sequences of a chunk of 600,000 tokens; 4,096 of them were learned from at once before, in over 100 MB."""
+    rng = np.random.default_rng(9)
+    first, move, emit = (rng.random(n) for n in (hmm.STATES, (hmm.STATES, hmm.STATES), (hmm.CLASSES, hmm.STATES)))
+    first, move, emit = first / first.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+    sizes, classes = np.full(60, 10_000), rng.integers(0, hmm.CLASSES, 600_000).astype("<u2")
+    batch = pa.RecordBatch.from_arrays([pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([[True] * 60]), pa.array([classes.tobytes()], pa.binary())], ["sizes", "train", "classes"])
+    tracemalloc.start()
+    found = next(hmm._expect(first, move, emit)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6
+    total = sum(found.column(f"s{s}").to_numpy()[:-1 - hmm.STATES].sum() for s in range(hmm.STATES))
+    assert np.isclose(total, 600_000)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Forty rows of a megabyte were one batch before."""
+    session(spark)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    got = spark.range(0, 40, 1, 1).selectExpr("repeat(cast(id % 10 as string), 1000000) as text").mapInArrow(sizes, "n long").collect()
+    assert sum(r.n for r in got) > 40e6 and max(r.n for r in got) < 8e6
