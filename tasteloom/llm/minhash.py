@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import components, each_row, list_column, lower_ascii, meeting, mixed, rolling, session, word_hashes, written
+from .common import components, each_row, joined, list_column, lower_ascii, meeting, mixed, rolling, session, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
@@ -271,16 +271,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = sets.dropDuplicates(["node"])
     sets = written(sets, "sets")
     # a chain of best partners first: pairs inside a component need no look at their sets
-    links = written(_confirmed(_best(pairs), sets), "links")
-    labels = components(links)
-    links = links.union(written(_confirmed(written(_split(pairs, labels), "split"), sets), "links"))
-    labels = components(links)
+    labels = components(_confirmed(written(_best(pairs), "best"), sets))
+    labels = joined(labels, _confirmed(written(_split(pairs, labels), "split"), sets))
     for best in (True, False):
         more = _across(hot, classes, labels, sets, best)
         if more is None:
             break
-        links = links.union(written(more, "links"))
-        labels = components(links)
+        labels = joined(labels, more)
 
     linked = written(labels.join(classes.select("node", "min_doc"), "node"), "linked")
     least = linked.groupBy("label").agg(F.min("min_doc").alias("least"))

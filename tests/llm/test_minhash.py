@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pandas as pd
 
-from tasteloom.llm import minhash
+from tasteloom.llm import common, minhash
 from tasteloom.llm.minhash import near_duplicates
 
 FIXED = "doc_id long, text string, node string"
@@ -100,3 +100,38 @@ def test_links_of_a_block_join_its_components():
     pairs = [(a[0], b[0]) for a, b in zip(got["a"], got["b"])]
     assert pairs and all(linked(a, b) for a, b in pairs) and len(pairs) < 60
     assert classes(pairs) == classes([(a, b) for a in range(1, 60, 2) for b in range(60) if a != b and linked(a, b)])
+
+
+def roots(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_components_of_further_edges_meet_only_what_is_still_apart(spark, monkeypatch):
+    """Before, every call began again with all edges, and a settled star took a whole round to be seen: five written tables."""
+    rng = random.Random(4)
+    star = [(k, 0) for k in range(1, 40)] + [(0, 5), (7, 7)]
+    chain = [(k, k + 1) for k in range(100, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labelled = lambda df: {r.node: r.label for r in df.collect()}
+    made, write = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: made.append(name) or write(df, name))
+    assert labelled(common.components(frame(star))) == roots([e for e in star if e[0] != e[1]])
+    assert made == ["edges", "least"]
+    labels = common.components(frame(chain))
+    assert labelled(labels) == roots([e for e in chain if e[0] != e[1]])
+    made.clear()
+    assert labelled(common.joined(labels, frame([(130, 100), (101, 129), (9, 9)]))) == labelled(labels)
+    assert made == ["apart"]
+    more = [(115, 1), (300, 301), (301, 220), (2, 300)]
+    assert labelled(common.joined(labels, frame(more))) == roots([e for e in chain + more if e[0] != e[1]])
+    assert labelled(common.joined(common.components(frame([])), frame(more))) == roots(more)
