@@ -86,13 +86,17 @@ def favourite_genres(ratings: DataFrame, movies: DataFrame, k: int = 3) -> DataF
 ONE_PASS = 4
 #: Meetings of an item block that one task holds; a block that meets more user blocks is copied.
 MEETINGS_A_TASK = 16
+#: Items of a box, and users that are held against the boxes of a block at once.
+BOX_ITEMS, USERS_AT_ONCE = 256, 512
+#: Rows (user, item block) after which a task hands them on.
+OPEN_ROWS = 100_000
 SEEN = "array<struct<u: bigint, i: bigint>>"
 
 
 @dataclass
 class TopK:
     rows: DataFrame
-    #: ``met`` and ``possible`` meetings of a user block with an item block, and the ``pruned_share``.
+    #: ``met`` and ``possible`` meetings of a user block with an item block, and the ``pruned_share``: by length alone, before boxes.
     report: DataFrame
 
 
@@ -128,6 +132,83 @@ def norm_blocks(items: DataFrame, item: str, features: Sequence[str], item_block
     return placed, [longest.get(i, -1.0) for i in range(blocks)]
 
 
+def box_cuts(f: np.ndarray, size: int) -> list[np.ndarray]:
+    """Positions of the rows in boxes of at most ``size`` rows: halves along the widest column, again and again."""
+    todo, done = [np.arange(len(f))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            done.append(at)
+            continue
+        wide = np.ptp(f[at], axis=0).argmax()
+        order = at[np.argsort(f[at, wide], kind="stable")]
+        todo += [order[len(at) // 2:], order[: len(at) // 2]]
+    return done
+
+
+def boxed_blocks(item_blocks: DataFrame, dims: int, size: int) -> DataFrame:
+    """Item blocks (ib, item_ids, item_f) with their items in boxes: ``starts`` of the boxes, their ``low`` and ``high`` corners.
+
+    An item with a factor that is no finite number has no finite product with any user and is left out.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ids, f = np.asarray(row.item_ids), np.asarray(row.item_f, dtype="float64").reshape(-1, dims)
+                fine = np.isfinite(f).all(axis=1)
+                ids, f = ids[fine], f[fine]
+                boxes = [at for at in box_cuts(f, size) if len(at)]
+                order = np.concatenate([*boxes, np.zeros(0, int)]).astype(int)
+                corners = [np.array([g(f[at], axis=0) for at in boxes]).ravel() for g in (np.min, np.max)]
+                starts = np.cumsum([0, *map(len, boxes)])[:-1]
+                yield pd.DataFrame({"ib": [row.ib], "item_ids": [ids[order]], "item_f": [f[order].ravel()], "starts": [starts.astype("int32")], "low": [corners[0]], "high": [corners[1]]})
+
+    kind = dict(item_blocks.dtypes)["item_ids"]
+    return item_blocks.mapInPandas(cut, f"ib int, item_ids {kind}, item_f array<double>, starts array<int>, low array<double>, high array<double>")
+
+
+def may_reach(f: np.ndarray, low: np.ndarray, high: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Users x boxes: whether a vector between the corners of the box may have a rounded product of ``floor`` or more with the user's."""
+    up, down = np.maximum(f, 0), np.minimum(f, 0)
+    bound = up @ high.T + down @ low.T
+    slack = 1e-12 * (np.abs(f) @ np.maximum(np.abs(low), np.abs(high)).T) + 1e-6
+    return bound + slack >= floor[:, None]
+
+
+def open_blocks(floored: DataFrame, boxed: DataFrame, features: Sequence[str], user: str, longest: Sequence[float]) -> DataFrame:
+    """(user, factors, floor, ib): the item blocks after the first one that may hold an item for the user's first ``k``.
+
+    A block is open where its greatest length and one of its boxes allow a product of the user's floor.
+    The corners of all boxes go to every task: two numbers for each feature of ``BOX_ITEMS`` items.
+    """
+    dims, columns = len(features), [*features, "floor"]
+    corners = {r.ib: [np.array(x).reshape(-1, dims) for x in (r.low, r.high)] for r in boxed.filter("ib > 0").select("ib", "low", "high").collect() if r.low}
+    blocks = sorted(corners)
+    lows, highs = (np.array([g(corners[b][n], axis=0) for b in blocks]).reshape(-1, dims) for n, g in ((0, np.min), (1, np.max)))
+    # a block that holds a NaN has no length; its boxes have corners
+    lengths = np.nan_to_num(np.array([longest[b] for b in blocks], dtype="float64"), nan=np.inf)
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            f, floor = pdf[list(features)].to_numpy(dtype="float64"), pdf["floor"].to_numpy(dtype="float64")
+            whole = may_reach(f, lows, highs, floor) & (np.sqrt((f * f).sum(axis=1))[:, None] * lengths * (1 + 1e-12) + 1e-6 >= floor[:, None])
+            at, ib, held = [], [], 0
+            for n, b in enumerate(blocks):
+                rows = np.nonzero(whole[:, n])[0]
+                if len(rows):
+                    rows = rows[may_reach(f[rows], *corners[b], floor[rows]).any(axis=1)]
+                    at.append(rows)
+                    ib.append(np.full(len(rows), b, "int32"))
+                    held += len(rows)
+                if held and (held >= OPEN_ROWS or n == len(blocks) - 1):
+                    yield pdf.iloc[np.concatenate(at)].assign(ib=np.concatenate(ib))
+                    at, ib, held = [], [], 0
+
+    rows = floored.select(user, *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.mapInPandas(found, f"{user} {dict(floored.dtypes)[user]}, " + ", ".join(f"{c} double" for c in columns) + ", ib int")
+
+
 def pruned_top_k(
     users: DataFrame, items: DataFrame, features: Sequence[str], k: int, seen: DataFrame | None = None,
     user: str = "UserID", item: str = "MovieID", user_block: int = 1024, item_block: int = 8192,
@@ -136,33 +217,39 @@ def pruned_top_k(
 
     Item blocks fall in vector length. Every user block meets the first one, which gives each user a
     k-th best score so far. By Cauchy and Schwarz no product with a later block exceeds the
-    user's length times the block's greatest length, so a user block meets only the blocks that one of its
-    users may still find a better item in, and inside a meeting only those users are multiplied.
-    A meeting is one matrix product and only ``k`` rows per user leave it: pairs are never rows.
-    ``seen`` pairs are dealt to meetings while these are still two numbers, before any factor
-    is joined, and are masked in the block they belong to.
+    user's length times the block's greatest length, which leaves some meetings of user blocks with item
+    blocks; to these go only the users, one by one, for whom a box of items in the block may still hold a
+    better one, and there a user is multiplied with the items of such boxes only.
+    Users are dealt to tasks by item block, so what is shuffled grows with the blocks that a user is open to.
+    Only ``k`` rows per user leave a task: pairs are never rows.
+    ``seen`` pairs are found by the items of the first block, which is small, and then by the blocks that
+    their users are open to.
     """
-    spark, dims = users.sparkSession, len(features)
+    dims = len(features)
     users = stored(users, "users")
     placed, longest = norm_blocks(items, item, features, item_block)
     n_user_blocks = F.lit(max(1, math.ceil(users.count() / user_block)))
     of_user = F.pmod(F.xxhash64(user), n_user_blocks).cast("int")
     item_blocks = _packed(placed, item, features, "ib", "item_ids", "item_f")
+    several = len(longest) > ONE_PASS
     pairs = None
     if seen is not None:
-        located = seen.select(user, item).distinct().withColumn("ub", of_user).join(placed.select(item, "ib"), item)
-        pairs = located.groupBy("ub", "ib").agg(F.collect_list(F.struct(F.col(user).alias("u"), F.col(item).alias("i"))).alias("seen"))
+        seen = seen.select(user, item)
+        if several:
+            seen = stored(seen, "seen")
+            # one block: few rows whatever the number of items
+            located = seen.join(F.broadcast(placed.filter("ib = 0").select(item, "ib")), item)
+        else:
+            located = seen.join(placed.select(item, "ib"), item)
+        pairs = located.distinct().withColumn("ub", of_user).groupBy("ub", "ib").agg(F.collect_list(F.struct(F.col(user).alias("u"), F.col(item).alias("i"))).alias("seen"))
+    types = dict(users.dtypes)[user], dict(items.dtypes)[item]
+    schema = f"{user} {types[0]}, {item} {types[1]}, score double"
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 u, i = np.asarray(row.user_ids), np.asarray(row.item_ids)
                 f = np.asarray(row.user_f).reshape(-1, dims)
-                # users whose bound for this block is below their k-th best can gain nothing
-                open_ = np.sqrt((f * f).sum(axis=1)) * longest[row.ib] * (1 + 1e-12) + 1e-6 >= np.asarray(row.floor)
-                if not open_.any():
-                    continue
-                u, f = u[open_], f[open_]
                 scores = f @ np.asarray(row.item_f).reshape(-1, dims).T
                 scores = np.floor(scores * 1e6 + 0.5) / 1e6
                 if row.seen is not None and len(row.seen):
@@ -187,39 +274,85 @@ def pruned_top_k(
         """Written top rows of (ub, ib) meetings."""
         load = meetings.groupBy("ib").agg(F.ceil(F.count(F.lit(1)) / MEETINGS_A_TASK).cast("int").alias("parts"))
         load = stored(load, "load")
-        tasks = load.agg(F.sum("parts")).first()[0] or 1
+        # fewer than the shuffle width would be dealt anew by the join, and then to a few tasks by their bytes
+        tasks = max(load.agg(F.sum("parts")).first()[0] or 1, int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         copies = load.select("ib", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(item_blocks, "ib")
         with_seen = meetings.join(pairs, ["ub", "ib"], "left") if pairs is not None else meetings.withColumn("seen", F.array().cast(SEEN))
         dealt = with_seen.join(load, "ib").withColumn("part", F.pmod(F.xxhash64("ub"), F.col("parts")).cast("int"))
         dealt = dealt.join(user_blocks, "ub").repartition(tasks, "ib", "part")
-        whole = dealt.join(copies.repartition(tasks, "ib", "part"), ["ib", "part"]).select("ib", "user_ids", "user_f", "floor", "item_ids", "item_f", "seen")
-        types = dict(users.dtypes)[user], dict(items.dtypes)[item]
-        return stored(whole.mapInPandas(best, f"{user} {types[0]}, {item} {types[1]}, score double"), name)
+        whole = dealt.join(copies.repartition(tasks, "ib", "part"), ["ib", "part"]).select("user_ids", "user_f", "item_ids", "item_f", "seen")
+        return stored(whole.mapInPandas(best, schema), name)
+
+    def better(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The first ``k`` scores of each user among the items of one block that reach the user's floor."""
+        out = [pd.DataFrame({user: left[user][:0], item: np.zeros(0, "int64"), "score": np.zeros(0)})]
+        if not len(left) or not len(right):
+            return out[0]
+        block = right.iloc[0]
+        u, f, floor = left[user].to_numpy(), left[list(features)].to_numpy(dtype="float64"), left["floor"].to_numpy(dtype="float64")
+        ids, g = np.asarray(block["item_ids"]), np.asarray(block["item_f"], dtype="float64").reshape(-1, dims)
+        low, high = (np.asarray(block[c], dtype="float64").reshape(-1, dims) for c in ("low", "high"))
+        bounds = [*block["starts"], len(ids)]
+        names, code = np.unique(ids, return_inverse=True)
+        for start in range(0, len(u), USERS_AT_ONCE):
+            part = slice(start, start + USERS_AT_ONCE)
+            reach, hits = may_reach(f[part], low, high, floor[part]), []
+            for n in np.nonzero(reach.any(axis=0))[0]:
+                rows, first = np.nonzero(reach[:, n])[0] + start, bounds[n]
+                scores = np.floor(f[rows] @ g[first:bounds[n + 1]].T * 1e6 + 0.5) / 1e6
+                a, b = np.nonzero((scores >= floor[rows][:, None]) & np.isfinite(scores))
+                hits.append((rows[a], b + first, scores[a, b]))
+            if not hits:
+                continue
+            a, b, s = map(np.concatenate, zip(*hits))
+            gone = [(n, x) for n, x in enumerate(left["seen"].iloc[part], start) if x is not None and len(x)]
+            if gone:
+                rows = np.repeat([n for n, _ in gone], [len(x) for _, x in gone])
+                at = np.searchsorted(names, np.concatenate([x for _, x in gone]).astype(names.dtype))
+                fresh = ~np.isin(a * len(names) + code[b], rows * len(names) + at)
+                a, b, s = a[fresh], b[fresh], s[fresh]
+            order = np.lexsort((ids[b], -s, a))
+            a, b, s = a[order], b[order], s[order]
+            top = np.arange(len(a)) - np.searchsorted(a, a) < k
+            out.append(pd.DataFrame({user: u[a[top]], item: ids[b[top]], "score": s[top]}))
+        return pd.concat(out[1:] or out)
 
     blocked = users.withColumn("ub", of_user)
-    nothing = F.lit(float("-inf"))
-    unbounded = _packed(blocked.withColumn("floor", nothing), user, features, "ub", "user_ids", "user_f", ["floor"])
+    whole_blocks = _packed(blocked, user, features, "ub", "user_ids", "user_f")
     each = blocked.select("ub").distinct()
-    if len(longest) <= ONE_PASS:
+    if not several:
         # too few blocks for a second pass to pay
         all_met = each.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(len(longest) - 1))))
         report = all_met.agg(F.count(F.lit(1)).alias("met"), F.count(F.lit(1)).alias("possible"), F.lit(0.0).alias("pruned_share"))
-        return TopK(top_k_per_key(met(all_met, unbounded, "all"), [user], [F.desc("score"), item], k), report)
-    first = met(each.withColumn("ib", F.lit(0)), unbounded, "first")
+        return TopK(top_k_per_key(met(all_met, whole_blocks, "all"), [user], [F.desc("score"), item], k), report)
+    first = met(each.withColumn("ib", F.lit(0)), whole_blocks, "first")
     # the k-th best score so far, or none
+    nothing = F.lit(float("-inf"))
     kth = first.groupBy(user).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     length = F.sqrt(sum((F.col(f) * F.col(f) for f in features), F.lit(0.0)))
-    floored = blocked.join(kth, user, "left").withColumn("floor", F.coalesce("floor", nothing))
+    floored = stored(blocked.join(kth, user, "left").withColumn("floor", F.coalesce("floor", nothing)), "floored")
+
+    boxed = stored(boxed_blocks(item_blocks, dims, BOX_ITEMS), "boxes")
+    wanted = stored(open_blocks(floored, boxed, features, user, longest), "open")
+    load = stored(wanted.groupBy("ib").agg(F.ceil(F.count(F.lit(1)) / (MEETINGS_A_TASK * user_block)).cast("int").alias("parts")), "load")
+    if seen is None:
+        dealt = wanted.withColumn("seen", F.lit(None).cast(f"array<{types[1]}>"))
+    else:
+        # pairs of a user and an item whose block the user is open to
+        located = seen.join(placed.join(load, "ib", "left_semi").select(item, "ib"), item)
+        gone = located.join(wanted.select(user, "ib"), [user, "ib"], "left_semi").groupBy(user, "ib").agg(F.collect_set(item).alias("seen"))
+        dealt = wanted.join(gone, [user, "ib"], "left")
+    dealt = dealt.join(load, "ib").withColumn("part", F.pmod(F.xxhash64(user), F.col("parts")).cast("int")).drop("parts")
+    copies = load.select("ib", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(boxed, "ib")
+    later = stored(dealt.groupBy("ib", "part").cogroup(copies.groupBy("ib", "part")).applyInPandas(better, schema), "later")
+
     least = F.when(length > 0, (F.col("floor") - 1e-6) / length / (1 + 1e-12)).otherwise(F.when(F.col("floor") <= 1e-6, nothing).otherwise(F.lit(float("inf"))))
-    wanted = floored.groupBy("ub").agg(F.min(least).alias("least"))
-    lengths = F.array(*[F.lit(float(n)) for n in longest])
-    later = wanted.withColumn("ib", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(longest) - 1)), lambda i: (i > 0) & (F.get(lengths, i) >= F.col("least")))))
-    later = stored(later.select("ub", "ib"), "meetings")
-    rows = first.unionByName(met(later, _packed(floored, user, features, "ub", "user_ids", "user_f", ["floor"]), "later"))
+    lengths = F.array(*[F.lit(float(n)) for n in longest[1:]])
     blocks = each.count()
-    report = later.agg((F.count(F.lit(1)) + blocks).alias("met")).withColumn("possible", F.lit(blocks * len(longest)).cast("bigint"))
+    left = floored.groupBy("ub").agg(F.min(least).alias("least")).withColumn("met", F.size(F.filter(lengths, lambda n: n >= F.col("least"))) + 1)
+    report = left.agg(F.coalesce(F.sum("met"), F.lit(0)).cast("bigint").alias("met")).withColumn("possible", F.lit(blocks * len(longest)).cast("bigint"))
     report = report.withColumn("pruned_share", 1 - F.try_divide(F.col("met").cast("double"), F.col("possible").cast("double")))
-    return TopK(top_k_per_key(rows, [user], [F.desc("score"), item], k), report)
+    return TopK(top_k_per_key(first.unionByName(later), [user], [F.desc("score"), item], k), report)
 
 
 def top_k_items(

@@ -51,10 +51,11 @@ def nmf_error(t):
     return fz.reconstruction_error(train, model.users, model.items, RANK)
 
 
-def small_factors(t):
+def small_factors(t, ratings=None):
     """Two-column factors straight from the ratings, so that SQL can state the dense result."""
-    users = t.ratings.groupBy("UserID").agg((F.avg("Rating") * 0.2713).alias("f0"), (F.count(F.lit(1)) * 0.01137).alias("f1"))
-    items = t.ratings.groupBy("MovieID").agg((F.avg("Rating") * 0.01931).alias("f0"), (F.count(F.lit(1)) * 0.002719).alias("f1"))
+    ratings = t.ratings if ratings is None else ratings
+    users = ratings.groupBy("UserID").agg((F.avg("Rating") * 0.2713).alias("f0"), (F.count(F.lit(1)) * 0.01137).alias("f1"))
+    items = ratings.groupBy("MovieID").agg((F.avg("Rating") * 0.01931).alias("f0"), (F.count(F.lit(1)) * 0.002719).alias("f1"))
     return users, items
 
 
@@ -162,8 +163,10 @@ SELECT UserID, MovieID, score, CAST(rn AS INTEGER) AS rank, sha256('run-1|' || C
     SELECT *, row_number() OVER (PARTITION BY UserID ORDER BY score DESC, MovieID) AS rn FROM (
         SELECT UserID, MovieID, round(p, 6) AS score FROM dense ANTI JOIN cells USING (UserID, MovieID))) WHERE rn <= 10""")
 def top_k(t):
-    users, items = small_factors(t)
-    top = rc.top_k_items(users, items, ["f0", "f1"], 10, seen=t.ratings.select("UserID", "MovieID"))
+    # lines and orders meet once for both sides' factors and the seen pairs
+    ratings = stored(t.ratings.select("UserID", "MovieID", "Rating"), "ratings")
+    users, items = small_factors(t, ratings)
+    top = rc.top_k_items(users, items, ["f0", "f1"], 10, seen=ratings.select("UserID", "MovieID"))
     return rc.with_recommendation_id(top, "run-1")
 
 

@@ -394,3 +394,40 @@ def test_factors_are_written_once_and_blocks_follow_the_cores(spark, monkeypatch
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert made == [(2, 2)] and rows == [2, 2, 2]
+
+
+def test_top_k_sends_single_users_to_the_blocks_that_may_hold_better_items(spark, monkeypatch):
+    """All users share one user block, which by length meets every item block; a few users are sent on. Ties, seen pairs, a NaN, users without k items."""
+    rng = np.random.default_rng(11)
+    turn = rng.random(300) * 0.5 * math.pi
+    u = np.vstack([np.column_stack([np.cos(turn), np.sin(turn)]), [[1.0, -1.0], [0.0, 0.0], [-1.0, -1.0]]])
+    turn = rng.random(2000) * 0.5 * math.pi
+    i = np.column_stack([np.cos(turn), np.sin(turn)]) * (3 - np.arange(2000) / 1000)[:, None]
+    i[700:740] = i[30]
+    i[900] = np.nan, 1.0
+    users, items = (spark.createDataFrame([(n, *map(float, r)) for n, r in enumerate(x)], f"{key} long, f0 double, f1 double") for x, key in ((u, "UserID"), (i, "MovieID")))
+    seen_pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, 303, 3000), rng.integers(0, 2000, 3000))} | {(7, b) for b in range(1990)}
+    seen = spark.createDataFrame(sorted(seen_pairs) * 2, "UserID long, MovieID long")
+    held, keep = {}, rc.stored
+
+    def spied(df, name):
+        held[name] = keep(df, name)
+        return held[name]
+
+    monkeypatch.setattr(rc, "stored", spied)
+    monkeypatch.setattr(rc, "BOX_ITEMS", 8)
+    monkeypatch.setattr(rc, "USERS_AT_ONCE", 50)
+    monkeypatch.setattr(rc, "OPEN_ROWS", 100)
+    with np.errstate(invalid="ignore"):
+        scores = np.floor((u @ i.T) * 1e6 + 0.5) / 1e6
+    for pairs in (seen, None):
+        top = rc.pruned_top_k(users, items, ["f0", "f1"], 4, pairs, user_block=1024, item_block=100)
+        got, gone = {}, seen_pairs if pairs is not None else set()
+        for r in top.rows.collect():
+            got.setdefault(r.UserID, []).append((r["rank"], r.MovieID))
+        for n in range(303):
+            best = sorted((-scores[n, m], m) for m in range(2000) if (n, m) not in gone and np.isfinite(scores[n, m]))[:4]
+            assert [m for _, m in sorted(got[n])] == [m for _, m in best]
+        report = top.report.first()
+        assert held["open"].count() < 0.3 * 303 * report.met
+        assert held["open"].groupBy("UserID", "ib").count().filter("count > 1").count() == 0
