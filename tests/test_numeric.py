@@ -431,3 +431,27 @@ def test_top_k_sends_single_users_to_the_blocks_that_may_hold_better_items(spark
         report = top.report.first()
         assert held["open"].count() < 0.3 * 303 * report.met
         assert held["open"].groupBy("UserID", "ib").count().filter("count > 1").count() == 0
+
+
+def test_side_blocks_are_solved_in_units_of_bounded_sums(spark, monkeypatch):
+    """More blocks of the other side make more units: no written row holds sums beyond the bound, and the factors stay as they are."""
+    v = np.where(RNG.random((60, 45)) < 0.4, RNG.integers(1, 6, (60, 45)), 0).astype(float)
+    start = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(RNG.random((45, 3)))], "MovieID long, f0 double, f1 double, f2 double")
+    rows, fits, gram_and_total = [], [], fz._gram_and_total
+
+    def total(solved, k):
+        rows.append([len(r.ids) // 8 for r in solved.select("ids").collect()])
+        return gram_and_total(solved, k)
+
+    monkeypatch.setattr(fz, "_gram_and_total", total)
+    for bound in (1 << 20, 300):
+        monkeypatch.setattr(fz, "UNIT_BYTES", bound)
+        rows.clear()
+        fits += [fz.fit_nmf(spark, cells_of(spark, v), k=3, iterations=2, start=s) for s in (None, start)]
+    # (2, 2) blocks, 24 bytes an id from each of two blocks: 300 bytes hold six ids on average
+    assert all(sum(r) in (45, 60) and len(r) > 6 and max(r) <= 18 for r in rows)
+    for a, b in zip(fits[:2], fits[2:]):
+        assert np.allclose(a.errors, b.errors, rtol=1e-9)
+        for side in ("users", "items"):
+            x, y = (np.array(sorted(map(tuple, getattr(f, side).collect()))) for f in (a, b))
+            assert np.allclose(x, y, rtol=1e-6, atol=1e-9)
